@@ -2,7 +2,7 @@
 
 
 def _load():
-    from pinwatch.catalog import exposure, feeds, reports  # noqa: F401
+    from pinwatch.catalog import exposure, feeds, reports, streams  # noqa: F401
     from pinwatch.catalog import registry
 
     return registry

@@ -151,7 +151,7 @@ _PIN_HITS = "JOIN hits h ON p.ecosystem = h.ecosystem AND lower(p.package) = h.p
 @query("cve_dep_join", f"""SELECT p.service_id, p.ecosystem, p.package, p.version, h.cve_id, h.affected_package, h.cvss_score
  FROM pins p {_PIN_HITS}""")
 def cve_dep_join(t: Tables) -> DataFrame:
-    joined = match.match_pins(graph.current_pins(t.ops), cves(t))
+    joined = match.match_pins(graph.current_pins(t.ops), cves(t), versions_from=t.ops)
     return joined.select("service_id", "ecosystem", "package", "version", "cve_id", "affected_package", "cvss_score")
 
 
@@ -169,7 +169,7 @@ def eco_wildcard(t: Tables) -> DataFrame:
 def pkg_case_insensitive(t: Tables) -> DataFrame:
     pins = graph.current_pins(t.ops)
     both = pins.unionByName(pins.withColumn("package", F.upper("package")))
-    joined = match.match_pins(match.one_spelling(both), cves(t))
+    joined = match.match_pins(match.one_spelling(both), cves(t), versions_from=t.ops)
     return joined.select("service_id", "package", F.col("affected_package").alias("matched_package"), "cve_id")
 
 
@@ -186,14 +186,14 @@ def version_range_join(t: Tables) -> DataFrame:
 
 @query("match_both_orders", """SELECT service_id, ecosystem, package, version, cve_id, valid_from, valid_to, detected_at FROM timed_hits""")
 def match_both_orders(t: Tables) -> DataFrame:
-    rows = match.match_both_orders(graph.validity_intervals(t.ops), cves(t))
+    rows = match.match_both_orders(graph.validity_intervals(t.ops), cves(t), versions_from=t.ops)
     return rows.select("service_id", "ecosystem", "package", "version", "cve_id", "valid_from", "valid_to", "detected_at")
 
 
 @query("match_asof_reference", f"""SELECT h.cve_id, p.service_id, p.ecosystem, p.package, p.version, min(p.snapshot_at) AS detected_at
  FROM ({_HISTORY}) p {_PIN_HITS} WHERE h.ingested_at <= p.snapshot_at GROUP BY 1, 2, 3, 4, 5""")
 def match_asof_reference(t: Tables) -> DataFrame:
-    return match.match_asof(graph.snapshot_rows(t.ops, t.ops), cves(t))
+    return match.match_asof(graph.snapshot_rows(t.ops, t.ops), cves(t), versions_from=t.ops)
 
 
 _IDEMPOTENT = """SELECT cve_id, service_id, version AS matched_version, min(detected_at) AS detected_at FROM timed_hits GROUP BY 1, 2, 3"""
@@ -294,7 +294,7 @@ def current_routed(t: Tables) -> DataFrame:
         *graph.PIN, "version", F.col("occurred_at").alias("since"), F.lit(True).alias("is_new_dependency")
     )
     marked = pins.join(fresh, [*graph.PIN, "version", "since"], "left")
-    found = match.match_pins(marked, cves(t)).withColumn("detected_at", F.greatest("ingested_at", "since"))
+    found = match.match_pins(marked, cves(t), versions_from=t.ops).withColumn("detected_at", F.greatest("ingested_at", "since"))
     return scoring.route(scoring.score(found)).select("service_id", "cve_id", "package", "version", "topic")
 
 

@@ -1,17 +1,19 @@
-"""Version ordering as comparable columns, and specifier sets evaluated over them.
+"""Version ordering as sortable text, and specifier sets evaluated over it.
 
-A version becomes a struct whose field order is its sort order, so ``<`` on the struct is ``<`` on
-the version and Spark compares it inside joins without Python:
+A version becomes a short string whose byte order is the order of the public version scheme, so
+Spark compares, joins and sorts versions without Python. Its parts, in order:
 
-    epoch, release (trailing zeros cut), pre-release rank, pre-release number, post, dev
+    epoch, release (trailing zeros cut) "!", pre-release rank, pre-release number, post, dev
 
-A position is such a key with a side (-1 just before it, 0 on it, 1 just after it). Every clause of a
-specifier set is an interval between two positions, so a whole set folds into one lower and one upper
-position, plus the few intervals that ``!=`` takes out.
+A number is written with a letter for its length in front ("b7", "c12"), which makes longer numbers
+sort after shorter ones whatever their size. "!" sorts before any letter, so ``1.2`` precedes
+``1.2.1``. An absent part takes the character that sorts it where the scheme wants it: a plain
+``dev`` before any pre-release, a final release after them, no ``post`` ("-") before ``post0``, no
+``dev`` ("~") after every ``devN``.
 
-Absent parts take the value that sorts them where the public version scheme wants them: a plain
-``dev`` sorts before any pre-release, a final release after all of them, no ``post`` before
-``post0``, no ``dev`` after every ``devN``.
+A position is such a key with a side appended: "0" just before the version, "1" on it, "2" just
+after it. Every clause of a specifier set is an interval between two positions, so a whole set folds
+into one lower and one upper position, plus the few intervals that ``!=`` takes out.
 """
 
 from __future__ import annotations
@@ -29,24 +31,11 @@ _VERSION = (
 # Fixed pattern: one clause of a specifier set, white space already removed.
 _CLAUSE = r"^(===|~=|==|!=|<=|>=|<|>|=)(.+?)(\.\*)?$"
 
-_PRE_RANK = {"a": 0, "alpha": 0, "b": 1, "beta": 1, "c": 2, "rc": 2, "pre": 2, "preview": 2}
-_DEV_ONLY, _FINAL = -1, 3
-_NO_POST, _NO_DEV, _ABOVE = -1, 9223372036854775807, 9223372036854775807
-
-
-def _number(text: Column) -> Column:
-    digits = F.regexp_extract(text, r"(\d*)$", 1)
-    return F.when(digits == "", F.lit(0)).otherwise(digits.cast("bigint")).cast("bigint")
-
-
-def _strip_zeros(release: Column) -> Column:
-    """[1, 2, 0, 0] -> [1, 2]; an all-zero release becomes empty and sorts first."""
-    last = F.aggregate(
-        F.transform(release, lambda part, i: F.when(part != 0, i + 1).otherwise(F.lit(0))),
-        F.lit(0),
-        lambda acc, x: F.greatest(acc, x),
-    )
-    return F.slice(release, F.lit(1), last)
+_PRE_RANK = {"a": "1", "alpha": "1", "b": "2", "beta": "2", "c": "3", "rc": "3", "pre": "3", "preview": "3"}
+_DEV_ONLY, _FINAL = "0", "4"
+_NONE_LOW, _NONE_HIGH = "-", "~"
+_ZERO = "b0"
+_BEFORE, _ON, _AFTER = "0", "1", "2"
 
 
 def _let(value: Column, body) -> Column:
@@ -54,109 +43,103 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _long(value) -> Column:
-    return F.lit(value).cast("bigint")
+def _number(digits: Column) -> Column:
+    """Digits with a length letter in front; nothing counts as zero."""
+    bare = F.regexp_replace(digits, r"^0+(?=\d)", "")
+    letter = F.char(F.length(bare) + ord("a"))
+    return F.when(digits == "", F.lit(_ZERO)).otherwise(F.concat(letter, bare))
+
+
+def _release(parts: Column) -> Column:
+    """Release numbers as text, trailing zeros cut, so that ``1.0`` equals ``1.0.0``."""
+    return F.regexp_replace(F.array_join(F.transform(parts, _number), ""), f"({_ZERO})+$", "")
 
 
 def _key(epoch: Column, release: Column, pre: Column, pre_n: Column, post: Column, dev: Column) -> Column:
-    return F.struct(
-        epoch.alias("epoch"),
-        release.alias("release"),
-        pre.alias("pre"),
-        pre_n.alias("pre_n"),
-        post.alias("post"),
-        dev.alias("dev"),
-    )
+    return F.concat(epoch, release, F.lit("!"), pre, pre_n, post, dev)
 
 
 def version_parts(version: Column) -> Column:
     """Parsed version as a struct, NULL when the text is not a version.
 
-    ``key`` sorts; ``raw_release`` keeps trailing zeros, which prefix clauses need.
+    ``key`` sorts; the other fields are what clauses are built from.
     """
     text = F.trim(version)
     # One pass of the pattern: every group of the match, joined by a character no version holds.
     joined = F.regexp_replace(text, _VERSION, "$1|$2|$3|$4|$5|$6|$7")
-    groups = F.transform(F.split(joined, r"\|", -1), lambda g: F.lower(g))
-    parsed = _let(groups, lambda g: _let(F.split(g[1], r"\.").cast("array<bigint>"), lambda raw: _assemble(g, raw)))
+    groups = F.split(F.lower(joined), r"\|", -1)
+    parsed = _let(_let(groups, _fields), _assemble)
     return F.when(F.coalesce(text.rlike(_VERSION), F.lit(False)), parsed)
 
 
-def _assemble(groups: Column, raw: Column) -> Column:
-    epoch, pre, pre_n, post, dev, local = (groups[i] for i in (0, 2, 3, 4, 5, 6))
-    has_pre, has_post, has_dev = pre != "", post != "", dev != ""
-    rank = F.when(~has_pre & ~has_post & has_dev, F.lit(_DEV_ONLY))
+def _fields(groups: Column) -> Column:
+    epoch, release, pre, pre_n, post, dev, local = (groups[i] for i in range(7))
+    trailing = lambda text: _number(F.regexp_extract(text, r"(\d*)$", 1))
+    rank = F.when((pre == "") & (post == "") & (dev != ""), _DEV_ONLY)
     for name, value in _PRE_RANK.items():
-        rank = rank.when(pre == name, F.lit(value))
+        rank = rank.when(pre == name, value)
+    raw = F.split(release, r"\.")
     return F.struct(
-        _key(
-            F.when(epoch == "", F.lit(0)).otherwise(epoch.cast("int")),
-            _strip_zeros(raw),
-            rank.otherwise(F.lit(_FINAL)),
-            F.when(has_pre, _number(pre_n)).otherwise(_long(0)),
-            F.when(has_post, _number(post)).otherwise(_long(_NO_POST)),
-            F.when(has_dev, _number(dev)).otherwise(_long(_NO_DEV)),
-        ).alias("key"),
-        raw.alias("raw_release"),
+        _number(epoch).alias("epoch"),
+        raw.alias("raw"),
+        _release(raw).alias("release"),
+        rank.otherwise(F.lit(_FINAL)).alias("pre"),
+        F.when(pre == "", _ZERO).otherwise(_number(pre_n)).alias("pre_n"),
+        F.when(post == "", _NONE_LOW).otherwise(trailing(post)).alias("post"),
+        F.when(dev == "", _NONE_HIGH).otherwise(trailing(dev)).alias("dev"),
         F.regexp_replace(local, "[-_]", ".").alias("local"),
     )
 
 
+def _assemble(f: Column) -> Column:
+    names = ("epoch", "release", "pre", "pre_n", "post", "dev")
+    return F.struct(
+        _key(*[f[n] for n in names]).alias("key"), *[f[n].alias(n) for n in (*names, "raw", "local")]
+    )
+
+
 def version_key(version: Column) -> Column:
-    """The sortable key alone."""
+    """The sortable text alone."""
     return version_parts(version)["key"]
 
 
-def _position(key: Column, side: int) -> Column:
-    return F.struct(key.alias("key"), F.lit(side).alias("side"))
+def _position(key: Column, side: str) -> Column:
+    return F.concat(key, F.lit(side))
 
 
 def _first_of(epoch: Column, release: Column) -> Column:
     """Position before every version of a release, its dev releases included."""
-    key = _key(epoch, _strip_zeros(release), F.lit(_DEV_ONLY), _long(0), _long(_NO_POST), _long(0))
-    return _position(key, -1)
+    zero, none = F.lit(_ZERO), F.lit(_NONE_LOW)
+    return _position(_key(epoch, release, F.lit(_DEV_ONLY), zero, none, zero), _BEFORE)
 
 
-def _after_prefix(epoch: Column, release: Column) -> Column:
-    """Position after every version whose release starts with ``release``."""
-    width = F.size(release)
-    following = F.concat(
-        F.slice(release, F.lit(1), width - 1),
-        F.array(F.element_at(release, -1) + 1),
-    )
-    return _first_of(epoch, following)
+def _after_prefix(epoch: Column, raw: Column) -> Column:
+    """Position after every version whose release starts with ``raw``."""
+    last = (F.element_at(raw, -1).cast("decimal(38,0)") + F.lit(1)).cast("decimal(38,0)").cast("string")
+    return _first_of(epoch, _release(F.concat(F.slice(raw, F.lit(1), F.size(raw) - 1), F.array(last))))
 
 
 def _interval(op: Column, v: Column, wildcard: Column) -> Column:
     """Clause -> struct(low, high) of positions; a NULL end is unbounded."""
-    key, release = v["key"], v["raw_release"]
-    epoch = key["epoch"]
-    is_pre = (key["pre"] < _FINAL) | (key["dev"] != _NO_DEV)
-    has_post, has_dev = key["post"] != _NO_POST, key["dev"] != _NO_DEV
+    key, epoch, release = v["key"], v["epoch"], v["release"]
+    is_pre = (v["pre"] != _FINAL) | (v["dev"] != _NONE_HIGH)
+    has_post, has_dev = v["post"] != _NONE_LOW, v["dev"] != _NONE_HIGH
     # "> V" also leaves out the post releases of V, "< V" the pre-releases of V.
-    beyond = _key(
-        epoch,
-        key["release"],
-        key["pre"],
-        key["pre_n"],
-        F.when(has_post | has_dev, key["post"]).otherwise(_long(_ABOVE)),
-        key["dev"],
-    )
-    own_first = F.when(
-        has_post,
-        _position(_key(epoch, key["release"], key["pre"], key["pre_n"], key["post"], _long(0)), -1),
-    ).otherwise(_first_of(epoch, key["release"]))
-    parent = F.slice(release, F.lit(1), F.greatest(F.size(release) - 1, F.lit(1)))
+    top = F.when(has_post | has_dev, v["post"]).otherwise(F.lit(_NONE_HIGH))
+    beyond = _key(epoch, release, v["pre"], v["pre_n"], top, v["dev"])
+    own_dev = _key(epoch, release, v["pre"], v["pre_n"], v["post"], F.lit(_ZERO))
+    own_first = F.when(has_post, _position(own_dev, _BEFORE)).otherwise(_first_of(epoch, release))
+    parent = F.slice(v["raw"], F.lit(1), F.greatest(F.size(v["raw"]) - 1, F.lit(1)))
     low = (
-        F.when(op == ">", _position(beyond, 1))
+        F.when(op == ">", _position(beyond, _AFTER))
         .when(op.isin("==", "!=") & wildcard, _first_of(epoch, release))
-        .when(op.isin(">=", "==", "!=", "~="), _position(key, -1))
+        .when(op.isin(">=", "==", "!=", "~="), _position(key, _BEFORE))
     )
     high = (
         F.when((op == "<") & ~is_pre, own_first)
-        .when(op == "<", _position(key, -1))
-        .when(op.isin("==", "!=") & wildcard, _after_prefix(epoch, release))
-        .when(op.isin("<=", "==", "!="), _position(key, 1))
+        .when(op == "<", _position(key, _BEFORE))
+        .when(op.isin("==", "!=") & wildcard, _after_prefix(epoch, v["raw"]))
+        .when(op.isin("<=", "==", "!="), _position(key, _AFTER))
         .when(op == "~=", _after_prefix(epoch, parent))
     )
     return F.struct(low.alias("low"), high.alias("high"))
@@ -165,8 +148,9 @@ def _interval(op: Column, v: Column, wildcard: Column) -> Column:
 def specifier(text: Column) -> Column:
     """Parsed specifier set as a struct, NULL when it is empty or any clause is invalid.
 
-    ``low`` and ``high`` are the tightest bounds of all clauses, ``holes`` the intervals taken out,
-    ``locals`` and ``literals`` the rare clauses on a local label or on the exact text.
+    ``low`` and ``high`` are the tightest bounds of all clauses. ``special`` tells whether there is
+    more to test: ``holes``, the intervals taken out, or the rare clauses on a local label
+    (``locals``) or on the exact text (``literals``).
     """
     compact = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")
     items = F.filter(F.split(compact, ","), lambda s: s != "")
@@ -186,7 +170,7 @@ def specifier(text: Column) -> Column:
 
 def _acceptable(c: Column) -> Column:
     allowed_wildcard = ~c["wildcard"] | c["op"].isin("==", "!=")
-    compatible = (c["op"] != "~=") | (F.size(c["v"]["raw_release"]) >= 2)
+    compatible = (c["op"] != "~=") | (F.size(c["v"]["raw"]) >= 2)
     no_local = (c["v"]["local"] == "") | (c["op"].isin("==", "!=") & ~c["wildcard"])
     well_formed = c["v"].isNotNull() & allowed_wildcard & compatible & no_local
     return F.coalesce((c["op"] == "===") | ((c["op"] != "") & well_formed), F.lit(False))
@@ -206,6 +190,7 @@ def _fold_clauses(clauses: Column) -> Column:
         lambda b: F.struct(
             F.array_max(F.transform(b, lambda x: x["low"])).alias("low"),
             F.array_min(F.transform(b, lambda x: x["high"])).alias("high"),
+            (F.exists(clauses, lambda c: c["op"].isin("!=", "===")) | (F.size(with_local) > 0)).alias("special"),
             holes.alias("holes"),
             F.transform(with_local, lambda c: c["v"]["local"]).alias("locals"),
             literals.alias("literals"),
@@ -216,19 +201,22 @@ def _fold_clauses(clauses: Column) -> Column:
 
 def in_range(parts: Column, spec: Column, raw_version: Column) -> Column:
     """Does a parsed version satisfy a parsed specifier set? False for anything unparseable."""
-    here = _position(parts["key"], 0)
+    here = _position(parts["key"], _ON)
     text = F.lower(F.trim(raw_version))
 
     def outside(hole: Column) -> Column:
         inside = (hole["cut"]["low"] < here) & (here < hole["cut"]["high"])
         return ~(inside & ((hole["local"] == "") | (hole["local"] == parts["local"])))
 
+    rest = (
+        F.forall(spec["holes"], outside)
+        & F.forall(spec["locals"], lambda label: label == parts["local"])
+        & F.forall(spec["literals"], lambda literal: literal == text)
+    )
     answer = (
         (spec["low"].isNull() | (spec["low"] < here))
         & (spec["high"].isNull() | (here < spec["high"]))
-        & F.forall(spec["holes"], outside)
-        & F.forall(spec["locals"], lambda label: label == parts["local"])
-        & F.forall(spec["literals"], lambda literal: literal == text)
+        & (~spec["special"] | rest)
     )
     return F.coalesce(parts.isNotNull() & spec.isNotNull() & answer, F.lit(False))
 

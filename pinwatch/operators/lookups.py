@@ -86,7 +86,7 @@ def pr_risk_gate(ops: DataFrame, cves: DataFrame) -> DataFrame:
     other, else APPROVE. Vulnerabilities are summed up per version before they meet the changes."""
     fresh = new_dependencies(ops)
     severe = F.max(F.col("severity_tier").isin("CRITICAL", "HIGH"))
-    found = affected_versions(fresh, cves, ["cve_id", "severity_tier"]).groupBy(
+    found = affected_versions(ops, cves, ["cve_id", "severity_tier"]).groupBy(
         "ecosystem", "package_key", "version"
     ).agg(F.count_distinct("cve_id").alias("cves"), severe.alias("severe"))
     joined = fresh.withColumn("package_key", package_key()).join(
@@ -103,7 +103,7 @@ def auto_resolve(ops: DataFrame, cves: DataFrame) -> DataFrame:
     Adjacent intervals that are all affected are one finding; its end is the end of the last.
     """
     key = ["cve_id", "service_id", "ecosystem", "package"]
-    hits = match_pins(validity_intervals(ops), cves, ["cve_id", "ingested_at"])
+    hits = match_pins(validity_intervals(ops), cves, ["cve_id", "ingested_at"], versions_from=ops)
     month = F.date_trunc("month", "valid_from")
     linked = with_neighbours(hits, key, ["valid_from"], ["valid_to"], month).select(
         *key, "ingested_at", "valid_from", "valid_to",

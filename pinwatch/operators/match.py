@@ -24,7 +24,7 @@ def package_key(package: str = "package") -> Column:
 
 def version_catalogue(pins: DataFrame) -> DataFrame:
     """Distinct (ecosystem, package, version), parsed once each."""
-    distinct = pins.select("ecosystem", package_key().alias("package_key"), "version").distinct()
+    distinct = pins.filter("version IS NOT NULL").select("ecosystem", package_key().alias("package_key"), "version").distinct()
     return distinct.withColumn("parts", version_parts(F.col("version")))
 
 
@@ -71,25 +71,31 @@ def one_spelling(pins: DataFrame) -> DataFrame:
     return pick(keyed, ["service_id", "ecosystem", "package_key"], ["package"]).drop("package_key")
 
 
-def match_pins(pins: DataFrame, cves: DataFrame, carry: list[str] = CVE_COLUMNS) -> DataFrame:
-    """Every pin with every vulnerability affecting its version; all columns of the pins stay."""
+def match_pins(
+    pins: DataFrame, cves: DataFrame, carry: list[str] = CVE_COLUMNS, versions_from: DataFrame | None = None
+) -> DataFrame:
+    """Every pin with every vulnerability affecting its version; all columns of the pins stay.
+
+    ``versions_from`` is any frame that holds at least the versions of ``pins``. Where pins are
+    costly to derive, give what they derive from, so that they are not derived twice.
+    """
     keyed = pins.withColumn("package_key", package_key())
-    hits = affected_versions(pins, cves, carry)
+    hits = affected_versions(pins if versions_from is None else versions_from, cves, carry)
     return keyed.join(hits, VERSION).drop("package_key")
 
 
-def match_both_orders(intervals: DataFrame, cves: DataFrame) -> DataFrame:
+def match_both_orders(intervals: DataFrame, cves: DataFrame, versions_from: DataFrame | None = None) -> DataFrame:
     """Matches whichever side came first: detected when the later of the two is there, provided the
     pin was still valid when the vulnerability became known."""
-    joined = match_pins(intervals, cves)
+    joined = match_pins(intervals, cves, versions_from=versions_from)
     overlapping = joined.filter("valid_to IS NULL OR ingested_at < valid_to")
     return overlapping.withColumn("detected_at", F.greatest("ingested_at", "valid_from"))
 
 
-def match_asof(snapshot_rows: DataFrame, cves: DataFrame) -> DataFrame:
+def match_asof(snapshot_rows: DataFrame, cves: DataFrame, versions_from: DataFrame | None = None) -> DataFrame:
     """The narrower variant: a snapshot sees only vulnerabilities known when it was taken, and a new
     vulnerability waits for the next snapshot. First detection per vulnerability and pin."""
-    joined = match_pins(snapshot_rows, cves).filter("ingested_at <= snapshot_at")
+    joined = match_pins(snapshot_rows, cves, versions_from=versions_from).filter("ingested_at <= snapshot_at")
     return joined.groupBy("cve_id", "service_id", "ecosystem", "package", "version").agg(
         F.min("snapshot_at").alias("detected_at")
     )

@@ -24,7 +24,8 @@ def exposure(ops: DataFrame, vulnerability_events: DataFrame, registry: DataFram
     network for it are the few.
     """
     intervals = registry_enrich(validity_intervals(ops), registry)
-    matches = score(match_both_orders(intervals, known_vulnerabilities(vulnerability_events)))
+    cves = known_vulnerabilities(vulnerability_events)
+    matches = score(match_both_orders(intervals, cves, versions_from=ops))
     return matches.select(
         match_id(*[F.col(c) for c in ("cve_id", "service_id", "ecosystem", "package", "version", "detected_at")])
         .alias("match_id"),
