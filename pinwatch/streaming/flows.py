@@ -37,6 +37,7 @@ def stream_dedup(events: DataFrame, hours: int = K.DEDUP_HOURS, expire: bool = F
     schema = events.schema
     return (
         events.withColumns({c: F.coalesce(c, F.lit("")) for c in RECORD_KEY})
+        .withColumn("_at", F.unix_micros("ingested_at"))
         .groupBy(*RECORD_KEY)
         .transformWithState(
             FirstPerWindow(hours, expire),
@@ -86,7 +87,7 @@ def stream_symmetric_join(ops: DataFrame, cves: DataFrame, pin_shares: int = 16,
         F.pmod(F.xxhash64("service_id"), F.lit(pin_shares)).cast("int").alias("pin_share"),
         shares(cve_shares).alias("cve_share"),
         F.lit(False).alias("is_cve"),
-        F.col("occurred_at").alias("at"),
+        F.unix_micros("occurred_at").alias("at"),
         "event_id",
         F.col("op_rank").cast("int").alias("op_rank"),
         F.col("pos").cast("int").alias("pos"),
@@ -110,7 +111,7 @@ def stream_symmetric_join(ops: DataFrame, cves: DataFrame, pin_shares: int = 16,
         shares(pin_shares).alias("pin_share"),
         F.pmod(F.xxhash64(record), F.lit(cve_shares)).cast("int").alias("cve_share"),
         F.lit(True).alias("is_cve"),
-        F.col("ingested_at").alias("at"),
+        F.unix_micros("ingested_at").alias("at"),
         "event_id",
         F.lit(0).alias("op_rank"),
         F.lit(0).alias("pos"),
@@ -140,7 +141,8 @@ def stream_symmetric_join(ops: DataFrame, cves: DataFrame, pin_shares: int = 16,
     listed = F.coalesce(F.array_contains("c.affected_versions", F.col("version")), F.lit(False))
     exact = ~F.coalesce(F.col("spec.special"), F.lit(False)) | listed | in_range(F.col("parts"), F.col("spec"), F.col("version"))
     return parsed.filter(exact).select(
-        "cve_id", "service_id", "ecosystem", "package", "version", "detected_at",
+        "cve_id", "service_id", "ecosystem", "package", "version",
+        F.timestamp_micros("detected_at").alias("detected_at"),
         F.col("c.affected_package").alias("matched_package"),
         F.col("c.cvss_score").alias("cvss_score"),
         F.col("c.severity_tier").alias("severity_tier"),

@@ -1,13 +1,13 @@
 """State that built-in streaming operators cannot express, as Spark stateful processors.
 
 State lives in the state store, keyed and partitioned by Spark. Rows of a key are handled in event
-order inside a trigger; across triggers arrival decides.
+order inside a trigger; across triggers arrival decides. Times are microseconds since the epoch, which
+input rows and state return alike.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import timedelta
 from typing import Any
 
 from pyspark.sql import Row
@@ -15,23 +15,23 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 class FirstPerWindow(StatefulProcessor):
-    """Accept a record, then drop its copies for a time counted from the accepted one."""
+    """Accept a record, then drop its copies for a time counted from the accepted one. Input rows
+    carry their time as an extra last column, which is not passed on."""
 
     def __init__(self, hours: int, expire: bool) -> None:
-        self._window = timedelta(hours=hours)
+        self._window = hours * 3_600_000_000
         self._ttl = hours * 3_600_000 if expire else None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._accepted = handle.getValueState("accepted", "at TIMESTAMP", self._ttl)
+        self._accepted = handle.getValueState("accepted", "at BIGINT", self._ttl)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        last = self._accepted.get()[0] if self._accepted.exists() else None
-        before = last
-        for row in sorted(rows, key=lambda r: (r.ingested_at, r.event_id)):
-            if last is None or row.ingested_at >= last + self._window:
-                last = row.ingested_at
-                yield row
-        if last is not before:
+        before = last = self._accepted.get()[0] if self._accepted.exists() else None
+        for row in sorted(rows, key=lambda r: (r[-1], r.event_id)):
+            if last is None or row[-1] >= last + self._window:
+                last = row[-1]
+                yield Row(*row.__fields__[:-1])(*row[:-1])
+        if last != before:
             self._accepted.update((last,))
 
     def close(self) -> None:
@@ -39,15 +39,15 @@ class FirstPerWindow(StatefulProcessor):
 
 
 PIN_KEY = "service_id STRING, ecosystem STRING, package STRING"
-PIN_VALUE = "at TIMESTAMP, event_id STRING, op_rank INT, pos INT, version STRING, position STRING"
+PIN_VALUE = "at BIGINT, event_id STRING, op_rank INT, pos INT, version STRING, position STRING"
 CVE_KEY = "record STRING"
 CVE_VALUE = (
-    "at TIMESTAMP, cve_id STRING, ecosystem STRING, low STRING, high STRING, ranged BOOLEAN, "
+    "at BIGINT, cve_id STRING, ecosystem STRING, low STRING, high STRING, ranged BOOLEAN, "
     "listed ARRAY<STRING>, payload STRING"
 )
 CANDIDATE = (
     "cve_id STRING, service_id STRING, ecosystem STRING, package STRING, version STRING, "
-    "detected_at TIMESTAMP, payload STRING"
+    "detected_at BIGINT, payload STRING"
 )
 
 
