@@ -82,7 +82,7 @@ _FIRST = """SELECT cve_id, service_id, ecosystem, package, version, detected_at,
 @query("stream_symmetric_join", _FIRST)
 def stream_symmetric_join(t: Tables) -> DataFrame:
     known = cvss_enrich(as_stream(t, osv(t).drop("affected_list"), "osv"), t.vulns.filter("source = 'nvd'"))
-    joined = flows.stream_symmetric_join(as_stream(t, t.ops, "ops"), known)
+    joined = flows.stream_symmetric_join(as_stream(t, t.ops, "ops"), known, pin_shares=4)
     return drained(t, joined, "matches").distinct()
 
 
@@ -113,7 +113,7 @@ def stream_exposure(t: Tables) -> DataFrame:
     )
     advisories = topics.vulnerability_events(as_stream(t, records, "osv-topic"), as_of())
     ops = changes.explode_changes(topics.change_events(as_stream(t, change_text, "deps-topic")))
-    stream = flows.stream_exposure(ops, advisories, t.vulns.filter("source = 'nvd'"), t.registry)
+    stream = flows.stream_exposure(ops, advisories, t.vulns.filter("source = 'nvd'"), t.registry, pin_shares=4)
     path, marks = scratch_path(t.spark, "out"), scratch_path(t.spark, "out-checkpoint")
     flows.start(stream, lambda df: stream_topic_files(df, path, marks).trigger(availableNow=True)).awaitTermination()
     written = t.spark.read.parquet(path).dropDuplicates(["topic", "key", "value"])

@@ -15,7 +15,7 @@ from pinwatch.functions.versions import in_range, specifier, version_parts
 from pinwatch.operators.graph import ORDER, PIN
 from pinwatch.operators.match import CVE_COLUMNS, package_key
 from pinwatch.operators.scoring import registry_enrich, route, score
-from pinwatch.operators.vulnerabilities import RECORD_KEY
+from pinwatch.operators.vulnerabilities import RECORD_KEY, cvss_enrich
 from pinwatch.sinks.topics import keyed_matches
 from pinwatch.streaming.processors import CANDIDATE, FirstPerWindow, PinsMeetVulnerabilities
 
@@ -69,7 +69,9 @@ def stream_route(matches: DataFrame) -> DataFrame:
     return route(matches)
 
 
-def stream_symmetric_join(ops: DataFrame, cves: DataFrame, pin_shares: int = 16, cve_shares: int = 1) -> DataFrame:
+def stream_symmetric_join(
+    ops: DataFrame, cves: DataFrame, pin_shares: int = 16, cve_shares: int = 1, held_pins: int = 20_000
+) -> DataFrame:
     """Matches whichever side arrives second, with state on both sides.
 
     A package is a grid of ``pin_shares`` x ``cve_shares`` keys: each pin goes to one row of it and
@@ -127,7 +129,7 @@ def stream_symmetric_join(ops: DataFrame, cves: DataFrame, pin_shares: int = 16,
     )
     both = pins.select(*columns, *cve_columns).unionByName(news.select(*columns, *cve_columns))
     candidates = both.groupBy("package_key", "pin_share", "cve_share").transformWithState(
-        PinsMeetVulnerabilities(), outputStructType=CANDIDATE, outputMode="Append", timeMode="None"
+        PinsMeetVulnerabilities(held_pins), outputStructType=CANDIDATE, outputMode="Append", timeMode="None"
     )
     # The state compares bounds; clauses beyond bounds are settled here, on what is left.
     body = F.from_json(
@@ -149,13 +151,13 @@ def stream_symmetric_join(ops: DataFrame, cves: DataFrame, pin_shares: int = 16,
     )
 
 
-def stream_exposure(ops: DataFrame, advisories: DataFrame, scores: DataFrame, registry: DataFrame) -> DataFrame:
+def stream_exposure(
+    ops: DataFrame, advisories: DataFrame, scores: DataFrame, registry: DataFrame, pin_shares: int = 16
+) -> DataFrame:
     """Operations and advisories in, keyed messages with their topic out: de-duplicate, add scores,
     match, enrich, score, route. ``scores`` and ``registry`` are stored tables."""
-    from pinwatch.operators.vulnerabilities import cvss_enrich
-
     known = cvss_enrich(stream_dedup(advisories), scores)
-    matches = registry_enrich(stream_symmetric_join(ops, known), registry)
+    matches = registry_enrich(stream_symmetric_join(ops, known, pin_shares), registry)
     scored = score(matches).withColumn(
         "match_id", match_id(*[F.col(c) for c in ("cve_id", "service_id", "ecosystem", "package", "version", "detected_at")])
     )

@@ -55,10 +55,14 @@ class PinsMeetVulnerabilities(StatefulProcessor):
     """Both sides kept in state: a new pin looks at known vulnerabilities, a new vulnerability at
     live pins. Versions arrive as sortable text, so a range test is two string comparisons.
 
-    Pins, the many, are read one by one or streamed from the state, never held together; what is
-    held are the rows of the trigger and the vulnerabilities of the key.
+    What is held are the rows of the trigger, the vulnerabilities of the key, and its pins while
+    there are at most ``held_pins``. Beyond that pins are read one by one, and streamed from the state
+    when a vulnerability needs them all.
     """
 
+    def __init__(self, held_pins: int = 20_000) -> None:
+        self._held_pins = held_pins
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._pins = handle.getMapState("pins", PIN_KEY, PIN_VALUE)
         self._cves = handle.getMapState("cves", CVE_KEY, CVE_VALUE)
@@ -68,23 +72,33 @@ class PinsMeetVulnerabilities(StatefulProcessor):
         # A state replaced at the same time was never visible: only the last change counts.
         settled = {(r.service_id, r.ecosystem, r.package, r.at): i for i, r in enumerate(ordered) if not r.is_cve}
         cves = {record[0]: tuple(value) for record, value in self._cves.iterator()}
-        touched: dict[tuple, tuple | None] = {}
+        touched: dict[tuple, tuple] = {}
+        complete = True
+        for pin, value in self._pins.iterator():
+            if len(touched) == self._held_pins:
+                touched, complete = {}, False
+                break
+            touched[tuple(pin)] = tuple(value)
         unsaved: set[tuple] = set()
         for i, row in enumerate(ordered):
             if row.is_cve:
                 cve = self._learn(row, cves)
                 if cve is None:
                     continue
-                self._save(touched, unsaved)
-                for pin, value in self._pins.iterator():
+                if complete:
+                    pins = touched.items()
+                else:
+                    self._save(touched, unsaved)
+                    pins = self._pins.iterator()
+                for pin, value in pins:
                     if _affects(cve, pin, value):
                         yield _match(cve, pin, value)
                 continue
             pin = (row.service_id, row.ecosystem, row.package)
-            if pin not in touched:
-                touched[pin] = tuple(self._pins.getValue(pin)) if self._pins.containsKey(pin) else None
+            if pin not in touched and not complete and self._pins.containsKey(pin):
+                touched[pin] = tuple(self._pins.getValue(pin))
             order = (row.at, row.event_id, row.op_rank, row.pos)
-            if touched[pin] is not None and touched[pin][:4] > order:
+            if pin in touched and touched[pin][:4] > order:
                 continue
             value = touched[pin] = (*order, row.version, row.position)
             unsaved.add(pin)
@@ -106,7 +120,7 @@ class PinsMeetVulnerabilities(StatefulProcessor):
             self._cves.updateValue((row.record,), cve)
         return None if repeated else cve
 
-    def _save(self, touched: dict[tuple, tuple | None], unsaved: set[tuple]) -> None:
+    def _save(self, touched: dict[tuple, tuple], unsaved: set[tuple]) -> None:
         for pin in unsaved:
             self._pins.updateValue(pin, touched[pin])
         unsaved.clear()
