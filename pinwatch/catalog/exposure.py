@@ -106,19 +106,19 @@ _HISTORY = """SELECT e.service_id, o.ecosystem, o.package, o.version, e.event_id
 @query("dep_snapshot_history", f"""SELECT service_id, ecosystem, trigger_event_id, snapshot_at, {_MAP} AS dependencies
  FROM ({_HISTORY}) h GROUP BY 1, 2, 3, 4""")
 def dep_snapshot_history(t: Tables) -> DataFrame:
-    return _as_text(graph.snapshot_history(t.ops, t.ops)).drop("part")
+    return _as_text(graph.snapshot_history(t.ops, t.ops, graph.crowded_pins(t.ops))).drop("part")
 
 
 @query("scd2_dependencies", "SELECT service_id, ecosystem, package, version, valid_from, valid_to, from_event FROM scd2")
 def scd2_dependencies(t: Tables) -> DataFrame:
-    return graph.validity_intervals(t.ops)
+    return graph.validity_intervals(t.ops, graph.crowded_pins(t.ops))
 
 
 @query("latest_snapshot", f"""WITH h AS ({_HISTORY}), last_one AS (SELECT service_id, max((snapshot_at, trigger_event_id)) AS m
  FROM h GROUP BY 1) SELECT h.service_id, h.trigger_event_id, {_MAP} AS dependencies FROM h JOIN last_one l
  ON h.service_id = l.service_id AND (h.snapshot_at, h.trigger_event_id) = l.m GROUP BY 1, 2""")
 def latest_snapshot(t: Tables) -> DataFrame:
-    history = graph.snapshot_rows(t.ops, t.ops)
+    history = graph.snapshot_rows(t.ops, t.ops, graph.crowded_pins(t.ops))
     entries = F.sort_array(F.collect_list(F.concat_ws("=", "package", "version")))
     stored_rows = history.groupBy("service_id", "trigger_event_id", "snapshot_at").agg(entries.alias("d"))
     snapshots = stored_rows.select("service_id", "trigger_event_id", "snapshot_at", F.array_join("d", ",").alias("dependencies"),
@@ -140,7 +140,7 @@ _NEW = f"""SELECT service_id, ecosystem, package, version, event_id, occurred_at
 
 @query("new_dependencies", _NEW)
 def new_dependencies(t: Tables) -> DataFrame:
-    return graph.new_dependencies(t.ops)
+    return graph.new_dependencies(t.ops, graph.crowded_pins(t.ops))
 
 
 # --- matching ---------------------------------------------------------------------------------------
@@ -186,14 +186,14 @@ def version_range_join(t: Tables) -> DataFrame:
 
 @query("match_both_orders", """SELECT service_id, ecosystem, package, version, cve_id, valid_from, valid_to, detected_at FROM timed_hits""")
 def match_both_orders(t: Tables) -> DataFrame:
-    rows = match.match_both_orders(graph.validity_intervals(t.ops), cves(t), versions_from=t.ops)
+    rows = match.match_both_orders(graph.validity_intervals(t.ops, graph.crowded_pins(t.ops)), cves(t), versions_from=t.ops)
     return rows.select("service_id", "ecosystem", "package", "version", "cve_id", "valid_from", "valid_to", "detected_at")
 
 
 @query("match_asof_reference", f"""SELECT h.cve_id, p.service_id, p.ecosystem, p.package, p.version, min(p.snapshot_at) AS detected_at
  FROM ({_HISTORY}) p {_PIN_HITS} WHERE h.ingested_at <= p.snapshot_at GROUP BY 1, 2, 3, 4, 5""")
 def match_asof_reference(t: Tables) -> DataFrame:
-    return match.match_asof(graph.snapshot_rows(t.ops, t.ops), cves(t), versions_from=t.ops)
+    return match.match_asof(graph.snapshot_rows(t.ops, t.ops, graph.crowded_pins(t.ops)), cves(t), versions_from=t.ops)
 
 
 _IDEMPOTENT = """SELECT cve_id, service_id, version AS matched_version, min(detected_at) AS detected_at FROM timed_hits GROUP BY 1, 2, 3"""
@@ -222,7 +222,7 @@ def agent_dedup(t: Tables) -> DataFrame:
  FROM i GROUP BY cve_id, service_id, ecosystem, package, island) SELECT cve_id, service_id, ecosystem, package,
  greatest(seen, starts) AS detected_at, resolved_at FROM f WHERE resolved_at IS NULL OR seen < resolved_at""")
 def auto_resolve(t: Tables) -> DataFrame:
-    return lookups.auto_resolve(t.ops, cves(t))
+    return lookups.auto_resolve(t.ops, cves(t), graph.crowded_pins(t.ops))
 
 
 @query("pr_risk_gate", f"""WITH n AS ({_NEW}), found AS (SELECT ecosystem, pk, version, count(DISTINCT cve_id) AS cves,
@@ -231,7 +231,7 @@ def auto_resolve(t: Tables) -> DataFrame:
  CASE WHEN f.severe = 1 THEN 'BLOCK' WHEN f.cves > 0 THEN 'WARN' ELSE 'APPROVE' END AS verdict FROM n LEFT JOIN found f
  ON n.ecosystem = f.ecosystem AND lower(n.package) = f.pk AND n.version = f.version""")
 def pr_risk_gate(t: Tables) -> DataFrame:
-    return lookups.pr_risk_gate(t.ops, cves(t))
+    return lookups.pr_risk_gate(t.ops, cves(t), graph.crowded_pins(t.ops))
 
 
 @query("get_remediation_path", """WITH h AS (SELECT *, list_transform(string_split(safe_version, '.'), lambda x: CAST(x AS INT)) AS k
@@ -290,7 +290,7 @@ _ROUTED = f"""SELECT service_id, cve_id, 'vuln.matches.' || tier AS topic FROM (
 def current_routed(t: Tables) -> DataFrame:
     """Matches of the current pins; a pin whose last change introduced the package counts as new."""
     pins = scoring.registry_enrich(graph.current_pins(t.ops), t.registry)
-    fresh = graph.new_dependencies(t.ops).select(
+    fresh = graph.new_dependencies(t.ops, graph.crowded_pins(t.ops)).select(
         *graph.PIN, "version", F.col("occurred_at").alias("since"), F.lit(True).alias("is_new_dependency")
     )
     marked = pins.join(fresh, [*graph.PIN, "version", "since"], "left")

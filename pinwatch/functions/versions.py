@@ -103,6 +103,29 @@ def version_key(version: Column) -> Column:
     return version_parts(version)["key"]
 
 
+def located(version: Column) -> Column:
+    """Struct (position, local) to test against specifiers, NULL when the text is not a version.
+    A bare release number, the usual case, skips the full pattern."""
+    text = F.trim(version)
+    plain = F.concat(F.lit(_ZERO), _release(F.split(text, r"\.")), F.lit(f"!{_FINAL}{_ZERO}{_NONE_LOW}{_NONE_HIGH}{_ON}"))
+    parsed = _let(
+        version_parts(version),
+        lambda v: F.struct(_position(v["key"], _ON).alias("position"), v["local"].alias("local")),
+    )
+    return F.when(
+        text.rlike(r"^\d+(\.\d+)*$"), F.struct(plain.alias("position"), F.lit("").alias("local"))
+    ).when(F.coalesce(text.rlike(_VERSION), F.lit(False)), parsed)
+
+
+def maybe_special(text: Column) -> Column:
+    """Cheap test on the text: can this set hold more than bounds? (``!=``, ``===``, local labels)"""
+    return F.coalesce(text.rlike(r"!|===|\+"), F.lit(False))
+
+
+def within_bounds(position: Column, low: Column, high: Column) -> Column:
+    return position.isNotNull() & (low.isNull() | (low < position)) & (high.isNull() | (position < high))
+
+
 def _position(key: Column, side: str) -> Column:
     return F.concat(key, F.lit(side))
 
@@ -199,30 +222,26 @@ def _fold_clauses(clauses: Column) -> Column:
     return F.when((F.size(clauses) > 0) & F.forall(clauses, _acceptable), folded)
 
 
-def in_range(parts: Column, spec: Column, raw_version: Column) -> Column:
-    """Does a parsed version satisfy a parsed specifier set? False for anything unparseable."""
-    here = _position(parts["key"], _ON)
+def in_range(here: Column, spec: Column, raw_version: Column) -> Column:
+    """Does a ``located`` version satisfy a parsed specifier set? False for anything unparseable."""
+    position, local = here["position"], here["local"]
     text = F.lower(F.trim(raw_version))
 
     def outside(hole: Column) -> Column:
-        inside = (hole["cut"]["low"] < here) & (here < hole["cut"]["high"])
-        return ~(inside & ((hole["local"] == "") | (hole["local"] == parts["local"])))
+        inside = (hole["cut"]["low"] < position) & (position < hole["cut"]["high"])
+        return ~(inside & ((hole["local"] == "") | (hole["local"] == local)))
 
     rest = (
         F.forall(spec["holes"], outside)
-        & F.forall(spec["locals"], lambda label: label == parts["local"])
+        & F.forall(spec["locals"], lambda label: label == local)
         & F.forall(spec["literals"], lambda literal: literal == text)
     )
-    answer = (
-        (spec["low"].isNull() | (spec["low"] < here))
-        & (spec["high"].isNull() | (here < spec["high"]))
-        & (~spec["special"] | rest)
-    )
-    return F.coalesce(parts.isNotNull() & spec.isNotNull() & answer, F.lit(False))
+    answer = within_bounds(position, spec["low"], spec["high"]) & (~spec["special"] | rest)
+    return F.coalesce(spec.isNotNull() & answer, F.lit(False))
 
 
 def is_affected(version: Column, affected_versions: Column, version_range: Column) -> Column:
     """Explicit list first, then the range; an empty list and an empty range affect nothing."""
     listed = F.coalesce(F.array_contains(affected_versions, version), F.lit(False))
-    operands = F.struct(version_parts(version).alias("parts"), specifier(version_range).alias("spec"))
-    return listed | _let(operands, lambda o: in_range(o["parts"], o["spec"], version))
+    operands = F.struct(located(version).alias("here"), specifier(version_range).alias("spec"))
+    return listed | _let(operands, lambda o: in_range(o["here"], o["spec"], version))

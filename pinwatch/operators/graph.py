@@ -2,14 +2,15 @@
 
 Input everywhere is the operation stream of ``explode_changes``: service_id, ecosystem, package,
 version, op, occurred_at, event_id, op_rank, pos. The last four order it completely. The ecosystem
-belongs to the pin, not to the service, so a service may hold several.
+belongs to the pin, not to the service, so a service may hold several. ``crowded`` is the result of
+``crowded_pins``: the pins with too many operations for one task.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pinwatch.plans.timeline import pick, with_neighbours
+from pinwatch.plans.timeline import KEY_LIMIT, crowded_keys, pick, with_neighbours
 
 PIN = ["service_id", "ecosystem", "package"]
 ORDER = ["occurred_at", "event_id", "op_rank", "pos"]
@@ -28,16 +29,20 @@ def settled(ops: DataFrame) -> DataFrame:
     return pick(ops, [*PIN, "occurred_at", "event_id"], ["op_rank", "pos"], last=True)
 
 
-def timeline(ops: DataFrame) -> DataFrame:
+def timeline(ops: DataFrame, crowded: DataFrame | None = None) -> DataFrame:
     """Operations with their neighbours on the same pin."""
-    return with_neighbours(ops, PIN, ORDER, ["op", "version"], F.date_trunc("month", "occurred_at"))
+    return with_neighbours(ops, PIN, ORDER, ["op", "version"], F.date_trunc("month", "occurred_at"), crowded)
 
 
-def validity_intervals(ops: DataFrame) -> DataFrame:
+def crowded_pins(ops: DataFrame, limit: int = KEY_LIMIT) -> DataFrame | None:
+    return crowded_keys(ops, PIN, limit)
+
+
+def validity_intervals(ops: DataFrame, crowded: DataFrame | None = None) -> DataFrame:
     """``[valid_from, valid_to)`` per pin and version; an open interval has no end. States that an
     operation at the same time replaces never became visible and are left out."""
     return (
-        timeline(ops)
+        timeline(ops, crowded)
         .filter("op <> 'removed'")
         .select(
             *PIN,
@@ -50,10 +55,10 @@ def validity_intervals(ops: DataFrame) -> DataFrame:
     )
 
 
-def new_dependencies(ops: DataFrame) -> DataFrame:
+def new_dependencies(ops: DataFrame, crowded: DataFrame | None = None) -> DataFrame:
     """Pins an event introduced: present after it, absent before it."""
     return (
-        timeline(settled(ops))
+        timeline(settled(ops), crowded)
         .filter("op <> 'removed' AND (prev IS NULL OR prev.op = 'removed')")
         .select(*PIN, "version", "event_id", "occurred_at")
     )
@@ -62,14 +67,14 @@ def new_dependencies(ops: DataFrame) -> DataFrame:
 # --- snapshots ------------------------------------------------------------------------------------
 
 
-def snapshot_rows(ops: DataFrame, events: DataFrame) -> DataFrame:
+def snapshot_rows(ops: DataFrame, events: DataFrame, crowded: DataFrame | None = None) -> DataFrame:
     """The full state after every event, one row per pin.
 
     An event meets only the intervals that touch its month, so a long history does not multiply
     into event x interval pairs. Sequence is (time, event id), hence events at the same time see
     each other's effect in order.
     """
-    live = timeline(ops).filter("op <> 'removed'").select(
+    live = timeline(ops, crowded).filter("op <> 'removed'").select(
         *PIN,
         "version",
         F.struct("occurred_at", "event_id").alias("start"),
@@ -112,9 +117,11 @@ def snapshot_maps(ops: DataFrame, max_entries: int = 100_000) -> DataFrame:
     return _maps(current_pins(ops), ["service_id"], max_entries)
 
 
-def snapshot_history(ops: DataFrame, events: DataFrame, max_entries: int = 100_000) -> DataFrame:
+def snapshot_history(
+    ops: DataFrame, events: DataFrame, crowded: DataFrame | None = None, max_entries: int = 100_000
+) -> DataFrame:
     keys = ["service_id", "trigger_event_id", "snapshot_at"]
-    return _maps(snapshot_rows(ops, events), keys, max_entries)
+    return _maps(snapshot_rows(ops, events, crowded), keys, max_entries)
 
 
 def latest_snapshot(snapshots: DataFrame, service_id: str | None = None) -> DataFrame:

@@ -81,10 +81,10 @@ def compliance_gaps(matches: DataFrame, registry: DataFrame, as_of, framework: s
     return exploded.filter("in_scope").drop("in_scope")
 
 
-def pr_risk_gate(ops: DataFrame, cves: DataFrame) -> DataFrame:
+def pr_risk_gate(ops: DataFrame, cves: DataFrame, crowded: DataFrame | None = None) -> DataFrame:
     """Verdict per newly introduced package: BLOCK on a critical or high vulnerability, WARN on any
     other, else APPROVE. Vulnerabilities are summed up per version before they meet the changes."""
-    fresh = new_dependencies(ops)
+    fresh = new_dependencies(ops, crowded)
     severe = F.max(F.col("severity_tier").isin("CRITICAL", "HIGH"))
     found = affected_versions(ops, cves, ["cve_id", "severity_tier"]).groupBy(
         "ecosystem", "package_key", "version"
@@ -97,20 +97,21 @@ def pr_risk_gate(ops: DataFrame, cves: DataFrame) -> DataFrame:
                          F.coalesce("cves", F.lit(0)).alias("cves"), verdict.alias("verdict"))
 
 
-def auto_resolve(ops: DataFrame, cves: DataFrame) -> DataFrame:
+def auto_resolve(ops: DataFrame, cves: DataFrame, crowded: DataFrame | None = None) -> DataFrame:
     """Findings with the time they closed: the first later change that leaves the affected range.
 
-    Adjacent intervals that are all affected are one finding; its end is the end of the last.
+    Adjacent intervals that are all affected are one finding; its end is the end of the last. A finding
+    has at most the intervals of its pin, so the crowded pins are the ones to split here too.
     """
     key = ["cve_id", "service_id", "ecosystem", "package"]
-    hits = match_pins(validity_intervals(ops), cves, ["cve_id", "ingested_at"], versions_from=ops)
+    hits = match_pins(validity_intervals(ops, crowded), cves, ["cve_id", "ingested_at"], versions_from=ops)
     month = F.date_trunc("month", "valid_from")
-    linked = with_neighbours(hits, key, ["valid_from"], ["valid_to"], month).select(
+    linked = with_neighbours(hits, key, ["valid_from"], ["valid_to"], month, crowded).select(
         *key, "ingested_at", "valid_from", "valid_to",
         (F.col("prev").isNull() | (F.col("prev.valid_to") < F.col("valid_from"))).alias("opens"),
         (F.col("next").isNull() | (F.col("next.valid_from") > F.col("valid_to"))).alias("closes"),
     )
-    edges = with_neighbours(linked.filter("opens OR closes"), key, ["valid_from"], ["valid_to"], month)
+    edges = with_neighbours(linked.filter("opens OR closes"), key, ["valid_from"], ["valid_to"], month, crowded)
     findings = edges.filter("opens").select(
         *key,
         "ingested_at",

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pinwatch.functions.versions import in_range, specifier, version_parts
+from pinwatch.functions.versions import in_range, located, maybe_special, specifier, within_bounds
 from pinwatch.plans.timeline import pick
 
 CVE_COLUMNS = ["cve_id", "affected_package", "cvss_score", "severity_tier", "safe_version", "ingested_at"]
@@ -23,9 +23,9 @@ def package_key(package: str = "package") -> Column:
 
 
 def version_catalogue(pins: DataFrame) -> DataFrame:
-    """Distinct (ecosystem, package, version), parsed once each."""
+    """Distinct (ecosystem, package, version), placed in the version order once each."""
     distinct = pins.filter("version IS NOT NULL").select("ecosystem", package_key().alias("package_key"), "version").distinct()
-    return distinct.withColumn("parts", version_parts(F.col("version")))
+    return distinct.withColumn("here", located(F.col("version")))
 
 
 def affected_versions(pins: DataFrame, cves: DataFrame, carry: list[str] = CVE_COLUMNS) -> DataFrame:
@@ -38,20 +38,31 @@ def affected_versions(pins: DataFrame, cves: DataFrame, carry: list[str] = CVE_C
         package_key("affected_package").alias("package_key"),
         F.col("ecosystem").alias("_ecosystem"),
         F.col("affected_versions").alias("_listed"),
-        specifier(F.col("affected_version_range")).alias("_spec"),
+        F.col("affected_version_range").alias("_range"),
         *carry,
     )
     in_use = version_catalogue(pins)
     listed = F.coalesce(F.array_contains("_listed", F.col("version")), F.lit(False))
-    hit = listed | in_range(F.col("parts"), F.col("_spec"), F.col("version"))
     same_ecosystem = (F.coalesce("_ecosystem", F.lit("")) == "") | (F.col("_ecosystem") == F.col("ecosystem"))
-    hits = in_use.join(ranges, "package_key").filter(same_ecosystem & hit)
-    # Several records of one vulnerability may cover a version: keep the earliest. The partitioning
-    # by version serves this step and the join of the pins that follows.
-    spread = hits.select("ecosystem", "package_key", "version", *carry).repartition(*VERSION)
-    keys = [*VERSION, "cve_id"]
-    order = [c for c in ("ingested_at", *carry) if c in carry and c != "cve_id"]
-    return pick(spread, keys, list(dict.fromkeys(order))) if order else spread.distinct()
+    record = ["cve_id", "package_key"]
+    counted = ranges.join(ranges.groupBy(*record).agg(F.count("*").alias("_records")), record)
+    rare = (F.col("_records") > 1) | maybe_special(F.col("_range"))
+
+    # Nearly all records are one range of bounds: two comparisons of text inside generated code.
+    usual = counted.filter(~rare).withColumn("_spec", specifier(F.col("_range")))
+    bounds = usual.select("*", F.col("_spec.low").alias("_low"), F.col("_spec.high").alias("_high"),
+                          F.col("_spec").isNotNull().alias("_ranged")).drop("_spec")
+    inside = F.col("_ranged") & within_bounds(F.col("here.position"), F.col("_low"), F.col("_high"))
+    plain = in_use.join(bounds, "package_key").filter(same_ecosystem & (listed | inside))
+
+    # The others may take out single versions, or cover a version twice: the earliest record stays.
+    full = counted.filter(rare).withColumn("_spec", specifier(F.col("_range")))
+    exact = in_range(F.col("here"), F.col("_spec"), F.col("version"))
+    covered = in_use.join(full, "package_key").filter(same_ecosystem & (listed | exact)).select(*VERSION, *carry)
+    order = ["ingested_at"] if "ingested_at" in carry else []
+    order += [c for c in carry if c not in ("cve_id", *order)]
+    earliest = pick(covered, [*VERSION, "cve_id"], order) if order else covered.distinct()
+    return plain.select(*VERSION, *carry).unionByName(earliest)
 
 
 def listed_versions(pins: DataFrame, cves: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pinwatch.functions.scalars import (
     match_id,
     severity_from_cvss,
 )
-from pinwatch.plans.timeline import pick
+from pinwatch.plans.timeline import crowded_keys, pick
 from pinwatch.session import cut_lineage
 
 RECORD_KEY = ["cve_id", "affected_package", "ecosystem", "affected_version_range"]
@@ -133,9 +133,8 @@ def dedup_first_24h(
     up to ``fold_limit`` records are folded in order in one expression. Larger ones take a second,
     equally exact way in which no group is ever collected: see ``_accepted_by_jumps``.
     """
-    crowded = events.groupBy(*keys).count().filter(F.col("count") > fold_limit).select(*keys)
-    crowded = cut_lineage(crowded)
-    if crowded.isEmpty():
+    crowded = crowded_keys(events, keys, fold_limit)
+    if crowded is None:
         return _accepted_by_fold(events, keys, hours)
     small = events.join(crowded, keys, "left_anti")
     large = events.join(crowded, keys, "left_semi")

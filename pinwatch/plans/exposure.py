@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pinwatch.functions.scalars import match_id
-from pinwatch.operators.graph import validity_intervals
+from pinwatch.operators.graph import crowded_pins, validity_intervals
 from pinwatch.operators.match import match_both_orders
 from pinwatch.operators.scoring import registry_enrich, route, score
 from pinwatch.operators.vulnerabilities import cvss_enrich, dedup_first_ever
@@ -23,7 +23,7 @@ def exposure(ops: DataFrame, vulnerability_events: DataFrame, registry: DataFram
     Metadata joins the intervals, before vulnerabilities multiply them, so the rows that cross the
     network for it are the few.
     """
-    intervals = registry_enrich(validity_intervals(ops), registry)
+    intervals = registry_enrich(validity_intervals(ops, crowded_pins(ops)), registry)
     cves = known_vulnerabilities(vulnerability_events)
     matches = score(match_both_orders(intervals, cves, versions_from=ops))
     return matches.select(

@@ -1,32 +1,68 @@
 """Ordered operators that survive one key holding a large share of the rows.
 
-A plain window over a key puts all its rows into one task. Here rows are ordered inside (key, time
-bucket), and each bucket gets the last record of the bucket before it and the first of the one after
-as marker rows. Those come from an aggregation that combines on the map side, and per key there are
-only as many of them as there are buckets in the covered time. So a hot key is spread over its
-buckets, and the large exchange happens once.
+A plain window over a key puts all its rows into one task. Keys small enough for that are ordered
+that way, in one exchange. Crowded keys, which ``crowded_keys`` finds by a count that combines on the
+map side, are ordered inside (key, time bucket) instead, and each bucket gets the last record of the
+bucket before it and the first of the one after as marker rows. Per key there are only as many markers
+as buckets in the covered time. Both ways give the same rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pinwatch.session import cut_lineage
+
+# Rows of one key that a task orders without trouble.
+KEY_LIMIT = 1_000_000
+# Crowded keys are at most rows / KEY_LIMIT; up to this many of them are broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def crowded_keys(df: DataFrame, keys: list[str], limit: int = KEY_LIMIT) -> DataFrame | None:
+    """Keys with more than ``limit`` rows, as a stored table; None when there are none."""
+    if df.count() <= limit:
+        return None
+    found = df.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys)
+    stored = cut_lineage(found)
+    return None if stored.isEmpty() else stored
+
+
+def _marked(df: DataFrame, crowded: DataFrame) -> DataFrame:
+    flagged = crowded.withColumn("_crowded", F.lit(True))
+    if crowded.count() <= BROADCAST_ROWS:
+        flagged = F.broadcast(flagged)
+    return df.join(flagged, crowded.columns, "left")
+
 
 def with_neighbours(
-    df: DataFrame, keys: list[str], order: list[str], carry: list[str], bucket: Column
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    carry: list[str],
+    bucket: Column,
+    crowded: DataFrame | None = None,
 ) -> DataFrame:
-    """Add ``prev`` and ``next``: structs of the order and carried columns of the adjacent rows."""
-    record = F.struct(*order, *carry)
-    rows = df.withColumn("_bucket", bucket).withColumn("_rec", record)
-    edges = rows.groupBy(*keys, "_bucket").agg(F.min("_rec").alias("_first"), F.max("_rec").alias("_last"))
+    """Add ``prev`` and ``next``: structs of the order and carried columns of the adjacent rows.
+
+    ``crowded`` lists the keys (or leading parts of keys) to be split by ``bucket``.
+    """
+    rows = df.withColumn("_rec", F.struct(*order, *carry))
+    if crowded is None:
+        whole = Window.partitionBy(*keys).orderBy("_rec")
+        both = {"prev": F.lag("_rec").over(whole), "next": F.lead("_rec").over(whole)}
+        return rows.withColumns(both).drop("_rec")
+    rows = _marked(rows, crowded).withColumn("_bucket", F.when(F.col("_crowded"), bucket)).drop("_crowded")
+    split = rows.filter("_bucket IS NOT NULL")
+    edges = split.groupBy(*keys, "_bucket").agg(F.min("_rec").alias("_first"), F.max("_rec").alias("_last"))
     by_bucket = Window.partitionBy(*keys).orderBy("_bucket")
-    around = (
+    markers = (
         edges.withColumn("_before", F.lag("_last").over(by_bucket))
         .withColumn("_after", F.lead("_first").over(by_bucket))
         .select(*keys, "_bucket", F.explode(F.array("_before", "_after")).alias("_rec"))
         .filter("_rec IS NOT NULL")
+        .withColumn("_marker", F.lit(True))
     )
-    markers = around.withColumn("_marker", F.lit(True))
     everything = rows.withColumn("_marker", F.lit(False)).unionByName(markers, allowMissingColumns=True)
     inside = Window.partitionBy(*keys, "_bucket").orderBy("_rec")
     return (

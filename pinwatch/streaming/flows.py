@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pinwatch import constants as K
 from pinwatch.functions.scalars import match_id
-from pinwatch.functions.versions import in_range, specifier, version_parts
+from pinwatch.functions.versions import in_range, located, specifier
 from pinwatch.operators.graph import ORDER, PIN
 from pinwatch.operators.match import CVE_COLUMNS, package_key
 from pinwatch.operators.scoring import registry_enrich, route, score
@@ -84,7 +84,7 @@ def stream_symmetric_join(
     cve_columns = "record cve_id ecosystem low high ranged listed payload".split()
     shares = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     # Parsed in a step of its own: names of nested fields are lost beside an explode.
-    pins = ops.withColumn("parts", version_parts(F.col("version"))).select(
+    pins = ops.withColumn("here", located(F.col("version"))).select(
         package_key().alias("package_key"),
         F.pmod(F.xxhash64("service_id"), F.lit(pin_shares)).cast("int").alias("pin_share"),
         shares(cve_shares).alias("cve_share"),
@@ -96,7 +96,7 @@ def stream_symmetric_join(
         "service_id",
         "package",
         F.when(F.col("op") != "removed", F.col("version")).alias("version"),
-        F.when(F.col("op") != "removed", F.concat("parts.key", F.lit("1"))).alias("position"),
+        F.when(F.col("op") != "removed", F.col("here.position")).alias("position"),
         none.cast("string").alias("record"),
         none.cast("string").alias("cve_id"),
         "ecosystem",
@@ -137,11 +137,11 @@ def stream_symmetric_join(
         "affected_package STRING, cvss_score DOUBLE, severity_tier STRING, safe_version STRING, "
         "ingested_at TIMESTAMP, affected_version_range STRING, affected_versions ARRAY<STRING>",
     )
-    parsed = candidates.withColumn("c", body).withColumn("parts", version_parts(F.col("version"))).withColumn(
+    parsed = candidates.withColumn("c", body).withColumn("here", located(F.col("version"))).withColumn(
         "spec", specifier(F.col("c.affected_version_range"))
     )
     listed = F.coalesce(F.array_contains("c.affected_versions", F.col("version")), F.lit(False))
-    exact = ~F.coalesce(F.col("spec.special"), F.lit(False)) | listed | in_range(F.col("parts"), F.col("spec"), F.col("version"))
+    exact = ~F.coalesce(F.col("spec.special"), F.lit(False)) | listed | in_range(F.col("here"), F.col("spec"), F.col("version"))
     return parsed.filter(exact).select(
         "cve_id", "service_id", "ecosystem", "package", "version",
         F.timestamp_micros("detected_at").alias("detected_at"),
