@@ -31,7 +31,7 @@ _VERSION = (
 # Fixed pattern: one clause of a specifier set, white space already removed.
 _CLAUSE = r"^(===|~=|==|!=|<=|>=|<|>|=)(.+?)(\.\*)?$"
 
-_PRE_RANK = {"a": "1", "alpha": "1", "b": "2", "beta": "2", "c": "3", "rc": "3", "pre": "3", "preview": "3"}
+_PRE_RANK = "map('a', '1', 'alpha', '1', 'b', '2', 'beta', '2', 'c', '3', 'rc', '3', 'pre', '3', 'preview', '3')"
 _DEV_ONLY, _FINAL = "0", "4"
 _NONE_LOW, _NONE_HIGH = "-", "~"
 _ZERO = "b0"
@@ -75,15 +75,13 @@ def version_parts(version: Column) -> Column:
 def _fields(groups: Column) -> Column:
     epoch, release, pre, pre_n, post, dev, local = (groups[i] for i in range(7))
     trailing = lambda text: _number(F.regexp_extract(text, r"(\d*)$", 1))
-    rank = F.when((pre == "") & (post == "") & (dev != ""), _DEV_ONLY)
-    for name, value in _PRE_RANK.items():
-        rank = rank.when(pre == name, value)
+    without_pre = F.when((post == "") & (dev != ""), _DEV_ONLY).otherwise(_FINAL)
     raw = F.split(release, r"\.")
     return F.struct(
         _number(epoch).alias("epoch"),
         raw.alias("raw"),
         _release(raw).alias("release"),
-        rank.otherwise(F.lit(_FINAL)).alias("pre"),
+        F.coalesce(F.try_element_at(F.expr(_PRE_RANK), pre), without_pre).alias("pre"),
         F.when(pre == "", _ZERO).otherwise(_number(pre_n)).alias("pre_n"),
         F.when(post == "", _NONE_LOW).otherwise(trailing(post)).alias("post"),
         F.when(dev == "", _NONE_HIGH).otherwise(trailing(dev)).alias("dev"),
@@ -117,11 +115,6 @@ def located(version: Column) -> Column:
     ).when(F.coalesce(text.rlike(_VERSION), F.lit(False)), parsed)
 
 
-def maybe_special(text: Column) -> Column:
-    """Cheap test on the text: can this set hold more than bounds? (``!=``, ``===``, local labels)"""
-    return F.coalesce(text.rlike(r"!|===|\+"), F.lit(False))
-
-
 def within_bounds(position: Column, low: Column, high: Column) -> Column:
     return position.isNotNull() & (low.isNull() | (low < position)) & (high.isNull() | (position < high))
 
@@ -188,7 +181,16 @@ def specifier(text: Column) -> Column:
             version_parts(raw).alias("v"),
         )
 
-    return _let(F.transform(items, parse), _fold_clauses)
+    def resolve(c: Column) -> Column:
+        return F.struct(
+            c["op"].alias("op"),
+            c["raw"].alias("raw"),
+            c["v"]["local"].alias("local"),
+            _interval(c["op"], c["v"], c["wildcard"]).alias("cut"),
+            _acceptable(c).alias("acceptable"),
+        )
+
+    return _let(F.transform(F.transform(items, parse), resolve), _fold_clauses)
 
 
 def _acceptable(c: Column) -> Column:
@@ -200,26 +202,19 @@ def _acceptable(c: Column) -> Column:
 
 
 def _fold_clauses(clauses: Column) -> Column:
-    kept = F.filter(clauses, lambda c: ~c["op"].isin("!=", "==="))
-    bounds = F.transform(kept, lambda c: _interval(c["op"], c["v"], c["wildcard"]))
-    with_local = F.filter(clauses, lambda c: (c["op"] == "==") & (c["v"]["local"] != ""))
-    holes = F.transform(
-        F.filter(clauses, lambda c: c["op"] == "!="),
-        lambda c: F.struct(_interval(c["op"], c["v"], c["wildcard"]).alias("cut"), c["v"]["local"].alias("local")),
-    )
-    literals = F.transform(F.filter(clauses, lambda c: c["op"] == "==="), lambda c: F.lower(c["raw"]))
-    folded = _let(
-        bounds,
-        lambda b: F.struct(
-            F.array_max(F.transform(b, lambda x: x["low"])).alias("low"),
-            F.array_min(F.transform(b, lambda x: x["high"])).alias("high"),
-            (F.exists(clauses, lambda c: c["op"].isin("!=", "===")) | (F.size(with_local) > 0)).alias("special"),
-            holes.alias("holes"),
-            F.transform(with_local, lambda c: c["v"]["local"]).alias("locals"),
-            literals.alias("literals"),
-        ),
+    bounds = F.filter(clauses, lambda c: ~c["op"].isin("!=", "==="))
+    holes = F.filter(clauses, lambda c: c["op"] == "!=")
+    literals = F.filter(clauses, lambda c: c["op"] == "===")
+    with_local = F.filter(clauses, lambda c: (c["op"] == "==") & (c["local"] != ""))
+    folded = F.struct(
+        F.array_max(F.transform(bounds, lambda c: c["cut"]["low"])).alias("low"),
+        F.array_min(F.transform(bounds, lambda c: c["cut"]["high"])).alias("high"),
+        F.exists(clauses, lambda c: c["op"].isin("!=", "===") | ((c["op"] == "==") & (c["local"] != ""))).alias("special"),
+        F.transform(holes, lambda c: F.struct(c["cut"].alias("cut"), c["local"].alias("local"))).alias("holes"),
+        F.transform(with_local, lambda c: c["local"]).alias("locals"),
+        F.transform(literals, lambda c: F.lower(c["raw"])).alias("literals"),
     )
-    return F.when((F.size(clauses) > 0) & F.forall(clauses, _acceptable), folded)
+    return F.when((F.size(clauses) > 0) & F.forall(clauses, lambda c: c["acceptable"]), folded)
 
 
 def in_range(here: Column, spec: Column, raw_version: Column) -> Column:

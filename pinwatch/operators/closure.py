@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from pinwatch.session import cut_lineage
+from pinwatch.session import stored_table
 
 
 def transitive_closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -12,9 +12,10 @@ def transitive_closure(edges: DataFrame, max_depth: int | None = None) -> DataFr
     of equally short ones.
 
     Each round extends only the pairs found in the round before and drops pairs already known, so it
-    ends on cyclic graphs, and the state is checkpointed, so a lost executor costs one round.
+    ends on cyclic graphs. Every round is stored once and never rewritten, so a lost executor costs at
+    most a round.
     """
-    edges = cut_lineage(edges.select("package", "depends_on").distinct().filter("package <> depends_on"))
+    edges = stored_table(edges.select("package", "depends_on").distinct().filter("package <> depends_on"), "edges")
     step = edges.select(F.col("package").alias("via"), F.col("depends_on").alias("to"))
     frontier = edges.select(
         "package", "depends_on", F.lit(1).alias("depth"), F.concat_ws(">", "package", "depends_on").alias("path")
@@ -28,10 +29,10 @@ def transitive_closure(edges: DataFrame, max_depth: int | None = None) -> DataFr
             F.min(F.concat_ws(">", "path", "to")).alias("path")
         )
         fresh = shortest.join(known.select("package", "depends_on"), ["package", "depends_on"], "left_anti")
-        frontier = cut_lineage(fresh.select("package", "depends_on", F.lit(depth).alias("depth"), "path"))
+        frontier = stored_table(fresh.select("package", "depends_on", F.lit(depth).alias("depth"), "path"), "round")
         if frontier.isEmpty():
             break
-        known = cut_lineage(known.unionByName(frontier))
+        known = known.unionByName(frontier)
     return known
 
 

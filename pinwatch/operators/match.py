@@ -11,8 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pinwatch.functions.versions import in_range, located, maybe_special, specifier, within_bounds
+from pinwatch.functions.versions import in_range, located, specifier, within_bounds
 from pinwatch.plans.timeline import pick
+from pinwatch.session import stored_table
 
 CVE_COLUMNS = ["cve_id", "affected_package", "cvss_score", "severity_tier", "safe_version", "ingested_at"]
 VERSION = ["ecosystem", "package_key", "version"]
@@ -34,35 +35,48 @@ def affected_versions(pins: DataFrame, cves: DataFrame, carry: list[str] = CVE_C
     A vulnerability without ecosystem applies to the package name in any ecosystem; equality on the
     name stays the join key and the ecosystem is tested on what it leaves.
     """
-    ranges = cves.filter("affected_package <> ''").select(
-        package_key("affected_package").alias("package_key"),
-        F.col("ecosystem").alias("_ecosystem"),
-        F.col("affected_versions").alias("_listed"),
-        F.col("affected_version_range").alias("_range"),
-        *carry,
-    )
     in_use = version_catalogue(pins)
+    records = _parsed_records(cves, carry)
     listed = F.coalesce(F.array_contains("_listed", F.col("version")), F.lit(False))
     same_ecosystem = (F.coalesce("_ecosystem", F.lit("")) == "") | (F.col("_ecosystem") == F.col("ecosystem"))
-    record = ["cve_id", "package_key"]
-    counted = ranges.join(ranges.groupBy(*record).agg(F.count("*").alias("_records")), record)
-    rare = (F.col("_records") > 1) | maybe_special(F.col("_range"))
 
     # Nearly all records are one range of bounds: two comparisons of text inside generated code.
-    usual = counted.filter(~rare).withColumn("_spec", specifier(F.col("_range")))
-    bounds = usual.select("*", F.col("_spec.low").alias("_low"), F.col("_spec.high").alias("_high"),
-                          F.col("_spec").isNotNull().alias("_ranged")).drop("_spec")
+    bounds = records.filter("NOT _rare").select(
+        "*",
+        F.col("_spec.low").alias("_low"),
+        F.col("_spec.high").alias("_high"),
+        F.col("_spec").isNotNull().alias("_ranged"),
+    )
     inside = F.col("_ranged") & within_bounds(F.col("here.position"), F.col("_low"), F.col("_high"))
-    plain = in_use.join(bounds, "package_key").filter(same_ecosystem & (listed | inside))
+    plain = in_use.join(bounds, "package_key").filter(same_ecosystem & (listed | inside)).select(*VERSION, *carry)
+    rare = records.filter("_rare")
+    if rare.isEmpty():
+        return plain
 
     # The others may take out single versions, or cover a version twice: the earliest record stays.
-    full = counted.filter(rare).withColumn("_spec", specifier(F.col("_range")))
     exact = in_range(F.col("here"), F.col("_spec"), F.col("version"))
-    covered = in_use.join(full, "package_key").filter(same_ecosystem & (listed | exact)).select(*VERSION, *carry)
+    covered = in_use.join(rare, "package_key").filter(same_ecosystem & (listed | exact)).select(*VERSION, *carry)
     order = ["ingested_at"] if "ingested_at" in carry else []
     order += [c for c in carry if c not in ("cve_id", *order)]
     earliest = pick(covered, [*VERSION, "cve_id"], order) if order else covered.distinct()
-    return plain.select(*VERSION, *carry).unionByName(earliest)
+    return plain.unionByName(earliest)
+
+
+def _parsed_records(cves: DataFrame, carry: list[str]) -> DataFrame:
+    """Vulnerability records with their parsed range, stored once. ``_rare`` marks those that need
+    more than bounds, or share vulnerability and package with another record."""
+    named = cves.filter("affected_package <> ''").select(
+        package_key("affected_package").alias("package_key"),
+        F.col("ecosystem").alias("_ecosystem"),
+        F.col("affected_versions").alias("_listed"),
+        specifier(F.col("affected_version_range")).alias("_spec"),
+        *dict.fromkeys(["cve_id", *carry]),
+    )
+    once = stored_table(named, "ranges")
+    record = ["cve_id", "package_key"]
+    repeated = once.groupBy(*record).agg(F.count("*").alias("_n")).filter("_n > 1").withColumn("_repeated", F.lit(True))
+    rare = F.coalesce("_spec.special", "_repeated", F.lit(False)) | F.coalesce("_repeated", F.lit(False))
+    return once.join(repeated, record, "left").withColumn("_rare", rare).drop("_n", "_repeated")
 
 
 def listed_versions(pins: DataFrame, cves: DataFrame) -> DataFrame:

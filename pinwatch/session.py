@@ -47,3 +47,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, so a lost executor never recomputes an iterative job from its start."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored_table(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once, safe against lost executors,
+    and of known size, so that Spark decides on broadcasts from the facts."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
