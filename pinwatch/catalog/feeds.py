@@ -9,7 +9,7 @@ from pinwatch.catalog.registry import query
 from pinwatch.catalog.views import AS_OF, Tables
 from pinwatch.functions import scalars as S
 from pinwatch.operators import cursors, vulnerabilities as V
-from pinwatch.operators.scoring import registry_enrich, route, score
+from pinwatch.operators.scoring import nonempty, registry_enrich, route, score
 from pinwatch.session import scratch_path
 from pinwatch.sources import changes, feeds, tables, topics
 
@@ -374,6 +374,14 @@ def sla_deadline(t: Tables) -> DataFrame:
     return _scored(t).select("match_id", "sla_deadline")
 
 
+@query("nonempty_match", "SELECT match_id FROM vulnerability_matches WHERE status <> 'accepted_risk'")
+def nonempty_match(t: Tables) -> DataFrame:
+    # Accepted risks stand in for matches whose detection time, and so deadline, is missing.
+    detected = F.when(F.col("status") != "accepted_risk", F.col("detected_at"))
+    scored = score(registry_enrich(t.matches.withColumns({"cvss_score": F.lit(5.0), "detected_at": detected}), t.registry))
+    return nonempty(scored).select("match_id")
+
+
 @query("route_topic", """SELECT match_id, 'vuln.matches.' || CASE WHEN status = 'accepted_risk' THEN 'low' ELSE lower(blast_radius) END AS topic
  FROM vulnerability_matches""")
 def route_topic(t: Tables) -> DataFrame:

@@ -31,7 +31,7 @@ def settled(ops: DataFrame) -> DataFrame:
 
 def timeline(ops: DataFrame, crowded: DataFrame | None = None) -> DataFrame:
     """Operations with their neighbours on the same pin."""
-    return with_neighbours(ops, PIN, ORDER, ["op", "version"], F.date_trunc("month", "occurred_at"), crowded)
+    return with_neighbours(ops, PIN, ORDER, ["op", "version"], F.date_trunc("hour", "occurred_at"), crowded)
 
 
 def crowded_pins(ops: DataFrame, limit: int = KEY_LIMIT) -> DataFrame | None:

@@ -105,13 +105,13 @@ def auto_resolve(ops: DataFrame, cves: DataFrame, crowded: DataFrame | None = No
     """
     key = ["cve_id", "service_id", "ecosystem", "package"]
     hits = match_pins(validity_intervals(ops, crowded), cves, ["cve_id", "ingested_at"], versions_from=ops)
-    month = F.date_trunc("month", "valid_from")
-    linked = with_neighbours(hits, key, ["valid_from"], ["valid_to"], month, crowded).select(
+    hour = F.date_trunc("hour", "valid_from")
+    linked = with_neighbours(hits, key, ["valid_from"], ["valid_to"], hour, crowded).select(
         *key, "ingested_at", "valid_from", "valid_to",
         (F.col("prev").isNull() | (F.col("prev.valid_to") < F.col("valid_from"))).alias("opens"),
         (F.col("next").isNull() | (F.col("next.valid_from") > F.col("valid_to"))).alias("closes"),
     )
-    edges = with_neighbours(linked.filter("opens OR closes"), key, ["valid_from"], ["valid_to"], month, crowded)
+    edges = with_neighbours(linked.filter("opens OR closes"), key, ["valid_from"], ["valid_to"], hour, crowded)
     findings = edges.filter("opens").select(
         *key,
         "ingested_at",

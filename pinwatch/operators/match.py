@@ -2,9 +2,9 @@
 
 The number of distinct (package, version) pairs stays small while the number of services holding
 them grows. So versions are parsed and compared against ranges once per distinct pair
-(``affected_versions``), and pins then meet the result in a plain equi-join. No join here has a
-condition without an equality, so none falls back to a nested loop, and adaptive execution splits a
-package that very many services share.
+(``affected_versions``), and pins then meet the result in an equi-join. No join here has a condition
+without an equality, so none falls back to a nested loop. A version that very many services share is
+joined in shares (``spread_join``).
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pinwatch.functions.versions import in_range, located, specifier, within_bounds
-from pinwatch.plans.timeline import pick
+from pinwatch.plans.timeline import KEY_LIMIT, pick, spread_join
 from pinwatch.session import stored_table
 
 CVE_COLUMNS = ["cve_id", "affected_package", "cvss_score", "severity_tier", "safe_version", "ingested_at"]
@@ -97,16 +97,23 @@ def one_spelling(pins: DataFrame) -> DataFrame:
 
 
 def match_pins(
-    pins: DataFrame, cves: DataFrame, carry: list[str] = CVE_COLUMNS, versions_from: DataFrame | None = None
+    pins: DataFrame,
+    cves: DataFrame,
+    carry: list[str] = CVE_COLUMNS,
+    versions_from: DataFrame | None = None,
+    limit: int = KEY_LIMIT,
 ) -> DataFrame:
     """Every pin with every vulnerability affecting its version; all columns of the pins stay.
 
     ``versions_from`` is any frame that holds at least the versions of ``pins``. Where pins are
-    costly to derive, give what they derive from, so that they are not derived twice.
+    costly to derive, give what they derive from, so that they are not derived twice. A version that
+    more than ``limit`` pins hold is joined in shares.
     """
+    source = pins if versions_from is None else versions_from
     keyed = pins.withColumn("package_key", package_key())
-    hits = affected_versions(pins if versions_from is None else versions_from, cves, carry)
-    return keyed.join(hits, VERSION).drop("package_key")
+    sized = source.select("ecosystem", package_key().alias("package_key"), "version").filter("version IS NOT NULL")
+    hits = affected_versions(source, cves, carry)
+    return spread_join(keyed, hits, VERSION, sized, limit).drop("package_key")
 
 
 def match_both_orders(intervals: DataFrame, cves: DataFrame, versions_from: DataFrame | None = None) -> DataFrame:

@@ -33,6 +33,11 @@ def score(matches: DataFrame) -> DataFrame:
     )
 
 
+def nonempty(scored: DataFrame) -> DataFrame:
+    """Only matches that were scored and can be routed."""
+    return scored.filter("cve_id <> '' AND service_id <> '' AND score IS NOT NULL AND sla_deadline IS NOT NULL")
+
+
 def route(matches: DataFrame) -> DataFrame:
     """One row per output topic: the tier's, and the review topic for newly added packages."""
     tier_topic = topic_for_tier(F.coalesce("blast_radius_tier", F.lit(K.TIER_DEFAULT)))

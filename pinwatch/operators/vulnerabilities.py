@@ -125,7 +125,7 @@ def dedup_first_24h(
     events: DataFrame,
     keys: list[str] = RECORD_KEY,
     hours: int = K.DEDUP_HOURS,
-    fold_limit: int = 100_000,
+    fold_limit: int = 20_000,
 ) -> DataFrame:
     """Accept the first record of a key, drop its copies for ``hours``, then accept again.
 

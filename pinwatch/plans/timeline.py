@@ -4,7 +4,8 @@ A plain window over a key puts all its rows into one task. Keys small enough for
 that way, in one exchange. Crowded keys, which ``crowded_keys`` finds by a count that combines on the
 map side, are ordered inside (key, time bucket) instead, and each bucket gets the last record of the
 bucket before it and the first of the one after as marker rows. Per key there are only as many markers
-as buckets in the covered time. Both ways give the same rows.
+as buckets in the covered time. Both ways give the same rows. ``spread_join`` does for joins what this
+does for windows.
 """
 
 from __future__ import annotations
@@ -19,20 +20,43 @@ KEY_LIMIT = 1_000_000
 BROADCAST_ROWS = 100_000
 
 
-def crowded_keys(df: DataFrame, keys: list[str], limit: int = KEY_LIMIT) -> DataFrame | None:
-    """Keys with more than ``limit`` rows, as a stored table; None when there are none."""
+def _crowded_counts(df: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
     if df.count() <= limit:
         return None
-    found = df.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys)
-    stored = cut_lineage(found)
+    stored = cut_lineage(df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit))
     return None if stored.isEmpty() else stored
 
 
-def _marked(df: DataFrame, crowded: DataFrame) -> DataFrame:
-    flagged = crowded.withColumn("_crowded", F.lit(True))
-    if crowded.count() <= BROADCAST_ROWS:
-        flagged = F.broadcast(flagged)
-    return df.join(flagged, crowded.columns, "left")
+def crowded_keys(df: DataFrame, keys: list[str], limit: int = KEY_LIMIT) -> DataFrame | None:
+    """Keys with more than ``limit`` rows, as a stored table; None when there are none."""
+    counts = _crowded_counts(df, keys, limit)
+    return None if counts is None else counts.select(*keys)
+
+
+def _marked(df: DataFrame, marks: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with the marks of its crowded keys; they are broadcast if counted to be few."""
+    return df.join(F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks, keys, "left")
+
+
+def spread_join(
+    left: DataFrame, right: DataFrame, keys: list[str], sized_by: DataFrame, limit: int = KEY_LIMIT
+) -> DataFrame:
+    """Inner join on ``keys`` in which no key is one task's alone.
+
+    Keys with more than ``limit`` rows in ``sized_by`` are cut into shares of about that size: each
+    row of the left goes to one share, each row of the right to all of them, so every pair still
+    meets exactly once. All other keys have a single share.
+    """
+    counts = _crowded_counts(sized_by, keys, limit)
+    if counts is None:
+        return left.join(right, keys)
+    marks = counts.select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_shares"))
+    shares = F.coalesce("_shares", F.lit(1))
+    one = _marked(left, marks, keys).withColumn(
+        "_share", F.pmod(F.xxhash64(*left.columns), shares).cast("int")
+    ).drop("_shares")
+    every = _marked(right, marks, keys).withColumn("_share", F.explode(F.sequence(F.lit(0), shares - 1))).drop("_shares")
+    return one.join(every, [*keys, "_share"]).drop("_share")
 
 
 def with_neighbours(
@@ -52,7 +76,8 @@ def with_neighbours(
         whole = Window.partitionBy(*keys).orderBy("_rec")
         both = {"prev": F.lag("_rec").over(whole), "next": F.lead("_rec").over(whole)}
         return rows.withColumns(both).drop("_rec")
-    rows = _marked(rows, crowded).withColumn("_bucket", F.when(F.col("_crowded"), bucket)).drop("_crowded")
+    flagged = crowded.withColumn("_crowded", F.lit(True))
+    rows = _marked(rows, flagged, crowded.columns).withColumn("_bucket", F.when(F.col("_crowded"), bucket)).drop("_crowded")
     split = rows.filter("_bucket IS NOT NULL")
     edges = split.groupBy(*keys, "_bucket").agg(F.min("_rec").alias("_first"), F.max("_rec").alias("_last"))
     by_bucket = Window.partitionBy(*keys).orderBy("_bucket")

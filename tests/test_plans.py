@@ -54,3 +54,26 @@ def test_flagship_joins_large_sides_by_key(spark):
 def test_time_is_an_argument(spark):
     text = plan_of(all_queries()["posture_report"](spark, FOLDER))
     assert "current_timestamp" not in text and "now()" not in text
+
+
+def test_a_package_everyone_uses_is_split(spark):
+    """A third of all pins hold one package: joined in shares, with the same result."""
+    from pyspark.sql import functions as F
+
+    from pinwatch.operators import match
+    from tests.test_operators import cves
+
+    pins = spark.range(300_000).select(
+        F.concat(F.lit("svc-"), F.col("id")).alias("service_id"),
+        F.when(F.col("id") % 7 == 0, "npm").otherwise("pypi").alias("ecosystem"),
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("p"), F.col("id") % 5000)).alias("package"),
+        F.when(F.col("id") % 11 == 0, "1.1").otherwise("1.0").alias("version"),
+    ).repartition(16)
+    hot = [(0, f"H{i}", "hot", "< 2", [], "") for i in range(3)]
+    known = cves(spark, hot + [(0, f"C{i}", f"p{i}", "< 2", [], "") for i in range(200)])
+    plain, spread = match.match_pins(pins, known), match.match_pins(pins, known, limit=10_000)
+    expected = 300_000 // 3 * 3 + pins.filter("package <> 'hot' AND cast(substring(package, 2) AS int) < 200").count()
+    columns = ["service_id", "ecosystem", "package", "version", "cve_id"]
+    summed = [df.agg(F.count("*"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))).first() for df in (plain, spread)]
+    assert summed[0] == summed[1] and summed[0][0] == expected
+    assert "_share" in plan_of(spread) and "_share" not in plan_of(plain)
