@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pinwatch.functions.versions import in_range, located, specifier, within_bounds
-from pinwatch.plans.timeline import KEY_LIMIT, pick, spread_join
+from pinwatch.plans.timeline import KEY_LIMIT, PAIR_LIMIT, pick, shares_by_pairs, shares_by_rows, spread_join
 from pinwatch.session import stored_table
 
 CVE_COLUMNS = ["cve_id", "affected_package", "cvss_score", "severity_tier", "safe_version", "ingested_at"]
@@ -29,14 +29,18 @@ def version_catalogue(pins: DataFrame) -> DataFrame:
     return distinct.withColumn("here", located(F.col("version")))
 
 
-def affected_versions(pins: DataFrame, cves: DataFrame, carry: list[str] = CVE_COLUMNS) -> DataFrame:
+def affected_versions(
+    pins: DataFrame, cves: DataFrame, carry: list[str] = CVE_COLUMNS, limit: int = PAIR_LIMIT
+) -> DataFrame:
     """Distinct versions in use with each vulnerability that affects them.
 
     A vulnerability without ecosystem applies to the package name in any ecosystem; equality on the
-    name stays the join key and the ecosystem is tested on what it leaves.
+    name stays the join key and the ecosystem is tested on what it leaves. A package with more than
+    ``limit`` pairs of version and record is compared in shares.
     """
-    in_use = version_catalogue(pins)
+    in_use = stored_table(version_catalogue(pins), "versions")
     records = _parsed_records(cves, carry)
+    shares = shares_by_pairs(in_use, records, ["package_key"], limit)
     listed = F.coalesce(F.array_contains("_listed", F.col("version")), F.lit(False))
     same_ecosystem = (F.coalesce("_ecosystem", F.lit("")) == "") | (F.col("_ecosystem") == F.col("ecosystem"))
 
@@ -48,14 +52,16 @@ def affected_versions(pins: DataFrame, cves: DataFrame, carry: list[str] = CVE_C
         F.col("_spec").isNotNull().alias("_ranged"),
     )
     inside = F.col("_ranged") & within_bounds(F.col("here.position"), F.col("_low"), F.col("_high"))
-    plain = in_use.join(bounds, "package_key").filter(same_ecosystem & (listed | inside)).select(*VERSION, *carry)
+    pairs = spread_join(in_use, bounds, ["package_key"], shares)
+    plain = pairs.filter(same_ecosystem & (listed | inside)).select(*VERSION, *carry)
     rare = records.filter("_rare")
     if rare.isEmpty():
         return plain
 
     # The others may take out single versions, or cover a version twice: the earliest record stays.
     exact = in_range(F.col("here"), F.col("_spec"), F.col("version"))
-    covered = in_use.join(rare, "package_key").filter(same_ecosystem & (listed | exact)).select(*VERSION, *carry)
+    pairs = spread_join(in_use, rare, ["package_key"], shares)
+    covered = pairs.filter(same_ecosystem & (listed | exact)).select(*VERSION, *carry)
     order = ["ingested_at"] if "ingested_at" in carry else []
     order += [c for c in carry if c not in ("cve_id", *order)]
     earliest = pick(covered, [*VERSION, "cve_id"], order) if order else covered.distinct()
@@ -113,7 +119,7 @@ def match_pins(
     keyed = pins.withColumn("package_key", package_key())
     sized = source.select("ecosystem", package_key().alias("package_key"), "version").filter("version IS NOT NULL")
     hits = affected_versions(source, cves, carry)
-    return spread_join(keyed, hits, VERSION, sized, limit).drop("package_key")
+    return spread_join(keyed, hits, VERSION, shares_by_rows(sized, VERSION, limit)).drop("package_key")
 
 
 def match_both_orders(intervals: DataFrame, cves: DataFrame, versions_from: DataFrame | None = None) -> DataFrame:

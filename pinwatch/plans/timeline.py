@@ -16,6 +16,8 @@ from pinwatch.session import cut_lineage
 
 # Rows of one key that a task orders without trouble.
 KEY_LIMIT = 1_000_000
+# Pairs of one key that a task compares without trouble.
+PAIR_LIMIT = 50_000_000
 # Crowded keys are at most rows / KEY_LIMIT; up to this many of them are broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -38,25 +40,36 @@ def _marked(df: DataFrame, marks: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks, keys, "left")
 
 
-def spread_join(
-    left: DataFrame, right: DataFrame, keys: list[str], sized_by: DataFrame, limit: int = KEY_LIMIT
-) -> DataFrame:
+def shares_by_rows(sized: DataFrame, keys: list[str], limit: int = KEY_LIMIT) -> DataFrame | None:
+    """Shares of about ``limit`` rows for the keys that have more; None when there are none."""
+    counts = _crowded_counts(sized, keys, limit)
+    if counts is None:
+        return None
+    return counts.select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_shares"))
+
+
+def shares_by_pairs(left: DataFrame, right: DataFrame, keys: list[str], limit: int = PAIR_LIMIT) -> DataFrame | None:
+    """Shares of about ``limit`` pairs for the keys whose rows of both sides make more."""
+    lefts = left.groupBy(*keys).agg(F.count("*").cast("double").alias("_l"))
+    rights = right.groupBy(*keys).agg(F.count("*").cast("double").alias("_r"))
+    pairs = F.col("_l") * F.col("_r")
+    many = lefts.join(rights, keys).filter(pairs > limit)
+    stored = cut_lineage(many.select(*keys, F.least(F.ceil(pairs / limit), "_l").cast("int").alias("_shares")))
+    return None if stored.isEmpty() else stored
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], shares: DataFrame | None) -> DataFrame:
     """Inner join on ``keys`` in which no key is one task's alone.
 
-    Keys with more than ``limit`` rows in ``sized_by`` are cut into shares of about that size: each
-    row of the left goes to one share, each row of the right to all of them, so every pair still
-    meets exactly once. All other keys have a single share.
+    Each left row of a key with shares goes to one of them, each right row to all of them, so every
+    pair still meets exactly once. All other keys have a single share.
     """
-    counts = _crowded_counts(sized_by, keys, limit)
-    if counts is None:
+    if shares is None:
         return left.join(right, keys)
-    marks = counts.select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_shares"))
-    shares = F.coalesce("_shares", F.lit(1))
-    one = _marked(left, marks, keys).withColumn(
-        "_share", F.pmod(F.xxhash64(*left.columns), shares).cast("int")
-    ).drop("_shares")
-    every = _marked(right, marks, keys).withColumn("_share", F.explode(F.sequence(F.lit(0), shares - 1))).drop("_shares")
-    return one.join(every, [*keys, "_share"]).drop("_share")
+    number = F.coalesce("_shares", F.lit(1))
+    one = _marked(left, shares, keys).withColumn("_share", F.pmod(F.xxhash64(*left.columns), number).cast("int"))
+    every = _marked(right, shares, keys).withColumn("_share", F.explode(F.sequence(F.lit(0), number - 1)))
+    return one.drop("_shares").join(every.drop("_shares"), [*keys, "_share"]).drop("_share")
 
 
 def with_neighbours(

@@ -77,3 +77,6 @@ def test_a_package_everyone_uses_is_split(spark):
     summed = [df.agg(F.count("*"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))).first() for df in (plain, spread)]
     assert summed[0] == summed[1] and summed[0][0] == expected
     assert "_share" in plan_of(spread) and "_share" not in plan_of(plain)
+    whole, shared = match.affected_versions(pins, known), match.affected_versions(pins, known, limit=5)
+    assert "_share" in plan_of(shared) and "_share" not in plan_of(whole)
+    assert shared.exceptAll(whole).count() == 0 and whole.exceptAll(shared).count() == 0
