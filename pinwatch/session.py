@@ -1,9 +1,12 @@
-"""Session settings and the shared scratch folder."""
+"""Session settings, the shared scratch folder and its owner, and the package on the workers."""
 
 from __future__ import annotations
 
+import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,29 +21,87 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
 }
 
+#: Applications that already ship the package, and the scratch folders this process made.
+_SHIPPED: set[str] = set()
+_SCRATCH: dict[str, SparkSession] = {}
+
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the settings results depend on (time zone) and those skew handling needs."""
+    """Apply the settings results depend on (time zone) and those skew handling needs; ship the package."""
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the application, once. Spark serves the archive to
+    the executors, so they need neither the driver's folders nor an installation."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="pinwatch-package-"), "pinwatch.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``, set here only if unset."""
+    """The folder every executor can reach: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session (one machine) gets a temporary folder; on a cluster that would
+    be another folder on every machine, so there it is an error.
+    """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return configured or current.get()
+    if not configured and not _one_machine(context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = configured or tempfile.mkdtemp(prefix="pinwatch-")
     context.setCheckpointDir(folder)
     return folder
 
 
+def _one_machine(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder; nothing is ever reused or removed."""
-    return f"{shared_folder(spark).rstrip('/')}/pinwatch/{label}-{uuid.uuid4().hex}"
+    """A new path below the application's own part of the shared folder, removed by
+    :func:`release_scratch` or when the driver ends."""
+    own = f"{shared_folder(spark).rstrip('/')}/pinwatch/{spark.sparkContext.applicationId}"
+    if own not in _SCRATCH:
+        _SCRATCH[own] = spark
+    return f"{own}/{label}-{uuid.uuid4().hex}"
+
+
+def release_scratch(spark: SparkSession | None = None) -> None:
+    """Remove the stored intermediate tables of ``spark``, or of every session still running. Call it
+    when results that read them are written; nothing made with them can be read afterwards."""
+    for path, owner in list(_SCRATCH.items()):
+        if spark is not None and owner.sparkContext is not spark.sparkContext:
+            continue
+        del _SCRATCH[path]
+        context = owner.sparkContext
+        if context._jsc is not None:
+            target = context._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@atexit.register
+def _release_at_exit() -> None:
+    try:
+        release_scratch()
+    except Exception:  # the JVM may be gone already; its folder is then the cluster's to clean
+        pass
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
