@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pinwatch.llm import exact, packing, quality, url_filter
+from pinwatch.llm import exact, packing, quality, substrings, url_filter
 from pinwatch.llm.encoders import vocabulary_path
 from pinwatch.session import prepare
 
@@ -104,6 +104,22 @@ def op5_quality_rules(spark, table):
     return quality.quality_rules(table("documents"), table("labels")).drop("text_mark")
 
 
+OP7_SQL = r"""WITH d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+starts AS (SELECT id, unnest(range(1, len(words) - 33)) AS i FROM d WHERE len(words) >= 35),
+windows AS (SELECT s.id, i, md5(array_to_string(words[i:i+34], ' ')) AS w FROM starts s JOIN d ON d.id = s.id),
+repeated AS (SELECT id, i FROM (SELECT id, i, count(*) OVER (PARTITION BY w) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT id, list_distinct(flatten(list(range(i, i + 35)))) AS gone FROM repeated GROUP BY id),
+kept AS (SELECT d.doc_id, words, gone, CASE WHEN gone IS NULL THEN words ELSE
+ list_filter(words, lambda w, i: NOT list_contains(gone, i)) END AS rest FROM d LEFT JOIN covered c ON c.id = d.id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - len(rest) AS BIGINT) AS n_removed,
+ sha256(array_to_string(rest, ' ')) AS kept_sha256 FROM kept"""
+
+
+@query("op7_substring_dedup", OP7_SQL)
+def op7_substring_dedup(spark, table):
+    return substrings.substring_duplicates(table("documents"))
+
+
 OP8_SQL = """WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
  row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC) = 1 AS kept, text_sha256
