@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pinwatch.llm import exact, packing, quality
+from pinwatch.llm import exact, jaccard, packing, quality, substrings
 from pinwatch.llm.encoders import vocabulary_path
 from pinwatch.session import prepare, stored_table
 
@@ -25,6 +25,18 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.without_copies(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by shingles, directly or through others, the one with the smallest id."""
+    prepare(spark)
+    return jaccard.one_of_each_group(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without the passages that occur more than once."""
+    prepare(spark)
+    return substrings.without_repeated_passages(docs)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all windows of 1024 ids."""
     prepare(spark)
@@ -34,6 +46,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality rules", quality_rules),
     ("exact dedup", exact_dedup),
+    ("n-gram jaccard join", near_dedup),
+    ("substring dedup", substring_dedup),
     ("packing", packed),
 ]
 

@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pinwatch.llm import exact, packing, quality, substrings, url_filter
+from pinwatch.llm import exact, jaccard, packing, quality, substrings, url_filter
 from pinwatch.llm.encoders import vocabulary_path
 from pinwatch.session import prepare
 
@@ -36,6 +36,24 @@ def op1_packing(spark, table):
     return packing.pack(table("documents"), vocabulary_path())
 
 
+OP2_SQL = r"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS id, doc_id,
+ regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT id, doc_id, CASE WHEN len(words) >= 3 THEN list_distinct([hash(array_to_string(words[i:i+2], ' ')) for i in range(1, len(words) - 1)])
+ WHEN len(words) > 0 THEN [hash(array_to_string(words, ' '))] ELSE [] END AS sh FROM d),
+tokens AS (SELECT id, len(sh) AS n, unnest(sh) AS t FROM s),
+counts AS (SELECT a.id AS u, b.id AS v, any_value(a.n) + any_value(b.n) AS n, count(*) AS c FROM tokens a JOIN tokens b ON a.t = b.t AND a.id <> b.id GROUP BY a.id, b.id),
+links AS (SELECT u, v FROM counts WHERE 100 * c >= 90 * (n - c)),
+reach(id, other) AS (SELECT id, id FROM s UNION SELECT r.id, l.v FROM reach r JOIN links l ON l.u = r.other),
+parts AS (SELECT r.id, min(s.doc_id) AS component_id FROM reach r JOIN s ON s.id = r.other GROUP BY r.id),
+classes AS (SELECT id, CASE WHEN len(sh) > 0 THEN min(doc_id) OVER (PARTITION BY list_sort(sh)) ELSE doc_id END AS class_id FROM s)
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, class_id FROM s JOIN parts USING (id) JOIN classes USING (id)"""
+
+
+@query("op2_ngram_jaccard_join", OP2_SQL)
+def op2_ngram_jaccard_join(spark, table):
+    return jaccard.shingle_components(table("documents")).drop("one", "two")
+
+
 _HOST = r"lower(regexp_extract(url, '^(?:[^:]|:[^/]|:/[^/])*?://([^/?#]*)', 1, 's'))"
 _PATH = r"regexp_extract(url, '^(?:[^:]|:[^/]|:/[^/])*?://[^/?#]*([^?#]*)', 1, 's')"
 _SPLIT = f"SELECT page_id, url, coalesce({_HOST}, '') AS host, coalesce({_PATH}, '') AS path FROM pages"
