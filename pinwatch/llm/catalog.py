@@ -51,7 +51,7 @@ SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, class_id FRO
 
 @query("op2_ngram_jaccard_join", OP2_SQL)
 def op2_ngram_jaccard_join(spark, table):
-    return jaccard.shingle_components(table("documents")).drop("one", "two")
+    return jaccard.shingle_components(table("documents"), size=3, percent=90).drop("one", "two")
 
 
 _HOST = r"lower(regexp_extract(url, '^(?:[^:]|:[^/]|:/[^/])*?://([^/?#]*)', 1, 's'))"

@@ -1,8 +1,8 @@
 """Similarity join on word shingles by adaptive multi-match prefixes, and its components.
 
-A document is the set of its three-word shingles, kept as 64-bit hashes in one global order: classes
-of estimated frequency first, hash next. Two sets with ``100 * both >= 90 * either`` must share at
-least ``need`` of their first ``n - ceil(0.9 n) + need`` shingles. The longer a document's prefix
+A document is the set of its word shingles, kept as 64-bit hashes in one global order: classes of
+estimated frequency first, hash next. Two sets with ``100 * both >= percent * either`` must share at
+least ``need`` of their first ``n - ceil(percent n / 100) + need`` shingles. The longer a document's prefix
 (``need`` of 1 to 4), the more shared shingles a pair must show before it is verified. ``need`` follows
 from the estimated number of candidates of the plain prefix, from a count-min sketch of all shingles.
 Documents may differ in ``need``; a pair has to show the smaller one.
@@ -33,7 +33,8 @@ from pinwatch.llm.components import connected_components
 from pinwatch.llm.names import plain, spare
 from pinwatch.session import stored_table
 
-SHINGLE, PERCENT = 3, 90
+#: Words in a shingle, and the least similarity of linked documents, where a caller does not say.
+SHINGLE, PERCENT = 5, 80
 MOST_NEED = 4
 #: Each time the estimated candidates of a prefix grow by this factor, one more match is asked for.
 NEED_STEP = 32
@@ -41,7 +42,7 @@ NEED_STEP = 32
 SKETCH_CELLS, SKETCH_SEGMENTS = 1 << 20, 32
 
 
-def shingle_sets(column: pa.Array, size: int = SHINGLE) -> Iterator[tuple[int, np.ndarray]]:
+def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
     """Row number and sorted distinct shingle hashes of every text. Texts with fewer words than a
     shingle are one shingle; texts without words have none."""
     data, offsets = blocks.text_bytes(column)
@@ -87,19 +88,19 @@ class Frequencies:
         a, b = _cells(shingles)
         return np.maximum(0.0, np.minimum(self.rows[0][a], self.rows[1][b]) - self.noise)
 
-    def prefix(self, shingles: np.ndarray) -> tuple[np.ndarray, int]:
+    def prefix(self, shingles: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
         """The shingles a document puts out, in global order, and how many of them a pair must share."""
         n = len(shingles)
         excess = self.excess(shingles)
         rank = np.log2(1.0 + excess / self.noise).astype(np.int64)
         order = np.lexsort((shingles, rank))
-        base = n - -(-PERCENT * n // 100) + 1
+        base = n - -(-percent * n // 100) + 1
         candidates = float(excess[order[:base]].sum())
         need = min(1 + int(np.log(1.0 + candidates) / np.log(NEED_STEP)), MOST_NEED)
         return shingles[order[: min(n, base + need - 1)]], need
 
 
-def count_shingles(texts: DataFrame) -> Frequencies:
+def count_shingles(texts: DataFrame, size: int) -> Frequencies:
     """The sketch of all documents of the column ``text``; tasks' sketches meet sixty-four at a time."""
     width = SKETCH_CELLS // SKETCH_SEGMENTS
     schema = "segment int, part long, counts binary"
@@ -108,7 +109,7 @@ def count_shingles(texts: DataFrame) -> Frequencies:
         rows = np.zeros((2, SKETCH_CELLS), dtype=np.uint32)
         for batch in batches:
             held: list[np.ndarray] = []
-            for _, shingles in shingle_sets(batch.column(0)):
+            for _, shingles in shingle_sets(batch.column(0), size):
                 held.append(shingles)
             if held:
                 for row, cells in zip(rows, _cells(np.concatenate(held)), strict=True):
@@ -137,19 +138,19 @@ def count_shingles(texts: DataFrame) -> Frequencies:
     return Frequencies(rows)
 
 
-def set_members(docs: DataFrame) -> DataFrame:
+def set_members(docs: DataFrame, size: int) -> DataFrame:
     """``doc_id, n, one, two``: size and identity of the set of every row of ``doc_id, text``."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(len(s), *set_keys(s)) for _, s in shingle_sets(batch.column(1))]
+            found = [(len(s), *set_keys(s)) for _, s in shingle_sets(batch.column(1), size)]
             columns = zip(*found, strict=True) if found else ([], [], [])
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in columns]], names=["doc_id", "n", "one", "two"])
 
     return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n long, one long, two long")
 
 
-def _prefixes(texts: DataFrame, frequencies, bloom=None) -> DataFrame:
+def _prefixes(texts: DataFrame, frequencies, size: int, percent: int, bloom=None) -> DataFrame:
     """``token, one, n, place, need``: the prefix of every set, once per batch; with ``bloom`` only
     tokens it may hold."""
 
@@ -157,12 +158,12 @@ def _prefixes(texts: DataFrame, frequencies, bloom=None) -> DataFrame:
         for batch in batches:
             seen: set[tuple[int, int]] = set()
             parts: list[tuple] = []
-            for _, shingles in shingle_sets(batch.column(0)):
+            for _, shingles in shingle_sets(batch.column(0), size):
                 key = set_keys(shingles)
                 if not len(shingles) or key in seen:
                     continue
                 seen.add(key)
-                tokens, need = frequencies.value.prefix(shingles)
+                tokens, need = frequencies.value.prefix(shingles, percent)
                 parts.append((tokens, key[0], len(shingles), need))
             if not parts:
                 continue
@@ -181,12 +182,12 @@ def _prefixes(texts: DataFrame, frequencies, bloom=None) -> DataFrame:
     return texts.select("text").mapInArrow(rows, "token long, one long, n int, place int, need byte")
 
 
-def _least_overlap(n: str, m: str) -> str:
+def _least_overlap(n: str, m: str, percent: int) -> str:
     """The smallest overlap that links sets of these sizes."""
-    return f"CAST(ceil({PERCENT} * (CAST({n} AS BIGINT) + {m}) / {100 + PERCENT}.0BD) AS BIGINT)"
+    return f"(({percent} * (CAST({n} AS BIGINT) + {m}) + {99 + percent}) DIV {100 + percent})"
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """``a_one, a_two, b_one, b_two`` of the linked ones among ``pairs`` (``a, b``: first halves of keys).
 
     Only documents in some pair, and what a Bloom filter of bounded size lets through besides, send
@@ -198,7 +199,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[tuple[int, int], bytes] = {}
-            for _, shingles in shingle_sets(batch.column(0)):
+            for _, shingles in shingle_sets(batch.column(0), size):
                 if len(shingles):
                     key = set_keys(shingles)
                     if key not in found and bloom.value.may_hold(np.array([key[0]], dtype=np.int64))[0]:
@@ -219,7 +220,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             for a, b in zip(batch.column(4), batch.column(5), strict=True):
                 a, b = np.frombuffer(a.as_buffer(), dtype=_U), np.frombuffer(b.as_buffer(), dtype=_U)
                 both = len(np.intersect1d(a, b, assume_unique=True))
-                linked.append(100 * both >= PERCENT * (len(a) + len(b) - both))
+                linked.append(100 * both >= percent * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays(batch.columns[:4], names=batch.schema.names[:4]).filter(pa.array(linked, pa.bool_()))
 
     ends = ["a_one", "a_two", "b_one", "b_two"]
@@ -231,7 +232,9 @@ def _as_edges(links: DataFrame, classes: DataFrame) -> DataFrame:
     return links.join(side("a", "u"), ["a_one", "a_two"]).join(side("b", "v"), ["b_one", "b_two"]).select("u", "v")
 
 
-def shingle_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def shingle_components(
+    docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
     """``doc_id, n_shingles, component_id, class_id`` for every row of ``docs``, and the set's key.
 
     ``component_id`` is the smallest id that links lead to, the row's own included; ``class_id`` the
@@ -243,23 +246,23 @@ def shingle_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     narrow = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
     texts = narrow.select("text")
     spark = docs.sparkSession
-    members = stored_table(set_members(narrow), "set-members")
+    members = stored_table(set_members(narrow, size), "set-members")
     classes = members.filter("n > 0").groupBy("one", "two").agg(F.min("doc_id").alias("class_id"))
     classes = stored_table(classes.withColumn("number", F.monotonically_increasing_id()), "set-classes")
-    frequencies = spark.sparkContext.broadcast(count_shingles(texts))
+    frequencies = spark.sparkContext.broadcast(count_shingles(texts, size))
 
-    hubs = _prefixes(texts, frequencies).groupBy("token").agg(
+    hubs = _prefixes(texts, frequencies, size, percent).groupBy("token").agg(
         F.min(F.struct("place", "n", "one")).alias("hub"), F.min("one").alias("low"), F.max("one").alias("high")
     )
     hubs = stored_table(hubs.filter("low < high").select("token", F.col("hub.one").alias("b"), F.col("hub.n").alias("m"), F.col("hub.place").alias("q")), "hubs")
     bloom = spark.sparkContext.broadcast(build_bloom(hubs.select(F.col("token").alias("hash"))))
-    shared = stored_table(_prefixes(texts, frequencies, bloom).join(hubs.select("token"), "token", "left_semi"), "shared-prefixes")
+    shared = stored_table(_prefixes(texts, frequencies, size, percent, bloom).join(hubs.select("token"), "token", "left_semi"), "shared-prefixes")
 
     near = shared.join(hubs, "token").filter("one <> b").filter(
-        f"least(place, q) + least(n - place, m - q) >= {_least_overlap('n', 'm')}"
+        f"least(place, q) + least(n - place, m - q) >= {_least_overlap('n', 'm', percent)}"
     )
     first = stored_table(near.select(F.col("one").alias("a"), "b").distinct(), "hub-pairs")
-    links = stored_table(verified(first, texts), "hub-links")
+    links = stored_table(verified(first, texts, size, percent), "hub-links")
     edges = stored_table(_as_edges(links, classes), "hub-edges")
     labels = connected_components(edges)
 
@@ -272,15 +275,15 @@ def shingle_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     left = rest.select("token", F.col("one").alias("a"), F.col("n").alias("n"), F.col("place").alias("p"), F.col("need").alias("s"), F.col("part").alias("e"))
     right = rest.select("token", F.col("one").alias("b"), F.col("n").alias("m"), F.col("place").alias("q"), F.col("need").alias("t"), F.col("part").alias("f"))
     # The c-th shared shingle of a linked pair leaves room for all but c - 1 of the overlap after it.
-    room = f"{_least_overlap('n', 'm')} - least(s, t) + 1"
+    room = f"{_least_overlap('n', 'm', percent)} - least(s, t) + 1"
     apart = left.join(right, "token").filter(
-        f"(n < m OR (n = m AND a < b)) AND coalesce(e <> f, true) AND 100 * n >= {PERCENT} * m AND n - p >= {room} AND m - q >= {room}"
+        f"(n < m OR (n = m AND a < b)) AND coalesce(e <> f, true) AND 100 * n >= {percent} * m AND n - p >= {room} AND m - q >= {room}"
     )
     second = apart.groupBy("a", "b").agg(F.count("*").alias("both"), F.max(F.least("s", "t")).alias("need")).filter("both >= need")
     second = second.select("a", "b").join(first.select(F.col("a"), F.col("b")), ["a", "b"], "left_anti")
     second = second.join(first.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
     second = stored_table(second, "apart-pairs")
-    more = stored_table(_as_edges(verified(second, texts), classes), "apart-edges")
+    more = stored_table(_as_edges(verified(second, texts, size, percent), classes), "apart-edges")
     # Components of the first round are nodes now.
     spanning = labels.select(F.col("node").alias("u"), F.col("label").alias("v"))
     labels = connected_components(spanning.unionByName(more))
@@ -298,7 +301,9 @@ def shingle_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     )
 
 
-def one_of_each_group(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def one_of_each_group(
+    docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
     """The documents of ``docs``, with all columns, that have the smallest id of their component. Of rows
     with one id and text one stays; documents without words all stay."""
     own = {name: spare(name, docs.columns) for name in ("id", "no_id", "one", "two")}
@@ -306,14 +311,14 @@ def one_of_each_group(docs: DataFrame, id_column: str = "doc_id", text_column: s
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [set_keys(s) for _, s in shingle_sets(batch.column(place))]
+            keys = [set_keys(s) for _, s in shingle_sets(batch.column(place), size)]
             columns = [pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[f"c{i}" for i in range(at)] + ["one", "two"])
 
     def ids(number):
         return [F.coalesce(number, F.lit(0)).alias(own["id"]), number.isNull().alias(own["no_id"])]
 
-    found = shingle_components(docs, id_column, text_column)
+    found = shingle_components(docs, size, percent, id_column, text_column)
     stays = found.filter("n_shingles > 0 AND doc_id <=> component_id")
     stays = stays.select(*ids(F.col("doc_id")), F.col("one").alias(own["one"]), F.col("two").alias(own["two"])).distinct()
     fields = [f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields)]
