@@ -9,9 +9,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pinwatch.llm import exact, jaccard, packing, quality, substrings, url_filter
+from pinwatch.llm import exact, jaccard, licenses, lm_score, packing, pieces, quality, substrings, token_rollup, url_filter
 from pinwatch.llm.encoders import vocabulary_path
-from pinwatch.session import prepare
+from pinwatch.session import prepare, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -54,6 +54,34 @@ def op2_ngram_jaccard_join(spark, table):
     return jaccard.shingle_components(table("documents"), size=3, percent=90).drop("one", "two")
 
 
+_LOSS = f"-ln(CASE WHEN c.n > 0 THEN {lm_score.BIGRAM_WEIGHT} * coalesce(b.n, 0) / c.n + {1 - lm_score.BIGRAM_WEIGHT:.10g} * u.p ELSE u.p END)"
+OP3_SQL = rf"""WITH d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+raw AS (SELECT id, doc_id, unnest(words) AS word, unnest(range(len(words))) AS i FROM d),
+vocabulary AS (SELECT word FROM (SELECT word, count(*) AS n FROM raw GROUP BY word ORDER BY n DESC, word LIMIT {lm_score.VOCABULARY})),
+tokens AS (SELECT id, doc_id, i, coalesce(v.word, '') AS w, lag(coalesce(v.word, ''), 1, ' ') OVER (PARTITION BY id ORDER BY i) AS h
+ FROM raw LEFT JOIN vocabulary v ON v.word = raw.word),
+targets AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND toxic = 0),
+kinds AS (SELECT *, 'b' AS kind FROM tokens UNION ALL SELECT *, 't' AS kind FROM tokens WHERE doc_id IN (SELECT doc_id FROM targets)),
+bigrams AS (SELECT kind, h, w, count(*) AS n FROM kinds GROUP BY ALL),
+contexts AS (SELECT kind, h, sum(n) AS n FROM bigrams GROUP BY ALL),
+entries AS (SELECT word AS w FROM vocabulary UNION ALL SELECT ''),
+k AS (SELECT unnest(['b', 't']) AS kind),
+single AS (SELECT kind, w, (coalesce(n, 0) + 1.0) / (sum(coalesce(n, 0)) OVER (PARTITION BY kind) + count(*) OVER (PARTITION BY kind)) AS p
+ FROM (SELECT k.kind, e.w, any_value(s.n) AS n FROM entries e CROSS JOIN k LEFT JOIN (SELECT kind, w, sum(n) AS n FROM bigrams GROUP BY ALL) s ON s.kind = k.kind AND s.w = e.w GROUP BY ALL)),
+pairs AS (SELECT DISTINCT h, w FROM tokens),
+loss AS (SELECT k.kind, p.h, p.w, {_LOSS} AS loss FROM pairs p CROSS JOIN k JOIN single u ON u.kind = k.kind AND u.w = p.w
+ LEFT JOIN contexts c ON c.kind = k.kind AND c.h = p.h LEFT JOIN bigrams b ON b.kind = k.kind AND b.h = p.h AND b.w = p.w),
+sums AS (SELECT t.id, avg(loss) FILTER (kind = 't') AS target, avg(loss) FILTER (kind = 'b') AS background FROM tokens t JOIN loss l ON l.h = t.h AND l.w = t.w GROUP BY t.id)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_tokens, round(target, 6) AS target_loss, round(background, 6) AS background_loss,
+ round(target - background, 6) AS difference FROM d LEFT JOIN sums s ON s.id = d.id"""
+
+
+@query("op3_lm_scoring", OP3_SQL)
+def op3_lm_scoring(spark, table):
+    good = table("labels").filter("quality = 1 AND toxic = 0")
+    return lm_score.cross_entropy_difference(table("documents"), good)
+
+
 _HOST = r"lower(regexp_extract(url, '^(?:[^:]|:[^/]|:/[^/])*?://([^/?#]*)', 1, 's'))"
 _PATH = r"regexp_extract(url, '^(?:[^:]|:[^/]|:/[^/])*?://[^/?#]*([^?#]*)', 1, 's')"
 _SPLIT = f"SELECT page_id, url, coalesce({_HOST}, '') AS host, coalesce({_PATH}, '') AS path FROM pages"
@@ -122,6 +150,12 @@ def op5_quality_rules(spark, table):
     return quality.quality_rules(table("documents"), table("labels")).drop("text_mark")
 
 
+@query("op6_token_counts")
+def op6_token_counts(spark, table):
+    rollup = token_rollup.TokenRollup(spark, scratch_path(spark, "token-rollup"))
+    return token_rollup.corpus_history(table("documents"), rollup, vocabulary_path())
+
+
 OP7_SQL = r"""WITH d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
 starts AS (SELECT id, unnest(range(1, len(words) - 33)) AS i FROM d WHERE len(words) >= 35),
 windows AS (SELECT s.id, i, md5(array_to_string(words[i:i+34], ' ')) AS w FROM starts s JOIN d ON d.id = s.id),
@@ -147,3 +181,38 @@ FROM d WINDOW same AS (PARTITION BY text_sha256)"""
 @query("op8_exact_dedup", OP8_SQL)
 def op8_exact_dedup(spark, table):
     return exact.exact_duplicates(table("documents"))
+
+
+@query("op9_sentencepiece")
+def op9_sentencepiece(spark, table):
+    return pieces.piece_report(table("documents"), vocabulary_path("piece_bpe_32k.model"), threads=2)
+
+
+_NOTICES = ", ".join(f"({i}, '{name}', '{notice}')" for i, (name, notice) in enumerate(licenses.TEMPLATES))
+
+
+def _license_words(text: str) -> str:
+    return f"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z]+')"
+
+
+def _five(words: str) -> str:
+    return f"[array_to_string({words}[i:i+4], ' ') for i in range(1, len({words}) - 3)]"
+
+
+OP10_SQL = f"""WITH notices(template, license, notice) AS (VALUES {_NOTICES}),
+worded AS (SELECT template, license, {_license_words("notice")} AS words FROM notices),
+templates AS (SELECT template, license, list_distinct({_five("words")}) AS sh FROM worded),
+sized AS (SELECT *, len(sh) AS n, CASE WHEN len(sh) <= 1 THEN 2 WHEN len(sh) <= 2 THEN 4 WHEN len(sh) <= 4 THEN 8 WHEN len(sh) <= 8 THEN 16 WHEN len(sh) <= 16 THEN 32 ELSE 64 END AS width FROM templates WHERE len(sh) > 0),
+d AS (SELECT row_number() OVER () AS id, doc_id, {_license_words("coalesce(text, '')")} AS words FROM documents),
+tokens AS (SELECT id, doc_id, unnest({_five("d.words")}) AS t, unnest(range(len(words) - 4)) AS i FROM d WHERE len(words) > 4),
+parts AS (SELECT template, license, n, width, unnest(sh) AS t FROM sized),
+hits AS (SELECT k.id, k.doc_id, p.template, p.license, p.n, p.width, k.t, i, unnest([i // (width // 2), i // (width // 2) - 1]) * (width // 2) AS place
+ FROM tokens k JOIN parts p ON p.t = k.t),
+windows AS (SELECT id, doc_id, template, license, n, place, count(DISTINCT t) AS c FROM hits WHERE place >= 0 AND i < place + width GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY id, template ORDER BY c DESC, place) AS k FROM windows WHERE c >= {licenses.CONTAINED} * n)
+SELECT doc_id, license, template, CAST(place AS INTEGER) AS place, round(c / n, 6) AS containment FROM best WHERE k = 1"""
+
+
+@query("op10_license_scans", OP10_SQL)
+def op10_license_scans(spark, table):
+    return licenses.scan_licenses(table("documents"), licenses.template_table(spark))
