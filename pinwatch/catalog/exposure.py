@@ -8,7 +8,7 @@ from pinwatch import schemas
 from pinwatch.catalog.feeds import as_of
 from pinwatch.catalog.registry import query
 from pinwatch.catalog.views import AS_OF, Tables
-from pinwatch.operators import checks, closure, graph, lookups, manifests, match, sbom, scoring, vulnerabilities as V
+from pinwatch.operators import closure, graph, lookups, manifests, match, posture, sbom, scoring, vulnerabilities as V
 from pinwatch.plans import exposure as plan
 from pinwatch.functions.scalars import match_id
 from pinwatch.session import scratch_path
@@ -29,10 +29,10 @@ def cves(t: Tables) -> DataFrame:
 # --- records ----------------------------------------------------------------------------------------
 
 
-@query("union_sources", "SELECT source, count(*) AS records FROM vuln_events GROUP BY source")
+@query("union_sources", "SELECT event_id, cve_id, source, affected_package, cvss_score FROM vuln_events")
 def union_sources(t: Tables) -> DataFrame:
     nvd = t.vulns.filter("source = 'nvd'").drop("affected_list")
-    return V.union_sources(osv(t), nvd).groupBy("source").agg(F.count("*").alias("records"))
+    return V.union_sources(osv(t), nvd).select("event_id", "cve_id", "source", "affected_package", "cvss_score")
 
 
 @query("dedup_first_ever", f"""SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY {_RECORD}
@@ -58,9 +58,10 @@ def cve_state_lww(t: Tables) -> DataFrame:
     return V.latest_record(t.vulns).select("event_id")
 
 
-@query("cve_ttl_24h", "SELECT event_id FROM vuln_events WHERE ingested_at > TIMESTAMP '2000-01-01' - INTERVAL 24 HOUR")
+@query("cve_ttl_24h", """SELECT event_id FROM vuln_events WHERE ingested_at > TIMESTAMP '1995-03-05' - INTERVAL 24 HOUR
+ AND ingested_at <= TIMESTAMP '1995-03-05'""")
 def cve_ttl_24h(t: Tables) -> DataFrame:
-    return V.within_ttl(t.vulns, F.lit("2000-01-01").cast("timestamp"), hours=24).select("event_id")
+    return V.within_ttl(t.vulns, F.lit("1995-03-05").cast("timestamp"), hours=24).select("event_id")
 
 
 @query("cvss_enrich", "SELECT event_id, cvss_score, severity_tier, cwe_id FROM cves")
@@ -106,7 +107,7 @@ _HISTORY = """SELECT e.service_id, o.ecosystem, o.package, o.version, e.event_id
 @query("dep_snapshot_history", f"""SELECT service_id, ecosystem, trigger_event_id, snapshot_at, {_MAP} AS dependencies
  FROM ({_HISTORY}) h GROUP BY 1, 2, 3, 4""")
 def dep_snapshot_history(t: Tables) -> DataFrame:
-    return _as_text(graph.snapshot_history(t.ops, t.ops, graph.crowded_pins(t.ops))).drop("part")
+    return _as_text(graph.snapshot_history(t.ops, t.ops, graph.crowded_pins(t.ops)))
 
 
 @query("scd2_dependencies", "SELECT service_id, ecosystem, package, version, valid_from, valid_to, from_event FROM scd2")
@@ -114,21 +115,25 @@ def scd2_dependencies(t: Tables) -> DataFrame:
     return graph.validity_intervals(t.ops, graph.crowded_pins(t.ops))
 
 
-@query("latest_snapshot", f"""WITH h AS ({_HISTORY}), last_one AS (SELECT service_id, max((snapshot_at, trigger_event_id)) AS m
- FROM h GROUP BY 1) SELECT h.service_id, h.trigger_event_id, {_MAP} AS dependencies FROM h JOIN last_one l
- ON h.service_id = l.service_id AND (h.snapshot_at, h.trigger_event_id) = l.m GROUP BY 1, 2""")
+_LAST_EVENT = "SELECT service_id, max((occurred_at, event_id)) AS m FROM dep_ops GROUP BY 1"
+
+
+@query("latest_snapshot", f"""WITH h AS ({_HISTORY}) SELECT h.service_id, h.ecosystem, h.trigger_event_id, h.snapshot_at, {_MAP} AS dependencies
+ FROM h JOIN ({_LAST_EVENT}) l ON h.service_id = l.service_id AND (h.snapshot_at, h.trigger_event_id) = l.m GROUP BY 1, 2, 3, 4""")
 def latest_snapshot(t: Tables) -> DataFrame:
-    history = graph.snapshot_rows(t.ops, t.ops, graph.crowded_pins(t.ops))
-    entries = F.sort_array(F.collect_list(F.concat_ws("=", "package", "version")))
-    stored_rows = history.groupBy("service_id", "trigger_event_id", "snapshot_at").agg(entries.alias("d"))
-    snapshots = stored_rows.select("service_id", "trigger_event_id", "snapshot_at", F.array_join("d", ",").alias("dependencies"),
-                                   F.col("trigger_event_id").alias("snapshot_id"))
-    return graph.latest_snapshot(snapshots).select("service_id", "trigger_event_id", "dependencies")
+    """From stored snapshots: those of the last events and, for the services that have any, an older one."""
+    last = graph.stored_snapshots(graph.latest_state(t.ops, t.ops))
+    early = t.ops.filter("occurred_at < '1995-01-01'")
+    path = scratch_path(t.spark, "dep_graph_snapshots")
+    stored.append_table(graph.stored_snapshots(graph.latest_state(early, early)), "dep_graph_snapshots", path)
+    stored.append_table(last, "dep_graph_snapshots", path)
+    newest = graph.latest_snapshot(read_table(t.spark, "dep_graph_snapshots", path))
+    return _as_text(newest).select("service_id", "ecosystem", F.col("snapshot_id").alias("trigger_event_id"), "snapshot_at", "dependencies")
 
 
-@query("get_dependency_graph", "SELECT service_id, package, version FROM pins")
+@query("get_dependency_graph", "SELECT service_id, ecosystem, package, version FROM pins")
 def get_dependency_graph(t: Tables) -> DataFrame:
-    return graph.snapshot_maps(t.ops).select("service_id", F.explode("dependencies").alias("package", "version"))
+    return graph.current_pins(t.ops).select("service_id", "ecosystem", "package", "version")
 
 
 _SETTLED = """SELECT *, lag(op) OVER (PARTITION BY service_id, ecosystem, package ORDER BY occurred_at, event_id) AS prev_op
@@ -174,7 +179,7 @@ def pkg_case_insensitive(t: Tables) -> DataFrame:
 
 
 @query("version_in_list", """SELECT p.service_id, p.package, p.version FROM pins p WHERE EXISTS (SELECT 1 FROM cves c
- WHERE c.ecosystem = p.ecosystem AND c.pk = lower(p.package) AND list_contains(c.listed, p.version))""")
+ WHERE c.ecosystem IN (p.ecosystem, '') AND c.pk = lower(p.package) AND list_contains(c.listed, p.version))""")
 def version_in_list(t: Tables) -> DataFrame:
     return match.listed_versions(graph.current_pins(t.ops), cves(t)).select("service_id", "package", "version")
 
@@ -209,9 +214,15 @@ def match_idempotent(t: Tables) -> DataFrame:
     return _idempotent(t)
 
 
-@query("agent_dedup", "SELECT cve_id, service_id, matched_version, count(*) AS reports FROM vulnerability_matches GROUP BY 1, 2, 3")
+@query("agent_dedup", """SELECT cve_id, service_id, matched_version, min(detected_at) AS detected_at,
+ arg_min(match_id, (detected_at, match_id)) AS match_id FROM vulnerability_matches GROUP BY 1, 2, 3""")
 def agent_dedup(t: Tables) -> DataFrame:
-    return match.match_idempotent(t.matches).groupBy("cve_id", "service_id", "matched_version").agg(F.count("*").alias("reports"))
+    """Every match is reported twice more, a little later: the agent hears of it once."""
+    again = lambda n: t.matches.withColumns({
+        "match_id": F.concat("match_id", F.lit(f"-{n}")), "detected_at": F.col("detected_at") + F.make_dt_interval(hours=F.lit(n))
+    })
+    heard = t.matches.unionByName(again(1)).unionByName(again(30))
+    return match.match_idempotent(heard).select("cve_id", "service_id", "matched_version", "detected_at", "match_id")
 
 
 @query("auto_resolve", """WITH v AS (SELECT s.*, h.cve_id, h.ingested_at FROM scd2 s JOIN hits h ON s.ecosystem = h.ecosystem
@@ -234,9 +245,16 @@ def pr_risk_gate(t: Tables) -> DataFrame:
     return lookups.pr_risk_gate(t.ops, cves(t), graph.crowded_pins(t.ops))
 
 
-@query("get_remediation_path", """WITH h AS (SELECT *, list_transform(string_split(safe_version, '.'), lambda x: CAST(x AS INT)) AS k
- FROM hits WHERE safe_version <> '') SELECT ecosystem, pk AS package, version, arg_max(safe_version, k) AS upgrade_to,
- count(DISTINCT cve_id) AS cves FROM h GROUP BY 1, 2, 3""")
+@query("get_remediation_path", """WITH tried AS (SELECT DISTINCT k.ecosystem, k.pk, c.safe_version AS fix,
+ list_transform(string_split(c.safe_version, '.'), lambda x: CAST(x AS INT)) AS v FROM catalogue k JOIN cves c ON c.pk = k.pk
+ AND (c.ecosystem = '' OR c.ecosystem = k.ecosystem) WHERE c.safe_version <> ''),
+ clean AS (SELECT * FROM tried t WHERE NOT EXISTS (SELECT 1 FROM cves c WHERE c.pk = t.pk AND (c.ecosystem = '' OR c.ecosystem = t.ecosystem)
+ AND (list_contains(c.listed, t.fix) OR (c.hi IS NOT NULL AND t.v < c.hi AND (c.lo IS NULL OR t.v >= c.lo))))),
+ found AS (SELECT ecosystem, pk, version, count(DISTINCT cve_id) AS cves, bool_or(coalesce(safe_version, '') = '') AS unfixed FROM hits GROUP BY 1, 2, 3),
+ best AS (SELECT f.ecosystem, f.pk, f.version, arg_min(c.fix, c.v) AS upgrade_to FROM found f JOIN clean c ON c.pk = f.pk AND c.ecosystem = f.ecosystem
+ AND c.v >= list_transform(string_split(f.version, '.'), lambda x: CAST(x AS INT)) WHERE NOT unfixed GROUP BY 1, 2, 3)
+ SELECT f.ecosystem, f.pk AS package, f.version, upgrade_to, cves, CASE WHEN unfixed THEN 'no fix known' WHEN upgrade_to IS NULL
+ THEN 'every fix is affected' ELSE 'fixed' END AS reason FROM found f LEFT JOIN best b ON b.ecosystem = f.ecosystem AND b.pk = f.pk AND b.version = f.version""")
 def get_remediation_path(t: Tables) -> DataFrame:
     return lookups.remediation_path(t.pins_ever.select("ecosystem", "package", "version").distinct(), cves(t))
 
@@ -354,6 +372,43 @@ def sink_tables(t: Tables) -> DataFrame:
     )
 
 
+def _written(t: Tables, name: str, rows: DataFrame) -> DataFrame:
+    path = scratch_path(t.spark, name)
+    stored.append_table(rows, name, path)
+    return read_table(t.spark, name, path)
+
+
+@query("sink_vulnerabilities", """SELECT cve_id, source, affected_package, ecosystem, affected_version_range, safe_version, cwe_id,
+ severity_tier, CAST(cvss_score AS DOUBLE) AS cvss_score FROM cves""")
+def sink_vulnerabilities(t: Tables) -> DataFrame:
+    return _written(t, "vulnerabilities", cves(t)).select(
+        "cve_id", "source", "affected_package", "ecosystem", "affected_version_range", "safe_version", "cwe_id", "severity_tier",
+        F.col("cvss_score").cast("double").alias("cvss_score"),
+    )
+
+
+@query("sink_triage_reports", "SELECT report_id, match_id, exploitability, CAST(confidence_score AS DOUBLE) AS confidence_score FROM triage_reports")
+def sink_triage_reports(t: Tables) -> DataFrame:
+    return _written(t, "triage_reports", t.view("triage_reports")).select(
+        "report_id", "match_id", "exploitability", F.col("confidence_score").cast("double").alias("confidence_score")
+    )
+
+
+@query("sink_dep_graph_snapshots", f"""SELECT service_id, ecosystem, event_id AS snapshot_id, {_MAP} AS dependencies
+ FROM pins JOIN (SELECT service_id, m[2] AS event_id FROM ({_LAST_EVENT}) x) l USING (service_id) GROUP BY 1, 2, 3""")
+def sink_dep_graph_snapshots(t: Tables) -> DataFrame:
+    rows = graph.stored_snapshots(graph.latest_state(t.ops, t.ops))
+    return _as_text(_written(t, "dep_graph_snapshots", rows)).select("service_id", "ecosystem", "snapshot_id", "dependencies")
+
+
+@query("check_fk_reports", "SELECT report_id, match_id FROM triage_reports WHERE match_id NOT IN (SELECT match_id FROM open_matches)")
+def check_fk_reports(t: Tables) -> DataFrame:
+    """Reports whose match is no longer open, as if only open matches were stored."""
+    still_open = t.matches.filter(posture.is_open(AS_OF))
+    found = stored.violations("triage_reports", t.view("triage_reports"), {"vulnerability_matches": still_open})
+    return found["match_id"].select("report_id", "match_id")
+
+
 @query("sink_audit_log", "SELECT CAST(date_trunc('month', detected_at) AS DATE) AS event_date, count(*) AS entries FROM vulnerability_matches GROUP BY 1")
 def sink_audit_log(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "audit")
@@ -382,9 +437,19 @@ def sbom_export(t: Tables) -> DataFrame:
     return back.select("service_id", "components", F.array_join(F.sort_array(listed), ",").alias("purls"))
 
 
-@query("sbom_export_spdx", "SELECT service_id, CAST(count(*) AS INT) AS packages FROM pins GROUP BY 1")
+@query("sbom_export_spdx", f"""SELECT service_id, CAST(count(*) AS INT) AS packages, string_agg({_PURL}, ',' ORDER BY {_PURL}) AS purls,
+ string_agg(package || '=' || version, ',' ORDER BY package || '=' || version) AS named, 'SPDX-2.3' AS kind, true AS valid FROM pins GROUP BY 1""")
 def sbom_export_spdx(t: Tables) -> DataFrame:
-    return sbom.spdx(graph.current_pins(t.ops), F.lit(AS_OF)).select("service_id", "packages")
+    documents = sbom.spdx(graph.current_pins(t.ops), F.lit(AS_OF))
+    shape = """spdxVersion STRING, documentNamespace STRING, creationInfo STRUCT<created: STRING, creators: ARRAY<STRING>>,
+        packages ARRAY<STRUCT<SPDXID: STRING, name: STRING, versionInfo: STRING, externalRefs: ARRAY<STRUCT<referenceLocator: STRING>>>>"""
+    d = F.from_json("document", shape)
+    purls = F.transform(d["packages"], lambda p: p["externalRefs"][0]["referenceLocator"])
+    named = F.transform(d["packages"], lambda p: F.concat_ws("=", p["name"], p["versionInfo"]))
+    ids = F.transform(d["packages"], lambda p: p["SPDXID"])
+    text = lambda values: F.array_join(F.sort_array(values), ",")
+    valid = d["documentNamespace"].isNotNull() & (F.size(d["creationInfo"]["creators"]) > 0) & (F.size(F.array_distinct(ids)) == F.size(ids))
+    return documents.select("service_id", "packages", text(purls).alias("purls"), text(named).alias("named"), d["spdxVersion"].alias("kind"), valid.alias("valid"))
 
 
 # --- manifests, indirect dependencies -----------------------------------------------------------------

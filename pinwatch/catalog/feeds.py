@@ -454,3 +454,13 @@ def next_cursor(t: Tables) -> DataFrame:
     records = feeds.readable(feeds.read_osv(t.spark, osv_files(t)))
     wanted = t.registry.select("ecosystem").unionByName(t.sql("SELECT 'hex' AS ecosystem"))
     return cursors.next_cursor(records.withColumn("ecosystem", S.canonical_ecosystem(F.col("feed_ecosystem"))), wanted, as_of())
+
+
+@query("poll_start", f"""SELECT e.ecosystem AS feed, coalesce(m.newest, TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR) AS cursor
+ FROM (SELECT DISTINCT ecosystem FROM service_registry UNION SELECT 'hex') e LEFT JOIN
+ (SELECT canonical, max(modified_at) AS newest FROM ({_OSV_SQL}) x GROUP BY 1) m ON e.ecosystem = m.canonical""")
+def poll_start(t: Tables) -> DataFrame:
+    records = feeds.readable(feeds.read_osv(t.spark, osv_files(t)))
+    cursors_ = records.select(S.canonical_ecosystem(F.col("feed_ecosystem")).alias("feed"), F.col("modified_at").alias("cursor"))
+    wanted = t.registry.select(F.col("ecosystem").alias("feed")).unionByName(t.sql("SELECT 'hex' AS feed"))
+    return cursors.poll_start(cursors_, wanted, as_of())

@@ -140,7 +140,7 @@ def get_security_posture_summary(t: Tables) -> DataFrame:
 # --- lookups ----------------------------------------------------------------------------------------
 
 
-@query("get_vulnerability_exposure", """SELECT match_id, cve_id, service_id, blast_radius, status, sla_deadline,
+@query("get_vulnerability_exposure", """SELECT match_id, cve_id, service_id, blast_radius, status, sla_deadline, assigned_to,
  match_id IN (SELECT match_id FROM triage_reports) AS triaged FROM open_matches""")
 def get_vulnerability_exposure(t: Tables) -> DataFrame:
     return lookups.vulnerability_exposure(t.matches, t.view("triage_reports"), AS_OF)
@@ -152,7 +152,7 @@ def get_cve_details(t: Tables) -> DataFrame:
     return lookups.cve_details(cves(t), t.matches, t.view("triage_reports"))
 
 
-@query("get_affected_services", f"""SELECT cve_id, service_id, blast_radius, sla_deadline,
+@query("get_affected_services", f"""SELECT cve_id, service_id, blast_radius, blast_radius_score, sla_deadline,
  CASE WHEN sla_deadline < {_AT} THEN 'breached' ELSE 'within' END AS sla_state FROM open_matches""")
 def get_affected_services(t: Tables) -> DataFrame:
     return lookups.affected_services(t.matches, AS_OF)
@@ -204,7 +204,7 @@ _MEANS = """e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST
 
 
 @query("embedding_topk", f"""WITH {_MEANS} SELECT label, vec_id, similarity, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER
- (PARTITION BY label ORDER BY similarity DESC, vec_id) AS rank FROM (SELECT e.label, vec_id, round({_SIMILARITY}, 6) AS similarity
+ (PARTITION BY label ORDER BY exact DESC, vec_id) AS rank, round(exact, 6) AS similarity FROM (SELECT e.label, vec_id, {_SIMILARITY} AS exact
  FROM e JOIN m ON e.label = m.label) s) r WHERE rank <= 5""")
 def embedding_topk(t: Tables) -> DataFrame:
     vectors = t.base("embeddings")
@@ -214,8 +214,8 @@ def embedding_topk(t: Tables) -> DataFrame:
 _QUERY_VECTOR = [(i % 7 - 3) / 4.0 for i in range(64)]
 
 
-@query("search_vulnerabilities", f"""SELECT vec_id, round({_SIMILARITY}, 6) AS similarity FROM (SELECT vec_id,
- list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v, {_QUERY_VECTOR}::DOUBLE[] AS q FROM embeddings) x
- ORDER BY similarity DESC, vec_id LIMIT 5""")
+@query("search_vulnerabilities", f"""SELECT vec_id, round(exact, 6) AS similarity FROM (SELECT vec_id, {_SIMILARITY} AS exact FROM (SELECT vec_id,
+ list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v, {_QUERY_VECTOR}::DOUBLE[] AS q FROM embeddings) x) y
+ ORDER BY exact DESC, vec_id LIMIT 5""")
 def search_vulnerabilities(t: Tables) -> DataFrame:
     return search.search(t.base("embeddings"), _QUERY_VECTOR)

@@ -64,7 +64,8 @@ VIEWS = {
  {_ecosystem('c_custkey')} AS ecosystem, 'org/svc-' || CAST(c_custkey AS STRING) AS repo,
  c_custkey % 3 = 0 AS is_customer_facing, c_custkey % 4 = 0 AS pci_scope, c_custkey % 10 = 0 AS hipaa_scope,
  c_custkey % 2 = 0 AS soc2_scope, c_custkey % 5 = 0 AS pii_handler, c_name AS description FROM customer""",
-    # Small parts were re-published twice, 6 or 20 hours apart; one brand has no score record.
+    # Small parts were re-published twice, 6 or 20 hours apart; one brand has no score record, and
+    # another a later one without a score.
     "vuln_events": f"""{_advisory(0)}
  UNION ALL {_advisory(1, 'WHERE p_size <= 10')}
  UNION ALL {_advisory(2, 'WHERE p_size <= 10')}
@@ -72,7 +73,10 @@ VIEWS = {
  CAST('1995-01-01' AS TIMESTAMP) + INTERVAL '1' DAY * CAST(p_partkey % 2400 AS INT) + INTERVAL '1' HOUR * 2,
  p_size / 5.0E0, CAST(NULL AS STRING),
  CASE p_type WHEN 'ECONOMY' THEN 'CWE-284' WHEN 'SMALL' THEN 'CWE-285' WHEN 'MEDIUM' THEN 'CWE-862' ELSE 'CWE-79' END,
- '', '', '', '', '' FROM part WHERE p_brand <> 'Brand#9'""",
+ '', '', '', '', '' FROM part WHERE p_brand <> 'Brand#9'
+ UNION ALL SELECT 'nvd0-' || CAST(p_partkey AS STRING), 'CVE-2024-' || CAST(10000 + p_partkey AS STRING), 'nvd',
+ CAST('1995-01-01' AS TIMESTAMP) + INTERVAL '1' DAY * CAST(p_partkey % 2400 + 3 AS INT), 0.0E0, CAST(NULL AS STRING),
+ CAST(NULL AS STRING), '', '', '', '', '' FROM part WHERE p_brand IN ('Brand#3', 'Brand#9')""",
     "dep_ops": f"""SELECT 'ev-' || CAST(o_orderkey AS STRING) AS event_id, {_SERVICE} AS service_id,
  {_ecosystem(_OP_PACKAGE)} AS ecosystem, 'pkg-' || CAST({_OP_PACKAGE} AS STRING) AS package,
  CASE WHEN l_returnflag = 'R' THEN NULL
@@ -91,7 +95,9 @@ VIEWS = {
  CAST(o_orderdate AS TIMESTAMP) AS detected_at, CAST(o_orderdate AS TIMESTAMP) + INTERVAL '1' HOUR * {_HOURS} AS sla_deadline,
  CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL '1' DAY * CAST(o_orderkey % 40 AS INT) END
    AS resolved_at,
- CAST(o_orderdate AS TIMESTAMP) - INTERVAL '1' MINUTE * CAST(o_orderkey % 600 AS INT) AS published_at FROM orders""",
+ CAST(o_orderdate AS TIMESTAMP) - INTERVAL '1' MINUTE * CAST(o_orderkey % 600 AS INT) AS published_at,
+ CASE WHEN o_orderstatus <> 'O' THEN 'eng-' || CAST(o_custkey % 50 AS STRING) END AS assigned_to,
+ CAST(o_orderkey % 101 AS DOUBLE) / 100.0E0 AS blast_radius_score FROM orders""",
     "triage_reports": f"""SELECT 'r-' || CAST(o_orderkey AS STRING) AS report_id, 'm-' || CAST(o_orderkey AS STRING) AS match_id,
  CASE WHEN o_totalprice < 60000 THEN 'theoretical' WHEN o_totalprice < 150000 THEN 'likely' ELSE 'active' END AS exploitability,
  CAST({_whole('o_totalprice')} % 101 AS DOUBLE) / 100.0E0 AS confidence_score
@@ -146,7 +152,7 @@ STEPS = {
     "osv_first": """SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY cve_id, affected_package, ecosystem,
  affected_version_range ORDER BY ingested_at, event_id) AS rn FROM vuln_events WHERE source = 'osv') WHERE rn = 1""",
     "nvd_last": """SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY cve_id ORDER BY ingested_at DESC, event_id DESC) AS rn
- FROM vuln_events WHERE source = 'nvd') WHERE rn = 1""",
+ FROM vuln_events WHERE source = 'nvd' AND cvss_score > 0) WHERE rn = 1""",
     "cves": """SELECT o.* EXCLUDE (cvss_score, severity_tier, cwe_id), coalesce(n.cvss_score, o.cvss_score, 0.0) AS cvss_score,
  CASE WHEN n.cvss_score IS NULL THEN o.severity_tier WHEN n.cvss_score >= 9 THEN 'CRITICAL' WHEN n.cvss_score >= 7 THEN 'HIGH'
    WHEN n.cvss_score >= 4 THEN 'MEDIUM' ELSE 'LOW' END AS severity_tier, coalesce(n.cwe_id, o.cwe_id) AS cwe_id,

@@ -88,6 +88,8 @@ FRAMEWORK_CONTROLS = (
     ("soc2", "soc2_scope", "CC7.1"),
     ("soc2", "soc2_scope", "CC7.2"),
     ("iso27001", None, "A.12.6"),
+    ("nist_csf", None, "DE.CM-8"),
+    ("nist_csf", None, "RS.AN-5"),
 )
 
 # Text chunks in tokens.

@@ -34,6 +34,14 @@ def next_cursor(records: DataFrame, ecosystems: DataFrame, as_of: Column, fallba
     return joined.select("ecosystem", F.coalesce("newest", fallback).alias("cursor"))
 
 
+def poll_start(cursors: DataFrame, feeds: DataFrame, as_of: Column, fallback_hours: int = 24) -> DataFrame:
+    """Where an incremental poll starts: the stored cursor of the feed, or ``fallback_hours`` back for a
+    feed that was never read."""
+    stored = cursors.groupBy("feed").agg(F.max("cursor").alias("stored"))
+    joined = feeds.select("feed").distinct().join(stored, "feed", "left")
+    return joined.select("feed", F.coalesce("stored", as_of - F.make_dt_interval(hours=F.lit(fallback_hours))).alias("cursor"))
+
+
 def replay_counts(lines: DataFrame) -> DataFrame:
     """Events per archive hour with the running total of the replay. The window sees one row per
     hour, not the events."""

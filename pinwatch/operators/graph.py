@@ -8,7 +8,7 @@ belongs to the pin, not to the service, so a service may hold several. ``crowded
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from pinwatch.plans.timeline import KEY_LIMIT, crowded_keys, pick, with_neighbours
 
@@ -102,34 +102,41 @@ def snapshot_rows(ops: DataFrame, events: DataFrame, crowded: DataFrame | None =
     )
 
 
-def _maps(rows: DataFrame, keys: list[str], max_entries: int) -> DataFrame:
-    """Pins -> maps. A state beyond ``max_entries`` pins is cut into numbered parts, so that no
-    group outgrows a task; every part is a row, and nothing is left out."""
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    parts = F.ceil(F.col("_n") / max_entries)
-    spread = rows.join(sizes, keys).withColumn("part", F.pmod(F.xxhash64("ecosystem", "package"), parts).cast("int"))
+def _maps(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Pins -> one map per key and ecosystem. A map is one value and holds what one service holds; rows
+    per pin (``current_pins``, ``snapshot_rows``) are the form for anything larger than a message."""
     entries = F.sort_array(F.collect_list(F.struct("package", "version")))
-    return spread.groupBy(*keys, "ecosystem", "part").agg(F.map_from_entries(entries).alias("dependencies"))
+    return rows.groupBy(*keys, "ecosystem").agg(F.map_from_entries(entries).alias("dependencies"))
 
 
-def snapshot_maps(ops: DataFrame, max_entries: int = 100_000) -> DataFrame:
+def snapshot_maps(ops: DataFrame) -> DataFrame:
     """Current state of a service as package -> version maps, one per ecosystem."""
-    return _maps(current_pins(ops), ["service_id"], max_entries)
+    return _maps(current_pins(ops), ["service_id"])
 
 
-def snapshot_history(
-    ops: DataFrame, events: DataFrame, crowded: DataFrame | None = None, max_entries: int = 100_000
-) -> DataFrame:
-    keys = ["service_id", "trigger_event_id", "snapshot_at"]
-    return _maps(snapshot_rows(ops, events, crowded), keys, max_entries)
+def snapshot_history(ops: DataFrame, events: DataFrame, crowded: DataFrame | None = None) -> DataFrame:
+    return _maps(snapshot_rows(ops, events, crowded), ["service_id", "trigger_event_id", "snapshot_at"])
+
+
+def latest_state(ops: DataFrame, events: DataFrame) -> DataFrame:
+    """What the snapshots after each service's last event hold, one row per pin: the current pins with
+    that event. Two aggregates; no earlier snapshot is built."""
+    last = pick(events.select("service_id", "event_id", "occurred_at"), ["service_id"], ["occurred_at", "event_id"], last=True)
+    return current_pins(ops).drop("since").join(last, "service_id").select(
+        *PIN, "version", F.col("event_id").alias("trigger_event_id"), F.col("occurred_at").alias("snapshot_at")
+    )
+
+
+def stored_snapshots(states: DataFrame) -> DataFrame:
+    """Snapshot rows in the shape of the stored table: one row per snapshot and ecosystem."""
+    maps = _maps(states, ["service_id", "trigger_event_id", "snapshot_at"])
+    return maps.select(F.col("trigger_event_id").alias("snapshot_id"), "service_id", "ecosystem", "dependencies", "snapshot_at")
 
 
 def latest_snapshot(snapshots: DataFrame, service_id: str | None = None) -> DataFrame:
-    """Newest stored snapshot per service, or of one service."""
+    """Newest stored snapshot per service, or of one service: all rows of it, one per ecosystem."""
     if service_id is not None:
         snapshots = snapshots.filter(F.col("service_id") == service_id)
-    return pick(snapshots, ["service_id"], ["snapshot_at", "snapshot_id"], last=True)
-
-
-def with_snapshot_id(snapshots: DataFrame, *parts: Column) -> DataFrame:
-    return snapshots.withColumn("snapshot_id", F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256))
+    newest = snapshots.groupBy("service_id").agg(F.max(F.struct("snapshot_at", "snapshot_id")).alias("_newest"))
+    newest = newest.select("service_id", "_newest.snapshot_at", "_newest.snapshot_id")
+    return snapshots.join(newest, ["service_id", "snapshot_at", "snapshot_id"], "left_semi")

@@ -18,11 +18,11 @@ def _only(df: DataFrame, column: str, value) -> DataFrame:
 
 
 def vulnerability_exposure(matches: DataFrame, reports: DataFrame, as_of, service_id: str | None = None) -> DataFrame:
-    """Open findings with deadline, status and whether a triage report exists."""
+    """Open findings with deadline, status, assignee and whether a triage report exists."""
     rows = _only(matches, "service_id", service_id).filter(is_open(as_of))
     triaged = reports.select("match_id").distinct().withColumn("triaged", F.lit(True))
     return rows.join(triaged, "match_id", "left").select(
-        "match_id", "cve_id", "service_id", "blast_radius", "status", "sla_deadline",
+        "match_id", "cve_id", "service_id", "blast_radius", "status", "sla_deadline", "assigned_to",
         F.coalesce("triaged", F.lit(False)).alias("triaged"),
     )
 
@@ -37,20 +37,43 @@ def cve_details(vulnerabilities: DataFrame, matches: DataFrame, reports: DataFra
 
 
 def remediation_path(requests: DataFrame, cves: DataFrame) -> DataFrame:
-    """For each (ecosystem, package, version): the lowest version that clears every vulnerability
-    affecting it, which is the highest of their fixes. Unaffected requests have no row."""
-    carry = ["cve_id", "safe_version"]
-    hits = match_pins(requests, cves, carry).filter("safe_version <> ''")
-    return hits.groupBy("ecosystem", "package", "version").agg(
-        F.max_by("safe_version", version_key(F.col("safe_version"))).alias("upgrade_to"),
+    """For each affected (ecosystem, package, version): the lowest fix of the package, not below the
+    version, that no record of the package affects. NULL, with the reason, where a vulnerability has no
+    fix or every fix is affected itself. Unaffected requests have no row.
+
+    Fixes are few per package and are tested like versions in use, once each.
+    """
+    wanted = requests.select("ecosystem", "package", "version").distinct()
+    hits = match_pins(wanted, cves, ["cve_id", "safe_version"])
+    found = hits.groupBy("ecosystem", "package", "version").agg(
         F.count_distinct("cve_id").alias("cves"),
+        F.max((F.coalesce("safe_version", F.lit("")) == "").cast("int")).alias("unfixed"),
+    )
+    fixes = cves.filter("safe_version <> ''").select(
+        package_key("affected_package").alias("package_key"), F.coalesce("ecosystem", F.lit("")).alias("_of"), F.col("safe_version").alias("version")
+    ).distinct()
+    packages = wanted.select("ecosystem", package_key().alias("package_key")).distinct()
+    tried = packages.join(fixes, "package_key").filter("_of = '' OR _of = ecosystem")
+    tried = tried.select("ecosystem", F.col("package_key").alias("package"), "version").distinct()
+    affected = affected_versions(tried, cves, ["cve_id"]).select("ecosystem", F.col("package_key").alias("package"), "version")
+    clean = tried.join(affected, ["ecosystem", "package", "version"], "left_anti").select(
+        "ecosystem", F.col("package").alias("package_key"), F.col("version").alias("fix"), version_key(F.col("version")).alias("_fix_key")
+    )
+    # A fix below the version is no upgrade; the least of the others, without gathering them.
+    open_ = found.filter("unfixed = 0").withColumn("package_key", package_key()).withColumn("_key", version_key(F.col("version")))
+    best = open_.join(clean, ["ecosystem", "package_key"]).filter("_fix_key >= _key").groupBy("ecosystem", "package", "version").agg(
+        F.min_by("fix", "_fix_key").alias("upgrade_to")
+    )
+    reason = F.when(F.col("unfixed") == 1, "no fix known").when(F.col("upgrade_to").isNull(), "every fix is affected").otherwise("fixed")
+    return found.join(best, ["ecosystem", "package", "version"], "left").select(
+        "ecosystem", "package", "version", "upgrade_to", "cves", reason.alias("reason")
     )
 
 
 def affected_services(matches: DataFrame, as_of, cve_id: str | None = None) -> DataFrame:
     rows = _only(matches, "cve_id", cve_id).filter(is_open(as_of))
     overdue = F.col("sla_deadline") < F.lit(as_of).cast("timestamp")
-    return rows.select("cve_id", "service_id", "blast_radius", "sla_deadline",
+    return rows.select("cve_id", "service_id", "blast_radius", "blast_radius_score", "sla_deadline",
                        F.when(overdue, "breached").otherwise("within").alias("sla_state"))
 
 

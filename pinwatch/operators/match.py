@@ -86,14 +86,18 @@ def _parsed_records(cves: DataFrame, carry: list[str]) -> DataFrame:
 
 
 def listed_versions(pins: DataFrame, cves: DataFrame) -> DataFrame:
-    """Pins whose exact version some vulnerability lists; long lists become rows, not array scans."""
+    """Pins whose exact version some vulnerability lists; long lists become rows, not array scans. A
+    record without ecosystem lists versions of the package in any."""
     listed = cves.select(
         package_key("affected_package").alias("package_key"),
-        "ecosystem",
+        F.coalesce("ecosystem", F.lit("")).alias("ecosystem"),
         F.explode("affected_versions").alias("version"),
-    )
+    ).distinct()
     keyed = pins.withColumn("package_key", package_key())
-    return keyed.join(listed, VERSION, "left_semi").drop("package_key")
+    named = keyed.join(listed.filter("ecosystem <> ''"), VERSION, "left_semi")
+    anywhere = listed.filter("ecosystem = ''").select("package_key", "version")
+    others = keyed.join(listed.filter("ecosystem <> ''"), VERSION, "left_anti")
+    return named.unionByName(others.join(anywhere, ["package_key", "version"], "left_semi")).drop("package_key")
 
 
 def one_spelling(pins: DataFrame) -> DataFrame:

@@ -12,22 +12,22 @@ def package_url() -> Column:
     kind = F.col("ecosystem")
     for ecosystem, name in PURL_TYPES.items():
         kind = F.when(F.col("ecosystem") == ecosystem, F.lit(name)).otherwise(kind)
-    path = F.when(F.col("ecosystem") == "maven", F.replace("package", F.lit(":"), F.lit("/"))).otherwise(F.col("package"))
+    path = (
+        F.when(F.col("ecosystem") == "maven", F.replace("package", F.lit(":"), F.lit("/")))
+        .when(F.col("ecosystem") == "npm", F.regexp_replace("package", "^@", "%40"))
+        .when(F.col("ecosystem") == "pypi", F.replace(F.lower("package"), F.lit("_"), F.lit("-")))
+        .otherwise(F.col("package"))
+    )
     return F.concat(F.lit("pkg:"), kind, F.lit("/"), path, F.lit("@"), F.col("version"))
 
 
-def _documents(pins: DataFrame, entry: Column, max_entries: int) -> DataFrame:
-    """Entries per service, cut into numbered parts beyond ``max_entries``."""
-    sizes = pins.groupBy("service_id").agg(F.count("*").alias("_n"))
-    parts = F.ceil(F.col("_n") / max_entries)
-    spread = pins.join(sizes, "service_id").withColumn(
-        "part", F.pmod(F.xxhash64("ecosystem", "package"), parts).cast("int")
-    )
-    return spread.groupBy("service_id", "part").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+def _documents(pins: DataFrame, entry: Column) -> DataFrame:
+    """Entries per service: a bill of materials is one document, whatever its size."""
+    return pins.groupBy("service_id").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
 
 
-def cyclonedx(pins: DataFrame, generated_at: Column, max_entries: int = 50_000) -> DataFrame:
-    """CycloneDX 1.5 documents, one per service (several numbered ones for a very large service)."""
+def cyclonedx(pins: DataFrame, generated_at: Column) -> DataFrame:
+    """CycloneDX 1.5 documents, one per service."""
     component = F.struct(
         F.lit("library").alias("type"), F.col("package").alias("name"), "version", package_url().alias("purl")
     )
@@ -41,12 +41,12 @@ def cyclonedx(pins: DataFrame, generated_at: Column, max_entries: int = 50_000)
         ).alias("metadata"),
         F.col("entries").alias("components"),
     )
-    return _documents(pins, component, max_entries).select(
-        "service_id", "part", F.size("entries").alias("components"), F.to_json(bom).alias("document")
+    return _documents(pins, component).select(
+        "service_id", F.size("entries").alias("components"), F.to_json(bom).alias("document")
     )
 
 
-def spdx(pins: DataFrame, generated_at: Column, max_entries: int = 50_000) -> DataFrame:
+def spdx(pins: DataFrame, generated_at: Column) -> DataFrame:
     """SPDX 2.3 documents with the same packages."""
     package = F.struct(
         F.concat(F.lit("SPDXRef-"), F.substring(F.sha2(package_url(), 256), 1, 16)).alias("SPDXID"),
@@ -66,11 +66,12 @@ def spdx(pins: DataFrame, generated_at: Column, max_entries: int = 50_000) -> Da
         F.lit("CC0-1.0").alias("dataLicense"),
         F.lit("SPDXRef-DOCUMENT").alias("SPDXID"),
         F.col("service_id").alias("name"),
-        F.struct(generated_at.alias("created")).alias("creationInfo"),
+        F.concat(F.lit("urn:sbom:"), F.sha2(F.concat_ws("|", "service_id", generated_at.cast("string"), F.to_json("entries")), 256)).alias("documentNamespace"),
+        F.struct(generated_at.alias("created"), F.array(F.lit("Tool: pinwatch")).alias("creators")).alias("creationInfo"),
         F.col("entries").alias("packages"),
     )
-    return _documents(pins, package, max_entries).select(
-        "service_id", "part", F.size("entries").alias("packages"), F.to_json(document).alias("document")
+    return _documents(pins, package).select(
+        "service_id", F.size("entries").alias("packages"), F.to_json(document).alias("document")
     )
 
 

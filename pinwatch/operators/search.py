@@ -42,10 +42,11 @@ def mean_vector(vectors: DataFrame, collection: str = "label") -> DataFrame:
 
 
 def search(vectors: DataFrame, query: list[float], k: int = 5) -> DataFrame:
-    """The ``k`` stored vectors nearest to one query vector."""
+    """The ``k`` stored vectors nearest to one query vector; only what is put out is rounded."""
     literal = F.array(*[F.lit(float(x)) for x in query])
-    scored = vectors.select("vec_id", F.round(cosine(F.col("embedding"), literal), 6).alias("similarity"))
-    return scored.orderBy(F.desc("similarity"), "vec_id").limit(k)
+    scored = vectors.select("vec_id", cosine(F.col("embedding"), literal).alias("similarity"))
+    nearest = scored.orderBy(F.desc("similarity"), "vec_id").limit(k)
+    return nearest.withColumn("similarity", F.round("similarity", 6))
 
 
 def topk_per_collection(vectors: DataFrame, queries: DataFrame, k: int = 5, collection: str = "label") -> DataFrame:
@@ -55,7 +56,8 @@ def topk_per_collection(vectors: DataFrame, queries: DataFrame, k: int = 5, coll
     are shuffled, however large a collection is.
     """
     scored = vectors.join(queries, collection).select(
-        collection, "vec_id", F.round(cosine(F.col("embedding"), F.col("query")), 6).alias("similarity")
+        collection, "vec_id", cosine(F.col("embedding"), F.col("query")).alias("similarity")
     )
     nearest = Window.partitionBy(collection).orderBy(F.desc("similarity"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
+    ranked = scored.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
+    return ranked.withColumn("similarity", F.round("similarity", 6))

@@ -97,15 +97,17 @@ def latest_record(events: DataFrame, keys: list[str] = RECORD_KEY) -> DataFrame:
 
 
 def within_ttl(cves: DataFrame, at: Column, hours: int | None = None) -> DataFrame:
-    """Optional expiry: keep records younger than ``hours`` at ``at``; none by default."""
+    """Optional expiry: keep records that are known at ``at`` and younger than ``hours`` then; by default
+    no record expires."""
     if hours is None:
         return cves
-    return cves.filter(F.col("ingested_at") > at - F.make_dt_interval(hours=F.lit(hours)))
+    return cves.filter((F.col("ingested_at") > at - F.make_dt_interval(hours=F.lit(hours))) & (F.col("ingested_at") <= at))
 
 
 def cvss_enrich(osv: DataFrame, nvd: DataFrame) -> DataFrame:
-    """Advisories take score and weakness of the newest score record of the same CVE."""
-    newest = pick(nvd, ["cve_id"], ["ingested_at", "event_id"], last=True).select(
+    """Advisories take score and weakness of the newest score record of the same CVE that has a score.
+    The feed writes 0 for none, so 0 says nothing and overwrites nothing."""
+    newest = pick(nvd.filter("cvss_score > 0"), ["cve_id"], ["ingested_at", "event_id"], last=True).select(
         "cve_id", F.col("cvss_score").alias("_score"), F.col("cwe_id").alias("_cwe")
     )
     joined = osv.join(newest, "cve_id", "left")
@@ -129,53 +131,58 @@ def dedup_first_24h(
 ) -> DataFrame:
     """Accept the first record of a key, drop its copies for ``hours``, then accept again.
 
-    Whether a record is accepted depends on the one accepted before it, so a key is a chain. Keys of
-    up to ``fold_limit`` records are folded in order in one expression. Larger ones take a second,
-    equally exact way in which no group is ever collected: see ``_accepted_by_jumps``.
+    Of records at one time the smallest event id counts. Records without a time can't be placed and all
+    pass. Whether a record is accepted depends on the one accepted before it, so a key is a chain of
+    times. Chains of up to ``fold_limit`` times are folded in one expression, longer ones walked by
+    doubled pointers; only times are gathered, and both give the same ones.
     """
-    crowded = crowded_keys(events, keys, fold_limit)
+    timed = events.filter("ingested_at IS NOT NULL")
+    firsts = pick(timed, [*keys, "ingested_at"], ["event_id"])
+    times = firsts.select(*keys, F.unix_micros("ingested_at").alias("at"))
+    crowded = crowded_keys(times, keys, fold_limit)
     if crowded is None:
-        return _accepted_by_fold(events, keys, hours)
-    small = events.join(crowded, keys, "left_anti")
-    large = events.join(crowded, keys, "left_semi")
-    jumps = _accepted_by_jumps(large, keys, hours)
-    return _accepted_by_fold(small, keys, hours).unionByName(jumps)
-
-
-def _accepted_by_fold(events: DataFrame, keys: list[str], hours: int) -> DataFrame:
-    rest = [c for c in events.columns if c not in keys]
-    row = F.struct("ingested_at", "event_id", F.struct(*rest).alias("row"))
-    grouped = events.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
-    window = F.make_dt_interval(hours=F.lit(hours))
+        accepted = _accepted_by_fold(times, keys, hours)
+    else:
+        small, large = _null_safe(times, crowded, keys, "left_anti"), _null_safe(times, crowded, keys, "left_semi")
+        accepted = _accepted_by_fold(small, keys, hours).unionByName(_accepted_by_jumps(large, keys, hours))
+    kept = _null_safe(firsts, accepted.select(*keys, F.timestamp_micros("at").alias("ingested_at")), [*keys, "ingested_at"], "left_semi")
+    return kept.select(*events.columns).unionByName(events.filter("ingested_at IS NULL"))
+
+
+def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Semi or anti join in which a missing key equals a missing key."""
+    right = right.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    return left.join(right, [left[k].eqNullSafe(right[f"_{k}"]) for k in keys], how)
+
+
+def _accepted_by_fold(times: DataFrame, keys: list[str], hours: int) -> DataFrame:
+    """``keys, at`` of the accepted times; a key's times are one array of numbers."""
+    grouped = times.groupBy(*keys).agg(F.sort_array(F.collect_list("at")).alias("_times"))
+    window = hours * 3_600_000_000
     kept = F.aggregate(
-        "_rows",
-        F.slice("_rows", F.lit(1), F.lit(0)),
-        lambda acc, r: F.when(
-            (F.size(acc) == 0) | (r["ingested_at"] >= F.element_at(acc, -1)["ingested_at"] + window),
-            F.concat(acc, F.array(r)),
-        ).otherwise(acc),
+        "_times",
+        F.array().cast("array<bigint>"),
+        lambda acc, at: F.when((F.size(acc) == 0) | (at >= F.element_at(acc, -1) + window), F.concat(acc, F.array(at))).otherwise(acc),
     )
-    rows = grouped.select(*keys, F.explode(kept).alias("_kept"))
-    return rows.select(*[F.col(c) if c in keys else F.col(f"_kept.row.{c}") for c in events.columns])
+    return grouped.select(*keys, F.explode(kept).alias("at"))
 
 
-def _accepted_by_jumps(events: DataFrame, keys: list[str], hours: int) -> DataFrame:
-    """Every record points to the first one at least ``hours`` later; accepted are those reachable
-    from the first of the key. Pointers are doubled each round, so the rounds are the logarithm of
-    the chain length, and the work is spread by (key, time)."""
-    firsts = pick(events, [*keys, "ingested_at"], ["event_id"])
-    nodes = firsts.select(*keys, F.unix_micros("ingested_at").alias("at"))
-    jump = cut_lineage(_next_after(nodes, keys, hours * 3_600_000_000))
+def _accepted_by_jumps(times: DataFrame, keys: list[str], hours: int) -> DataFrame:
+    """Every time points to the first one at least ``hours`` later; accepted are those reachable from
+    the first of the key. Pointers are doubled each round, so the rounds are the logarithm of the chain
+    length, and the work is spread by (key, time). A key is one hash here, so that missing parts join."""
+    named = times.select(F.sha2(F.to_json(F.struct(*keys)), 256).alias("_key"), *keys, "at")
+    nodes = cut_lineage(named.select("_key", "at"))
+    jump = cut_lineage(_next_after(nodes, ["_key"], hours * 3_600_000_000))
     span = jump.agg(F.max("at") - F.min("at")).first()[0] or 0
     longest_chain = span // (hours * 3_600_000_000) + 2
-    reached = cut_lineage(nodes.groupBy(*keys).agg(F.min("at").alias("at")))
+    reached = cut_lineage(nodes.groupBy("_key").agg(F.min("at").alias("at")))
     for _ in range(math.ceil(math.log2(longest_chain)) + 1):
-        hop = reached.join(jump, [*keys, "at"]).select(*keys, F.col("to").alias("at"))
+        hop = reached.join(jump, ["_key", "at"]).select("_key", F.col("to").alias("at"))
         reached = cut_lineage(reached.unionByName(hop).distinct())
-        far = jump.select(*keys, F.col("at").alias("to"), F.col("to").alias("_far"))
-        jump = cut_lineage(jump.join(far, [*keys, "to"]).select(*keys, "at", F.col("_far").alias("to")))
-    accepted = reached.select(*keys, F.timestamp_micros("at").alias("ingested_at"))
-    return firsts.join(accepted, [*keys, "ingested_at"], "left_semi").select(*events.columns)
+        far = jump.select("_key", F.col("at").alias("to"), F.col("to").alias("_far"))
+        jump = cut_lineage(jump.join(far, ["_key", "to"]).select("_key", "at", F.col("_far").alias("to")))
+    return named.join(reached, ["_key", "at"], "left_semi").select(*keys, "at")
 
 
 def _next_after(nodes: DataFrame, keys: list[str], distance: int, width: int = 3_600_000_000) -> DataFrame:

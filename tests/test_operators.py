@@ -10,7 +10,7 @@ from pyspark.sql import Row, functions as F
 
 from pinwatch import schemas
 from pinwatch.functions import scalars as S
-from pinwatch.operators import closure, graph, lookups, match, scoring, vulnerabilities as V
+from pinwatch.operators import closure, cursors, graph, lookups, match, sbom, scoring, search, vulnerabilities as V
 from pinwatch.plans.timeline import crowded_keys, with_neighbours
 from pinwatch.sinks import tables as stored, topics as out
 from pinwatch.sources import changes, feeds, tables, topics
@@ -204,12 +204,21 @@ def test_crowded_pins_give_the_same_intervals(spark):
     assert graph.crowded_pins(o, limit=10_000) is None
 
 
-def test_snapshot_parts_lose_nothing(spark):
-    o = ops(spark, [(i, "s", f"p{i}", "added", "1") for i in range(50)])
-    parts = graph.snapshot_maps(o, max_entries=10)
-    assert parts.count() > 1
-    assert parts.select(F.explode("dependencies")).count() == 50
-    assert graph.snapshot_maps(o).count() == 1
+def test_a_snapshot_is_one_row_whatever_its_size(spark):
+    o = ops(spark, [(i, "s", f"p{i}", "added", "1") for i in range(50)] + [(60, "s", "x", "added", "1", "npm")])
+    assert rows(graph.snapshot_maps(o), "ecosystem", F.size("dependencies")) == [("npm", 1), ("pypi", 50)]
+
+
+def test_latest_snapshot_keeps_every_ecosystem(spark):
+    o = ops(spark, [(0, "s", "a", "added", "1"), (1, "s", "b", "added", "2", "npm"), (2, "s", "a", "updated", "3"), (0, "t", "a", "added", "1"), (4, "t", "a", "removed", None)])
+    last = graph.stored_snapshots(graph.latest_state(o, o))
+    early = o.filter(F.col("occurred_at") < F.lit(hours(2)))
+    both = graph.stored_snapshots(graph.latest_state(early, early)).unionByName(last)
+    newest = graph.latest_snapshot(both.filter("service_id = 's'")).select("service_id", "ecosystem", F.explode("dependencies"))
+    assert rows(newest, "ecosystem", "key", "value") == [("npm", "b", "2"), ("pypi", "a", "3")]
+    history = graph.snapshot_rows(o, o).join(last.select("service_id", F.col("snapshot_id").alias("trigger_event_id")).distinct(), ["service_id", "trigger_event_id"], "left_semi")
+    state = graph.latest_state(o, o)
+    assert rows(state, *sorted(state.columns)) == rows(history, *sorted(history.columns))
 
 
 # --- records ----------------------------------------------------------------------------------------
@@ -230,10 +239,28 @@ def test_24h_dedup_both_ways_against_brute_force(spark, fold_limit):
     times = {f"k{k}": [T0 + timedelta(minutes=rng.randrange(60 * 24 * days)) for _ in range(n)]
              for k, (n, days) in enumerate([(3, 1), (40, 9), (300, 20), (200, 3), (1, 1), (60, 200)])}
     times["edge"] = [T0, hours(6), hours(20), hours(24), hours(40), hours(48), hours(48)]
-    data = [(f"{k}-{i}", k, "", "", "", at) for k, ts in times.items() for i, at in enumerate(ts)]
+    times["gaps"] = [hours(3), None, hours(1), hours(30), None, hours(80)]
+    times[None] = [hours(h) for h in (0, 5, 24, 24, 25, 47, 48, 100)]
+    data = [(f"{k}-{i}", k, "", "", None if k == "edge" else "", at) for k, ts in times.items() for i, at in enumerate(ts)]
     events = spark.createDataFrame(data, "event_id string, cve_id string, affected_package string, ecosystem string, affected_version_range string, ingested_at timestamp")
     got = V.dedup_first_24h(events, fold_limit=fold_limit)
-    assert rows(got, "cve_id", "ingested_at") == sorted((k, at) for k, ts in times.items() for at in brute_force_24h(ts))
+    # records without a time can't be placed and all pass
+    want = [(k, at) for k, ts in times.items() for at in brute_force_24h([t for t in ts if t]) + [t for t in ts if not t]]
+    assert sorted(map(str, [(r.cve_id, r.ingested_at) for r in got.collect()])) == sorted(map(str, want))
+
+
+def test_a_missing_score_overwrites_nothing(spark):
+    osv = cves(spark, [(0, "C1", "a", "< 2"), (0, "C2", "b", "< 2"), (0, "C3", "c", "< 2")])
+    feed = lambda cve, at, score: osv.limit(1).withColumns({
+        "event_id": F.lit(f"{cve}-{at}"), "source": F.lit("nvd"), "cve_id": F.lit(cve), "ingested_at": F.lit(hours(at)), "cvss_score": F.lit(score)})
+    nvd = feed("C1", 1, 9.8).unionByName(feed("C1", 5, 0.0)).unionByName(feed("C2", 1, 0.0)).unionByName(feed("C3", 1, 9.8)).unionByName(feed("C3", 2, 5.0))
+    assert rows(V.cvss_enrich(osv, nvd), "cve_id", "cvss_score", "severity_tier") == [("C1", 9.8, "CRITICAL"), ("C2", 5.0, "MEDIUM"), ("C3", 5.0, "MEDIUM")]
+
+
+def test_records_after_the_moment_do_not_count_as_live(spark):
+    c = cves(spark, [(0, "old", "a", ""), (10, "live", "a", ""), (30, "at", "a", ""), (31, "later", "a", "")])
+    assert rows(V.within_ttl(c, F.lit(hours(30)), 24), "cve_id") == [("at",), ("live",)]
+    assert V.within_ttl(c, F.lit(hours(30))).count() == 4
 
 
 def test_every_package_of_a_cve_stays_and_scores_only_enrich(spark):
@@ -269,6 +296,8 @@ def test_ecosystem_wildcard_lists_holes_and_repeated_records(spark):
     assert rows(found, "cve_id", "ecosystem", "ingested_at") == [("L", "pypi", hours(1)), ("N", "npm", hours(1)), ("R", "pypi", hours(4)),
                                                                   ("W", "npm", hours(3)), ("W", "pypi", hours(3))]
     assert rows(match.listed_versions(graph.current_pins(o), c), "package") == [("b",)]
+    anywhere = cves(spark, [(1, "L", "b", "", ["weird"], ""), (1, "M", "b", "", ["weird"], "pypi"), (1, "N", "a", "", ["1.5"], "npm"), (1, "O", "a", "", ["9"], "")])
+    assert rows(match.listed_versions(graph.current_pins(o), anywhere), "package", "ecosystem") == [("a", "npm"), ("b", "pypi")]
 
 
 def test_auto_resolve_joins_adjacent_affected_intervals(spark):
@@ -290,6 +319,20 @@ def test_gate_and_upgrade(spark):
     assert rows(lookups.remediation_path(graph.current_pins(o), c), "package", "upgrade_to") == [("bad", "1.10"), ("meh", "2")]
 
 
+def test_an_upgrade_is_itself_unaffected(spark):
+    o = ops(spark, [(0, "s", p, "added", "1.0") for p in ("jump", "stuck", "none", "down", "Case")] + [(0, "s", "jump", "added", "1.0", "npm")])
+    c = cves(spark, [(0, "A", "jump", "< 1.5"), (0, "B", "jump", ">= 1.5, < 1.10"), (0, "C", "stuck", "< 2"), (0, "D", "stuck", ">= 2"),
+                     (0, "E", "none", ">= 0.1"), (0, "F", "down", "== 1.0"), (0, "G", "case", "< 3", [], "")])
+    fixes = {"A": "1.5", "B": "1.10", "C": "2", "E": "", "F": "0.9", "G": "3"}
+    safe = F.lit(None).cast("string")
+    for cve, fix in fixes.items():
+        safe = F.when(F.col("cve_id") == cve, fix).otherwise(safe)
+    got = lookups.remediation_path(graph.current_pins(o), c.withColumn("safe_version", safe))
+    assert rows(got, "package", "ecosystem", F.coalesce("upgrade_to", F.lit("-")), "reason") == [
+        ("Case", "pypi", "3", "fixed"), ("down", "pypi", "-", "every fix is affected"), ("jump", "pypi", "1.10", "fixed"),
+        ("none", "pypi", "-", "no fix known"), ("stuck", "pypi", "-", "every fix is affected")]
+
+
 def test_unknown_service_gets_defaults_and_new_packages_a_second_topic(spark):
     registry = spark.createDataFrame([("known", "core", True, True, False, None, True)], "service_id string, team string, is_customer_facing boolean, pci_scope boolean, hipaa_scope boolean, soc2_scope boolean, pii_handler boolean")
     m = spark.createDataFrame([("known", 5.9, T0, True), ("else", 5.9, T0, False)], "service_id string, cvss_score double, detected_at timestamp, is_new_dependency boolean")
@@ -334,3 +377,29 @@ def test_topic_options_and_keys(spark):
     assert out.producer_options()["kafka.acks"] == "all"
     m = spark.createDataFrame([("s", "vuln.matches.low", 1)], "service_id string, topic string, x int")
     assert [tuple(r) for r in out.keyed_matches(m).collect()] == [("vuln.matches.low", "s", '{"service_id":"s","x":1}')]
+
+
+def test_vectors_rank_by_the_exact_similarity(spark):
+    query = [1.0, 2.0, 3.0]
+    near = [1.0, 2.0, 3.0 + 1e-5]
+    vectors = spark.createDataFrame([(1, near, 0), (9, query, 0), (5, [3.0, 2.0, 1.0], 0)], "vec_id long, embedding array<double>, label int")
+    assert [tuple(r) for r in search.search(vectors, query, 2).collect()] == [(9, 1.0), (1, 1.0)]
+    queries = spark.createDataFrame([(0, query)], "label int, query array<double>")
+    ranked = search.topk_per_collection(vectors, queries, 2).orderBy("rank").collect()
+    assert [(r.vec_id, r.similarity) for r in ranked] == [(9, 1.0), (1, 1.0)]
+
+
+def test_package_urls_and_documents_are_valid(spark):
+    o = ops(spark, [(0, "s", "@scope/name", "added", "1", "npm"), (0, "s", "My_Pkg", "added", "2"), (0, "s", "org.x:y", "added", "3", "maven")])
+    pins = graph.current_pins(o)
+    assert rows(pins.select(sbom.package_url().alias("purl")), "purl") == [("pkg:maven/org.x/y@3",), ("pkg:npm/%40scope/name@1",), ("pkg:pypi/my-pkg@2",)]
+    import json
+
+    document = json.loads(sbom.spdx(pins, F.lit("2024-01-01T00:00:00Z")).first().document)
+    assert document["documentNamespace"] and document["creationInfo"]["creators"] and len(document["packages"]) == 3
+
+
+def test_a_feed_never_read_starts_a_day_back(spark):
+    stored = spark.createDataFrame([("a", hours(3)), ("a", hours(5))], "feed string, cursor timestamp")
+    feeds = spark.createDataFrame([("a",), ("b",)], "feed string")
+    assert rows(cursors.poll_start(stored, feeds, F.lit(hours(48))), "feed", "cursor") == [("a", hours(5)), ("b", hours(24))]
