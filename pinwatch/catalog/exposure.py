@@ -267,9 +267,14 @@ def registry_enrich(t: Tables) -> DataFrame:
     return scoring.registry_enrich(t.matches, t.registry).select("match_id", "service_id", "team", *scoring.FLAGS)
 
 
-@query("exposure_by_topic", """SELECT 'vuln.matches.' || lower(tier) AS topic, count(*) AS matches, count(DISTINCT service_id) AS services,
+_NEW_PINS = f"SELECT DISTINCT service_id, ecosystem, package, version, event_id AS from_event FROM ({_NEW}) fresh"
+
+
+@query("exposure_by_topic", f"""WITH routed AS (SELECT 'vuln.matches.' || lower(tier) AS topic, * FROM tiered UNION ALL
+ SELECT 'deps.risk.prs', t.* FROM tiered t SEMI JOIN ({_NEW_PINS}) n USING (service_id, ecosystem, package, version, from_event))
+ SELECT topic, count(*) AS matches, count(DISTINCT service_id) AS services,
  count(DISTINCT cve_id) AS cves, count(*) FILTER (valid_to IS NULL) AS still_there, min(detected_at) AS first_detected,
- round(avg(score), 4) AS mean_score FROM tiered GROUP BY 1""")
+ round(avg(score), 4) AS mean_score FROM routed GROUP BY 1""")
 def exposure_by_topic(t: Tables) -> DataFrame:
     return by_topic(plan.routed_exposure(t.ops, t.vulns, t.registry))
 
@@ -477,10 +482,18 @@ def manifest_pins(t: Tables) -> DataFrame:
     return manifests.manifest_pins(manifest_texts(t)).drop("manifest_file")
 
 
-_CLOSURE = """WITH RECURSIVE e AS (SELECT DISTINCT package, depends_on FROM package_edges WHERE package <> depends_on),
- walk AS (SELECT package, depends_on, 1 AS depth, package || '>' || depends_on AS path FROM e
- UNION ALL SELECT w.package, e.depends_on, w.depth + 1, w.path || '>' || e.depends_on FROM walk w JOIN e ON w.depends_on = e.package),
- closed AS (SELECT package, depends_on, min(depth) AS depth, arg_min(path, (depth, path)) AS path FROM walk GROUP BY 1, 2)"""
+_CLOSURE = """WITH RECURSIVE e AS (SELECT ecosystem, package, depends_on, min(version) AS version FROM package_edges
+ WHERE package <> depends_on GROUP BY 1, 2, 3),
+ walk AS (SELECT ecosystem, package, depends_on, 1 AS depth, package || '>' || depends_on AS path, version FROM e
+ UNION ALL SELECT w.ecosystem, w.package, e.depends_on, w.depth + 1, w.path || '>' || e.depends_on, e.version FROM walk w JOIN e
+ ON w.depends_on = e.package AND w.ecosystem = e.ecosystem WHERE w.package <> e.depends_on),
+ closed AS (SELECT ecosystem, package, depends_on, min(depth) AS depth, arg_min(path, (depth, path)) AS path,
+ arg_min(version, (depth, path)) AS version FROM walk GROUP BY 1, 2, 3)"""
+_ALL_PINS = f"""{_CLOSURE}, reached AS (SELECT service_id, ecosystem, package, version, false AS is_transitive, package AS path, 0 AS depth FROM pins
+ UNION ALL SELECT p.service_id, p.ecosystem, c.depends_on, c.version, true, c.path, c.depth FROM (SELECT DISTINCT service_id, ecosystem, package FROM pins) p
+ JOIN closed c ON p.package = c.package AND p.ecosystem = c.ecosystem), all_pins AS (SELECT service_id, ecosystem, package,
+ arg_min(version, (depth, path)) AS version, arg_min(is_transitive, (depth, path)) AS is_transitive,
+ arg_min(path, (depth, path)) AS transitive_path FROM reached GROUP BY 1, 2, 3)"""
 
 
 @query("transitive_closure", f"{_CLOSURE} SELECT * FROM closed")
@@ -488,9 +501,17 @@ def transitive_closure(t: Tables) -> DataFrame:
     return closure.transitive_closure(t.view("package_edges"))
 
 
-@query("transitive_pins", f"""{_CLOSURE}, reached AS (SELECT DISTINCT service_id, package, false AS is_transitive, package AS path, 0 AS depth FROM pins
- UNION ALL SELECT p.service_id, c.depends_on, true, c.path, c.depth FROM (SELECT DISTINCT service_id, package FROM pins) p
- JOIN closed c ON p.package = c.package) SELECT service_id, package, arg_min(is_transitive, (depth, path)) AS is_transitive,
- arg_min(path, (depth, path)) AS transitive_path FROM reached GROUP BY 1, 2""")
+@query("transitive_pins", f"{_ALL_PINS} SELECT * FROM all_pins")
 def transitive_pins(t: Tables) -> DataFrame:
     return closure.transitive_pins(graph.current_pins(t.ops), t.view("package_edges"))
+
+
+@query("transitive_exposure", f"""{_ALL_PINS}, wanted AS (SELECT DISTINCT ecosystem, lower(package) AS pk, version,
+ list_transform(string_split(version, '.'), lambda x: CAST(x AS INT)) AS v FROM all_pins),
+ found AS (SELECT DISTINCT k.ecosystem, k.pk, k.version, c.cve_id FROM wanted k JOIN cves c ON k.pk = c.pk AND c.ecosystem IN ('', k.ecosystem)
+ WHERE list_contains(c.listed, k.version) OR (c.hi IS NOT NULL AND k.v < c.hi AND (c.lo IS NULL OR k.v >= c.lo)))
+ SELECT p.service_id, p.ecosystem, p.package, p.version, f.cve_id, p.is_transitive, p.transitive_path FROM all_pins p
+ JOIN found f ON f.ecosystem = p.ecosystem AND f.pk = lower(p.package) AND f.version = p.version""")
+def transitive_exposure(t: Tables) -> DataFrame:
+    rows = closure.transitive_exposure(graph.current_pins(t.ops), t.view("package_edges"), cves(t))
+    return rows.select("service_id", "ecosystem", "package", "version", "cve_id", "is_transitive", "transitive_path")

@@ -111,10 +111,14 @@ VIEWS = {
  || ',"merged_at":"' || CASE WHEN event_id % 13 = 0 THEN '2023-12-31T23:59:59Z' ELSE '2024-02-15T11:45:22Z' END
  || '","head":{"ref":"' || CASE event_id % 4 WHEN 0 THEN 'dependabot/pip/x' WHEN 1 THEN 'renovate/npm/x'
  WHEN 2 THEN 'dependabot/bundler/x' ELSE 'feature/x' END || '"}}}}' AS line FROM events""",
-    # Package p needs p/2 and p/3: the depth grows with the logarithm of the table.
-    "package_edges": f"""SELECT 'pkg-' || CAST(p_partkey AS STRING) AS package,
- 'pkg-' || CAST({_whole('p_partkey / 2')} AS STRING) AS depends_on FROM part
- UNION ALL SELECT 'pkg-' || CAST(p_partkey AS STRING), 'pkg-' || CAST({_whole('p_partkey / 3')} AS STRING) FROM part""",
+    # Package p needs p/2 and p/3, in its own ecosystem: the depth grows with the logarithm of the table.
+    "package_edges": f"""SELECT {_ecosystem('p_partkey')} AS ecosystem, 'pkg-' || CAST(p_partkey AS STRING) AS package,
+ 'pkg-' || CAST({_whole('p_partkey / 2')} AS STRING) AS depends_on,
+ '1.' || CAST(p_partkey % 7 + 1 AS STRING) || '.' || CAST(p_size AS STRING) AS version FROM part
+ UNION ALL SELECT {_ecosystem('p_partkey')}, 'pkg-' || CAST(p_partkey AS STRING), 'pkg-' || CAST({_whole('p_partkey / 3')} AS STRING),
+ '1.2.' || CAST(p_size AS STRING) FROM part
+ UNION ALL SELECT {_ecosystem('p_partkey + 1')}, 'pkg-' || CAST(p_partkey AS STRING), 'pkg-' || CAST({_whole('p_partkey / 2')} AS STRING),
+ '1.3.' || CAST(p_size AS STRING) FROM part""",
     "titles": """SELECT event_id, CASE event_id % 7
  WHEN 0 THEN 'Bump requests from 2.28.' || CAST(event_id % 30 AS STRING) || ' to 2.31.0'
  WHEN 1 THEN 'chore(deps): bump lib.core/http from 1.' || CAST(event_id % 9 AS STRING) || ' to 1.10'

@@ -1,56 +1,69 @@
-"""Indirect dependencies from an edge table (package, depends_on)."""
+"""Indirect dependencies from an edge table (ecosystem, package, depends_on, version): the package pulls in
+``depends_on`` at ``version``. Names mean something within their ecosystem only."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from pinwatch.session import stored_table
+from pinwatch.operators.match import CVE_COLUMNS, match_pins
+from pinwatch.session import scratch_path, stored_table
 
+PAIR = ["ecosystem", "package", "depends_on"]
 
-def transitive_closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(package, depends_on, depth, path): everything reachable with its shortest path, the smallest
-    of equally short ones.
+
+def transitive_closure(edges: DataFrame, start: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
+    """(ecosystem, package, depends_on, depth, path, version): everything reachable with its shortest
+    path, the smallest of equally short ones, and the version its last step asks for. ``start`` (ecosystem,
+    package) limits it to what these packages reach, which is what a service needs.
 
     Each round extends only the pairs found in the round before and drops pairs already known, so it
-    ends on cyclic graphs. Every round is stored once and never rewritten, so a lost executor costs at
-    most a round.
+    ends on cyclic graphs. All rounds are one table to which a round is a new partition: the plan stays
+    the same at any depth, and a lost executor costs at most a round.
     """
-    edges = stored_table(edges.select("package", "depends_on").distinct().filter("package <> depends_on"), "edges")
-    step = edges.select(F.col("package").alias("via"), F.col("depends_on").alias("to"))
-    frontier = edges.select(
-        "package", "depends_on", F.lit(1).alias("depth"), F.concat_ws(">", "package", "depends_on").alias("path")
-    )
-    known = frontier
-    depth = 1
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        reached = frontier.join(step, F.col("depends_on") == F.col("via")).filter("package <> to")
-        shortest = reached.groupBy("package", F.col("to").alias("depends_on")).agg(
-            F.min(F.concat_ws(">", "path", "to")).alias("path")
+    steps = edges.filter("package <> depends_on").groupBy(*PAIR).agg(F.min("version").alias("version"))
+    steps = stored_table(steps, "edges")
+    first = steps if start is None else steps.join(start.select("ecosystem", "package").distinct(), ["ecosystem", "package"], "left_semi")
+    folder, depth = scratch_path(edges.sparkSession, "closure"), 1
+    frontier = first.select(*PAIR, F.concat_ws(">", "package", "depends_on").alias("path"), "version")
+    schema = frontier.schema
+    step = steps.select("ecosystem", F.col("package").alias("depends_on"), F.col("depends_on").alias("to"), F.col("version").alias("_version"))
+    while True:
+        frontier.write.parquet(f"{folder}/depth={depth}")
+        known = edges.sparkSession.read.schema(schema.simpleString()[7:-1].replace(":", " ") + ", depth int").parquet(folder)
+        last = edges.sparkSession.read.schema(schema).parquet(f"{folder}/depth={depth}")
+        if last.isEmpty() or depth == max_depth:
+            return known.select(*PAIR, "depth", "path", "version")
+        reached = last.drop("version").join(step, ["ecosystem", "depends_on"]).filter("package <> to")
+        shortest = reached.groupBy("ecosystem", "package", F.col("to").alias("depends_on")).agg(
+            F.min(F.struct(F.concat_ws(">", "path", "to").alias("path"), F.col("_version").alias("version"))).alias("_best")
         )
-        fresh = shortest.join(known.select("package", "depends_on"), ["package", "depends_on"], "left_anti")
-        frontier = stored_table(fresh.select("package", "depends_on", F.lit(depth).alias("depth"), "path"), "round")
-        if frontier.isEmpty():
-            break
-        known = known.unionByName(frontier)
-    return known
+        frontier = shortest.select(*PAIR, "_best.path", "_best.version").join(known.select(*PAIR), PAIR, "left_anti")
+        depth += 1
 
 
 def transitive_pins(pins: DataFrame, edges: DataFrame) -> DataFrame:
     """Pins of a service plus what they pull in, with ``is_transitive`` and ``transitive_path``.
-    A package the service also holds directly counts as direct."""
-    closure = transitive_closure(edges)
+    A package the service also holds directly counts as direct, with the version it holds."""
+    held = pins.select("ecosystem", "package").distinct()
+    closure = transitive_closure(edges, held)
     direct = pins.select(
-        "service_id", "package", F.lit(False).alias("is_transitive"), F.col("package").alias("transitive_path")
-    ).distinct()
-    indirect = pins.select("service_id", "package").distinct().join(closure, "package").select(
+        "service_id", "ecosystem", "package", "version", F.lit(False).alias("is_transitive"), F.col("package").alias("transitive_path"), F.lit(0).alias("depth")
+    )
+    indirect = pins.select("service_id", "ecosystem", "package").distinct().join(closure, ["ecosystem", "package"]).select(
         "service_id",
+        "ecosystem",
         F.col("depends_on").alias("package"),
+        "version",
         F.lit(True).alias("is_transitive"),
         F.col("path").alias("transitive_path"),
+        "depth",
     )
-    shortest = F.struct("is_transitive", F.size(F.split("transitive_path", ">")), "transitive_path")
-    return direct.unionByName(indirect).groupBy("service_id", "package").agg(
-        F.min_by("is_transitive", shortest).alias("is_transitive"),
-        F.min_by("transitive_path", shortest).alias("transitive_path"),
-    )
+    best = F.min(F.struct("is_transitive", "depth", "transitive_path", "version")).alias("_best")
+    rows = direct.unionByName(indirect).groupBy("service_id", "ecosystem", "package").agg(best)
+    return rows.select("service_id", "ecosystem", "package", "_best.version", "_best.is_transitive", "_best.transitive_path")
+
+
+def transitive_exposure(pins: DataFrame, edges: DataFrame, cves: DataFrame) -> DataFrame:
+    """Vulnerabilities of what a service holds, directly or through others, with the way there."""
+    everything = stored_table(transitive_pins(pins, edges), "all-pins")
+    return match_pins(everything, cves, CVE_COLUMNS)

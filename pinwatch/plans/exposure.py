@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pinwatch.functions.scalars import match_id
-from pinwatch.operators.graph import crowded_pins, validity_intervals
+from pinwatch.operators.graph import PIN, crowded_pins, new_dependencies, validity_intervals
 from pinwatch.operators.match import match_both_orders
 from pinwatch.operators.scoring import registry_enrich, route, score
 from pinwatch.operators.vulnerabilities import cvss_enrich, dedup_first_ever
@@ -17,13 +17,22 @@ def known_vulnerabilities(events: DataFrame) -> DataFrame:
     return cvss_enrich(osv, events.filter("source = 'nvd'"))
 
 
-def exposure(ops: DataFrame, vulnerability_events: DataFrame, registry: DataFrame) -> DataFrame:
-    """Scored matches.
+def exposure(
+    ops: DataFrame, vulnerability_events: DataFrame, registry: DataFrame, mark_new: bool = False
+) -> DataFrame:
+    """Scored matches; with ``mark_new`` they say whether the pin's package was new to the service.
 
     Metadata joins the intervals, before vulnerabilities multiply them, so the rows that cross the
     network for it are the few.
     """
-    intervals = registry_enrich(validity_intervals(ops, crowded_pins(ops)), registry)
+    crowded = crowded_pins(ops)
+    intervals = validity_intervals(ops, crowded)
+    if mark_new:
+        fresh = new_dependencies(ops, crowded).select(
+            *PIN, "version", F.col("event_id").alias("from_event"), F.lit(True).alias("is_new_dependency")
+        )
+        intervals = intervals.join(fresh, [*PIN, "version", "from_event"], "left").fillna(False, ["is_new_dependency"])
+    intervals = registry_enrich(intervals, registry)
     cves = known_vulnerabilities(vulnerability_events)
     matches = score(match_both_orders(intervals, cves, versions_from=ops))
     return matches.select(
@@ -42,8 +51,10 @@ def exposure(ops: DataFrame, vulnerability_events: DataFrame, registry: DataFram
         "detected_at",
         "sla_deadline",
         F.col("valid_to").alias("left_at"),
+        *(["is_new_dependency"] if mark_new else []),
     )
 
 
 def routed_exposure(ops: DataFrame, vulnerability_events: DataFrame, registry: DataFrame) -> DataFrame:
-    return route(exposure(ops, vulnerability_events, registry))
+    """Matches by topic: the tier's, and the review topic where the package was new."""
+    return route(exposure(ops, vulnerability_events, registry, mark_new=True))

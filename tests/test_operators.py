@@ -346,9 +346,27 @@ def test_unknown_service_gets_defaults_and_new_packages_a_second_topic(spark):
 
 
 def test_closure_ends_on_cycles_and_takes_the_shortest_path(spark):
-    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "c"), ("c", "d"), ("x", "x")], "package string, depends_on string")
-    got = rows(closure.transitive_closure(edges).filter("package = 'a'"), "depends_on", "depth", "path")
-    assert got == [("b", 1, "a>b"), ("c", 1, "a>c"), ("d", 2, "a>c>d")]
+    pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("a", "c"), ("c", "d"), ("x", "x"), ("q", "r")]
+    edges = spark.createDataFrame([("npm", a, b, f"1.{b}") for a, b in pairs] + [("pypi", "d", "e", "9")], "ecosystem string, package string, depends_on string, version string")
+    got = rows(closure.transitive_closure(edges).filter("package = 'a'"), "depends_on", "depth", "path", "version")
+    assert got == [("b", 1, "a>b", "1.b"), ("c", 1, "a>c", "1.c"), ("d", 2, "a>c>d", "1.d")]
+    start = spark.createDataFrame([("npm", "b")], "ecosystem string, package string")
+    assert rows(closure.transitive_closure(edges, start), "package", "depends_on") == [("b", "a"), ("b", "c"), ("b", "d")]
+    assert closure.transitive_closure(edges, max_depth=1).agg(F.max("depth")).first()[0] == 1
+
+
+def test_indirect_dependencies_stay_in_their_ecosystem_and_reach_matching(spark):
+    edges = spark.createDataFrame([("npm", "a", "x", "1.0"), ("pypi", "b", "x", "2.0"), ("npm", "x", "y", "3.0")],
+                                  "ecosystem string, package string, depends_on string, version string")
+    o = ops(spark, [(0, "s", "a", "added", "1", "npm"), (0, "s", "b", "added", "1"), (0, "t", "x", "added", "5", "npm"), (0, "t", "a", "added", "1", "npm")])
+    pins = closure.transitive_pins(graph.current_pins(o), edges)
+    assert rows(pins.filter("package IN ('x', 'y')"), "service_id", "ecosystem", "package", "version", "is_transitive", "transitive_path") == [
+        ("s", "npm", "x", "1.0", True, "a>x"), ("s", "npm", "y", "3.0", True, "a>x>y"), ("s", "pypi", "x", "2.0", True, "b>x"),
+        ("t", "npm", "x", "5", False, "x"), ("t", "npm", "y", "3.0", True, "x>y")]
+    c = cves(spark, [(0, "C", "x", "< 2", [], ""), (0, "D", "y", ">= 3", [], "npm")])
+    found = closure.transitive_exposure(graph.current_pins(o), edges, c)
+    assert rows(found, "service_id", "cve_id", "ecosystem", "transitive_path") == [
+        ("s", "C", "npm", "a>x"), ("s", "D", "npm", "a>x>y"), ("t", "D", "npm", "x>y")]
 
 
 def test_neighbours_follow_one_order(spark):
