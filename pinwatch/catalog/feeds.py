@@ -260,12 +260,12 @@ def archive_bump_events(t: Tables) -> DataFrame:
     return _flat(changes.archive_bump_events(t.view("archive_lines")))
 
 
-@query("union_dep_sources", f"""SELECT source, count(*) AS events FROM (SELECT 'gh_archive' AS source FROM ({_ARCHIVE_BUMPS}) a
- UNION ALL SELECT 'manifest' FROM (SELECT DISTINCT event_id, service_id, ecosystem, occurred_at FROM dep_ops) m) x GROUP BY source""")
+@query("union_dep_sources", f"""SELECT 'gh_archive' AS source, service_id, ecosystem, occurred_at FROM ({_ARCHIVE_BUMPS}) a
+ UNION ALL SELECT 'manifest', service_id, ecosystem, occurred_at FROM (SELECT DISTINCT event_id, service_id, ecosystem, occurred_at FROM dep_ops) m""")
 def union_dep_sources(t: Tables) -> DataFrame:
     archive = changes.archive_bump_events(t.view("archive_lines"))
     direct = t.dep_events.withColumn("source", F.lit("manifest"))
-    return changes.union_dep_sources(archive, direct).groupBy("source").agg(F.count("*").alias("events"))
+    return changes.union_dep_sources(archive, direct).select("source", "service_id", "ecosystem", "occurred_at")
 
 
 @query("explode_changes", """SELECT event_id, service_id, ecosystem, package, coalesce(version, '') AS version, op, op_rank, occurred_at FROM dep_ops""")

@@ -8,6 +8,9 @@ from pinwatch.catalog.exposure import cves
 from pinwatch.catalog.registry import query
 from pinwatch.catalog.views import AS_OF, Tables
 from pinwatch.operators import lookups, posture, search
+from pinwatch.session import scratch_path
+from pinwatch.sinks.tables import append_table
+from pinwatch.sources.tables import read_table
 
 _AT = f"TIMESTAMP '{AS_OF}'"
 _OPEN_BY_TIER = ", ".join(
@@ -126,15 +129,34 @@ _REPORT = f"""SELECT 30 AS period_days, (SELECT count(*) FROM open_matches WHERE
  (SELECT {_DIRECTION} FROM (SELECT {_window('30')} FROM vulnerability_matches) x) AS trend_direction"""
 
 
-@query("posture_report", _REPORT)
+_TOTALS = """, (SELECT string_agg(team || '=' || n, ',' ORDER BY team) FROM (SELECT meta.team, CAST(count(*) AS VARCHAR) AS n FROM open_matches o
+ JOIN meta ON o.service_id = meta.service_id GROUP BY 1) x) AS team_exposure,
+ (SELECT 'hipaa=' || count(*) FILTER (hipaa_scope) || ',pci_dss=' || count(*) FILTER (pci_scope) || ',soc2=' || count(*) FILTER (soc2_scope)
+ FROM open_matches o JOIN meta ON o.service_id = meta.service_id) AS compliance_gaps"""
+
+
+def _maps_as_text(rows: DataFrame) -> DataFrame:
+    entry = lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))
+    text = lambda c: F.array_join(F.sort_array(F.transform(F.map_entries(c), entry)), ",")
+    return rows.withColumns({c: text(c) for c in ("team_exposure", "compliance_gaps")})
+
+
+@query("posture_report", _REPORT + _TOTALS)
 def posture_report(t: Tables) -> DataFrame:
-    return posture.report(t.matches, AS_OF).drop("report_id", "generated_at")
+    return _maps_as_text(posture.report(t.matches, AS_OF, registry=t.registry)).drop("report_id", "generated_at")
 
 
-@query("get_security_posture_summary", _REPORT)
+@query("get_security_posture_summary", _REPORT + _TOTALS)
 def get_security_posture_summary(t: Tables) -> DataFrame:
-    older = posture.report(t.matches, "2000-01-01 00:00:00")
-    return posture.latest_report(older.unionByName(posture.report(t.matches, AS_OF))).drop("report_id", "generated_at")
+    """The newest of the stored reports."""
+    path = scratch_path(t.spark, "posture_reports")
+    for at in ("2000-01-01 00:00:00", AS_OF):
+        append_table(posture.report(t.matches, at, registry=t.registry), "posture_reports", path)
+    newest = posture.latest_report(read_table(t.spark, "posture_reports", path))
+    shown = _maps_as_text(newest).drop("report_id", "generated_at", "executive_summary")
+    numbers = {c: F.col(c).cast("double") for c in ("mttd_minutes", "mttr_days")}
+    counts = {c: F.col(c).cast("bigint") for c in shown.columns if c.startswith("open_") or c == "past_sla_count"}
+    return shown.withColumns(numbers | counts)
 
 
 # --- lookups ----------------------------------------------------------------------------------------

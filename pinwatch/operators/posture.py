@@ -181,8 +181,26 @@ def open_over_time(matches: DataFrame) -> DataFrame:
     return daily.select("blast_radius", "day", F.sum("delta").over(running).alias("open_findings"))
 
 
-def report(matches: DataFrame, as_of, period_days: int = 30) -> DataFrame:
-    """One row in the shape of the stored posture reports, from a single pass over the matches."""
+def team_totals(matches: DataFrame, registry: DataFrame, as_of) -> DataFrame:
+    """One row: open findings by team, as a map."""
+    rows = team_exposure(matches, registry, as_of)
+    total = sum((F.col(f"open_{tier.lower()}") for tier in K.TIERS), F.lit(0)).cast("bigint")
+    entries = F.sort_array(F.collect_list(F.struct(F.col("team"), total.alias("n"))))
+    return rows.filter(total > 0).agg(F.map_from_entries(entries).alias("team_exposure"))
+
+
+def framework_totals(matches: DataFrame, registry: DataFrame, as_of) -> DataFrame:
+    """One row: open findings of services in scope by framework, as a map. Per-service totals first."""
+    rows = registry_enrich(_per_service_tier(matches, as_of), registry)
+    total = sum((F.col(f"open_{tier.lower()}") for tier in K.TIERS), F.lit(0)).cast("bigint")
+    flags = dict((name, flag) for name, flag, _ in K.FRAMEWORK_CONTROLS if flag)
+    sums = rows.agg(*[F.coalesce(F.sum(F.when(F.col(flag), total)), F.lit(0)).alias(name) for name, flag in flags.items()])
+    return sums.select(F.create_map(*[x for name in flags for x in (F.lit(name), F.col(name))]).alias("compliance_gaps"))
+
+
+def report(matches: DataFrame, as_of, period_days: int = 30, registry: DataFrame | None = None) -> DataFrame:
+    """One row in the shape of the stored posture reports, from a single pass over the matches; with the
+    registry also the open findings by team and by framework."""
     current, previous = _window_counts(as_of, period_days)
     figures = matches.agg(
         *_open_by_tier(as_of), _past_sla(as_of), _mttd(), _mttr(as_of), current.alias("_c"), previous.alias("_p")
@@ -196,7 +214,14 @@ def report(matches: DataFrame, as_of, period_days: int = 30) -> DataFrame:
         "mttd_minutes",
         "mttr_days",
         _direction(F.col("_c"), F.col("_p")).alias("trend_direction"),
-    )
+    ) if registry is None else _with_totals(report(matches, as_of, period_days), matches, registry, as_of)
+
+
+def _with_totals(row: DataFrame, matches: DataFrame, registry: DataFrame, as_of) -> DataFrame:
+    """Three single rows side by side, joined on a constant."""
+    one = lambda df: df.withColumn("_one", F.lit(1))
+    teams, gaps = team_totals(matches, registry, as_of), framework_totals(matches, registry, as_of)
+    return one(row).join(one(gaps), "_one").join(one(teams), "_one").drop("_one")
 
 
 def latest_report(reports: DataFrame) -> DataFrame:

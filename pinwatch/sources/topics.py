@@ -76,10 +76,12 @@ def vulnerability_events(records: DataFrame, as_of) -> DataFrame:
 def quarantine(records: DataFrame) -> DataFrame:
     """What ``vulnerability_events`` leaves out, with the reason."""
     p = F.col("parsed")
+    # A JSON object with a value of the wrong type is JSON all the same.
+    readable = F.get_json_object("raw", "$").startswith("{")
     broken = p.isNull() | p["_bad"].isNotNull()
     unknown = ~F.lower(F.coalesce(p["source"], F.lit(""))).isin(*K.VULN_SOURCES)
     reason = (
-        F.when(broken, "not json").when(unknown, "unknown source").otherwise("no cve id")
+        F.when(broken & F.coalesce(readable, F.lit(False)), "bad field").when(broken, "not json").when(unknown, "unknown source").otherwise("no cve id")
     )
     bad = parse_vulnerabilities(records).filter(~F.coalesce(valid_vulnerability(), F.lit(False)))
     return bad.select("raw", reason.alias("reason"))
