@@ -129,17 +129,29 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
     return Words(data, starts, ends, hashes, np.searchsorted(starts, bounds))
 
 
+def _totals(hashes: np.ndarray, salt: int) -> np.ndarray:
+    values = mix(hashes ^ _U(salt)) if salt else hashes
+    total = np.zeros(len(hashes) + 1, dtype=_U)
+    np.cumsum(values * _window_powers(len(hashes)), out=total[1:])
+    return total
+
+
 def window_hashes(hashes: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
     """Hash of every run of ``size`` consecutive values, whatever documents they belong to."""
     n = len(hashes)
     if n < size:
         return np.zeros(0, dtype=_U)
-    values = mix(hashes ^ _U(salt)) if salt else hashes
-    total = np.zeros(n + 1, dtype=_U)
-    np.cumsum(values * _window_powers(n), out=total[1:])
+    total = _totals(hashes, salt)
     return mix((total[size:] - total[:-size]) * _window_unpowers(n)[: n - size + 1] + _U(size))
 
 
+def span_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Hash of the values from each of ``starts`` up to each of ``ends``."""
+    total = _totals(hashes, salt)
+    sums = (total[ends] - total[starts]) * _window_unpowers(len(hashes) + 1)[starts]
+    return mix(sums + (ends - starts).astype(_U) * _U(_ODD))
+
+
 def window_valid(firsts: np.ndarray, size: int, n: int) -> np.ndarray:
     """Whether the run of ``size`` words at every place lies in one document."""
     if n < size:

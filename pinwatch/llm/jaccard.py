@@ -42,31 +42,73 @@ NEED_STEP = 32
 SKETCH_CELLS, SKETCH_SEGMENTS = 1 << 20, 32
 
 
-def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Row number and sorted distinct shingle hashes of every text. Texts with fewer words than a
-    shingle are one shingle; texts without words have none."""
+@dataclass
+class Sets:
+    """Distinct shingles of the documents of a block, sorted within each document."""
+
+    shingles: np.ndarray
+    bounds: np.ndarray
+    text_keys: np.ndarray
+
+    def owners(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
+
+    def of(self, k: int) -> np.ndarray:
+        return self.shingles[self.bounds[k] : self.bounds[k + 1]]
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits that identify each set: two sums over differently mixed members; 0 for the empty one."""
+        some = np.diff(self.bounds) > 0
+        keys = []
+        for salt in (0x1D8E4E27C47D124F, 0x6A09E667F3BCC909):
+            key = np.zeros(len(some), dtype=_U)
+            if some.any():
+                sums = np.add.reduceat(blocks.mix(self.shingles ^ _U(salt)), self.bounds[:-1][some])
+                key[some] = blocks.mix(sums) | _U(1)
+            keys.append(signed(key))
+        return keys[0], keys[1]
+
+    def histograms(self) -> np.ndarray:
+        """How many shingles begin with each byte, up to 255. The histograms of two sets differ by no more
+        than the sets do, since a cut-off count differs by no more than the count."""
+        cells = self.owners() * 256 + (self.shingles >> _U(56)).astype(np.int64)
+        counts = np.bincount(cells, minlength=256 * (len(self.bounds) - 1))
+        return np.minimum(counts, 255).astype(np.uint8).reshape(-1, 256)
+
+
+def _text_keys(words: blocks.Words) -> np.ndarray:
+    return signed(blocks.span_hashes(words.hashes, words.firsts[:-1], words.firsts[1:]))
+
+
+def shingle_sets(words: blocks.Words, size: int) -> Sets:
+    """Sets of a block. Texts with fewer words than a shingle are one shingle; texts without words have
+    none."""
+    counts, n = words.counts(), len(words.hashes)
+    grams = blocks.window_hashes(words.hashes, size)
+    sizes = np.maximum(counts - size + 1, np.minimum(counts, 1))
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    owner = np.repeat(np.arange(len(counts)), sizes)
+    place = words.firsts[:-1][owner] + np.arange(bounds[-1]) - bounds[owner]
+    long = counts >= size
+    shingles = np.zeros(bounds[-1], dtype=_U)
+    inside = long[owner]
+    shingles[inside] = grams[place[inside]]
+    for length in range(1, size):
+        short = np.flatnonzero(counts == length)
+        if len(short):
+            shingles[bounds[short]] = blocks.window_hashes(words.hashes, length)[words.firsts[short]]
+    for a, b in zip(bounds[:-1][long].tolist(), bounds[1:][long].tolist(), strict=True):
+        shingles[a:b].sort()
+    new = np.ones(len(shingles), dtype=bool)
+    new[1:] = (shingles[1:] != shingles[:-1]) | (owner[1:] != owner[:-1])
+    kept = np.concatenate([[0], np.cumsum(new)])
+    return Sets(shingles[new], kept[bounds], _text_keys(words) if n else np.zeros(len(counts), dtype=np.int64))
+
+
+def _word_runs(column: pa.Array) -> Iterator[tuple[int, int, blocks.Words]]:
     data, offsets = blocks.text_bytes(column)
     for first, last in blocks.document_runs(offsets):
-        words = blocks.words(data, offsets[first : last + 1], lower=True)
-        grams = blocks.window_hashes(words.hashes, size)
-        bounds = words.firsts.tolist()
-        for k in range(last - first):
-            a, b = bounds[k], bounds[k + 1]
-            if b - a >= size:
-                yield first + k, np.unique(grams[a : b - size + 1])
-            elif b > a:
-                yield first + k, blocks.window_hashes(words.hashes[a:b], b - a)
-            else:
-                yield first + k, np.zeros(0, dtype=_U)
-
-
-def set_keys(shingles: np.ndarray) -> tuple[int, int]:
-    """128 bits that identify a set: two sums over differently mixed members."""
-    if not len(shingles):
-        return 0, 0
-    one = blocks.mix(np.array([np.add.reduce(blocks.mix(shingles ^ _U(0x1D8E4E27C47D124F)))], dtype=_U))
-    two = blocks.mix(np.array([np.add.reduce(blocks.mix(shingles ^ _U(0x6A09E667F3BCC909)))], dtype=_U))
-    return int(signed(one)[0]), int(signed(two)[0])
+        yield first, last, blocks.words(data, offsets[first : last + 1], lower=True)
 
 
 def _cells(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,38 +130,60 @@ class Frequencies:
         a, b = _cells(shingles)
         return np.maximum(0.0, np.minimum(self.rows[0][a], self.rows[1][b]) - self.noise)
 
-    def prefix(self, shingles: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-        """The shingles a document puts out, in global order, and how many of them a pair must share."""
-        n = len(shingles)
-        excess = self.excess(shingles)
+    def prefixes(self, sets: Sets, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For every set the places of the shingles it puts out, in global order, one set after the other;
+        how many each puts out; and how many of them a pair must share."""
+        excess = self.excess(sets.shingles)
         rank = np.log2(1.0 + excess / self.noise).astype(np.int64)
-        order = np.lexsort((shingles, rank))
-        base = n - -(-percent * n // 100) + 1
-        candidates = float(excess[order[:base]].sum())
-        need = min(1 + int(np.log(1.0 + candidates) / np.log(NEED_STEP)), MOST_NEED)
-        return shingles[order[: min(n, base + need - 1)]], need
+        n = np.diff(sets.bounds)
+        base = n - -(-percent * n // 100) + (n > 0)
+        ranked = np.maximum.reduceat(np.append(rank, 0), np.minimum(sets.bounds[:-1], len(rank))) > 0
+        places, needs = [], np.ones(len(n), dtype=np.int8)
+        for k, (a, b, m) in enumerate(zip(sets.bounds[:-1].tolist(), sets.bounds[1:].tolist(), base.tolist(), strict=True)):
+            if a == b or not ranked[k]:
+                places.append(np.arange(a, a + m))
+                continue
+            order = a + np.argsort(rank[a:b], kind="stable")
+            candidates = float(excess[order[:m]].sum())
+            needs[k] = min(1 + int(np.log(1.0 + candidates) / np.log(NEED_STEP)), MOST_NEED)
+            places.append(order[: m + int(needs[k]) - 1])
+        sizes = np.array([len(p) for p in places], dtype=np.int64)
+        return np.concatenate(places) if places else np.zeros(0, dtype=np.int64), sizes, needs
+
+
+_SURVEY = "doc_id long, n long, one long, two long, text_key long, histogram binary, segment int, part long, counts binary"
 
 
-def count_shingles(texts: DataFrame, size: int) -> Frequencies:
-    """The sketch of all documents of the column ``text``; tasks' sketches meet sixty-four at a time."""
+def survey(docs: DataFrame, size: int) -> DataFrame:
+    """One reading of ``doc_id, text`` that makes both a row per document (size, identity and histogram of
+    its set) and each task's sketch of shingle counts, in segments (``segment`` is null in the former)."""
     width = SKETCH_CELLS // SKETCH_SEGMENTS
-    schema = "segment int, part long, counts binary"
+    names = [f.split(" ")[0] for f in _SURVEY.split(", ")]
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = np.zeros((2, SKETCH_CELLS), dtype=np.uint32)
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = np.zeros((2, SKETCH_CELLS), dtype=np.uint32)
         for batch in batches:
-            held: list[np.ndarray] = []
-            for _, shingles in shingle_sets(batch.column(0), size):
-                held.append(shingles)
-            if held:
-                for row, cells in zip(rows, _cells(np.concatenate(held)), strict=True):
+            for first, last, words in _word_runs(batch.column(1)):
+                sets = shingle_sets(words, size)
+                for row, cells in zip(sketch, _cells(sets.shingles), strict=True):
                     row += np.bincount(cells, minlength=SKETCH_CELLS).astype(np.uint32)
-        packed = [zlib.compress(rows[:, s * width : (s + 1) * width].tobytes(), 1) for s in range(SKETCH_SEGMENTS)]
-        part = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(SKETCH_SEGMENTS), pa.int32()), pa.array([part] * SKETCH_SEGMENTS, pa.int64()), pa.array(packed, pa.binary())],
-            names=["segment", "part", "counts"],
-        )
+                one, two = sets.keys()
+                found = [pa.array(np.diff(sets.bounds), pa.int64()), pa.array(one), pa.array(two), pa.array(sets.text_keys)]
+                found.append(pa.array([h.tobytes() for h in sets.histograms()], pa.binary()))
+                none = [pa.nulls(last - first, t) for t in (pa.int32(), pa.int64(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), *found, *none], names=names)
+        packed = [zlib.compress(sketch[:, s * width : (s + 1) * width].tobytes(), 1) for s in range(SKETCH_SEGMENTS)]
+        none = [pa.nulls(SKETCH_SEGMENTS, t) for t in (*[pa.int64()] * 5, pa.binary())]
+        own = [pa.array(range(SKETCH_SEGMENTS), pa.int32()), pa.array([TaskContext.get().partitionId()] * SKETCH_SEGMENTS, pa.int64()), pa.array(packed, pa.binary())]
+        yield pa.RecordBatch.from_arrays([*none, *own], names=names)
+
+    return docs.select("doc_id", "text").mapInArrow(rows, _SURVEY)
+
+
+def merged_frequencies(sketches: DataFrame) -> Frequencies:
+    """The sketch of all documents; tasks' sketches meet sixty-four at a time."""
+    width = SKETCH_CELLS // SKETCH_SEGMENTS
+    schema = "segment int, part long, counts binary"
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(2 * width, dtype=np.uint64)
@@ -128,7 +192,7 @@ def count_shingles(texts: DataFrame, size: int) -> Frequencies:
         total = np.minimum(total, 0xFFFFFFFF).astype(np.uint32)
         return pd.DataFrame({"segment": [rows["segment"].iloc[0]], "part": [rows["part"].iloc[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
 
-    merged = texts.select("text").mapInArrow(sketch, schema)
+    merged = sketches.select("segment", "part", "counts")
     for step in (6, 12, 63):
         merged = merged.groupBy("segment", F.shiftright("part", step).alias("group")).applyInPandas(merge, schema)
     rows = np.zeros((2, SKETCH_CELLS), dtype=np.uint32)
@@ -138,48 +202,42 @@ def count_shingles(texts: DataFrame, size: int) -> Frequencies:
     return Frequencies(rows)
 
 
-def set_members(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, n, one, two``: size and identity of the set of every row of ``doc_id, text``."""
+def _prefixes(texts: DataFrame, frequencies, size: int, percent: int) -> DataFrame:
+    """``token, one, n, place, need``: the prefix of every set, once per batch."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(len(s), *set_keys(s)) for _, s in shingle_sets(batch.column(1), size)]
-            columns = zip(*found, strict=True) if found else ([], [], [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in columns]], names=["doc_id", "n", "one", "two"])
+            seen: set[tuple[int, int]] = set()
+            for _, _, words in _word_runs(batch.column(0)):
+                sets = shingle_sets(words, size)
+                one, two = sets.keys()
+                fresh = []
+                for k, key in enumerate(zip(one.tolist(), two.tolist(), strict=True)):
+                    if sets.bounds[k] < sets.bounds[k + 1] and key not in seen:
+                        seen.add(key)
+                        fresh.append(k)
+                places, sizes, need = frequencies.value.prefixes(sets, percent)
+                chosen = np.zeros(len(sizes), dtype=bool)
+                chosen[fresh] = True
+                rows = np.repeat(chosen, sizes)
+                sizes = sizes[chosen]
+                place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                spread = lambda values, kind: np.repeat(values[chosen].astype(kind), sizes)
+                columns = [signed(sets.shingles[places[rows]]), spread(one, np.int64), spread(np.diff(sets.bounds), np.int32), place.astype(np.int32), spread(need, np.int8)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "one", "n", "place", "need"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n long, one long, two long")
+    return texts.select("text").mapInArrow(rows, "token long, one long, n int, place int, need byte")
 
 
-def _prefixes(texts: DataFrame, frequencies, size: int, percent: int, bloom=None) -> DataFrame:
-    """``token, one, n, place, need``: the prefix of every set, once per batch; with ``bloom`` only
-    tokens it may hold."""
+def _held(rows: DataFrame, column: str, bloom) -> DataFrame:
+    """Rows whose ``column`` a Bloom filter may hold."""
+    place = rows.columns.index(column)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: set[tuple[int, int]] = set()
-            parts: list[tuple] = []
-            for _, shingles in shingle_sets(batch.column(0), size):
-                key = set_keys(shingles)
-                if not len(shingles) or key in seen:
-                    continue
-                seen.add(key)
-                tokens, need = frequencies.value.prefix(shingles, percent)
-                parts.append((tokens, key[0], len(shingles), need))
-            if not parts:
-                continue
-            sizes = [len(p[0]) for p in parts]
-            token = np.concatenate([p[0] for p in parts])
-            place = np.concatenate([np.arange(s, dtype=np.int32) for s in sizes])
-            one = np.repeat(np.array([p[1] for p in parts], dtype=np.int64), sizes)
-            n = np.repeat(np.array([p[2] for p in parts], dtype=np.int32), sizes)
-            need = np.repeat(np.array([p[3] for p in parts], dtype=np.int8), sizes)
-            columns = [signed(token), one, n, place, need]
-            if bloom is not None:
-                some = bloom.value.may_hold(token)
-                columns = [c[some] for c in columns]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "one", "n", "place", "need"])
+            yield batch.filter(pa.array(bloom.value.may_hold(np.asarray(batch.column(place))), pa.bool_()))
 
-    return texts.select("text").mapInArrow(rows, "token long, one long, n int, place int, need byte")
+    return rows.mapInArrow(some, rows.schema)
 
 
 def _least_overlap(n: str, m: str, percent: int) -> str:
@@ -187,32 +245,55 @@ def _least_overlap(n: str, m: str, percent: int) -> str:
     return f"(({percent} * (CAST({n} AS BIGINT) + {m}) + {99 + percent}) DIV {100 + percent})"
 
 
+_ENDS = [f"{side}_{c}" for side in "ab" for c in ("one", "two", "text_key")]
+
+
+def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose histograms leave room for the overlap they need, with both keys and a text of
+    each. ``pairs`` has the first halves of the keys, ``a, b``."""
+    side = lambda name: classes.select(*[F.col(c).alias(f"{name}_{c}") for c in ("one", "two", "text_key", "n", "histogram")])
+    joined = pairs.join(side("a"), F.col("a") == F.col("a_one")).join(side("b"), F.col("b") == F.col("b_one"))
+    joined = joined.select(*_ENDS, (F.col("a_n") + F.col("b_n")).alias("n"), "a_histogram", "b_histogram")
+
+    def room(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, 256).astype(np.int16) for c in (7, 8))
+            n = np.asarray(batch.column(6))
+            least = -(-percent * n // (100 + percent))
+            yield batch.select(_ENDS).filter(pa.array(np.abs(a - b).sum(axis=1) <= n - 2 * least, pa.bool_()))
+
+    return joined.mapInArrow(room, ", ".join(f"{c} long" for c in _ENDS))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """``a_one, a_two, b_one, b_two`` of the linked ones among ``pairs`` (``a, b``: first halves of keys).
+    """``a_one, a_two, b_one, b_two`` of the linked ones among :func:`plausible` pairs.
 
     Only documents in some pair, and what a Bloom filter of bounded size lets through besides, send
     their sets. Both joins may be split where a document is in very many pairs.
     """
-    keys = pairs.select(F.col("a").alias("hash")).unionByName(pairs.select(F.col("b").alias("hash"))).distinct()
+    keys = pairs.select(F.col("a_text_key").alias("hash")).unionByName(pairs.select(F.col("b_text_key").alias("hash"))).distinct()
     bloom = texts.sparkSession.sparkContext.broadcast(build_bloom(keys))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[tuple[int, int], bytes] = {}
-            for _, shingles in shingle_sets(batch.column(0), size):
-                if len(shingles):
-                    key = set_keys(shingles)
-                    if key not in found and bloom.value.may_hold(np.array([key[0]], dtype=np.int64))[0]:
-                        found[key] = shingles.tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.int64()), pa.array(found.values(), pa.binary())],
-                names=["one", "two", "shingles"],
-            )
-
-    stored = texts.select("text").mapInArrow(sets, "one long, two long, shingles binary").dropDuplicates(["one", "two"])
+            found: dict[int, bytes] = {}
+            for _, _, words in _word_runs(batch.column(0)):
+                if not len(words.hashes):
+                    continue
+                own = _text_keys(words)
+                some = np.flatnonzero(bloom.value.may_hold(own) & (words.counts() > 0))
+                for k in some.tolist():
+                    if int(own[k]) not in found:
+                        a, b = words.firsts[k], words.firsts[k + 1]
+                        one = blocks.Words(words.data, words.starts[a:b], words.ends[a:b], words.hashes[a:b], np.array([0, b - a]))
+                        found[int(own[k])] = shingle_sets(one, size).shingles.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["text_key", "shingles"])
+
+    stored = texts.select("text").mapInArrow(sets, "text_key long, shingles binary").dropDuplicates(["text_key"])
     stored = stored_table(stored, "shingle-sets")
-    side = lambda name: stored.select(*[F.col(c).alias(f"{name}_{c}") for c in stored.columns])
-    joined = pairs.join(side("a"), F.col("a") == F.col("a_one")).join(side("b"), F.col("b") == F.col("b_one"))
+    side = lambda name: stored.select(F.col("text_key").alias(f"{name}_text_key"), F.col("shingles").alias(f"{name}_shingles"))
+    joined = pairs.join(side("a"), "a_text_key").join(side("b"), "b_text_key")
+    ends = ["a_one", "a_two", "b_one", "b_two"]
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,9 +302,8 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
                 a, b = np.frombuffer(a.as_buffer(), dtype=_U), np.frombuffer(b.as_buffer(), dtype=_U)
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 linked.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=batch.schema.names[:4]).filter(pa.array(linked, pa.bool_()))
+            yield batch.select(ends).filter(pa.array(linked, pa.bool_()))
 
-    ends = ["a_one", "a_two", "b_one", "b_two"]
     return joined.select(*ends, "a_shingles", "b_shingles").mapInArrow(check, ", ".join(f"{c} long" for c in ends))
 
 
@@ -246,23 +326,30 @@ def shingle_components(
     narrow = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
     texts = narrow.select("text")
     spark = docs.sparkSession
-    members = stored_table(set_members(narrow, size), "set-members")
-    classes = members.filter("n > 0").groupBy("one", "two").agg(F.min("doc_id").alias("class_id"))
+    surveyed = stored_table(survey(narrow, size), "survey")
+    members = surveyed.filter("segment IS NULL").select("doc_id", "n", "one", "two")
+    # Copies of a set have one size and histogram; any of their texts stands for the set.
+    classes = surveyed.filter("n > 0").groupBy("one", "two").agg(
+        F.min("doc_id").alias("class_id"), F.min("text_key").alias("text_key"), F.max("n").alias("n"), F.first("histogram").alias("histogram")
+    )
     classes = stored_table(classes.withColumn("number", F.monotonically_increasing_id()), "set-classes")
-    frequencies = spark.sparkContext.broadcast(count_shingles(texts, size))
+    frequencies = spark.sparkContext.broadcast(merged_frequencies(surveyed.filter("segment IS NOT NULL")))
 
-    hubs = _prefixes(texts, frequencies, size, percent).groupBy("token").agg(
-        F.min(F.struct("place", "n", "one")).alias("hub"), F.min("one").alias("low"), F.max("one").alias("high")
-    )
-    hubs = stored_table(hubs.filter("low < high").select("token", F.col("hub.one").alias("b"), F.col("hub.n").alias("m"), F.col("hub.place").alias("q")), "hubs")
-    bloom = spark.sparkContext.broadcast(build_bloom(hubs.select(F.col("token").alias("hash"))))
-    shared = stored_table(_prefixes(texts, frequencies, size, percent, bloom).join(hubs.select("token"), "token", "left_semi"), "shared-prefixes")
+    prefixes = stored_table(_prefixes(texts, frequencies, size, percent), "prefixes")
+    # Most shingles are in one document only. The lowest and highest key tell, in plain sums of longs.
+    several = prefixes.groupBy("token").agg(F.min("one").alias("low"), F.max("one").alias("high")).filter("low < high").select("token")
+    several = stored_table(several, "shared-tokens")
+    bloom = spark.sparkContext.broadcast(build_bloom(several.select(F.col("token").alias("hash"))))
+    shared = stored_table(_held(prefixes, "token", bloom).join(several, "token", "left_semi"), "shared-prefixes")
+    hubs = shared.groupBy("token").agg(F.min(F.struct("place", "n", "one")).alias("hub"))
+    hubs = stored_table(hubs.select("token", F.col("hub.one").alias("b"), F.col("hub.n").alias("m"), F.col("hub.place").alias("q")), "hubs")
 
     near = shared.join(hubs, "token").filter("one <> b").filter(
         f"least(place, q) + least(n - place, m - q) >= {_least_overlap('n', 'm', percent)}"
     )
     first = stored_table(near.select(F.col("one").alias("a"), "b").distinct(), "hub-pairs")
-    links = stored_table(verified(first, texts, size, percent), "hub-links")
+    likely = stored_table(plausible(first, classes, percent), "likely-hub-pairs")
+    links = stored_table(verified(likely, texts, size, percent), "hub-links")
     edges = stored_table(_as_edges(links, classes), "hub-edges")
     labels = connected_components(edges)
 
@@ -282,7 +369,7 @@ def shingle_components(
     second = apart.groupBy("a", "b").agg(F.count("*").alias("both"), F.max(F.least("s", "t")).alias("need")).filter("both >= need")
     second = second.select("a", "b").join(first.select(F.col("a"), F.col("b")), ["a", "b"], "left_anti")
     second = second.join(first.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    second = stored_table(second, "apart-pairs")
+    second = stored_table(plausible(second, classes, percent), "apart-pairs")
     more = stored_table(_as_edges(verified(second, texts, size, percent), classes), "apart-edges")
     # Components of the first round are nodes now.
     spanning = labels.select(F.col("node").alias("u"), F.col("label").alias("v"))
@@ -311,9 +398,10 @@ def one_of_each_group(
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [set_keys(s) for _, s in shingle_sets(batch.column(place), size)]
-            columns = [pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[f"c{i}" for i in range(at)] + ["one", "two"])
+            for first, last, words in _word_runs(batch.column(place)):
+                keys = [pa.array(k) for k in shingle_sets(words, size).keys()]
+                rows = [c.slice(first, last - first) for c in batch.columns]
+                yield pa.RecordBatch.from_arrays([*rows, *keys], names=[f"c{i}" for i in range(at)] + ["one", "two"])
 
     def ids(number):
         return [F.coalesce(number, F.lit(0)).alias(own["id"]), number.isNull().alias(own["no_id"])]
