@@ -142,10 +142,11 @@ def test_a_pair_must_share_more_where_prefixes_are_longer(spark):
     sketch = jaccard.Frequencies(np.full((2, jaccard.SKETCH_CELLS), 3, dtype=np.uint32))
     sketch.rows[:, :1000] = 40_000
     common, rare = np.arange(1000, dtype=np.uint64) * np.uint64((1 << 32) + 1), np.arange(5000, 6000, dtype=np.uint64)
-    (plain_prefix, one), (longer, several) = sketch.prefix(rare, 90), sketch.prefix(common, 90)
-    assert one == 1 and len(plain_prefix) == 101 and several == jaccard.MOST_NEED and len(longer) == 100 + several
-    mixed, _ = sketch.prefix(np.sort(np.concatenate([common[:950], rare[:50]])), 90)
-    assert set(rare[:50].tolist()) <= set(mixed[:50].tolist())  # the rare ones come first
+    mixed = np.sort(np.concatenate([common[:950], rare[:50]]))
+    sets = jaccard.Sets(np.concatenate([rare, common, mixed]), np.array([0, 0, 1000, 2000, 3000]), np.zeros(4))
+    places, sizes, needs = sketch.prefixes(sets, 90)
+    assert sizes.tolist()[:3] == [0, 101, 100 + jaccard.MOST_NEED] and needs.tolist()[:3] == [1, 1, jaccard.MOST_NEED]
+    assert set(rare[:50].tolist()) <= set(sets.shingles[places[-sizes[3] :][:50]].tolist())  # the rare ones come first
     rng, rows = random.Random(12), []
     base = prose(rng, 100).split(" ")
     for i in range(150):
