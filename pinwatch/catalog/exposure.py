@@ -463,17 +463,17 @@ def sbom_export_spdx(t: Tables) -> DataFrame:
 def manifest_texts(t: Tables) -> DataFrame:
     """Current pins written back as each ecosystem's manifest, with comments and noise lines."""
     line = F.expr("""CASE ecosystem WHEN 'pypi' THEN package || '==' || version || '  # pinned' WHEN 'go' THEN '\t' || package || ' v' || version
-        WHEN 'rubygems' THEN '    ' || package || ' (' || version || ')' WHEN 'cargo' THEN package || ' = "' || version || '"'
-        WHEN 'npm' THEN '"' || package || '":"^' || version || '"'
+        WHEN 'rubygems' THEN '    ' || package || ' (' || version || ')' WHEN 'cargo' THEN package || CASE WHEN version LIKE '%0' THEN ' = { version = "=' || version || '", optional = true }' ELSE ' = "=' || version || '"' END
+        WHEN 'npm' THEN '"' || package || '":"' || version || '"'
         ELSE '<dependency><groupId>org</groupId><artifactId>' || package || '</artifactId><version>' || version || '</version></dependency>' END""")
     lines = graph.current_pins(t.ops).groupBy("service_id", "ecosystem").agg(F.sort_array(F.collect_list(line)).alias("lines"))
     grouped = lines.withColumn("body", F.expr(r"array_join(lines, if(ecosystem = 'npm', ',', '\n'))"))
     file = F.expr("""CASE ecosystem WHEN 'pypi' THEN 'requirements.txt' WHEN 'go' THEN 'go.mod' WHEN 'rubygems' THEN 'Gemfile.lock'
         WHEN 'cargo' THEN 'Cargo.toml' WHEN 'npm' THEN 'package.json' ELSE 'pom.xml' END""")
-    content = F.expr("""CASE ecosystem WHEN 'npm' THEN '{"name":"x","dependencies":{' || body || '}}'
-        WHEN 'maven' THEN '<project><dependencies>' || body || '</dependencies></project>' WHEN 'go' THEN 'module m\ngo 1.21\nrequire (\n' || body || '\n)'
+    content = F.expr("""CASE ecosystem WHEN 'npm' THEN '{"name":"x","version":"9.9.9","dependencies":{' || body || '},"devDependencies":{"loose":"^1.2.3","any":"*"}}'
+        WHEN 'maven' THEN '<project><dependencies>' || body || '</dependencies></project>' WHEN 'go' THEN 'module m\ngo 1.21\nrequire (\n' || body || '\n)\nexclude (\n\tbad v1.0.0\n)\nreplace old => new v2.0.0'
         WHEN 'pypi' THEN '# header\nloose>=1.0\n' || body WHEN 'rubygems' THEN 'GEM\n  specs:\n' || body || '\n\nDEPENDENCIES\n  x'
-        ELSE '[dependencies]\n' || body END""")
+        ELSE '[package]\nname = "x"\nversion = "0.1.0"\nedition = "2021"\n[dependencies]\nloose = "1.2"\n' || body || '\n[profile.release]\nopt = "3"' END""")
     return grouped.select("service_id", "ecosystem", file.alias("manifest_file"), content.alias("content"))
 
 
@@ -482,6 +482,14 @@ def manifest_pins(t: Tables) -> DataFrame:
     return manifests.manifest_pins(manifest_texts(t)).drop("manifest_file")
 
 
+@query("manifest_ranges", """SELECT DISTINCT service_id, ecosystem, 'loose' AS package, CASE ecosystem WHEN 'pypi' THEN '>=1.0' WHEN 'npm' THEN '^1.2.3'
+ ELSE '1.2' END AS version_range FROM pins WHERE ecosystem IN ('pypi', 'npm', 'cargo')
+ UNION ALL SELECT DISTINCT service_id, ecosystem, 'any', '*' FROM pins WHERE ecosystem = 'npm'""")
+def manifest_ranges(t: Tables) -> DataFrame:
+    open_ = manifests.requirements(manifest_texts(t)).filter("version IS NULL")
+    return open_.select("service_id", "ecosystem", "package", "version_range")
+
+
 _CLOSURE = """WITH RECURSIVE e AS (SELECT ecosystem, package, depends_on, min(version) AS version FROM package_edges
  WHERE package <> depends_on GROUP BY 1, 2, 3),
  walk AS (SELECT ecosystem, package, depends_on, 1 AS depth, package || '>' || depends_on AS path, version FROM e

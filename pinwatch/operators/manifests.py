@@ -1,58 +1,92 @@
-"""Dependency manifests as text -> pinned packages, for whole collections of manifests."""
+"""Dependency manifests as text -> required packages, for whole collections of manifests.
+
+A requirement is exact or a range. Exact ones are pins and have a ``version``; all others have their
+text in ``version_range`` and no version, since which version they resolve to is not in the manifest.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Fixed patterns: one pinned package per line, (package, version), by manifest file.
-LINE_PATTERNS = {
-    "requirements.txt": r"^\s*([A-Za-z0-9][\w.\-]*)\s*(?:\[[^\]]*\])?\s*==\s*([^\s;#,]+)",
-    "go.mod": r"^\s*(?:require\s+)?([\w.\-~/]+)\s+v(\d[\w.\-+]*)",
-    "Gemfile.lock": r"^ {4}([\w.\-]+) \((\d[\w.\-]*)\)",
-    "Cargo.toml": r"^\s*([\w\-]+)\s*=\s*\"=?(\d[\w.\-+]*)\"",
+# Fixed patterns: one package per line, (package, requirement), by manifest file.
+REQUIREMENT = r"^\s*([A-Za-z0-9][\w.\-]*)\s*(?:\[[^\]]*\])?\s*((?:===?|~=|!=|<=?|>=?)[^;#]*)"
+GO_LINE = r"^\s*(?:require\s+)?([\w.\-~/]+)\s+(v\d[\w.\-+]*)"
+GEM_LINE = r"^ {4}([\w.\-]+) \((\d[\w.\-]*)\)"
+CARGO_LINE = r'^\s*"?([\w\-]+)"?\s*=\s*(?:\{[^}]*?\bversion\s*=\s*)?"([^"]+)"'
+# Fixed patterns: parts of a go.mod that take versions out or replace them, and the tables of a
+# Cargo.toml that hold dependencies, all in one or one each.
+GO_OTHER = r"(?m)^\s*(?:exclude|replace|retract)\s*(?:\((?s:.*?)\)|[^\n]*)"
+CARGO_TABLE = r"(?:^|\.)(?:dev-|build-)?dependencies$"
+CARGO_SINGLE = r"(?:^|\.)(?:dev-|build-)?dependencies\.\"?([\w\-]+)\"?$"
+# Fixed patterns: exact requirements; the group is the version.
+EXACT = {
+    "requirements.txt": r"^===?\s*([^\s,*]+)$",
+    "package.json": r"^[=v\s]*(\d+\.\d+\.\d+(?:[\-+][0-9A-Za-z.\-+]+)?)$",
+    "go.mod": r"^v(.+)$",
+    "Gemfile.lock": r"^(.+)$",
+    "Cargo.toml": r"^=\s*(\d[\w.\-+]*)$",
+    "pom.xml": r"^\[?([\w.\-]*\d[\w.\-]*)\]?$",
 }
 
 
-def _line_pins(content: Column, pattern: str) -> Column:
-    found = F.transform(
-        F.split(content, r"\r?\n"),
-        lambda line: F.struct(
-            F.regexp_extract(line, pattern, 1).alias("package"), F.regexp_extract(line, pattern, 2).alias("version")
-        ),
-    )
-    return F.filter(found, lambda p: p["package"] != "")
+def _found(package: Column, requirement: Column) -> Column:
+    return F.struct(package.alias("package"), F.trim(requirement).alias("requirement"))
+
+
+def _by_line(content: Column, pattern: str) -> Column:
+    take = lambda line: _found(F.regexp_extract(line, pattern, 1), F.regexp_extract(line, pattern, 2))
+    return F.transform(F.split(content, r"\r?\n"), take)
+
+
+def _cargo(content: Column) -> Column:
+    def of(table: Column) -> Column:
+        name = F.regexp_extract(table, r"^\s*\[+([^\]]*)\]", 1)
+        single = F.array(_found(F.regexp_extract(name, CARGO_SINGLE, 1), F.regexp_extract(table, r'(?m)^\s*version\s*=\s*"([^"]+)"', 1)))
+        none = F.slice(single, F.lit(1), F.lit(0))
+        return F.when(name.rlike(CARGO_TABLE), _by_line(table, CARGO_LINE)).when(name.rlike(CARGO_SINGLE), single).otherwise(none)
 
+    return F.flatten(F.transform(F.split(content, r"(?m)^(?=\s*\[)"), of))
 
-def _json_pins(content: Column) -> Column:
+
+def _json(content: Column) -> Column:
     parsed = F.from_json(content, "dependencies MAP<STRING, STRING>, devDependencies MAP<STRING, STRING>")
     empty = F.create_map().cast("map<string,string>")
-    entries = F.concat(*[
-        F.map_entries(F.coalesce(parsed[part], empty)) for part in ("dependencies", "devDependencies")
-    ])
-    return F.transform(
-        entries,
-        lambda e: F.struct(e["key"].alias("package"), F.regexp_replace(e["value"], r"^[\^~=v\s]+", "").alias("version")),
-    )
+    entries = F.concat(*[F.map_entries(F.coalesce(parsed[part], empty)) for part in ("dependencies", "devDependencies")])
+    return F.transform(entries, lambda e: _found(e["key"], e["value"]))
 
 
-def _xml_pins(content: Column) -> Column:
+def _xml(content: Column) -> Column:
     def texts(tag: str) -> Column:
         return F.xpath(content, F.lit(f"//dependency[groupId and artifactId and version]/{tag}/text()"))
 
     zipped = F.arrays_zip(texts("groupId").alias("g"), texts("artifactId").alias("a"), texts("version").alias("v"))
-    return F.transform(
-        zipped, lambda d: F.struct(F.concat_ws(":", d["g"], d["a"]).alias("package"), d["v"].alias("version"))
+    return F.transform(zipped, lambda d: _found(F.concat_ws(":", d["g"], d["a"]), d["v"]))
+
+
+def requirements(manifests: DataFrame) -> DataFrame:
+    """(service_id, ecosystem, manifest_file, content) -> one row per required package with ``version`` or
+    ``version_range``."""
+    file, content = F.col("manifest_file"), F.col("content")
+    readers = {
+        "package.json": _json(content),
+        "pom.xml": _xml(content),
+        "Cargo.toml": _cargo(content),
+        "go.mod": _by_line(F.regexp_replace(content, GO_OTHER, ""), GO_LINE),
+        "requirements.txt": _by_line(content, REQUIREMENT),
+        "Gemfile.lock": _by_line(content, GEM_LINE),
+    }
+    found, exact = F.lit(None), F.lit(None)
+    for name, reader in readers.items():
+        found = F.when(file == name, reader).otherwise(found)
+        exact = F.when(file == name, F.regexp_extract("p.requirement", EXACT[name], 1)).otherwise(exact)
+    rows = manifests.select("service_id", "ecosystem", "manifest_file", F.explode(found).alias("p"))
+    rows = rows.filter("p.package <> '' AND p.requirement <> ''").withColumn("exact", F.nullif(exact, F.lit("")))
+    return rows.select(
+        "service_id", "ecosystem", "manifest_file", "p.package", F.col("exact").alias("version"),
+        F.when(F.col("exact").isNull(), F.col("p.requirement")).alias("version_range"),
     )
 
 
 def manifest_pins(manifests: DataFrame) -> DataFrame:
-    """(service_id, ecosystem, manifest_file, content) -> one row per pinned package."""
-    file = F.col("manifest_file")
-    content = F.col("content")
-    pins = F.when(file == "package.json", _json_pins(content)).when(file == "pom.xml", _xml_pins(content))
-    for name, pattern in LINE_PATTERNS.items():
-        pins = pins.when(file == name, _line_pins(content, pattern))
-    rows = manifests.select("service_id", "ecosystem", "manifest_file", F.explode(pins).alias("p"))
-    return rows.select("service_id", "ecosystem", "manifest_file", "p.package", "p.version").filter(
-        "package <> '' AND version <> ''"
-    )
+    """The exact requirements alone."""
+    return requirements(manifests).filter("version IS NOT NULL").drop("version_range")

@@ -10,7 +10,7 @@ from pyspark.sql import Row, functions as F
 
 from pinwatch import schemas
 from pinwatch.functions import scalars as S
-from pinwatch.operators import closure, cursors, graph, lookups, match, sbom, scoring, search, vulnerabilities as V
+from pinwatch.operators import closure, cursors, graph, lookups, manifests, match, sbom, scoring, search, vulnerabilities as V
 from pinwatch.plans.timeline import crowded_keys, with_neighbours
 from pinwatch.sinks import tables as stored, topics as out
 from pinwatch.sources import changes, feeds, tables, topics
@@ -421,3 +421,26 @@ def test_a_feed_never_read_starts_a_day_back(spark):
     stored = spark.createDataFrame([("a", hours(3)), ("a", hours(5))], "feed string, cursor timestamp")
     feeds = spark.createDataFrame([("a",), ("b",)], "feed string")
     assert rows(cursors.poll_start(stored, feeds, F.lit(hours(48))), "feed", "cursor") == [("a", hours(5)), ("b", hours(24))]
+
+
+def test_manifests_tell_pins_from_ranges_and_other_sections(spark):
+    texts = {
+        "requirements.txt": "a==1.0 # x\nb[extra] == 2.0 ; python_version>'3'\nc>=1,<2\nd\ne==1.*\n-r other.txt\nf===3",
+        "package.json": '{"version":"1.0.0","dependencies":{"a":"1.2.3","b":"^1.2.3","c":"*","d":"https://x/y.tgz","@s/e":"=2.0.0-rc.1"}}',
+        "go.mod": "module m\nrequire x/y v1.2.3\nrequire (\n\tp v0.1.0 // indirect\n)\nexclude (\n\tbad v9.0.0\n)\nexclude worse v8.0.0\nreplace q => r v7.0.0",
+        "Cargo.toml": '[package]\nname = "n"\nversion = "0.1.0"\n[dependencies]\na = "=1.0.0"\nb = { version = "1.2", features = ["f"] }\nc = { path = "../c" }\n[dev-dependencies.d]\nversion = "=3.1"\n[features]\nx = "1"',
+        "pom.xml": "<project><version>9</version><dependencies><dependency><groupId>g</groupId><artifactId>a</artifactId><version>1.0</version></dependency>"
+                   "<dependency><groupId>g</groupId><artifactId>b</artifactId><version>[1.0,2.0)</version></dependency></dependencies></project>",
+    }
+    rows_ = [("s", "e", name, text) for name, text in texts.items()] + [("s", "e", "other.lock", "a==1"), ("s", "e", "go.mod", None), ("s", "e", "package.json", "no json")]
+    frame = spark.createDataFrame(rows_, "service_id string, ecosystem string, manifest_file string, content string")
+    found = manifests.requirements(frame).withColumns({"version": F.coalesce("version", F.lit("-")), "version_range": F.coalesce("version_range", F.lit("-"))})
+    assert rows(found, "manifest_file", "package", "version", "version_range") == sorted([
+        ("requirements.txt", "a", "1.0", "-"), ("requirements.txt", "b", "2.0", "-"), ("requirements.txt", "c", "-", ">=1,<2"),
+        ("requirements.txt", "e", "-", "==1.*"), ("requirements.txt", "f", "3", "-"),
+        ("package.json", "a", "1.2.3", "-"), ("package.json", "b", "-", "^1.2.3"), ("package.json", "c", "-", "*"),
+        ("package.json", "d", "-", "https://x/y.tgz"), ("package.json", "@s/e", "2.0.0-rc.1", "-"),
+        ("go.mod", "x/y", "1.2.3", "-"), ("go.mod", "p", "0.1.0", "-"),
+        ("Cargo.toml", "a", "1.0.0", "-"), ("Cargo.toml", "b", "-", "1.2"), ("Cargo.toml", "d", "3.1", "-"),
+        ("pom.xml", "g:a", "1.0", "-"), ("pom.xml", "g:b", "-", "[1.0,2.0)")])
+    assert manifests.manifest_pins(frame).count() == 10
