@@ -83,7 +83,7 @@ _FIRST = """SELECT cve_id, service_id, ecosystem, package, version, detected_at,
 def stream_symmetric_join(t: Tables) -> DataFrame:
     known = cvss_enrich(as_stream(t, osv(t).drop("affected_list"), "osv"), t.vulns.filter("source = 'nvd'"))
     joined = flows.stream_symmetric_join(as_stream(t, t.ops, "ops"), known, pin_shares=4)
-    return drained(t, joined, "matches").distinct()
+    return drained(t, joined, "matches")
 
 
 @query("stream_static_enrich", "SELECT m.match_id, meta.team, meta.is_customer_facing FROM vulnerability_matches m JOIN meta ON m.service_id = meta.service_id")
@@ -116,5 +116,5 @@ def stream_exposure(t: Tables) -> DataFrame:
     stream = flows.stream_exposure(ops, advisories, t.vulns.filter("source = 'nvd'"), t.registry, pin_shares=4)
     path, marks = scratch_path(t.spark, "out"), scratch_path(t.spark, "out-checkpoint")
     flows.start(stream, lambda df: stream_topic_files(df, path, marks).trigger(availableNow=True)).awaitTermination()
-    written = t.spark.read.parquet(path).dropDuplicates(["topic", "key", "value"])
+    written = t.spark.read.parquet(path)
     return written.groupBy("topic").agg(F.count("*").alias("messages"), F.count_distinct("key").alias("keys"))

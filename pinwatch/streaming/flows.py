@@ -7,6 +7,7 @@ state.
 
 from __future__ import annotations
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from pinwatch import constants as K
@@ -17,8 +18,13 @@ from pinwatch.operators.match import CVE_COLUMNS, package_key
 from pinwatch.operators.scoring import registry_enrich, route, score
 from pinwatch.operators.vulnerabilities import RECORD_KEY, cvss_enrich
 from pinwatch.sinks.topics import keyed_matches
+from pinwatch.streaming import processors
 from pinwatch.streaming.processors import CANDIDATE, FirstPerWindow, PinsMeetVulnerabilities
 
+# The process that sets up a stateful step is not given the files of the application, so the
+# processors travel whole.
+cloudpickle.register_pickle_by_value(processors)
+
 STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -81,7 +87,7 @@ def stream_symmetric_join(
     """
     none = F.lit(None)
     columns = "package_key pin_share cve_share is_cve at event_id op_rank pos service_id package version position".split()
-    cve_columns = "record cve_id ecosystem low high ranged listed payload".split()
+    cve_columns = "record cve_id ecosystem low high ranged listed special payload".split()
     shares = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     # Parsed in a step of its own: names of nested fields are lost beside an explode.
     pins = ops.withColumn("here", located(F.col("version"))).select(
@@ -104,6 +110,7 @@ def stream_symmetric_join(
         none.cast("string").alias("high"),
         F.lit(False).alias("ranged"),
         F.array().cast("array<string>").alias("listed"),
+        F.lit(False).alias("special"),
         none.cast("string").alias("payload"),
     )
     named = cves.filter("affected_package <> ''").withColumn("spec", specifier(F.col("affected_version_range")))
@@ -125,6 +132,7 @@ def stream_symmetric_join(
         F.col("spec.high").alias("high"),
         F.col("spec").isNotNull().alias("ranged"),
         F.coalesce("affected_versions", F.array().cast("array<string>")).alias("listed"),
+        F.coalesce("spec.special", F.lit(False)).alias("special"),
         F.to_json(F.struct(*CVE_COLUMNS, "affected_version_range", "affected_versions")).alias("payload"),
     )
     both = pins.select(*columns, *cve_columns).unionByName(news.select(*columns, *cve_columns))
@@ -137,11 +145,12 @@ def stream_symmetric_join(
         "affected_package STRING, cvss_score DOUBLE, severity_tier STRING, safe_version STRING, "
         "ingested_at TIMESTAMP, affected_version_range STRING, affected_versions ARRAY<STRING>",
     )
-    parsed = candidates.withColumn("c", body).withColumn("here", located(F.col("version"))).withColumn(
-        "spec", specifier(F.col("c.affected_version_range"))
+    # Nearly all ranges are bounds alone, and were settled in the state.
+    parsed = candidates.withColumn("c", body).withColumn("here", F.when(F.col("special"), located(F.col("version")))).withColumn(
+        "spec", F.when(F.col("special"), specifier(F.col("c.affected_version_range")))
     )
     listed = F.coalesce(F.array_contains("c.affected_versions", F.col("version")), F.lit(False))
-    exact = ~F.coalesce(F.col("spec.special"), F.lit(False)) | listed | in_range(F.col("here"), F.col("spec"), F.col("version"))
+    exact = ~F.col("special") | listed | in_range(F.col("here"), F.col("spec"), F.col("version"))
     return parsed.filter(exact).select(
         "cve_id", "service_id", "ecosystem", "package", "version",
         F.timestamp_micros("detected_at").alias("detected_at"),

@@ -43,17 +43,52 @@ PIN_VALUE = "at BIGINT, event_id STRING, op_rank INT, pos INT, version STRING, p
 CVE_KEY = "record STRING"
 CVE_VALUE = (
     "at BIGINT, cve_id STRING, ecosystem STRING, low STRING, high STRING, ranged BOOLEAN, "
-    "listed ARRAY<STRING>, payload STRING"
+    "listed ARRAY<STRING>, special BOOLEAN, payload STRING"
 )
 CANDIDATE = (
     "cve_id STRING, service_id STRING, ecosystem STRING, package STRING, version STRING, "
-    "detected_at BIGINT, payload STRING"
+    "detected_at BIGINT, special BOOLEAN, payload STRING"
 )
 
 
+class _Known:
+    """The vulnerabilities of a key, and which of them affect each version that was asked for. Services
+    are many and versions few, so a pin costs a look-up and not a pass over the vulnerabilities."""
+
+    def __init__(self, records: dict[str, tuple]) -> None:
+        self.records = records
+        self._by_version: dict[tuple, list[tuple]] = {}
+
+    def affecting(self, version: tuple) -> list[tuple]:
+        """What to report for a version: of each vulnerability the earliest record that covers it, and
+        every record that needs more than bounds, which is settled later."""
+        found = self._by_version.get(version)
+        if found is None:
+            hits = sorted((value[0], record) for record, value in self.records.items() if _affects(value, version))
+            seen: set[str] = set()
+            found = []
+            for _, record in hits:
+                value = self.records[record]
+                if value[7] or value[1] not in seen:
+                    found.append(value)
+                if not value[7]:
+                    seen.add(value[1])
+            self._by_version[version] = found
+        return found
+
+    def covers(self, cve: tuple, version: tuple) -> bool:
+        """Whether a record other than ``cve`` already reports its vulnerability for the version."""
+        return any(value is not cve and value[1] == cve[1] and not value[7] and _affects(value, version) for value in self.records.values())
+
+    def put(self, record: str, value: tuple) -> None:
+        self.records[record] = value
+        self._by_version.clear()
+
+
 class PinsMeetVulnerabilities(StatefulProcessor):
     """Both sides kept in state: a new pin looks at known vulnerabilities, a new vulnerability at
-    live pins. Versions arrive as sortable text, so a range test is two string comparisons.
+    live pins. Versions arrive as sortable text, so a range test is two string comparisons, made once
+    per version. Several records of one vulnerability report a pin's version once.
 
     What is held are the rows of the trigger, the vulnerabilities of the key, and its pins while
     there are at most ``held_pins``. Beyond that pins are read one by one, and streamed from the state
@@ -71,7 +106,7 @@ class PinsMeetVulnerabilities(StatefulProcessor):
         ordered = sorted(rows, key=lambda r: (r.at, r.is_cve, r.event_id, r.op_rank, r.pos))
         # A state replaced at the same time was never visible: only the last change counts.
         settled = {(r.service_id, r.ecosystem, r.package, r.at): i for i, r in enumerate(ordered) if not r.is_cve}
-        cves = {record[0]: tuple(value) for record, value in self._cves.iterator()}
+        known = _Known({record[0]: tuple(value) for record, value in self._cves.iterator()})
         touched: dict[tuple, tuple] = {}
         complete = True
         for pin, value in self._pins.iterator():
@@ -82,7 +117,7 @@ class PinsMeetVulnerabilities(StatefulProcessor):
         unsaved: set[tuple] = set()
         for i, row in enumerate(ordered):
             if row.is_cve:
-                cve = self._learn(row, cves)
+                cve = self._learn(row, known)
                 if cve is None:
                     continue
                 if complete:
@@ -90,8 +125,12 @@ class PinsMeetVulnerabilities(StatefulProcessor):
                 else:
                     self._save(touched, unsaved)
                     pins = self._pins.iterator()
+                wanted: dict[tuple, bool] = {}
                 for pin, value in pins:
-                    if _affects(cve, pin, value):
+                    version = (pin[1], value[4], value[5])
+                    if version not in wanted:
+                        wanted[version] = _affects(cve, version) and (cve[7] or not known.covers(cve, version))
+                    if wanted[version]:
                         yield _match(cve, pin, value)
                 continue
             pin = (row.service_id, row.ecosystem, row.package)
@@ -103,20 +142,19 @@ class PinsMeetVulnerabilities(StatefulProcessor):
             value = touched[pin] = (*order, row.version, row.position)
             unsaved.add(pin)
             if settled[(*pin, row.at)] == i:
-                for cve in cves.values():
-                    if _affects(cve, pin, value):
-                        yield _match(cve, pin, value)
+                for cve in known.affecting((row.ecosystem, row.version, row.position)):
+                    yield _match(cve, pin, value)
         self._save(touched, unsaved)
 
-    def _learn(self, row: Row, cves: dict[str, tuple]) -> tuple | None:
+    def _learn(self, row: Row, known: _Known) -> tuple | None:
         """Remember a vulnerability; the record if it is new or changed, None if it only repeats.
         A repeated record may bring a new payload, and was known since its first sight."""
-        tested = (row.cve_id, row.ecosystem, row.low, row.high, row.ranged, list(row.listed))
-        known = cves.get(row.record)
-        repeated = known is not None and known[1:7] == tested
-        cve = (known[0] if repeated else row.at, *tested, row.payload)
-        if cve != known:
-            cves[row.record] = cve
+        tested = (row.cve_id, row.ecosystem, row.low, row.high, row.ranged, list(row.listed), row.special)
+        before = known.records.get(row.record)
+        repeated = before is not None and before[1:8] == tested
+        cve = (before[0] if repeated else row.at, *tested, row.payload)
+        if cve != before:
+            known.put(row.record, cve)
             self._cves.updateValue((row.record,), cve)
         return None if repeated else cve
 
@@ -129,12 +167,13 @@ class PinsMeetVulnerabilities(StatefulProcessor):
         pass
 
 
-def _affects(cve: tuple, pin: tuple, value: tuple) -> bool:
-    _, _, ecosystem, low, high, ranged, listed, _ = cve
-    version, position = value[4], value[5]
-    if version is None or (ecosystem and ecosystem != pin[1]):
+def _affects(cve: tuple, version: tuple) -> bool:
+    """``version``: ecosystem, text, place in the version order."""
+    _, _, ecosystem, low, high, ranged, listed, _, _ = cve
+    of, text, position = version
+    if text is None or (ecosystem and ecosystem != of):
         return False
-    if version in listed:
+    if text in listed:
         return True
     return ranged and position is not None and (low is None or low < position) and (high is None or position < high)
 
@@ -147,5 +186,6 @@ def _match(cve: tuple, pin: tuple, value: tuple) -> Row:
         package=pin[2],
         version=value[4],
         detected_at=max(cve[0], value[0]),
-        payload=cve[7],
+        special=cve[7],
+        payload=cve[8],
     )

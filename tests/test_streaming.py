@@ -55,6 +55,37 @@ def test_matches_in_both_orders_across_triggers(spark, tmp_path):
         assert detected(got) == expected
 
 
+def test_several_records_of_a_vulnerability_match_once(spark, tmp_path):
+    o = ops(spark, [(10, "s", "a", "added", "1.0"), (10, "t", "a", "added", "2.5"), (40, "u", "a", "added", "1.2"), (70, "v", "a", "added", "1.0")])
+    c = cves(spark, [(0, "C", "a", "< 2"), (5, "C", "a", "< 3"), (20, "C", "a", "< 1.5"), (60, "C", "a", "", ["1.0"]), (61, "D", "a", "< 2, != 1.2")])
+    expected = detected(match.match_both_orders(graph.validity_intervals(o), V.dedup_first_ever(c)))
+    for until, since in (("2024-03-01 15:00", "2000-01-01"), ("2030-01-01", "2024-03-01 15:00")):
+        append(o.filter(f"occurred_at >= '{since}' AND occurred_at < '{until}'"), tmp_path / "ops")
+        append(c.filter(f"ingested_at >= '{since}' AND ingested_at < '{until}'"), tmp_path / "cves")
+        got = run(flows.stream_symmetric_join(feed(o, tmp_path / "ops"), feed(c, tmp_path / "cves"), pin_shares=2), tmp_path, "match")
+    assert detected(got) == expected
+
+
+def test_a_stream_needs_no_driver_folder(tmp_path):
+    """Workers get the package from the application, not from the folder the driver was started in."""
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+import __spark_entry__ as entry
+print("ROWS", entry.queries()["stream_dedup"](spark, "/root/testdata/sf0.001").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert "ROWS" in done.stdout, done.stderr[-2000:]
+
+
 def test_live_state_ignores_late_changes(spark, tmp_path):
     o = random_ops(spark, 200).cache()
     folder = tmp_path / "in"
