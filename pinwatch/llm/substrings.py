@@ -4,8 +4,12 @@ A window is ``size`` consecutive words of one document. Every window has an anch
 hashes of the eight-word runs in it: equal windows have equal anchors at equal places, so an anchor
 occurs at least as often as each window that has it. Each task sketches how often anchors occur; the
 sketches are merged into one bit per cell, "twice or more". That can only overestimate, so a window
-whose cell says "once" is certainly unique. The windows of the other cells are grouped exactly, by 96
-bits of their hash, and every document learns which of its windows are repeated.
+whose cell says "once" is certainly unique. The others are grouped exactly, in two steps.
+
+Neighbouring windows with one anchor form a stretch, and most stretches of a copied passage are equal
+as a whole. Stretches are grouped first, by 95 bits of a hash of their words: where one occurs twice,
+all its windows do. Only below anchors that have several different stretches, some of them single, are
+windows grouped one by one. Documents then learn which of their stretches and windows are repeated.
 
 Documents are told apart by a hash of their word sequence: copies share it and are decided together,
 which holds whatever their ids are. A collision between different documents would only tell one of
@@ -17,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -26,15 +31,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from pinwatch.llm import blocks
 from pinwatch.llm.blocks import _U, Words, signed
+from pinwatch.llm.bloom import build_bloom
 from pinwatch.llm.names import plain, spare
 from pinwatch.session import stored_table
 
 WINDOW = 35
 ANCHOR = 8
 #: Cells of the sketch, a power of two. The merged sketch that workers hold has one bit for each
-#: (32 MB); more cells let fewer unique windows through on larger corpora, and never change the result.
-CELLS = 1 << 28
+#: (16 MB); more cells let fewer unique windows through on larger corpora, and never change the result.
+CELLS = 1 << 27
 SEGMENTS = 256
+_SECOND = 0x2545F4914F6CDD1D
 _PENDING = 4_000_000
 
 
@@ -65,12 +72,47 @@ def _cell(hashes: np.ndarray, cells: int) -> np.ndarray:
 
 def _document_keys(words: Words) -> np.ndarray:
     """A hash of each document's sequence of words."""
-    n = len(words.hashes)
-    total = np.zeros(n + 1, dtype=_U)
-    np.cumsum(words.hashes * blocks._window_powers(n), out=total[1:])
-    sums = total[words.firsts[1:]] - total[words.firsts[:-1]]
-    back = blocks._window_unpowers(n + 1)[words.firsts[:-1]]
-    return blocks.mix(sums * back + words.counts().astype(_U) * _U(0x9E3779B97F4A7C15))
+    return blocks.span_hashes(words.hashes, words.firsts[:-1], words.firsts[1:])
+
+
+def _half(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & _U(0x7FFFFFFF)).astype(np.int32)
+
+
+@dataclass
+class Stretches:
+    """Runs of neighbouring windows with one anchor: first window, one past the last, anchor, and the
+    hash of all their words."""
+
+    first: np.ndarray
+    last: np.ndarray
+    anchor: np.ndarray
+    span: np.ndarray
+    span_half: np.ndarray
+
+    def owners(self, words: Words) -> np.ndarray:
+        return np.searchsorted(words.firsts, self.first, side="right") - 1
+
+    def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the windows of the chosen stretches, and which stretch each belongs to."""
+        sizes = (self.last - self.first)[chosen]
+        shift = self.first[chosen] - np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else sizes
+        return np.arange(int(sizes.sum())) + np.repeat(shift, sizes), np.repeat(chosen, sizes)
+
+
+def stretches(words: Words, size: int, bitmap: np.ndarray | None = None) -> Stretches:
+    """All stretches of the documents, or those whose anchor the sketch takes for repeated."""
+    valid, place, hashes = anchors(words, size)
+    begins = np.flatnonzero(np.concatenate([[True], np.diff(place) != 0])) if len(place) else place
+    first, anchor = valid[begins], hashes[begins]
+    last = first + np.diff(np.append(begins, len(valid)))
+    if bitmap is not None:
+        cell = _cell(anchor, len(bitmap) * 8)
+        some = (bitmap[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
+        first, last, anchor = first[some], last[some], anchor[some]
+    ends = last + (size - 1)
+    span = blocks.span_hashes(words.hashes, first, ends)
+    return Stretches(first, last, anchor, span, _half(blocks.span_hashes(words.hashes, first, ends, _SECOND)))
 
 
 def _runs(column: pa.Array) -> Iterator[tuple[int, int, Words]]:
@@ -164,97 +206,139 @@ def repeated_cells(texts: DataFrame, size: int = WINDOW, cells: int = CELLS) ->
     return bitmap
 
 
-def _suspects(words: Words, bitmap: np.ndarray, size: int) -> np.ndarray:
-    """Places of the windows that the sketch takes for repeated."""
-    valid, _, hashes = anchors(words, size)
-    cell = _cell(hashes, len(bitmap) * 8)
-    return valid[(bitmap[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1]
+def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places of the different rows of ``columns``, and how often each occurs, counted up to two."""
+    order = np.lexsort(columns)
+    new = np.zeros(len(order), dtype=bool)
+    new[:1] = True
+    for column in columns:
+        new[1:] |= np.diff(column[order]) != 0
+    firsts = np.flatnonzero(new)
+    return order[firsts], np.minimum(np.diff(np.append(firsts, len(order))), 2).astype(np.int8)
 
 
-def _suspect_windows(texts: DataFrame, sketch, size: int) -> DataFrame:
-    """``low, high, key, times``: hash of every suspect window, its document, and how often it is there,
-    counted up to two. Copies in a batch are reported once, as two."""
+def _suspect_stretches(texts: DataFrame, sketch, size: int) -> DataFrame:
+    """``key, anchor, span, half, times``: the stretches that the sketch lets through, of each document,
+    and how often they are there, counted up to two. Copies in a batch are reported once, as two."""
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
             for _, _, words in _runs(batch.column(0)):
-                places = _suspects(words, sketch.value, size)
-                if len(places):
-                    keys = _document_keys(words)
-                    owner = np.searchsorted(words.firsts, places, side="right") - 1
-                    low = blocks.window_hashes(words.hashes, size)[places]
-                    high = blocks.window_hashes(words.hashes, size, salt=0x2545F4914F6CDD1D)[places] & _U(0x7FFFFFFF)
-                    parts.append((low, high, keys[owner]))
-            if not parts:
-                continue
-            low, high, key = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((high, low, key))
-            low, high, key = low[order], high[order], key[order]
-            new = np.concatenate([[True], (np.diff(key) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)])
-            first = np.flatnonzero(new)
-            times = np.minimum(np.diff(np.append(first, len(key))), 2)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(low[first])), pa.array(high[first].astype(np.int32)), pa.array(signed(key[first])), pa.array(times.astype(np.int8))],
-                names=["low", "high", "key", "times"],
-            )
+                found = stretches(words, size, sketch.value)
+                if len(found.first):
+                    parts.append((_document_keys(words)[found.owners(words)], found.anchor, found.span, found.span_half))
+            if parts:
+                key, anchor, span, half = (np.concatenate(x) for x in zip(*parts, strict=True))
+                at, times = _distinct(half, span, key)
+                columns = [signed(key[at]), signed(anchor[at]), signed(span[at]), half[at], times]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "anchor", "span", "half", "times"])
 
-    return texts.select("text").mapInArrow(windows, "low long, high int, key long, times byte")
+    return texts.select("text").mapInArrow(rows, "key long, anchor long, span long, half int, times byte")
 
 
-def _suspect_texts(texts: DataFrame, sketch, size: int) -> DataFrame:
-    """``key, text`` of the documents with suspect windows, once per batch."""
+def _open_windows(texts: DataFrame, anchors_open, size: int) -> DataFrame:
+    """``low, high, span, half, times``: the windows below the anchors of a Bloom filter, by stretch. Equal
+    stretches in a batch are reported once, as two."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: set[int] = set()
-            keys, places = [], []
-            for first, _, words in _runs(batch.column(0)):
-                suspects = _suspects(words, sketch.value, size)
-                owners = np.unique(np.searchsorted(words.firsts, suspects, side="right") - 1)
-                for key, owner in zip(signed(_document_keys(words)[owners]).tolist(), owners.tolist(), strict=True):
-                    if key not in seen:
-                        seen.add(key)
-                        keys.append(key)
-                        places.append(first + owner)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(0).take(pa.array(places, pa.int64()))], names=["key", "text"])
+            parts = []
+            for _, _, words in _runs(batch.column(0)):
+                found = stretches(words, size)
+                chosen = np.flatnonzero(anchors_open.value.may_hold(found.anchor)) if len(found.first) else found.first
+                if len(chosen):
+                    place, owner = found.windows(chosen)
+                    low = blocks.window_hashes(words.hashes, size)[place]
+                    high = blocks.window_hashes(words.hashes, size, _SECOND)[place]
+                    parts.append((low, _half(high), found.span[owner], found.span_half[owner]))
+            if parts:
+                low, high, span, half = (np.concatenate(x) for x in zip(*parts, strict=True))
+                at, times = _distinct(half, span, high, low)
+                columns = [signed(low[at]), high[at], signed(span[at]), half[at], times]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["low", "high", "span", "half", "times"])
+
+    return texts.select("text").mapInArrow(rows, "low long, high int, span long, half int, times byte")
+
+
+def _texts_of(texts: DataFrame, keys) -> DataFrame:
+    """``key, text`` of the documents whose key the Bloom filter may hold, once per batch."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(_document_keys(words), first) for first, _, words in _runs(batch.column(0))]
+            if found:
+                own, place = np.unique(np.concatenate([k for k, _ in found]), return_index=True)
+                some = keys.value.may_hold(own)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(own[some])), batch.column(0).take(pa.array(place[some]))], names=["key", "text"])
 
     return texts.select("text").mapInArrow(rows, "key long, text string")
 
 
+def repeated_parts(texts: DataFrame, size: int = WINDOW, cells: int = CELLS) -> DataFrame:
+    """``key, spans, lows``: for each word sequence with repeated windows, hashes of its stretches that are
+    repeated whole and of its single repeated windows."""
+    spark = texts.sparkSession
+    sketch = spark.sparkContext.broadcast(repeated_cells(texts, size, cells))
+    suspects = stored_table(_suspect_stretches(texts, sketch, size), "suspect-stretches")
+    spans = suspects.groupBy("span", "half", "anchor").agg(F.sum("times").alias("times"))
+    spans = stored_table(spans, "stretch-counts")
+    mixed = spans.groupBy("anchor").agg(F.count("*").alias("n"), F.min("times").alias("least")).filter("n > 1 AND least = 1")
+    anchors_open = spark.sparkContext.broadcast(build_bloom(stored_table(mixed.select(F.col("anchor").alias("hash")), "open-anchors")))
+    windows = stored_table(_open_windows(texts, anchors_open, size), "open-windows")
+    repeated = windows.groupBy("low", "high").agg(F.sum("times").alias("times")).filter("times > 1").select("low", "high")
+    repeated = stored_table(repeated, "repeated-windows")
+    parts = windows.join(repeated, ["low", "high"], "left_semi").groupBy("span", "half").agg(F.collect_set("low").alias("lows"))
+    whole = F.col("times") > 1
+    status = spans.join(parts, ["span", "half"], "left").filter(whole | F.col("lows").isNotNull())
+    status = stored_table(status.select("span", "half", whole.alias("whole"), F.when(~whole, F.col("lows")).alias("lows")), "stretch-status")
+    marks = suspects.select("key", "span", "half").join(status, ["span", "half"])
+    return marks.groupBy("key").agg(
+        F.collect_set(F.when(F.col("whole"), F.col("span"))).alias("spans"), F.flatten(F.collect_set("lows")).alias("lows")
+    )
+
+
+def _among(values: np.ndarray, owners: np.ndarray, lists: pa.ListArray, first: int, last: int) -> np.ndarray:
+    """Whether each value is in the list of the row that owns it."""
+    sizes = np.asarray(lists.value_lengths())[first:last]
+    wanted = np.asarray(lists.slice(first, last - first).flatten()).view(_U)
+    rows = np.repeat(np.arange(last - first, dtype=_U), sizes)
+    return np.isin(values ^ blocks.mix(owners.astype(_U)), wanted ^ blocks.mix(rows))
+
+
 def cleaned_texts(texts: DataFrame, size: int = WINDOW, cells: int = CELLS) -> DataFrame:
-    """``key, n_removed, kept`` for the word sequences that lose words: what they lose and what is left,
-    joined by single spaces. ``texts`` has a column ``text``."""
-    sketch = texts.sparkSession.sparkContext.broadcast(repeated_cells(texts, size, cells))
-    counted = _suspect_windows(texts, sketch, size).groupBy("low", "high").agg(F.sum("times").alias("times"))
-    repeated = stored_table(counted.filter("times > 1").select("low", "high"), "repeated-windows")
-    known = _suspect_windows(texts, sketch, size).select("low", "high", "key").join(repeated, ["low", "high"], "left_semi")
-    by_key = known.groupBy("key").agg(F.collect_set("low").alias("windows"))
+    """``key, n_removed, kept`` for the word sequences that lose words: how many, and what is left, joined
+    by single spaces. ``texts`` has a column ``text``."""
+    parts = stored_table(repeated_parts(texts, size, cells), "repeated-parts")
+    keys = texts.sparkSession.sparkContext.broadcast(build_bloom(parts.select(F.col("key").alias("hash"))))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = blocks.text_bytes(batch.column(1))
-            lists = batch.column(2)
             removed, kept = [], []
-            for k in range(len(batch)):
-                words = blocks.words(data, offsets[k : k + 2])
-                n = len(words.hashes)
-                repeated = np.isin(signed(blocks.window_hashes(words.hashes, size)), np.asarray(lists[k].values))
-                edge = np.zeros(n + 1, dtype=np.int64)
-                places = np.flatnonzero(repeated)
-                edge[places] += 1
-                np.add.at(edge, places + size, -1)
+            for first, last, words in _runs(batch.column(1)):
+                found = stretches(words, size)
+                whole = np.flatnonzero(_among(found.span, found.owners(words), batch.column(2), first, last))
+                place, _ = found.windows(whole)
+                low = blocks.window_hashes(words.hashes, size)
+                valid = np.flatnonzero(blocks.window_valid(words.firsts, size, len(words.hashes)))
+                owner = np.searchsorted(words.firsts, valid, side="right") - 1
+                place = np.union1d(place, valid[_among(low[valid], owner, batch.column(3), first, last)])
+                edge = np.zeros(len(words.hashes) + 1, dtype=np.int64)
+                edge[place] += 1
+                edge[place + size] -= 1
                 stays = np.cumsum(edge[:-1]) == 0
-                body = words.data.tobytes()
-                spans = zip(words.starts[stays].tolist(), words.ends[stays].tolist(), strict=True)
-                kept.append(b" ".join(body[a:b] for a, b in spans).decode())
-                removed.append(int(n - stays.sum()))
+                body, starts, ends = words.data.tobytes(), words.starts.tolist(), words.ends.tolist()
+                for k in range(last - first):
+                    a, b = words.firsts[k], words.firsts[k + 1]
+                    left = (np.flatnonzero(stays[a:b]) + a).tolist()
+                    kept.append(b" ".join(body[starts[i] : ends[i]] for i in left).decode())
+                    removed.append(int(b - a) - len(left))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["key", "n_removed", "kept"]
             )
 
-    found = _suspect_texts(texts, sketch, size).join(by_key, "key").dropDuplicates(["key"])
-    return found.select("key", "text", "windows").mapInArrow(clean, "key long, n_removed long, kept string")
+    found = _texts_of(texts, keys).join(parts, "key").dropDuplicates(["key"])
+    return found.select("key", "text", "spans", "lows").mapInArrow(clean, "key long, n_removed long, kept string")
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
