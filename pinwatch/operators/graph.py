@@ -67,6 +67,17 @@ def new_dependencies(ops: DataFrame, crowded: DataFrame | None = None) -> DataFr
 # --- snapshots ------------------------------------------------------------------------------------
 
 
+def states(ops: DataFrame, crowded: DataFrame | None = None) -> DataFrame:
+    """Pins from the event that made them (``start``) up to the one that ended them (``stop``), in the
+    order of events, so that a state which another event replaces at the same time is there too."""
+    return timeline(ops, crowded).filter("op <> 'removed'").select(
+        *PIN,
+        "version",
+        F.struct("occurred_at", "event_id").alias("start"),
+        F.when(F.col("next").isNotNull(), F.struct("next.occurred_at", "next.event_id")).alias("stop"),
+    ).filter("stop IS NULL OR start < stop")
+
+
 def snapshot_rows(ops: DataFrame, events: DataFrame, crowded: DataFrame | None = None) -> DataFrame:
     """The full state after every event, one row per pin.
 
@@ -74,12 +85,7 @@ def snapshot_rows(ops: DataFrame, events: DataFrame, crowded: DataFrame | None =
     into event x interval pairs. Sequence is (time, event id), hence events at the same time see
     each other's effect in order.
     """
-    live = timeline(ops, crowded).filter("op <> 'removed'").select(
-        *PIN,
-        "version",
-        F.struct("occurred_at", "event_id").alias("start"),
-        F.when(F.col("next").isNotNull(), F.struct("next.occurred_at", "next.event_id")).alias("stop"),
-    ).filter("stop IS NULL OR start < stop")
+    live = states(ops, crowded)
     last_seen = events.groupBy("service_id").agg(F.max("occurred_at").alias("last_seen"))
     month = lambda c: F.date_trunc("month", c)
     by_month = live.join(last_seen, "service_id").select(

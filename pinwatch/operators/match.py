@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pinwatch.functions.versions import in_range, located, specifier, within_bounds
-from pinwatch.plans.timeline import KEY_LIMIT, PAIR_LIMIT, pick, shares_by_pairs, shares_by_rows, spread_join
+from pinwatch.plans.timeline import KEY_LIMIT, PAIR_LIMIT, pick, shares_by_pairs, shares_by_rows, spread_join, successors
 from pinwatch.session import stored_table
 
 CVE_COLUMNS = ["cve_id", "affected_package", "cvss_score", "severity_tier", "safe_version", "ingested_at"]
@@ -134,13 +134,25 @@ def match_both_orders(intervals: DataFrame, cves: DataFrame, versions_from: Data
     return overlapping.withColumn("detected_at", F.greatest("ingested_at", "valid_from"))
 
 
-def match_asof(snapshot_rows: DataFrame, cves: DataFrame, versions_from: DataFrame | None = None) -> DataFrame:
+def match_asof(states: DataFrame, events: DataFrame, cves: DataFrame, versions_from: DataFrame | None = None) -> DataFrame:
     """The narrower variant: a snapshot sees only vulnerabilities known when it was taken, and a new
-    vulnerability waits for the next snapshot. First detection per vulnerability and pin."""
-    joined = match_pins(snapshot_rows, cves, versions_from=versions_from).filter("ingested_at <= snapshot_at")
-    return joined.groupBy("cve_id", "service_id", "ecosystem", "package", "version").agg(
-        F.min("snapshot_at").alias("detected_at")
-    )
+    vulnerability waits for the next snapshot. First detection per vulnerability and pin.
+
+    ``states`` are pins between two events (``graph.states``). A snapshot is taken at every event of the
+    service: the first one of a state is its own event, and a vulnerability that comes later waits for
+    the first event from then on, if that still finds the state. No snapshot is built for it.
+    """
+    found = ["cve_id", "service_id", "ecosystem", "package", "version"]
+    joined = match_pins(states, cves, versions_from=versions_from)
+    at_once = joined.filter("ingested_at <= start.occurred_at").select(*found, F.col("start.occurred_at").alias("detected_at"))
+    later = joined.filter("ingested_at > start.occurred_at AND (stop IS NULL OR ingested_at <= stop.occurred_at)")
+    later = later.select(*found, "stop", F.unix_micros("ingested_at").alias("at"))
+    moments = events.groupBy("service_id", F.unix_micros("occurred_at").alias("at")).agg(F.min("event_id").alias("event_id"))
+    following = successors(moments, later, ["service_id"])
+    first = moments.select("service_id", F.col("at").alias("to"), F.struct(F.timestamp_micros("at").alias("occurred_at"), "event_id").alias("moment"))
+    waited = later.join(following, ["service_id", "at"]).join(first, ["service_id", "to"]).filter("stop IS NULL OR moment < stop")
+    waited = waited.select(*found, F.col("moment.occurred_at").alias("detected_at"))
+    return at_once.unionByName(waited).groupBy(*found).agg(F.min("detected_at").alias("detected_at"))
 
 
 def match_idempotent(matches: DataFrame) -> DataFrame:

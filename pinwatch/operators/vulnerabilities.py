@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pinwatch import constants as K
 from pinwatch.functions.scalars import (
@@ -13,7 +13,7 @@ from pinwatch.functions.scalars import (
     match_id,
     severity_from_cvss,
 )
-from pinwatch.plans.timeline import crowded_keys, pick
+from pinwatch.plans.timeline import crowded_keys, pick, successors
 from pinwatch.session import cut_lineage
 
 RECORD_KEY = ["cve_id", "affected_package", "ecosystem", "affected_version_range"]
@@ -173,7 +173,9 @@ def _accepted_by_jumps(times: DataFrame, keys: list[str], hours: int) -> DataFra
     length, and the work is spread by (key, time). A key is one hash here, so that missing parts join."""
     named = times.select(F.sha2(F.to_json(F.struct(*keys)), 256).alias("_key"), *keys, "at")
     nodes = cut_lineage(named.select("_key", "at"))
-    jump = cut_lineage(_next_after(nodes, ["_key"], hours * 3_600_000_000))
+    aims = nodes.withColumn("aim", F.col("at") + F.lit(hours * 3_600_000_000))
+    jump = cut_lineage(successors(nodes, aims.select("_key", F.col("aim").alias("at")), ["_key"]))
+    jump = cut_lineage(aims.join(jump.select("_key", F.col("at").alias("aim"), "to"), ["_key", "aim"]).select("_key", "at", "to"))
     span = jump.agg(F.max("at") - F.min("at")).first()[0] or 0
     longest_chain = span // (hours * 3_600_000_000) + 2
     reached = cut_lineage(nodes.groupBy("_key").agg(F.min("at").alias("at")))
@@ -183,27 +185,3 @@ def _accepted_by_jumps(times: DataFrame, keys: list[str], hours: int) -> DataFra
         far = jump.select("_key", F.col("at").alias("to"), F.col("to").alias("_far"))
         jump = cut_lineage(jump.join(far, ["_key", "to"]).select("_key", "at", F.col("_far").alias("to")))
     return named.join(reached, ["_key", "at"], "left_semi").select(*keys, "at")
-
-
-def _next_after(nodes: DataFrame, keys: list[str], distance: int, width: int = 3_600_000_000) -> DataFrame:
-    """(at, to): the first node at or after ``at + distance``, found inside blocks of ``width``."""
-    block = lambda c: F.floor(c / F.lit(width)).alias("block")
-    data = nodes.select(*keys, block(F.col("at")), F.col("at").alias("t"), F.col("at").alias("target"),
-                        F.lit(None).cast("bigint").alias("origin"))
-    aimed = F.col("at") + F.lit(distance)
-    probes = nodes.select(*keys, block(aimed), aimed.alias("t"), F.lit(None).cast("bigint").alias("target"),
-                          F.col("at").alias("origin"))
-    both = data.unionByName(probes)
-    heads = both.groupBy(*keys, "block").agg(F.min("target").alias("head"))
-    later = Window.partitionBy(*keys).orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
-    markers = heads.withColumn("target", F.last("head", ignorenulls=True).over(later)).filter(
-        "target IS NOT NULL"
-    ).select(*keys, "block", F.col("target").alias("t"), "target", F.lit(None).cast("bigint").alias("origin"))
-    # Descending, so that the nearest later node is the last one seen; nodes precede equal probes.
-    backwards = (
-        Window.partitionBy(*keys, "block")
-        .orderBy(F.desc("t"), F.col("origin").isNotNull())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    linked = both.unionByName(markers).withColumn("to", F.last("target", ignorenulls=True).over(backwards))
-    return linked.filter("origin IS NOT NULL AND to IS NOT NULL").select(*keys, F.col("origin").alias("at"), "to")

@@ -117,3 +117,27 @@ def pick(df: DataFrame, keys: list[str], order: list[str], last: bool = False) -
     chooser = F.max_by if last else F.min_by
     chosen = df.groupBy(*keys).agg(chooser(F.struct(*rest), F.struct(*order)).alias("_row"))
     return chosen.select(*[F.col(c) if c in keys else F.col(f"_row.{c}") for c in df.columns])
+
+
+def successors(targets: DataFrame, probes: DataFrame, keys: list[str], width: int = 3_600_000_000) -> DataFrame:
+    """(keys, at, to) for the distinct ``probes`` (keys, at) that have one: the first of ``targets`` at or
+    after. Times are numbers; the search runs inside blocks of ``width``, each of which knows the first
+    target after it, so no key is one task's alone."""
+    block = lambda c: F.floor(c / F.lit(width)).alias("block")
+    none = F.lit(None).cast("bigint")
+    data = targets.select(*keys, "at").distinct().select(*keys, block(F.col("at")), F.col("at").alias("t"), F.col("at").alias("target"), none.alias("origin"))
+    asked = probes.select(*keys, "at").distinct().select(*keys, block(F.col("at")), F.col("at").alias("t"), none.alias("target"), F.col("at").alias("origin"))
+    both = data.unionByName(asked)
+    heads = both.groupBy(*keys, "block").agg(F.min("target").alias("head"))
+    later = Window.partitionBy(*keys).orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    markers = heads.withColumn("target", F.last("head", ignorenulls=True).over(later)).filter("target IS NOT NULL").select(
+        *keys, "block", F.col("target").alias("t"), "target", none.alias("origin")
+    )
+    # Descending, so that the nearest later target is the last one seen; targets precede equal probes.
+    backwards = (
+        Window.partitionBy(*keys, "block")
+        .orderBy(F.desc("t"), F.col("origin").isNotNull())
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    linked = both.unionByName(markers).withColumn("to", F.last("target", ignorenulls=True).over(backwards))
+    return linked.filter("origin IS NOT NULL AND to IS NOT NULL").select(*keys, F.col("origin").alias("at"), "to")

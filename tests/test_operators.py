@@ -284,7 +284,7 @@ def test_either_side_may_come_first(spark):
     assert detected(match.match_both_orders(graph.validity_intervals(o), c)) == sorted([
         ("early", "s", "a", "1.0", hours(10)), ("between", "s", "a", "1.0", hours(20)), ("late", "s", "a", "3.0", hours(40)),
         ("early", "t", "A", "1.0", hours(5)), ("between", "t", "A", "1.0", hours(20)), ("atend", "t", "A", "1.0", hours(30))])
-    seen = match.match_asof(graph.snapshot_rows(o, o), c)
+    seen = match.match_asof(graph.states(o), o, c)
     assert detected(seen) == [("early", "s", "a", "1.0", hours(10)), ("early", "t", "A", "1.0", hours(5))]
 
 
