@@ -106,6 +106,17 @@ def one_spelling(pins: DataFrame) -> DataFrame:
     return pick(keyed, ["service_id", "ecosystem", "package_key"], ["package"]).drop("package_key")
 
 
+def without_other_spellings(pins: DataFrame, spelled_in: DataFrame) -> DataFrame:
+    """``pins`` without those whose package the service also holds under a spelling that sorts before.
+    ``spelled_in`` has all spellings; the others are few, so the join is with a small table."""
+    same = ["service_id", "ecosystem"]
+    names = spelled_in.filter("package <> lower(package)").select(*same, package_key().alias("package_key")).distinct()
+    held = spelled_in.withColumn("package_key", package_key()).join(names, [*same, "package_key"], "left_semi")
+    several = held.groupBy(*same, "package_key").agg(F.min("package").alias("_first"), F.collect_set("package").alias("_all"))
+    others = several.filter("size(_all) > 1").select(*same, F.explode("_all").alias("package"), "_first").filter("package <> _first")
+    return pins.join(others.drop("_first"), [*same, "package"], "left_anti")
+
+
 def match_pins(
     pins: DataFrame,
     cves: DataFrame,

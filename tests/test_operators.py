@@ -444,3 +444,15 @@ def test_manifests_tell_pins_from_ranges_and_other_sections(spark):
         ("Cargo.toml", "a", "1.0.0", "-"), ("Cargo.toml", "b", "-", "1.2"), ("Cargo.toml", "d", "3.1", "-"),
         ("pom.xml", "g:a", "1.0", "-"), ("pom.xml", "g:b", "-", "[1.0,2.0)")])
     assert manifests.manifest_pins(frame).count() == 10
+
+
+def test_a_package_in_two_spellings_is_one_finding(spark):
+    from pinwatch.plans.exposure import exposure
+
+    o = ops(spark, [(0, "s", "PyYAML", "added", "1.0"), (1, "s", "pyyaml", "added", "1.0"), (2, "t", "pyyaml", "added", "1.0"),
+                    (2, "u", "Other", "added", "1.0"), (3, "s", "pyyaml", "added", "1.0", "npm")])
+    c = cves(spark, [(0, "C", "pyyaml", "< 2", [], ""), (0, "D", "other", "< 2")])
+    registry = spark.createDataFrame([], "service_id string, team string, is_customer_facing boolean, pci_scope boolean, hipaa_scope boolean, soc2_scope boolean, pii_handler boolean")
+    found = exposure(o, c, registry, mark_new=True)
+    assert rows(found, "service_id", "ecosystem", "cve_id", "detected_at", "is_new_dependency") == [
+        ("s", "npm", "C", hours(3), True), ("s", "pypi", "C", hours(0), True), ("t", "pypi", "C", hours(2), True), ("u", "pypi", "D", hours(2), True)]
