@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from pinwatch.catalog.exposure import _SCORED, osv
+from pinwatch.catalog.exposure import _NEW_PINS, osv
 from pinwatch.catalog.feeds import as_of
 from pinwatch.catalog.registry import CHECKS, query
 from pinwatch.catalog.views import Tables
@@ -83,7 +83,7 @@ _FIRST = """SELECT cve_id, service_id, ecosystem, package, version, detected_at,
 def stream_symmetric_join(t: Tables) -> DataFrame:
     known = cvss_enrich(as_stream(t, osv(t).drop("affected_list"), "osv"), t.vulns.filter("source = 'nvd'"))
     joined = flows.stream_symmetric_join(as_stream(t, t.ops, "ops"), known, pin_shares=4)
-    return drained(t, joined, "matches")
+    return drained(t, joined, "matches").drop("is_new_dependency")
 
 
 @query("stream_static_enrich", "SELECT m.match_id, meta.team, meta.is_customer_facing FROM vulnerability_matches m JOIN meta ON m.service_id = meta.service_id")
@@ -99,8 +99,9 @@ def stream_route(t: Tables) -> DataFrame:
     return drained(t, routed, "routed").groupBy("topic").agg(F.count("*").alias("messages"))
 
 
-@query("stream_exposure", f"""SELECT 'vuln.matches.' || lower(blast_radius_tier) AS topic, count(*) AS messages,
- count(DISTINCT service_id) AS keys FROM ({_SCORED}) s GROUP BY 1""")
+@query("stream_exposure", f"""WITH routed AS (SELECT 'vuln.matches.' || lower(tier) AS topic, service_id FROM tiered UNION ALL
+ SELECT 'deps.risk.prs', t.service_id FROM tiered t SEMI JOIN ({_NEW_PINS}) n USING (service_id, ecosystem, package, version, from_event))
+ SELECT topic, count(*) AS messages, count(DISTINCT service_id) AS keys FROM routed GROUP BY 1""")
 def stream_exposure(t: Tables) -> DataFrame:
     """From topic text to topic text, all steps in one streaming query."""
     records = osv(t).drop("affected_list").select(

@@ -154,6 +154,7 @@ def stream_symmetric_join(
     return parsed.filter(exact).select(
         "cve_id", "service_id", "ecosystem", "package", "version",
         F.timestamp_micros("detected_at").alias("detected_at"),
+        "is_new_dependency",
         F.col("c.affected_package").alias("matched_package"),
         F.col("c.cvss_score").alias("cvss_score"),
         F.col("c.severity_tier").alias("severity_tier"),

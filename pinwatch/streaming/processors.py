@@ -39,7 +39,7 @@ class FirstPerWindow(StatefulProcessor):
 
 
 PIN_KEY = "service_id STRING, ecosystem STRING, package STRING"
-PIN_VALUE = "at BIGINT, event_id STRING, op_rank INT, pos INT, version STRING, position STRING"
+PIN_VALUE = "at BIGINT, event_id STRING, op_rank INT, pos INT, version STRING, position STRING, fresh BOOLEAN"
 CVE_KEY = "record STRING"
 CVE_VALUE = (
     "at BIGINT, cve_id STRING, ecosystem STRING, low STRING, high STRING, ranged BOOLEAN, "
@@ -47,7 +47,7 @@ CVE_VALUE = (
 )
 CANDIDATE = (
     "cve_id STRING, service_id STRING, ecosystem STRING, package STRING, version STRING, "
-    "detected_at BIGINT, special BOOLEAN, payload STRING"
+    "detected_at BIGINT, is_new_dependency BOOLEAN, special BOOLEAN, payload STRING"
 )
 
 
@@ -137,9 +137,13 @@ class PinsMeetVulnerabilities(StatefulProcessor):
             if pin not in touched and not complete and self._pins.containsKey(pin):
                 touched[pin] = tuple(self._pins.getValue(pin))
             order = (row.at, row.event_id, row.op_rank, row.pos)
-            if pin in touched and touched[pin][:4] > order:
+            before = touched.get(pin)
+            if before is not None and before[:4] > order:
                 continue
-            value = touched[pin] = (*order, row.version, row.position)
+            # Fresh: the package was absent before the event, whatever the event does step by step.
+            same_event = before is not None and before[:2] == order[:2]
+            fresh = before[6] if same_event else before is None or before[4] is None
+            value = touched[pin] = (*order, row.version, row.position, fresh)
             unsaved.add(pin)
             if settled[(*pin, row.at)] == i:
                 for cve in known.affecting((row.ecosystem, row.version, row.position)):
@@ -186,6 +190,7 @@ def _match(cve: tuple, pin: tuple, value: tuple) -> Row:
         package=pin[2],
         version=value[4],
         detected_at=max(cve[0], value[0]),
+        is_new_dependency=value[6],
         special=cve[7],
         payload=cve[8],
     )
