@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pinwatch.llm.bloom import build_bloom
@@ -79,7 +80,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_column:
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, hashes = batch.column(1), batch.column(2)
-            owners = np.asarray(keys.value_parent_indices() if hasattr(keys, "value_parent_indices") else pa.compute.list_parent_indices(keys))
+            owners = np.asarray(pc.list_parent_indices(keys))
             hit = np.flatnonzero(bloom.value.may_hold(np.asarray(hashes.flatten())))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(owners[hit])), keys.flatten().take(pa.array(hit))], names=["url", "key"]
