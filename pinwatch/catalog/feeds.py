@@ -354,7 +354,7 @@ _TIER = "CASE WHEN score >= 0.75 THEN 'CRITICAL' WHEN score >= 0.5 THEN 'HIGH' W
 
 
 def _scored(t: Tables) -> DataFrame:
-    newest = V.latest_record(t.vulns.filter("source = 'nvd'"), ["cve_id"]).select("cve_id", "cvss_score")
+    newest = V.latest_record(t.vulns.filter("source = 'nvd' AND cvss_score > 0"), ["cve_id"]).select("cve_id", "cvss_score")
     return score(registry_enrich(t.matches.join(newest, "cve_id", "left"), t.registry))
 
 
