@@ -4,7 +4,7 @@ A window is ``size`` consecutive words of one document. Every window has an anch
 hashes of the eight-word runs in it: equal windows have equal anchors at equal places, so an anchor
 occurs at least as often as each window that has it. Each task sketches how often anchors occur; the
 sketches are merged into one bit per cell, "twice or more". That can only overestimate, so a window
-whose cell says "once" is certainly unique. The others are grouped exactly, in two steps.
+is certainly unique if a cell of its anchor, in either of two rows, says "once". The others are grouped exactly, in two steps.
 
 Neighbouring windows with one anchor form a stretch, and most stretches of a copied passage are equal
 as a whole. Stretches are grouped first, by 95 bits of a hash of their words: where one occurs twice,
@@ -37,9 +37,10 @@ from pinwatch.session import stored_table
 
 WINDOW = 35
 ANCHOR = 8
-#: Cells of the sketch, a power of two. The merged sketch that workers hold has one bit for each
-#: (16 MB); more cells let fewer unique windows through on larger corpora, and never change the result.
-CELLS = 1 << 27
+#: Cells in each of the sketch's two rows, a power of two. The merged sketch that workers hold has one
+#: bit for each (32 MB); more cells let fewer unique windows through on larger corpora, and never change
+#: the result.
+CELLS, ROWS = 1 << 27, 2
 SEGMENTS = 256
 _SECOND = 0x2545F4914F6CDD1D
 _PENDING = 4_000_000
@@ -66,8 +67,10 @@ def anchors(words: Words, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     return valid, place, grams[place]
 
 
-def _cell(hashes: np.ndarray, cells: int) -> np.ndarray:
-    return (hashes >> _U(64 - (cells.bit_length() - 1))).astype(np.int64)
+def _cells_of(hashes: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cell of each hash in either row; the second row follows the first."""
+    shift = _U(64 - (cells.bit_length() - 1))
+    return (hashes >> shift).astype(np.int64), (blocks.mix(hashes) >> shift).astype(np.int64) + cells
 
 
 def _document_keys(words: Words) -> np.ndarray:
@@ -107,8 +110,9 @@ def stretches(words: Words, size: int, bitmap: np.ndarray | None = None) -> Stre
     first, anchor = valid[begins], hashes[begins]
     last = first + np.diff(np.append(begins, len(valid)))
     if bitmap is not None:
-        cell = _cell(anchor, len(bitmap) * 8)
-        some = (bitmap[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
+        some = np.ones(len(anchor), dtype=bool)
+        for cell in _cells_of(anchor, len(bitmap) * 8 // ROWS):
+            some &= (bitmap[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
         first, last, anchor = first[some], last[some], anchor[some]
     ends = last + (size - 1)
     span = blocks.span_hashes(words.hashes, first, ends)
@@ -169,16 +173,17 @@ def repeated_cells(texts: DataFrame, size: int = WINDOW, cells: int = CELLS) ->
     Tasks put out what they have seen in segments; sixty-four sketches of a segment at most meet in one
     step of the merge, so no step holds more than that, however many tasks there are.
     """
-    width = cells // SEGMENTS
+    total = ROWS * cells
+    width = total // SEGMENTS
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = _Counts(cells)
+        counts = _Counts(total)
         for batch in batches:
             for _, _, words in _runs(batch.column(0)):
                 _, place, hashes = anchors(words, size)
                 if len(place):
                     once = np.concatenate([[True], np.diff(place) != 0])
-                    counts.add(_cell(hashes[once], cells))
+                    counts.add(np.concatenate(_cells_of(hashes[once], cells)))
         rows = list(counts.segments())
         part = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays(
@@ -200,7 +205,7 @@ def repeated_cells(texts: DataFrame, size: int = WINDOW, cells: int = CELLS) ->
     merged = texts.select("text").mapInArrow(sketch, schema)
     for step in (6, 12, 63):
         merged = merged.groupBy("segment", F.shiftright("part", step).alias("group")).applyInPandas(merge, schema)
-    bitmap = np.zeros(cells // 8, dtype=np.uint8)
+    bitmap = np.zeros(total // 8, dtype=np.uint8)
     for row in merged.select("segment", "sketch").toLocalIterator():  # SEGMENTS rows of fixed size
         bitmap[row.segment * (width // 8) : (row.segment + 1) * (width // 8)] = _bits(bytes(row.sketch), width)[1]
     return bitmap
@@ -289,9 +294,10 @@ def repeated_parts(texts: DataFrame, size: int = WINDOW, cells: int = CELLS) ->
     repeated = windows.groupBy("low", "high").agg(F.sum("times").alias("times")).filter("times > 1").select("low", "high")
     repeated = stored_table(repeated, "repeated-windows")
     parts = windows.join(repeated, ["low", "high"], "left_semi").groupBy("span", "half").agg(F.collect_set("low").alias("lows"))
-    whole = F.col("times") > 1
-    status = spans.join(parts, ["span", "half"], "left").filter(whole | F.col("lows").isNotNull())
-    status = stored_table(status.select("span", "half", whole.alias("whole"), F.when(~whole, F.col("lows")).alias("lows")), "stretch-status")
+    # Stretches that occur once, with nothing repeated in them, take no part from here on.
+    whole = spans.filter("times > 1").select("span", "half", F.lit(True).alias("whole"))
+    some = parts.join(whole, ["span", "half"], "left_anti").withColumn("whole", F.lit(False))
+    status = stored_table(whole.unionByName(some, allowMissingColumns=True), "stretch-status")
     marks = suspects.select("key", "span", "half").join(status, ["span", "half"])
     return marks.groupBy("key").agg(
         F.collect_set(F.when(F.col("whole"), F.col("span"))).alias("spans"), F.flatten(F.collect_set("lows")).alias("lows")
