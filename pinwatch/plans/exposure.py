@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pinwatch.functions.scalars import match_id
 from pinwatch.operators.graph import PIN, crowded_pins, new_dependencies, validity_intervals
-from pinwatch.operators.match import match_both_orders, without_other_spellings
+from pinwatch.operators.match import match_both_orders, merge_spellings, several_spellings
 from pinwatch.operators.scoring import registry_enrich, route, score
 from pinwatch.operators.vulnerabilities import cvss_enrich, dedup_first_ever
 
@@ -20,8 +20,8 @@ def known_vulnerabilities(events: DataFrame) -> DataFrame:
 def exposure(
     ops: DataFrame, vulnerability_events: DataFrame, registry: DataFrame, mark_new: bool = False
 ) -> DataFrame:
-    """Scored matches; with ``mark_new`` they say whether the pin's package was new to the service. A
-    package that a service spells in several ways is matched under the first of them.
+    """Scored matches; with ``mark_new`` they say whether the pin's package was new to the service.
+    Matches that differ in the spelling of the package alone are one while their validity overlaps.
 
     Metadata joins the intervals, before vulnerabilities multiply them, so the rows that cross the
     network for it are the few.
@@ -33,9 +33,10 @@ def exposure(
             *PIN, "version", F.col("event_id").alias("from_event"), F.lit(True).alias("is_new_dependency")
         )
         intervals = intervals.join(fresh, [*PIN, "version", "from_event"], "left").fillna(False, ["is_new_dependency"])
-    intervals = registry_enrich(without_other_spellings(intervals, ops), registry)
+    intervals = registry_enrich(intervals, registry)
     cves = known_vulnerabilities(vulnerability_events)
-    matches = score(match_both_orders(intervals, cves, versions_from=ops))
+    matches = match_both_orders(intervals, cves, versions_from=ops)
+    matches = score(merge_spellings(matches, several_spellings(ops)))
     return matches.select(
         match_id(*[F.col(c) for c in ("cve_id", "service_id", "ecosystem", "package", "version", "detected_at")])
         .alias("match_id"),

@@ -456,3 +456,25 @@ def test_a_package_in_two_spellings_is_one_finding(spark):
     found = exposure(o, c, registry, mark_new=True)
     assert rows(found, "service_id", "ecosystem", "cve_id", "detected_at", "is_new_dependency") == [
         ("s", "npm", "C", hours(3), True), ("s", "pypi", "C", hours(0), True), ("t", "pypi", "C", hours(2), True), ("u", "pypi", "D", hours(2), True)]
+
+
+def test_spellings_with_other_versions_or_times_keep_their_findings(spark):
+    from pinwatch.plans.exposure import exposure
+
+    o = ops(spark, [
+        (0, "later", "PyYAML", "added", "6.0"), (1, "later", "PyYAML", "removed", "6.0"), (2, "later", "pyyaml", "added", "5.1"),
+        (0, "both", "PyYAML", "added", "6.0"), (0, "both", "pyyaml", "added", "5.1"),
+        (0, "again", "PyYAML", "added", "5.1"), (3, "again", "PyYAML", "removed", "5.1"), (5, "again", "pyyaml", "added", "5.1"),
+        (0, "chain", "PyYAML", "added", "5.1"), (4, "chain", "PyYAML", "removed", "5.1"), (2, "chain", "pyyaml", "added", "5.1"), (8, "chain", "pyyaml", "removed", "5.1"),
+        (6, "chain", "PyYaml", "added", "5.1"), (9, "chain", "PyYaml", "removed", "5.1"),
+        (0, "touch", "PyYAML", "added", "5.1"), (3, "touch", "PyYAML", "removed", "5.1"), (3, "touch", "pyyaml", "added", "5.1")])
+    c = cves(spark, [(0, "C", "pyyaml", "< 5.4"), (1, "D", "PyYAML", "< 5.4")])
+    registry = spark.createDataFrame([], "service_id string, team string, is_customer_facing boolean, pci_scope boolean, hipaa_scope boolean, soc2_scope boolean, pii_handler boolean")
+    found = exposure(o, c, registry, mark_new=True)
+    got = sorted((r.service_id, r.cve_id, r.detected_at, r.left_at, r.matched_version, r.is_new_dependency) for r in found.collect())
+    want = []
+    for cve, known in (("C", 0), ("D", 1)):
+        want += [("later", cve, hours(2), None), ("both", cve, hours(known), None), ("again", cve, hours(known), hours(3)),
+                 ("again", cve, hours(5), None), ("chain", cve, hours(known), hours(9)), ("touch", cve, hours(known), hours(3)), ("touch", cve, hours(3), None)]
+    assert got == sorted((*w, "5.1", True) for w in want)
+    assert found.select("match_id").distinct().count() == len(want)
