@@ -149,18 +149,24 @@ def _gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
 
 
 @lru_cache(maxsize=4)
-def byte_level(path: str) -> ChunkEncoder:
-    """The encoder of a byte-level BPE file of the tokenizers library; strings of special tokens in a
-    text are ordinary text. Kept for the life of a Python worker."""
+def byte_level(path: str, added_tokens: bool = False) -> ChunkEncoder:
+    """The encoder of a byte-level BPE file of the tokenizers library. With ``added_tokens`` a text that
+    quotes an added token of the file, such as a special one, gets its id, as the library does by
+    default; without, such strings are ordinary text. Kept for the life of a Python worker."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    vocabulary = json.loads(tokenizer.to_str())["model"]["vocab"]
-    sizes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
-    for token, number in vocabulary.items():
-        sizes[number] = len(token)
+    tokenizer.encode_special_tokens = not added_tokens
+    content = json.loads(tokenizer.to_str())
+    lengths = {number: len(token) for token, number in content["model"]["vocab"].items()}
+    for token in content["added_tokens"]:
+        # Chunks start at spaces, and a token has to stand for its own bytes alone.
+        if added_tokens and (" " in token["content"] or token["lstrip"] or token["rstrip"]):
+            raise ValueError(f"the added token {token['content']!r} may hold or take in spaces; this tokenizer can't be used by chunks")
+        lengths[token["id"]] = len(token["content"].encode())
+    sizes = np.zeros(max(lengths) + 1, dtype=np.int64)
+    sizes[list(lengths)] = list(lengths.values())
     return ChunkEncoder(tokenizer, sizes)
 
 

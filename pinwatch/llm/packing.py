@@ -122,7 +122,7 @@ def pack(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, levels, out = byte_level(tokenizer_path), LevelArray(size), _Output(with_ids)
+        encoder, levels, out = byte_level(tokenizer_path, added_tokens=True), LevelArray(size), _Output(with_ids)
         for batch in batches:
             names = batch.column(0).to_pylist()
             for first, ids, bounds in encoder.encode(batch.column(1)):

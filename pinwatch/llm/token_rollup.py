@@ -107,7 +107,7 @@ def counted(docs: DataFrame, tokenizer_path: str, texts: tuple[str, ...]) -> Dat
     schema += "".join(f", {t}_words long, {t}_ids long" for t in texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = byte_level(tokenizer_path)
+        encoder = byte_level(tokenizer_path, added_tokens=True)
         for batch in batches:
             columns = [batch.column(c) for c in others]
             for text in texts:

@@ -110,3 +110,22 @@ def test_the_same_input_gives_the_same_rows(docs, spark):
     one = frame(spark, awkward_rows()).coalesce(2)
     runs = [sorted(map(str, pack(one, vocabulary_path()).collect())) for _ in range(2)]
     assert runs[0] == runs[1]
+
+
+def test_quoted_special_tokens_have_the_ids_of_the_library(spark):
+    from pinwatch.llm.token_rollup import counted
+
+    plain, rng = Tokenizer.from_file(vocabulary_path()), random.Random(4)
+    parts = [" ", "  ", "\n", "a", "é", "日", "'s", ",", "<|endoftext|>", "<|endoftext|>", "<|endof", "text|>", "word", " word"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "a  <|endoftext|><|endoftext|> b"]
+    texts += ["".join(rng.choices(parts, k=rng.randrange(1, 40))) for _ in range(1_000)]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    rows = frame(spark, [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)])
+    got = defaultdict(dict)
+    for r in pack(rows, vocabulary_path(), with_ids=True).collect():
+        got[r.doc_id].update(enumerate(r.ids, r.start))
+        assert r.doc_tokens == len(want[r.doc_id]) + 1
+    assert [[x for _, x in sorted(got[i].items())][:-1] for i in range(len(texts))] == want
+    sizes = {r.doc_id: r.text_ids for r in counted(rows.select("doc_id", "text"), vocabulary_path(), ("text",)).collect()}
+    assert sizes == {i: len(ids) for i, ids in enumerate(want)}
