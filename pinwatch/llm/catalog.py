@@ -82,6 +82,13 @@ def op3_lm_scoring(spark, table):
     return lm_score.cross_entropy_difference(table("documents"), good)
 
 
+@query("op3_lm_scoring_all_words", OP3_SQL.replace(f" ORDER BY n DESC, word LIMIT {lm_score.VOCABULARY}", ""))
+def op3_lm_scoring_all_words(spark, table):
+    """The same without a bound on the vocabulary."""
+    good = table("labels").filter("quality = 1 AND toxic = 0")
+    return lm_score.cross_entropy_difference(table("documents"), good, None)
+
+
 _HOST = r"lower(regexp_extract(url, '^(?:[^:]|:[^/]|:/[^/])*?://([^/?#]*)', 1, 's'))"
 _PATH = r"regexp_extract(url, '^(?:[^:]|:[^/]|:/[^/])*?://[^/?#]*([^?#]*)', 1, 's')"
 _SPLIT = f"SELECT page_id, url, coalesce({_HOST}, '') AS host, coalesce({_PATH}, '') AS path FROM pages"

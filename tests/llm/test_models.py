@@ -65,6 +65,19 @@ def test_scores(spark, crowded, size, targets):
             assert r[2:] == (None, None, None)
 
 
+@pytest.mark.parametrize(("limit", "targets"), [(1_000_000, {8, 20, 30, 31}), (50, {8, 20}), (1_000_000, set())])
+def test_scores_with_all_words(spark, crowded, limit, targets, monkeypatch):
+    monkeypatch.setattr(lm_score._scored_by_all_words, "__defaults__", (limit,))
+    rows = awkward_rows()
+    ids = spark.createDataFrame([(i,) for i in targets] * 2 + [(None,)], "doc_id long")
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2] or 0)
+    got = sorted([tuple(r) for r in lm_score.cross_entropy_difference(crowded, ids, None).collect()], key=key)
+    want = sorted(expected_scores(rows, targets, len({w for r in rows for w in words(r[1])}), lm_score.BIGRAM_WEIGHT), key=key)
+    for r, w in zip(got, want, strict=True):
+        assert r[:2] == w[:2]
+        assert r[2:] == ((None,) * 3 if not w[1] else (pytest.approx(w[2], abs=2e-6), pytest.approx(w[3], abs=2e-6), pytest.approx(w[2] - w[3], abs=2e-6)))
+
+
 def test_scores_tell_the_target(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(("fish" if i % 2 else "fowl") + str(rng.randrange(30)) for _ in range(80)), "en", "s", 1) for i in range(60)]
