@@ -55,7 +55,7 @@ class TokenRollup:
         name = quote(batch, safe="")
         if name in self.committed():
             return False
-        summed(changes).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/deltas/{name}")
+        summed(changes).write.mode("overwrite").parquet(f"{self.path}/deltas/{name}")
         self._mark(f"{self.path}/commits/{name}")
         return True
 
@@ -79,7 +79,7 @@ class TokenRollup:
         names = self.committed()
         number = max([int(n) for n in self._names("bases-done")], default=0) + 1
         base = f"{self.path}/bases/{number}"
-        self.totals().coalesce(1).write.mode("overwrite").parquet(f"{base}/totals")
+        self.totals().write.mode("overwrite").parquet(f"{base}/totals")
         self.spark.createDataFrame([(n,) for n in names], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{base}/batches")
         self._mark(f"{self.path}/bases-done/{number}")
 

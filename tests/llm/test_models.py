@@ -114,6 +114,24 @@ def test_history_of_a_corpus(spark, docs):
     assert got == dict(want)
 
 
+def test_many_sources_are_written_by_several_tasks(spark):
+    path, rows = scratch_path(spark, "test-rollup"), [(f"host{i}", "en", "v", 1, i) for i in range(200)]
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "4"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rollup = token_rollup.TokenRollup(spark, path)
+        rollup.commit("a", spark.createDataFrame(rows, token_rollup.TOTALS))
+        rollup.compact()
+        for folder in ("deltas/a", "bases/1/totals"):
+            assert len(spark.read.parquet(f"{path}/{folder}").inputFiles()) > 1
+        assert {tuple(r) for r in rollup.totals().collect()} == set(rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_batches_count_once(spark):
     schema = "source string, lang string, tokenizer string, documents long, tokens long"
     changes = lambda *rows: spark.createDataFrame(list(rows), schema)
