@@ -118,16 +118,26 @@ def scd2_dependencies(t: Tables) -> DataFrame:
 _LAST_EVENT = "SELECT service_id, max((occurred_at, event_id)) AS m FROM dep_ops GROUP BY 1"
 
 
+def store_quarters(ops: DataFrame, path: str) -> None:
+    """Snapshots as they stood at the end of each quarter of the time that ``ops`` cover, of the services
+    with events in it; a service left without pins has an empty one."""
+    at = F.unix_micros("occurred_at")
+    first, last = ops.agg(F.min(at), F.max(at)).first()
+    ends = [None, *[(first or 0) + ((last or 0) - (first or 0)) * n // 4 for n in range(1, 5)]]
+    for start, end in zip(ends, ends[1:], strict=False):
+        known = ops.filter(at <= end)
+        events = known if start is None else known.filter(at > start)
+        snapshots = graph.stored_snapshots(graph.latest_state(known, events)).unionByName(graph.empty_snapshots(known, events))
+        stored.append_table(snapshots, "dep_graph_snapshots", path)
+
+
 @query("latest_snapshot", f"""WITH h AS ({_HISTORY}) SELECT h.service_id, h.ecosystem, h.trigger_event_id, h.snapshot_at, {_MAP} AS dependencies
  FROM h JOIN ({_LAST_EVENT}) l ON h.service_id = l.service_id AND (h.snapshot_at, h.trigger_event_id) = l.m GROUP BY 1, 2, 3, 4""")
 def latest_snapshot(t: Tables) -> DataFrame:
-    """From stored snapshots: those of the last events and, for the services that have any, an older one."""
-    last = graph.stored_snapshots(graph.latest_state(t.ops, t.ops))
-    early = t.ops.filter("occurred_at < '1995-01-01'")
+    """From stored snapshots of several moments; a service whose newest one is empty has no rows."""
     path = scratch_path(t.spark, "dep_graph_snapshots")
-    stored.append_table(graph.stored_snapshots(graph.latest_state(early, early)), "dep_graph_snapshots", path)
-    stored.append_table(last, "dep_graph_snapshots", path)
-    newest = graph.latest_snapshot(read_table(t.spark, "dep_graph_snapshots", path))
+    store_quarters(t.ops, path)
+    newest = graph.latest_snapshot(read_table(t.spark, "dep_graph_snapshots", path)).filter("size(dependencies) > 0")
     return _as_text(newest).select("service_id", "ecosystem", F.col("snapshot_id").alias("trigger_event_id"), "snapshot_at", "dependencies")
 
 

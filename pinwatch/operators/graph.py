@@ -139,6 +139,16 @@ def stored_snapshots(states: DataFrame) -> DataFrame:
     return maps.select(F.col("trigger_event_id").alias("snapshot_id"), "service_id", "ecosystem", "dependencies", "snapshot_at")
 
 
+def empty_snapshots(ops: DataFrame, events: DataFrame) -> DataFrame:
+    """The stored snapshots of services whose last event leaves no pin: without ecosystem and empty, so
+    that no older one counts as their newest."""
+    last = pick(events.select("service_id", "event_id", "occurred_at"), ["service_id"], ["occurred_at", "event_id"], last=True)
+    return last.join(current_pins(ops), "service_id", "left_anti").select(
+        F.col("event_id").alias("snapshot_id"), "service_id", F.lit("").alias("ecosystem"),
+        F.create_map().cast("map<string, string>").alias("dependencies"), F.col("occurred_at").alias("snapshot_at"),
+    )
+
+
 def latest_snapshot(snapshots: DataFrame, service_id: str | None = None) -> DataFrame:
     """Newest stored snapshot per service, or of one service: all rows of it, one per ecosystem."""
     if service_id is not None:
