@@ -3,7 +3,8 @@
 A byte-level BPE never merges over the place where a space follows a character that is no white
 space, so a text may be cut there and its ids are those of its chunks, one after the other. Most
 chunks repeat; a block of documents hands the library only chunks it has not seen, many to a line,
-and the ids are put together with array operations. Tests hold the result against the library's own
+and the ids are put together with array operations. A hash finds a chunk among those seen, and its
+bytes decide whether it is that chunk. Tests hold the result against the library's own
 encoding of whole texts.
 """
 
@@ -16,17 +17,13 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from pinwatch.llm.blocks import _U, _Powers, document_runs, mix, text_bytes
+from pinwatch.llm.blocks import _U, Pieces, byte_pieces, document_runs, text_bytes
 
 #: Bytes of text encoded at once, and how many chunks a worker remembers before it starts anew.
 ENCODE_BYTES, REMEMBERED = 4 << 20, 3_000_000
 #: Characters of distinct chunks that go to the library as one line.
 LINE_BYTES = 2_000
 
-_CHUNK_VALUES = mix(np.arange(1000, 1256, dtype=_U))
-_chunk_powers = _Powers(0xC2B2AE3D27D4EB4F | 1)
-
-
 def _solid(data: np.ndarray) -> np.ndarray:
     """Whether each byte ends a character that is surely no white space: a visible ASCII character or
     a two-byte one beyond U+00BF. Other characters count as unsure, which only makes chunks longer."""
@@ -45,11 +42,19 @@ def chunk_starts(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return np.flatnonzero(begins), solid
 
 
-def _span_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    lengths = np.diff(np.append(starts, len(data)))
-    place = np.arange(len(data)) - np.repeat(starts, lengths)
-    sums = np.add.reduceat(_CHUNK_VALUES[data] * _chunk_powers(int(lengths.max()))[place], starts)
-    return mix(sums + lengths.astype(_U) * _U(0x9E3779B97F4A7C15))
+class _Pool:
+    """Values that only grow, one addition after the other."""
+
+    def __init__(self, kind):
+        self.values, self.used = np.zeros(1 << 16, dtype=kind), 0
+
+    def add(self, values: np.ndarray) -> int:
+        """Append; gives the place of the first."""
+        at, self.used = self.used, self.used + len(values)
+        if self.used > len(self.values):
+            self.values = np.concatenate([self.values, np.zeros(max(len(values), len(self.values)), dtype=self.values.dtype)])
+        self.values[at : self.used] = values
+        return at
 
 
 class ChunkEncoder:
@@ -66,8 +71,10 @@ class ChunkEncoder:
         self.known = np.zeros(0, dtype=_U)
         self.place = np.zeros(0, dtype=np.int64)
         self.length = np.zeros(0, dtype=np.int64)
-        self.pool = np.zeros(1 << 16, dtype=np.uint32)
-        self.used = 0
+        self.pool = _Pool(np.uint32)
+        self.bytes = _Pool(np.uint64)
+        self.byte_place = np.zeros(0, dtype=np.int64)
+        self.byte_length = np.zeros(0, dtype=np.int64)
 
     def normalised(self, chunk: bytes) -> bytes:
         """The text whose bytes the tokens of a chunk add up to."""
@@ -98,39 +105,62 @@ class ChunkEncoder:
         back[order] = np.arange(len(order))
         return _gather(ids, starts[back], counts[back]), counts[back]
 
-    def _learn(self, hashes: np.ndarray, chunks: list[bytes], joinable: np.ndarray) -> None:
+    def _learn(self, hashes: np.ndarray, chunks: list[bytes], pieces: Pieces, joinable: np.ndarray) -> np.ndarray:
+        """Remember chunks under their sorted hashes; gives the places where these were put in."""
         ids, counts = self.chunk_ids(chunks, joinable)
-        if self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(len(ids), len(self.pool)), dtype=np.uint32)])
-        self.pool[self.used : self.used + len(ids)] = ids
-        places = self.used + np.concatenate([[0], np.cumsum(counts)[:-1]])
-        self.used += len(ids)
         at = np.searchsorted(self.known, hashes)
         self.known = np.insert(self.known, at, hashes)
-        self.place = np.insert(self.place, at, places)
+        self.place = np.insert(self.place, at, self.pool.add(ids) + np.cumsum(counts) - counts)
         self.length = np.insert(self.length, at, counts)
+        self.byte_place = np.insert(self.byte_place, at, self.bytes.add(pieces.values) + np.cumsum(pieces.counts) - pieces.counts)
+        self.byte_length = np.insert(self.byte_length, at, pieces.lengths)
+        return at
+
+    def _same(self, entry: np.ndarray, pieces: Pieces) -> np.ndarray:
+        """Whether each entry holds the very bytes of the chunk beside it."""
+        same = self.byte_length[entry] == pieces.lengths
+        counts = np.where(same, pieces.counts, 0)
+        held = _gather(self.bytes.values, self.byte_place[entry], counts)
+        wrong = np.concatenate([[0], np.cumsum(held != _gather(pieces.values, np.cumsum(pieces.counts) - pieces.counts, counts))])
+        ends = np.cumsum(counts)
+        return same & (wrong[ends] == wrong[ends - counts])
+
+    def _entries(self, data: np.ndarray, starts: np.ndarray, solid: np.ndarray) -> np.ndarray:
+        """The entry of each chunk. A chunk whose hash belongs to other bytes gets another hash."""
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        ends = np.append(starts[1:], len(data))
+        pieces, raw = byte_pieces(data, starts, ends), None
+        hashes, salt, left, own = pieces.hashes(), 0, np.arange(len(starts)), pieces
+        while True:
+            distinct, first = np.unique(hashes[left], return_index=True)
+            fresh = np.flatnonzero(~np.isin(distinct, self.known, assume_unique=True))
+            if len(fresh):
+                at = left[first[fresh]]
+                raw = raw or data.tobytes()
+                chunks = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+                self._learn(distinct[fresh], chunks, pieces.take(at), (data[starts[at]] == 0x20) & solid[ends[at] - 1])
+            left = left[~self._same(np.searchsorted(self.known, hashes[left]), own)]
+            if not len(left):
+                return np.searchsorted(self.known, hashes)
+            salt, own = salt + 1, pieces.take(left)
+            hashes[left] = own.hashes(salt)
 
     def encode_block(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the documents between ``bounds`` and the offset of every document's first id."""
+        ids, before, _ = self.encode_chunks(data, bounds)
+        return ids, before
+
+    def encode_chunks(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same and every chunk's entry."""
         if not len(data):
-            return np.zeros(0, dtype=np.uint32), np.zeros(len(bounds), dtype=np.int64)
+            return np.zeros(0, dtype=np.uint32), np.zeros(len(bounds), dtype=np.int64), np.zeros(0, dtype=np.int64)
         starts, solid = chunk_starts(data, bounds)
-        hashes = _span_hashes(data, starts)
-        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) > REMEMBERED:
-            self._forget()
-        fresh = np.flatnonzero(~np.isin(distinct, self.known, assume_unique=True))
-        if len(fresh):
-            ends = np.append(starts[1:], len(data))
-            at = first[fresh]
-            raw = data.tobytes()
-            chunks = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-            self._learn(distinct[fresh], chunks, (data[starts[at]] == 0x20) & solid[ends[at] - 1])
-        entry = np.searchsorted(self.known, distinct)[which]
+        entry = self._entries(data, starts, solid)
         lengths = self.length[entry]
-        ids = _gather(self.pool, self.place[entry], lengths)
+        ids = _gather(self.pool.values, self.place[entry], lengths)
         before = np.concatenate([[0], np.cumsum(lengths)])
-        return ids, before[np.searchsorted(starts, bounds)]
+        return ids, before[np.searchsorted(starts, bounds)], entry
 
     def encode(self, column: pa.Array):
         """For runs of rows of a string column: first row, ids, and the offset of every row's first id."""

@@ -44,11 +44,13 @@ SKETCH_CELLS, SKETCH_SEGMENTS = 1 << 20, 32
 
 @dataclass
 class Sets:
-    """Distinct shingles of the documents of a block, sorted within each document."""
+    """Distinct shingles of the documents of a block, sorted within each document, by two independent
+    hashes."""
 
     shingles: np.ndarray
     bounds: np.ndarray
     text_keys: np.ndarray
+    second: np.ndarray | None = None
 
     def owners(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
@@ -57,13 +59,13 @@ class Sets:
         return self.shingles[self.bounds[k] : self.bounds[k + 1]]
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits that identify each set: two sums over differently mixed members; 0 for the empty one."""
+        """128 bits that identify each set: two sums over members hashed apart; 0 for the empty one."""
         some = np.diff(self.bounds) > 0
         keys = []
-        for salt in (0x1D8E4E27C47D124F, 0x6A09E667F3BCC909):
+        for salt, members in ((0x1D8E4E27C47D124F, self.shingles), (0x6A09E667F3BCC909, self.second)):
             key = np.zeros(len(some), dtype=_U)
             if some.any():
-                sums = np.add.reduceat(blocks.mix(self.shingles ^ _U(salt)), self.bounds[:-1][some])
+                sums = np.add.reduceat(blocks.mix(members ^ _U(salt)), self.bounds[:-1][some])
                 key[some] = blocks.mix(sums) | _U(1)
             keys.append(signed(key))
         return keys[0], keys[1]
@@ -84,25 +86,27 @@ def shingle_sets(words: blocks.Words, size: int) -> Sets:
     """Sets of a block. Texts with fewer words than a shingle are one shingle; texts without words have
     none."""
     counts, n = words.counts(), len(words.hashes)
-    grams = blocks.window_hashes(words.hashes, size)
     sizes = np.maximum(counts - size + 1, np.minimum(counts, 1))
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     owner = np.repeat(np.arange(len(counts)), sizes)
     place = words.firsts[:-1][owner] + np.arange(bounds[-1]) - bounds[owner]
     long = counts >= size
-    shingles = np.zeros(bounds[-1], dtype=_U)
     inside = long[owner]
-    shingles[inside] = grams[place[inside]]
-    for length in range(1, size):
-        short = np.flatnonzero(counts == length)
-        if len(short):
-            shingles[bounds[short]] = blocks.window_hashes(words.hashes, length)[words.firsts[short]]
+    shingles, second = np.zeros(bounds[-1], dtype=_U), np.zeros(bounds[-1], dtype=_U)
+    for hashes, out in ((words.hashes, shingles), (words.second, second)):
+        out[inside] = blocks.window_hashes(hashes, size)[place[inside]]
+        for length in range(1, size):
+            short = np.flatnonzero(counts == length)
+            if len(short):
+                out[bounds[short]] = blocks.window_hashes(hashes, length)[words.firsts[short]]
+    order = np.arange(bounds[-1])
     for a, b in zip(bounds[:-1][long].tolist(), bounds[1:][long].tolist(), strict=True):
-        shingles[a:b].sort()
+        order[a:b] = np.argsort(shingles[a:b]) + a
+    shingles, second = shingles[order], second[order]
     new = np.ones(len(shingles), dtype=bool)
     new[1:] = (shingles[1:] != shingles[:-1]) | (owner[1:] != owner[:-1])
     kept = np.concatenate([[0], np.cumsum(new)])
-    return Sets(shingles[new], kept[bounds], _text_keys(words) if n else np.zeros(len(counts), dtype=np.int64))
+    return Sets(shingles[new], kept[bounds], _text_keys(words) if n else np.zeros(len(counts), dtype=np.int64), second[new])
 
 
 def _word_runs(column: pa.Array) -> Iterator[tuple[int, int, blocks.Words]]:
@@ -276,23 +280,26 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[int, bytes] = {}
+            found: dict[tuple[int, int, int], bytes] = {}
             for _, _, words in _word_runs(batch.column(0)):
                 if not len(words.hashes):
                     continue
                 own = _text_keys(words)
                 some = np.flatnonzero(bloom.value.may_hold(own) & (words.counts() > 0))
                 for k in some.tolist():
-                    if int(own[k]) not in found:
-                        a, b = words.firsts[k], words.firsts[k + 1]
-                        one = blocks.Words(words.data, words.starts[a:b], words.ends[a:b], words.hashes[a:b], np.array([0, b - a]))
-                        found[int(own[k])] = shingle_sets(one, size).shingles.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["text_key", "shingles"])
-
-    stored = texts.select("text").mapInArrow(sets, "text_key long, shingles binary").dropDuplicates(["text_key"])
+                    alone = shingle_sets(words.document(k), size)
+                    one, two = alone.keys()
+                    found.setdefault((int(own[k]), int(one[0]), int(two[0])), alone.shingles.tobytes())
+            keys = [pa.array(list(c), pa.int64()) for c in zip(*found, strict=True)] or [pa.array([], pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(list(found.values()), pa.binary())], names=[*identity, "shingles"])
+
+    identity = ["text_key", "one", "two"]
+    stored = texts.select("text").mapInArrow(sets, "text_key long, one long, two long, shingles binary").dropDuplicates(identity)
     stored = stored_table(stored, "shingle-sets")
-    side = lambda name: stored.select(F.col("text_key").alias(f"{name}_text_key"), F.col("shingles").alias(f"{name}_shingles"))
-    joined = pairs.join(side("a"), "a_text_key").join(side("b"), "b_text_key")
+    side = lambda name: stored.select(*[F.col(c).alias(f"{name}_{c}") for c in (*identity, "shingles")])
+    joined = pairs
+    for name in "ab":
+        joined = joined.join(side(name), [f"{name}_{c}" for c in identity])
     ends = ["a_one", "a_two", "b_one", "b_two"]
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

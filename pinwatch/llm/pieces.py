@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from pinwatch.llm.blocks import document_runs, text_bytes
-from pinwatch.llm.encoders import ENCODE_BYTES, ChunkEncoder, _gather, _span_hashes, chunk_starts
+from pinwatch.llm.encoders import ENCODE_BYTES, ChunkEncoder, _gather, chunk_starts
 
 MARK = "▁"
 # Fixed values of the public model format: field numbers, kinds of models, kinds of pieces.
@@ -173,33 +173,40 @@ class PieceEncoder(ChunkEncoder):
         ids, counts = super().chunk_ids(chunks, joinable)
         bounds = np.concatenate([[0], np.cumsum(counts)]).tolist()
         texts = [c.decode("utf-8", "replace") for c in chunks]
-        # The original puts the space before a text itself.
-        own = [i for i, t in enumerate(texts) if t.startswith(" ")]
-        listed, faithful = ids.tolist(), np.ones(len(chunks), dtype=bool)
-        for i, theirs in zip(own, self.original.encode([texts[i][1:] for i in own], num_threads=1), strict=True):
-            faithful[i] = listed[bounds[i] : bounds[i + 1]] == theirs if texts[i] != " " else True
+        listed, faithful = ids.tolist(), np.zeros(len(chunks), dtype=bool)
+        # The original puts the space before a text itself, unless the model says otherwise. A chunk that is
+        # a space alone stands at a text's end.
+        ours = [[i for i, t in enumerate(texts) if (t == " ") == alone and (t.startswith(" ") or not self.model.dummy_prefix)] for alone in (False, True)]
+        skip = 1 if self.model.dummy_prefix else 0
+        for i, theirs in zip(ours[0], self.original.encode([texts[i][skip:] for i in ours[0]], num_threads=1), strict=True):
+            faithful[i] = listed[bounds[i] : bounds[i + 1]] == theirs
+        if ours[1]:
+            theirs = self.original.encode("a ")[len(self.original.encode("a")) :]
+            for i in ours[1]:
+                faithful[i] = listed[bounds[i] : bounds[i + 1]] == theirs
         if not np.array_equal(self.spelled(ids), np.frombuffer(b"".join(chunks), dtype=np.uint8)):
             decoded = self.tokenizer.decode_batch([listed[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], skip_special_tokens=False)
             faithful &= np.array([a == b for a, b in zip(decoded, texts, strict=True)])
         self.faithful_chunks = faithful
         return ids, counts
 
-    def _learn(self, hashes, chunks, joinable):
-        super()._learn(hashes, chunks, joinable)
-        self.unfaithful = np.union1d(self.unfaithful, hashes[~self.faithful_chunks])
+    def _learn(self, hashes, chunks, pieces, joinable):
+        at = super()._learn(hashes, chunks, pieces, joinable)
+        self.faithful = np.insert(self.faithful, at, self.faithful_chunks)
+        return at
 
     def _forget(self):
         super()._forget()
-        self.unfaithful = np.zeros(0, dtype=np.uint64)
+        self.faithful = np.zeros(0, dtype=bool)
 
-    def faithful_documents(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Which of the documents between ``bounds`` consist of faithful chunks."""
+    def encode_checked(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, offsets, and which of the documents between ``bounds`` consist of faithful chunks."""
+        ids, before, entry = self.encode_chunks(data, bounds)
         if not len(data):
-            return np.ones(len(bounds) - 1, dtype=bool)
-        starts, _ = chunk_starts(data, bounds)
-        odd = np.concatenate([[0], np.cumsum(np.isin(_span_hashes(data, starts), self.unfaithful))])
-        places = np.searchsorted(starts, bounds)
-        return odd[places[1:]] == odd[places[:-1]]
+            return ids, before, np.ones(len(bounds) - 1, dtype=bool)
+        odd = np.concatenate([[0], np.cumsum(~self.faithful[entry])])
+        places = np.searchsorted(chunk_starts(data, bounds)[0], bounds)
+        return ids, before, odd[places[1:]] == odd[places[:-1]]
 
     def spelled(self, ids: np.ndarray) -> np.ndarray:
         """The bytes that ids stand for, one after the other."""
@@ -237,8 +244,7 @@ def _encoded(column: pa.Array, path: str, threads: int) -> Iterator[tuple[int, l
         if isinstance(encoder, PieceEncoder):
             if model.dummy_prefix:
                 body, bounds = _prefixed(body, bounds)
-            ids, places = encoder.encode_block(body, bounds)
-            faithful = encoder.faithful_documents(body, bounds) if len(encoder.unfaithful) else np.ones(last - first, dtype=bool)
+            ids, places, faithful = encoder.encode_checked(body, bounds)
             rows = [ids[places[k] : places[k + 1]] for k in range(last - first)]
             skip = 1 if model.dummy_prefix else 0
             texts = [encoder.spelled(r).tobytes()[skip:].decode("utf-8", "replace") for r in rows]

@@ -7,13 +7,13 @@ sketches are merged into one bit per cell, "twice or more". That can only overes
 is certainly unique if a cell of its anchor, in either of two rows, says "once". The others are grouped exactly, in two steps.
 
 Neighbouring windows with one anchor form a stretch, and most stretches of a copied passage are equal
-as a whole. Stretches are grouped first, by 95 bits of a hash of their words: where one occurs twice,
+as a whole. Stretches are grouped first, by 128 bits of hashes of their words: where one occurs twice,
 all its windows do. Only below anchors that have several different stretches, some of them single, are
 windows grouped one by one. Documents then learn which of their stretches and windows are repeated.
 
-Documents are told apart by a hash of their word sequence: copies share it and are decided together,
-which holds whatever their ids are. A collision between different documents would only tell one of
-them about windows it does not have.
+Documents are told apart by 128 bits of hashes of their word sequence: copies share them and are
+decided together, which holds whatever their ids are. Both halves of every key come from hashes of the
+words that are independent of each other.
 """
 
 from __future__ import annotations
@@ -42,7 +42,6 @@ ANCHOR = 8
 #: the result.
 CELLS, ROWS = 1 << 27, 2
 SEGMENTS = 256
-_SECOND = 0x2545F4914F6CDD1D
 _PENDING = 4_000_000
 
 
@@ -73,34 +72,41 @@ def _cells_of(hashes: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
     return (hashes >> shift).astype(np.int64), (blocks.mix(hashes) >> shift).astype(np.int64) + cells
 
 
-def _document_keys(words: Words) -> np.ndarray:
-    """A hash of each document's sequence of words."""
-    return blocks.span_hashes(words.hashes, words.firsts[:-1], words.firsts[1:])
-
-
-def _half(hashes: np.ndarray) -> np.ndarray:
-    return (hashes & _U(0x7FFFFFFF)).astype(np.int32)
+def _document_keys(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each document's sequence of words."""
+    ends = words.firsts[:-1], words.firsts[1:]
+    return blocks.span_hashes(words.hashes, *ends), blocks.span_hashes(words.second, *ends)
 
 
 @dataclass
 class Stretches:
-    """Runs of neighbouring windows with one anchor: first window, one past the last, anchor, and the
-    hash of all their words."""
+    """Runs of neighbouring windows with one anchor: first window, one past the last, and anchor."""
 
+    words: Words
+    size: int
     first: np.ndarray
     last: np.ndarray
     anchor: np.ndarray
-    span: np.ndarray
-    span_half: np.ndarray
 
-    def owners(self, words: Words) -> np.ndarray:
-        return np.searchsorted(words.firsts, self.first, side="right") - 1
+    def owners(self) -> np.ndarray:
+        return np.searchsorted(self.words.firsts, self.first, side="right") - 1
+
+    def spans(self) -> np.ndarray:
+        """A hash of all words of each stretch."""
+        return blocks.span_hashes(self.words.hashes, self.first, self.last + (self.size - 1))
+
+    def halves(self) -> np.ndarray:
+        """Another one, independent of it."""
+        return blocks.span_hashes(self.words.second, self.first, self.last + (self.size - 1))
 
-    def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the windows of the chosen stretches, and which stretch each belongs to."""
-        sizes = (self.last - self.first)[chosen]
-        shift = self.first[chosen] - np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else sizes
-        return np.arange(int(sizes.sum())) + np.repeat(shift, sizes), np.repeat(chosen, sizes)
+    def some(self, chosen: np.ndarray) -> Stretches:
+        return Stretches(self.words, self.size, self.first[chosen], self.last[chosen], self.anchor[chosen])
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the windows of the stretches, and which stretch each belongs to."""
+        sizes = self.last - self.first
+        shift = self.first - np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else sizes
+        return np.arange(int(sizes.sum())) + np.repeat(shift, sizes), np.repeat(np.arange(len(sizes)), sizes)
 
 
 def stretches(words: Words, size: int, bitmap: np.ndarray | None = None) -> Stretches:
@@ -108,15 +114,13 @@ def stretches(words: Words, size: int, bitmap: np.ndarray | None = None) -> Stre
     valid, place, hashes = anchors(words, size)
     begins = np.flatnonzero(np.concatenate([[True], np.diff(place) != 0])) if len(place) else place
     first, anchor = valid[begins], hashes[begins]
-    last = first + np.diff(np.append(begins, len(valid)))
-    if bitmap is not None:
-        some = np.ones(len(anchor), dtype=bool)
-        for cell in _cells_of(anchor, len(bitmap) * 8 // ROWS):
-            some &= (bitmap[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
-        first, last, anchor = first[some], last[some], anchor[some]
-    ends = last + (size - 1)
-    span = blocks.span_hashes(words.hashes, first, ends)
-    return Stretches(first, last, anchor, span, _half(blocks.span_hashes(words.hashes, first, ends, _SECOND)))
+    found = Stretches(words, size, first, first + np.diff(np.append(begins, len(valid))), anchor)
+    if bitmap is None:
+        return found
+    some = np.ones(len(anchor), dtype=bool)
+    for cell in _cells_of(anchor, len(bitmap) * 8 // ROWS):
+        some &= (bitmap[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
+    return found.some(some)
 
 
 def _runs(column: pa.Array) -> Iterator[tuple[int, int, Words]]:
@@ -223,7 +227,7 @@ def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _suspect_stretches(texts: DataFrame, sketch, size: int) -> DataFrame:
-    """``key, anchor, span, half, times``: the stretches that the sketch lets through, of each document,
+    """``key, key2, anchor, span, half, times``: the stretches that the sketch lets through, of each document,
     and how often they are there, counted up to two. Copies in a batch are reported once, as two."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,14 +236,15 @@ def _suspect_stretches(texts: DataFrame, sketch, size: int) -> DataFrame:
             for _, _, words in _runs(batch.column(0)):
                 found = stretches(words, size, sketch.value)
                 if len(found.first):
-                    parts.append((_document_keys(words)[found.owners(words)], found.anchor, found.span, found.span_half))
+                    owner = found.owners()
+                    parts.append((*[k[owner] for k in _document_keys(words)], found.anchor, found.spans(), found.halves()))
             if parts:
-                key, anchor, span, half = (np.concatenate(x) for x in zip(*parts, strict=True))
-                at, times = _distinct(half, span, key)
-                columns = [signed(key[at]), signed(anchor[at]), signed(span[at]), half[at], times]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "anchor", "span", "half", "times"])
+                key, key2, anchor, span, half = (np.concatenate(x) for x in zip(*parts, strict=True))
+                at, times = _distinct(half, span, key2, key)
+                columns = [*[signed(c[at]) for c in (key, key2, anchor, span, half)], times]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "key2", "anchor", "span", "half", "times"])
 
-    return texts.select("text").mapInArrow(rows, "key long, anchor long, span long, half int, times byte")
+    return texts.select("text").mapInArrow(rows, "key long, key2 long, anchor long, span long, half long, times byte")
 
 
 def _open_windows(texts: DataFrame, anchors_open, size: int) -> DataFrame:
@@ -253,35 +258,39 @@ def _open_windows(texts: DataFrame, anchors_open, size: int) -> DataFrame:
                 found = stretches(words, size)
                 chosen = np.flatnonzero(anchors_open.value.may_hold(found.anchor)) if len(found.first) else found.first
                 if len(chosen):
-                    place, owner = found.windows(chosen)
+                    found = found.some(chosen)
+                    place, owner = found.windows()
                     low = blocks.window_hashes(words.hashes, size)[place]
-                    high = blocks.window_hashes(words.hashes, size, _SECOND)[place]
-                    parts.append((low, _half(high), found.span[owner], found.span_half[owner]))
+                    high = blocks.window_hashes(words.second, size)[place]
+                    parts.append((low, high, found.spans()[owner], found.halves()[owner]))
             if parts:
                 low, high, span, half = (np.concatenate(x) for x in zip(*parts, strict=True))
                 at, times = _distinct(half, span, high, low)
-                columns = [signed(low[at]), high[at], signed(span[at]), half[at], times]
+                columns = [*[signed(c[at]) for c in (low, high, span, half)], times]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["low", "high", "span", "half", "times"])
 
-    return texts.select("text").mapInArrow(rows, "low long, high int, span long, half int, times byte")
+    return texts.select("text").mapInArrow(rows, "low long, high long, span long, half long, times byte")
 
 
 def _texts_of(texts: DataFrame, keys) -> DataFrame:
-    """``key, text`` of the documents whose key the Bloom filter may hold, once per batch."""
+    """``key, key2, text`` of the documents whose key the Bloom filter may hold, once per batch."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(_document_keys(words), first) for first, _, words in _runs(batch.column(0))]
+            found = [_document_keys(words) for _, _, words in _runs(batch.column(0))]
             if found:
-                own, place = np.unique(np.concatenate([k for k, _ in found]), return_index=True)
-                some = keys.value.may_hold(own)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(own[some])), batch.column(0).take(pa.array(place[some]))], names=["key", "text"])
+                key, key2 = (np.concatenate(x) for x in zip(*found, strict=True))
+                place = np.flatnonzero(keys.value.may_hold(key))
+                place = place[_distinct(key2[place], key[place])[0]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(signed(key[place])), pa.array(signed(key2[place])), batch.column(0).take(pa.array(place))], names=["key", "key2", "text"]
+                )
 
-    return texts.select("text").mapInArrow(rows, "key long, text string")
+    return texts.select("text").mapInArrow(rows, "key long, key2 long, text string")
 
 
 def repeated_parts(texts: DataFrame, size: int = WINDOW, cells: int = CELLS) -> DataFrame:
-    """``key, spans, lows``: for each word sequence with repeated windows, hashes of its stretches that are
+    """``key, key2, spans, lows``: for each word sequence with repeated windows, hashes of its stretches that are
     repeated whole and of its single repeated windows."""
     spark = texts.sparkSession
     sketch = spark.sparkContext.broadcast(repeated_cells(texts, size, cells))
@@ -298,8 +307,8 @@ def repeated_parts(texts: DataFrame, size: int = WINDOW, cells: int = CELLS) ->
     whole = spans.filter("times > 1").select("span", "half", F.lit(True).alias("whole"))
     some = parts.join(whole, ["span", "half"], "left_anti").withColumn("whole", F.lit(False))
     status = stored_table(whole.unionByName(some, allowMissingColumns=True), "stretch-status")
-    marks = suspects.select("key", "span", "half").join(status, ["span", "half"])
-    return marks.groupBy("key").agg(
+    marks = suspects.select("key", "key2", "span", "half").join(status, ["span", "half"])
+    return marks.groupBy("key", "key2").agg(
         F.collect_set(F.when(F.col("whole"), F.col("span"))).alias("spans"), F.flatten(F.collect_set("lows")).alias("lows")
     )
 
@@ -313,7 +322,7 @@ def _among(values: np.ndarray, owners: np.ndarray, lists: pa.ListArray, first: i
 
 
 def cleaned_texts(texts: DataFrame, size: int = WINDOW, cells: int = CELLS) -> DataFrame:
-    """``key, n_removed, kept`` for the word sequences that lose words: how many, and what is left, joined
+    """``key, key2, n_removed, kept`` for the word sequences that lose words: how many, and what is left, joined
     by single spaces. ``texts`` has a column ``text``."""
     parts = stored_table(repeated_parts(texts, size, cells), "repeated-parts")
     keys = texts.sparkSession.sparkContext.broadcast(build_bloom(parts.select(F.col("key").alias("hash"))))
@@ -321,14 +330,13 @@ def cleaned_texts(texts: DataFrame, size: int = WINDOW, cells: int = CELLS) -> D
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, kept = [], []
-            for first, last, words in _runs(batch.column(1)):
+            for first, last, words in _runs(batch.column(2)):
                 found = stretches(words, size)
-                whole = np.flatnonzero(_among(found.span, found.owners(words), batch.column(2), first, last))
-                place, _ = found.windows(whole)
+                place, _ = found.some(_among(found.spans(), found.owners(), batch.column(3), first, last)).windows()
                 low = blocks.window_hashes(words.hashes, size)
                 valid = np.flatnonzero(blocks.window_valid(words.firsts, size, len(words.hashes)))
                 owner = np.searchsorted(words.firsts, valid, side="right") - 1
-                place = np.union1d(place, valid[_among(low[valid], owner, batch.column(3), first, last)])
+                place = np.union1d(place, valid[_among(low[valid], owner, batch.column(4), first, last)])
                 edge = np.zeros(len(words.hashes) + 1, dtype=np.int64)
                 edge[place] += 1
                 edge[place + size] -= 1
@@ -340,25 +348,28 @@ def cleaned_texts(texts: DataFrame, size: int = WINDOW, cells: int = CELLS) -> D
                     kept.append(b" ".join(body[starts[i] : ends[i]] for i in left).decode())
                     removed.append(int(b - a) - len(left))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["key", "n_removed", "kept"]
+                [*batch.columns[:2], pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["key", "key2", "n_removed", "kept"]
             )
 
-    found = _texts_of(texts, keys).join(parts, "key").dropDuplicates(["key"])
-    return found.select("key", "text", "spans", "lows").mapInArrow(clean, "key long, n_removed long, kept string")
+    found = _texts_of(texts, keys).join(parts, ["key", "key2"]).dropDuplicates(["key", "key2"])
+    return found.select("key", "key2", "text", "spans", "lows").mapInArrow(clean, "key long, key2 long, n_removed long, kept string")
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys, counts = [], []
+        key, key2, counts = [], [], []
         for _, _, words in _runs(batch.column(1)):
-            keys.append(signed(_document_keys(words)))
+            for own, half in zip((key, key2), _document_keys(words), strict=True):
+                own.append(signed(half))
             counts.append(words.counts())
         data, offsets = blocks.text_bytes(batch.column(1))
         body = data.tobytes()
         spans = zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)
         sha = [hashlib.sha256(b" ".join(body[a:b].split())).hexdigest() for a, b in spans]
         join = lambda parts: pa.array(np.concatenate(parts) if parts else [], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), join(keys), join(counts), pa.array(sha, pa.string())], names=["doc_id", "key", "n_words", "own_sha256"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), join(key), join(key2), join(counts), pa.array(sha, pa.string())], names=["doc_id", "key", "key2", "n_words", "own_sha256"]
+        )
 
 
 def substring_duplicates(docs: DataFrame, size: int = WINDOW, cells: int = CELLS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -370,10 +381,10 @@ def substring_duplicates(docs: DataFrame, size: int = WINDOW, cells: int = CELLS
     other columns are not read. An empty table gives no rows.
     """
     texts = docs.select(docs[text_column].cast("string").alias("text"))
-    cleaned = cleaned_texts(texts, size, cells).select("key", "n_removed", F.sha2("kept", 256).alias("cut_sha256"))
+    cleaned = cleaned_texts(texts, size, cells).select("key", "key2", "n_removed", F.sha2("kept", 256).alias("cut_sha256"))
     cleaned = stored_table(cleaned, "cleaned-texts")
     narrow = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
-    rows = narrow.mapInArrow(_keyed, "doc_id long, key long, n_words long, own_sha256 string").join(cleaned, "key", "left")
+    rows = narrow.mapInArrow(_keyed, "doc_id long, key long, key2 long, n_words long, own_sha256 string").join(cleaned, ["key", "key2"], "left")
     return rows.select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
         F.coalesce("cut_sha256", "own_sha256").alias("kept_sha256"),
@@ -385,19 +396,19 @@ def without_repeated_passages(docs: DataFrame, size: int = WINDOW, cells: int =
     is, white space included. ``length_column``, if there, follows the text."""
     texts = docs.select(docs[text_column].cast("string").alias("text"))
     cleaned = stored_table(cleaned_texts(texts, size, cells), "cleaned-texts")
-    own = {name: spare(name, docs.columns) for name in ("key", "n_removed", "kept")}
+    own = {name: spare(name, docs.columns) for name in ("key", "key2", "n_removed", "kept")}
     cleaned = cleaned.select(*[F.col(c).alias(own[c]) for c in own])
     place = docs.columns.index(text_column)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [signed(_document_keys(words)) for _, _, words in _runs(batch.column(place))]
-            keys = pa.array(np.concatenate(keys) if keys else [], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[f"c{i}" for i in range(len(batch.columns))] + ["k"])
+            found = [_document_keys(words) for _, _, words in _runs(batch.column(place))]
+            keys = [pa.array(signed(np.concatenate(k))) for k in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays([*batch.columns, *keys], names=[f"c{i}" for i in range(len(batch.columns))] + ["k", "k2"])
 
     fields = [f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields)]
-    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).mapInArrow(keyed, ", ".join([*fields, "k long"]))
-    rows = numbered.toDF(*docs.columns, own["key"]).join(cleaned, own["key"], "left")
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).mapInArrow(keyed, ", ".join([*fields, "k long", "k2 long"]))
+    rows = numbered.toDF(*docs.columns, own["key"], own["key2"]).join(cleaned, [own["key"], own["key2"]], "left")
     kept, touched = F.col(own["kept"]), F.col(own["kept"]).isNotNull()
     columns = []
     for name, column in zip(docs.columns, plain(docs), strict=True):
