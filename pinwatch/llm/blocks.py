@@ -142,13 +142,9 @@ class Words:
         return self.pieces().hashes(SECOND)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, spaces: np.ndarray = _SPACE) -> Words:
-    """Words of the documents whose bytes lie between consecutive ``offsets`` of ``data``. ``spaces`` says
+def word_bounds(data: np.ndarray, bounds: np.ndarray, spaces: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of every word of the documents between ``bounds``, and one past its last. ``spaces`` says
     of each byte whether it stands between words."""
-    base = int(offsets[0])
-    data, bounds = data[base : int(offsets[-1])], offsets - base
-    if lower:
-        data = _LOWER[data]
     n = len(data)
     inside = np.zeros(n + 2, dtype=bool)
     inside[1:-1] = ~spaces[data]
@@ -158,11 +154,31 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, spaces: np
     cuts = cuts[(cuts > 0) & (cuts < n)]
     begins[cuts] = inside[1:-1][cuts]
     finishes[cuts - 1] = inside[1:-1][cuts - 1]
-    starts, ends = np.flatnonzero(begins), np.flatnonzero(finishes) + 1
+    return np.flatnonzero(begins), np.flatnonzero(finishes) + 1
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, spaces: np.ndarray = _SPACE) -> Words:
+    """Words of the documents whose bytes lie between consecutive ``offsets`` of ``data``."""
+    base = int(offsets[0])
+    data, bounds = data[base : int(offsets[-1])], offsets - base
+    if lower:
+        data = _LOWER[data]
+    starts, ends = word_bounds(data, bounds, spaces)
     hashes = byte_pieces(data, starts, ends).hashes()
     return Words(data, starts, ends, hashes, np.searchsorted(starts, bounds))
 
 
+def word_counts(column: pa.Array) -> np.ndarray:
+    """How many words each row of a string column has."""
+    data, offsets = text_bytes(column)
+    counts = [np.zeros(0, dtype=np.int64)]
+    for first, last in document_runs(offsets):
+        bounds = offsets[first : last + 1] - offsets[first]
+        starts, _ = word_bounds(data[offsets[first] : offsets[last]], bounds)
+        counts.append(np.diff(np.searchsorted(starts, bounds)))
+    return np.concatenate(counts)
+
+
 def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hash of each pair of values; for one of them fixed, different others give different hashes."""
     x = a ^ (a >> _U(32))

@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pinwatch.llm import exact, jaccard, licenses, lm_score, packing, pieces, quality, substrings, token_rollup, url_filter
+from pinwatch.llm import (
+    cube_mix, exact, hard_negatives, jaccard, licenses, lm_score, packing, pieces, quality, ranked_search, substrings, token_rollup, url_filter,
+)
 from pinwatch.llm.encoders import vocabulary_path
 from pinwatch.session import prepare, scratch_path
 
@@ -223,3 +225,48 @@ SELECT doc_id, license, template, CAST(place AS INTEGER) AS place, round(c / n,
 @query("op10_license_scans", OP10_SQL)
 def op10_license_scans(spark, table):
     return licenses.scan_licenses(table("documents"), licenses.template_table(spark))
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP11_SQL = f"""WITH d AS (SELECT row_number() OVER () AS id, doc_id, {_TERMS} AS terms FROM documents),
+total AS (SELECT count(*) FILTER (len(terms) > 0) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM d),
+i AS (SELECT row_number() OVER () AS item, item_id, {_TERMS} AS terms FROM benchmark),
+wanted AS (SELECT DISTINCT item, item_id, unnest(terms) AS term FROM i),
+held AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w FROM held, total GROUP BY term, n_docs),
+sized AS (SELECT id, doc_id, 10 + (90 * CAST(len(terms) AS BIGINT) * n_docs) // n_terms AS m FROM d, total WHERE len(terms) > 0),
+scored AS (SELECT item, item_id, id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+ FROM wanted JOIN held USING (term) JOIN weights USING (term) JOIN sized USING (id) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10"""
+
+
+@query("op11_ranked_search", OP11_SQL)
+def op11_ranked_search(spark, table):
+    return ranked_search.ranked_search(table("documents"), table("benchmark"))
+
+
+@query("op12_cube_mix")
+def op12_cube_mix(spark, table):
+    return cube_mix.mixed_sources(table("documents"))
+
+
+OP13_SQL = """WITH r AS (SELECT row_number() OVER () AS id, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+ list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+ WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor, a.vec_id AS anchor_id, b.id AS other, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+ FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.id <> b.id),
+p AS (SELECT anchor, anchor_id, other, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+ QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+ s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score QUALIFY rank <= 10"""
+
+
+@query("op13_hard_negatives", OP13_SQL)
+def op13_hard_negatives(spark, table):
+    rows = table("embeddings")
+    # The stated mislabelling: ids divisible by seven move on to the next label.
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", moved))
