@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pinwatch.llm import (
-    cube_mix, exact, hard_negatives, jaccard, licenses, lm_score, packing, pieces, quality, ranked_search, substrings, token_rollup, url_filter,
+    cube_mix, exact, hard_negatives, jaccard, licenses, lm_counts, lm_score, packing, pieces, quality, ranked_search, substrings, token_rollup, url_filter,
 )
 from pinwatch.llm.encoders import vocabulary_path
 from pinwatch.session import prepare, scratch_path
@@ -78,15 +78,28 @@ SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_tokens, round(target, 6) AS tar
  round(target - background, 6) AS difference FROM d LEFT JOIN sums s ON s.id = d.id"""
 
 
-@query("op3_lm_scoring", OP3_SQL)
+OP3_COUNTS_SQL = rf"""WITH d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+tokens AS (SELECT id, doc_id, unnest(list_prepend(' ', words)) AS h, unnest(list_append(words, '')) AS w FROM d WHERE len(words) > 0),
+targets AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND toxic = 0),
+counts AS (SELECT h, w, count(*) AS b, count(*) FILTER (doc_id IN (SELECT doc_id FROM targets)) AS t FROM tokens GROUP BY h, w),
+contexts AS (SELECT h, sum(b) AS cb, sum(t) AS ct FROM counts GROUP BY h),
+size AS (SELECT count(DISTINCT w) AS v FROM counts),
+loss AS (SELECT h, w, -ln((t + {lm_counts.ADDED}::DOUBLE) / (ct + {lm_counts.ADDED}::DOUBLE * v)) AS target,
+ -ln((b + {lm_counts.ADDED}::DOUBLE) / (cb + {lm_counts.ADDED}::DOUBLE * v)) AS background FROM counts JOIN contexts USING (h), size),
+sums AS (SELECT id, avg(target) AS target, avg(background) AS background FROM tokens JOIN loss USING (h, w) GROUP BY id)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_tokens, round(target, 6) AS target_loss, round(background, 6) AS background_loss,
+ round(target - background, 6) AS difference FROM d LEFT JOIN sums s ON s.id = d.id"""
+
+
+@query("op3_lm_scoring", OP3_COUNTS_SQL)
 def op3_lm_scoring(spark, table):
     good = table("labels").filter("quality = 1 AND toxic = 0")
-    return lm_score.cross_entropy_difference(table("documents"), good)
+    return lm_counts.loss_difference(table("documents"), good)
 
 
 @query("op3_lm_scoring_all_words", OP3_SQL.replace(f" ORDER BY n DESC, word LIMIT {lm_score.VOCABULARY}", ""))
 def op3_lm_scoring_all_words(spark, table):
-    """The same without a bound on the vocabulary."""
+    """Bigrams mixed with single words in place of an amount added to all counts, joined row by row."""
     good = table("labels").filter("quality = 1 AND toxic = 0")
     return lm_score.cross_entropy_difference(table("documents"), good, None)
 
