@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from pinwatch.catalog.exposure import _NEW_PINS, osv
+from pinwatch.catalog.exposure import _NEW_PINS, _as_text, osv
 from pinwatch.catalog.feeds import as_of
 from pinwatch.catalog.registry import CHECKS, query
 from pinwatch.catalog.views import Tables
@@ -12,11 +12,15 @@ from pinwatch.operators.graph import ORDER, PIN
 from pinwatch.operators.vulnerabilities import cvss_enrich
 from pinwatch.plans.timeline import pick
 from pinwatch.session import scratch_path
-from pinwatch.sinks.topics import stream_topic_files
+from pinwatch.sinks import delivery
+from pinwatch.sinks.topics import keyed_snapshots, latest_messages, stream_topic_files
 from pinwatch.sources import changes, topics
 from pinwatch.streaming import flows
 
 
+MESSAGE = "topic STRING, key STRING, value STRING"
+
+
 def as_stream(t: Tables, rows: DataFrame, label: str) -> DataFrame:
     path = scratch_path(t.spark, label)
     rows.write.parquet(path)
@@ -37,13 +41,25 @@ def drained(t: Tables, stream: DataFrame, label: str) -> DataFrame:
     return t.spark.read.schema(stream.schema).parquet(path)
 
 
-@query("src_kafka", """SELECT 'vulns.' || source || '.raw' AS topic, count(*) AS records FROM vuln_events GROUP BY 1""")
-def src_kafka(t: Tables) -> DataFrame:
-    """Topic-shaped records from files; live topics have the same columns."""
-    records = t.vulns.drop("affected_list").select(
+def _vulnerability_topics(t: Tables) -> DataFrame:
+    return t.vulns.drop("affected_list").select(
         F.col("cve_id").alias("key"), F.to_json(F.struct("*")).alias("value"),
         F.concat(F.lit("vulns."), F.col("source"), F.lit(".raw")).alias("topic"), F.col("ingested_at").alias("timestamp"),
     )
+
+
+def _change_topic(t: Tables) -> DataFrame:
+    return t.dep_events.select(
+        F.col("service_id").alias("key"), F.to_json(F.struct("*")).alias("value"),
+        F.lit("deps.changes").alias("topic"), F.col("occurred_at").alias("timestamp"),
+    )
+
+
+@query("src_kafka", """SELECT 'vulns.' || source || '.raw' AS topic, count(*) AS records FROM vuln_events GROUP BY 1
+ UNION ALL SELECT 'deps.changes', count(*) FROM dep_events HAVING count(*) > 0""")
+def src_kafka(t: Tables) -> DataFrame:
+    """Topic-shaped records of all three topics from files; live topics have the same columns."""
+    records = _vulnerability_topics(t).unionByName(_change_topic(t))
     path = scratch_path(t.spark, "topics-in")
     records.write.parquet(path)
     stream = topics.read_topic_files(t.spark, path)
@@ -83,7 +99,7 @@ _FIRST = """SELECT cve_id, service_id, ecosystem, package, version, detected_at,
 def stream_symmetric_join(t: Tables) -> DataFrame:
     known = cvss_enrich(as_stream(t, osv(t).drop("affected_list"), "osv"), t.vulns.filter("source = 'nvd'"))
     joined = flows.stream_symmetric_join(as_stream(t, t.ops, "ops"), known, pin_shares=4)
-    return drained(t, joined, "matches").drop("is_new_dependency")
+    return drained(t, joined, "matches").drop("is_new_dependency", "since")
 
 
 @query("stream_static_enrich", "SELECT m.match_id, meta.team, meta.is_customer_facing FROM vulnerability_matches m JOIN meta ON m.service_id = meta.service_id")
@@ -103,19 +119,54 @@ def stream_route(t: Tables) -> DataFrame:
  SELECT 'deps.risk.prs', t.service_id FROM tiered t SEMI JOIN ({_NEW_PINS}) n USING (service_id, ecosystem, package, version, from_event))
  SELECT topic, count(*) AS messages, count(DISTINCT service_id) AS keys FROM routed GROUP BY 1""")
 def stream_exposure(t: Tables) -> DataFrame:
-    """From topic text to topic text, all steps in one streaming query."""
-    records = osv(t).drop("affected_list").select(
-        F.col("cve_id").alias("key"), F.to_json(F.struct("*")).alias("value"),
-        F.lit("vulns.osv.raw").alias("topic"), F.col("ingested_at").alias("timestamp"),
-    )
-    change_text = t.dep_events.select(
-        F.col("service_id").alias("key"), F.to_json(F.struct("*")).alias("value"),
-        F.lit("deps.changes").alias("topic"), F.col("occurred_at").alias("timestamp"),
-    )
-    advisories = topics.vulnerability_events(as_stream(t, records, "osv-topic"), as_of())
+    """From topic text to topic text, all steps in one streaming query; of the messages on a match the last
+    one counts."""
+    path = scratch_path(t.spark, "out")
+    flows.start(_exposure(t), lambda df: stream_topic_files(df, path, scratch_path(t.spark, "out-checkpoint")).trigger(availableNow=True)).awaitTermination()
+    written = latest_messages(t.spark.read.parquet(path))
+    return written.groupBy("topic").agg(F.count("*").alias("messages"), F.count_distinct("key").alias("keys"))
+
+
+def _exposure(t: Tables) -> DataFrame:
+    records, change_text = _vulnerability_topics(t), _change_topic(t)
+    advisories = topics.vulnerability_events(as_stream(t, records.filter("topic = 'vulns.osv.raw'"), "osv-topic"), as_of())
+    scores = topics.vulnerability_events(as_stream(t, records.filter("topic = 'vulns.nvd.raw'"), "nvd-topic"), as_of())
     ops = changes.explode_changes(topics.change_events(as_stream(t, change_text, "deps-topic")))
-    stream = flows.stream_exposure(ops, advisories, t.vulns.filter("source = 'nvd'"), t.registry, pin_shares=4)
-    path, marks = scratch_path(t.spark, "out"), scratch_path(t.spark, "out-checkpoint")
-    flows.start(stream, lambda df: stream_topic_files(df, path, marks).trigger(availableNow=True)).awaitTermination()
-    written = t.spark.read.parquet(path)
+    return flows.stream_exposure(ops, advisories, scores, t.registry, pin_shares=4)
+
+
+@query("stream_delivery", CHECKS["stream_exposure"])
+def stream_delivery(t: Tables) -> DataFrame:
+    """The same messages through a sink whose batches may run twice, as the last one does here."""
+    path, marks, again = scratch_path(t.spark, "delivery"), scratch_path(t.spark, "delivery-checkpoint"), []
+    write = delivery.deliver_batches(path, {"messages": lambda rows: rows})
+
+    def twice(rows: DataFrame, batch: int) -> None:
+        write(rows, batch)
+        write(rows, batch)
+        again.append(batch)
+
+    flows.start(
+        _exposure(t), lambda df: df.writeStream.option("checkpointLocation", marks).trigger(availableNow=True).foreachBatch(twice)
+    ).awaitTermination()
+    delivery.merge_batches(t.spark, path, "messages", MESSAGE)
+    written = latest_messages(delivery.delivered(t.spark, path, "messages", MESSAGE))
     return written.groupBy("topic").agg(F.count("*").alias("messages"), F.count_distinct("key").alias("keys"))
+
+
+@query("stream_snapshots", CHECKS["dep_snapshot_history"])
+def stream_snapshots(t: Tables) -> DataFrame:
+    """A snapshot after every change event, published from the stream, read back from the messages."""
+    events = topics.change_events(as_stream(t, _change_topic(t), "deps-topic"))
+    messages = drained(t, keyed_snapshots(flows.stream_snapshots(events)), "snapshots")
+    body = "service_id STRING, ecosystem STRING, trigger_event_id STRING, snapshot_at TIMESTAMP, dependencies MAP<STRING, STRING>"
+    return _as_text(messages.select(F.from_json("value", body).alias("s")).select("s.*"))
+
+
+@query("stream_expiry", """SELECT cve_id, service_id, ecosystem, package, version, detected_at FROM timed_hits h
+ WHERE valid_from < ingested_at + INTERVAL 720 HOUR""")
+def stream_expiry(t: Tables) -> DataFrame:
+    """Vulnerabilities that meet pins for thirty days."""
+    advisories = as_stream(t, osv(t).drop("affected_list"), "osv")
+    joined = flows.stream_symmetric_join(as_stream(t, t.ops, "ops"), advisories, pin_shares=4, hours=720)
+    return drained(t, joined, "matches").select("cve_id", "service_id", "ecosystem", "package", "version", "detected_at")

@@ -129,3 +129,8 @@ def lenient_timestamp(text: Column, *layouts: str) -> Column:
 def match_id(*parts: Column) -> Column:
     """A repeatable id, so that a replay writes the same keys."""
     return F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256)
+
+
+def exposure_id() -> Column:
+    """The id of a match, whatever the spelling of its package."""
+    return match_id(*[F.col(c) for c in ("cve_id", "service_id", "ecosystem")], F.lower("package"), F.col("version"), F.col("detected_at"))

@@ -167,10 +167,15 @@ def match_pins(
     return spread_join(keyed, hits, VERSION, shares_by_rows(sized, VERSION, limit)).drop("package_key")
 
 
-def match_both_orders(intervals: DataFrame, cves: DataFrame, versions_from: DataFrame | None = None) -> DataFrame:
+def match_both_orders(
+    intervals: DataFrame, cves: DataFrame, versions_from: DataFrame | None = None, hours: int | None = None
+) -> DataFrame:
     """Matches whichever side came first: detected when the later of the two is there, provided the
-    pin was still valid when the vulnerability became known."""
+    pin was still valid when the vulnerability became known. With ``hours`` a vulnerability meets only
+    pins that arise less than so long after it became known."""
     joined = match_pins(intervals, cves, versions_from=versions_from)
+    if hours is not None:
+        joined = joined.filter(F.col("valid_from") < F.col("ingested_at") + F.make_dt_interval(hours=F.lit(hours)))
     overlapping = joined.filter("valid_to IS NULL OR ingested_at < valid_to")
     return overlapping.withColumn("detected_at", F.greatest("ingested_at", "valid_from"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from pinwatch.functions.scalars import match_id
+from pinwatch.functions.scalars import exposure_id
 from pinwatch.operators.graph import PIN, crowded_pins, new_dependencies, validity_intervals
 from pinwatch.operators.match import match_both_orders, merge_spellings, several_spellings
 from pinwatch.operators.scoring import registry_enrich, route, score
@@ -38,8 +38,7 @@ def exposure(
     matches = match_both_orders(intervals, cves, versions_from=ops)
     matches = score(merge_spellings(matches, several_spellings(ops)))
     return matches.select(
-        match_id(*[F.col(c) for c in ("cve_id", "service_id", "ecosystem", "package", "version", "detected_at")])
-        .alias("match_id"),
+        exposure_id().alias("match_id"),
         "cve_id",
         "service_id",
         "team",

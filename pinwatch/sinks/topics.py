@@ -25,6 +25,15 @@ def keyed_snapshots(snapshots: DataFrame) -> DataFrame:
     return keyed(snapshots, "service_id", F.lit(K.SNAPSHOT_TOPIC))
 
 
+def latest_messages(messages: DataFrame) -> DataFrame:
+    """The last word on each match: of the messages with one ``match_id`` those of the highest revision, in the
+    topics that these went to."""
+    named = messages.withColumn("_said", F.from_json("value", "match_id STRING, revision INT"))
+    named = named.select(*messages.columns, F.col("_said.match_id").alias("_match"), F.coalesce("_said.revision", F.lit(0)).alias("_revision"))
+    last = named.groupBy("_match").agg(F.max("_revision").alias("_revision"))
+    return named.join(last, ["_match", "_revision"], "left_semi").select(*messages.columns).distinct()
+
+
 def write_topic_files(messages: DataFrame, path: str) -> None:
     """One directory per topic; the topic column partitions, so no topic is filtered separately."""
     messages.write.mode("append").partitionBy("topic").parquet(path)

@@ -159,11 +159,11 @@ def union_dep_sources(*events: DataFrame) -> DataFrame:
     return first
 
 
-def explode_changes(events: DataFrame) -> DataFrame:
-    """Change events -> one row per operation.
+def listed_changes(events: DataFrame) -> DataFrame:
+    """Change events with their operations as one array, ``changes``.
 
     Inside an event removals apply first, then additions, then updates (``op_rank`` 0, 1, 2), each
-    in array order (``pos``). Rows without a package, or without a version where one is needed,
+    in array order (``pos``). Entries without a package, or without a version where one is needed,
     change nothing and are left out.
     """
 
@@ -184,14 +184,16 @@ def explode_changes(events: DataFrame) -> DataFrame:
         ops("added", schemas.PINS, 1, "added", "version"),
         ops("updated", schemas.UPDATES, 2, "updated", "to_version"),
     )
-    return (
-        events.select(
-            F.coalesce("service_id", F.lit("unknown")).alias("service_id"),
-            F.coalesce("ecosystem", F.lit("")).alias("ecosystem"),
-            "event_id",
-            "occurred_at",
-            F.explode(changes).alias("c"),
-        )
-        .select("service_id", "ecosystem", "event_id", "occurred_at", "c.*")
-        .filter("package <> '' AND (op = 'removed' OR version <> '')")
+    return events.select(
+        F.coalesce("service_id", F.lit("unknown")).alias("service_id"),
+        F.coalesce("ecosystem", F.lit("")).alias("ecosystem"),
+        "event_id",
+        "occurred_at",
+        F.filter(changes, lambda c: (c["package"] != "") & ((c["op"] == "removed") | (c["version"] != ""))).alias("changes"),
     )
+
+
+def explode_changes(events: DataFrame) -> DataFrame:
+    """Change events -> one row per operation."""
+    rows = listed_changes(events).select("service_id", "ecosystem", "event_id", "occurred_at", F.explode("changes").alias("c"))
+    return rows.select("service_id", "ecosystem", "event_id", "occurred_at", "c.*")

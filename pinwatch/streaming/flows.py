@@ -11,15 +11,24 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from pinwatch import constants as K
-from pinwatch.functions.scalars import match_id
+from pinwatch.functions.scalars import exposure_id, severity_from_cvss
 from pinwatch.functions.versions import in_range, located, specifier
 from pinwatch.operators.graph import ORDER, PIN
 from pinwatch.operators.match import CVE_COLUMNS, package_key
 from pinwatch.operators.scoring import registry_enrich, route, score
-from pinwatch.operators.vulnerabilities import RECORD_KEY, cvss_enrich
+from pinwatch.operators.vulnerabilities import RECORD_KEY
 from pinwatch.sinks.topics import keyed_matches
+from pinwatch.sources.changes import listed_changes
 from pinwatch.streaming import processors
-from pinwatch.streaming.processors import CANDIDATE, FirstPerWindow, PinsMeetVulnerabilities
+from pinwatch.streaming.processors import (
+    CANDIDATE,
+    SCORED,
+    SNAPSHOT,
+    FirstPerWindow,
+    MatchesMeetScores,
+    PinsMeetVulnerabilities,
+    SnapshotPerEvent,
+)
 
 # The process that sets up a stateful step is not given the files of the application, so the
 # processors travel whole.
@@ -54,11 +63,6 @@ def stream_dedup(events: DataFrame, hours: int = K.DEDUP_HOURS, expire: bool = F
     )
 
 
-def stream_dedup_watermark(events: DataFrame, hours: int = K.DEDUP_HOURS) -> DataFrame:
-    """The built-in approximation: copies within the watermark delay of the first one are dropped."""
-    return events.withWatermark("ingested_at", f"{hours} hours").dropDuplicatesWithinWatermark(RECORD_KEY)
-
-
 def stream_dep_graph(ops: DataFrame) -> DataFrame:
     """Live dependency state as a streaming aggregation (update mode): the newest operation per pin.
     The order columns are part of the state, so an operation that arrives late changes nothing."""
@@ -75,8 +79,21 @@ def stream_route(matches: DataFrame) -> DataFrame:
     return route(matches)
 
 
+def stream_snapshots(events: DataFrame) -> DataFrame:
+    """The full state of a service after each of its change events, one row per ecosystem: the stream of
+    what :func:`pinwatch.operators.graph.snapshot_history` makes of all events."""
+    rows = listed_changes(events).withColumn("at", F.unix_micros("occurred_at"))
+    found = rows.groupBy("service_id").transformWithState(
+        SnapshotPerEvent(), outputStructType=SNAPSHOT, outputMode="Append", timeMode="None"
+    )
+    return found.select(
+        "service_id", "trigger_event_id", F.timestamp_micros("snapshot_at").alias("snapshot_at"), "ecosystem", "dependencies"
+    )
+
+
 def stream_symmetric_join(
-    ops: DataFrame, cves: DataFrame, pin_shares: int = 16, cve_shares: int = 1, held_pins: int = 20_000
+    ops: DataFrame, cves: DataFrame, pin_shares: int = 16, cve_shares: int = 1, held_pins: int = 20_000,
+    hours: int | None = None, delay: str = "1 hour",
 ) -> DataFrame:
     """Matches whichever side arrives second, with state on both sides.
 
@@ -84,6 +101,10 @@ def stream_symmetric_join(
     each vulnerability to one column, so every pair meets exactly once, and a package that very many
     services use (or that very many vulnerabilities name) is spread over the grid. Vulnerabilities
     are few beside pins, hence one column by default.
+
+    With ``hours`` a vulnerability meets only pins that arise less than so long after it became known, and
+    its state goes when the watermark has passed that; rows later than ``delay`` behind it are then left
+    out. The batch twin is ``match_both_orders`` with the same ``hours``.
     """
     none = F.lit(None)
     columns = "package_key pin_share cve_share is_cve at event_id op_rank pos service_id package version position".split()
@@ -136,8 +157,11 @@ def stream_symmetric_join(
         F.to_json(F.struct(*CVE_COLUMNS, "affected_version_range", "affected_versions")).alias("payload"),
     )
     both = pins.select(*columns, *cve_columns).unionByName(news.select(*columns, *cve_columns))
+    if hours is not None:
+        both = both.withColumn("event_time", F.timestamp_micros("at")).withWatermark("event_time", delay)
     candidates = both.groupBy("package_key", "pin_share", "cve_share").transformWithState(
-        PinsMeetVulnerabilities(held_pins), outputStructType=CANDIDATE, outputMode="Append", timeMode="None"
+        PinsMeetVulnerabilities(held_pins, hours), outputStructType=CANDIDATE, outputMode="Append",
+        timeMode="None" if hours is None else "EventTime",
     )
     # The state compares bounds; clauses beyond bounds are settled here, on what is left.
     body = F.from_json(
@@ -154,6 +178,7 @@ def stream_symmetric_join(
     return parsed.filter(exact).select(
         "cve_id", "service_id", "ecosystem", "package", "version",
         F.timestamp_micros("detected_at").alias("detected_at"),
+        "since",
         "is_new_dependency",
         F.col("c.affected_package").alias("matched_package"),
         F.col("c.cvss_score").alias("cvss_score"),
@@ -161,16 +186,47 @@ def stream_symmetric_join(
     )
 
 
+def stream_scores(matches: DataFrame, scores: DataFrame, shares: int = 4) -> DataFrame:
+    """Matches with the newest score of their vulnerability, whichever arrives first. A score that changes
+    sends the matches of its vulnerability again; of messages with one ``match_id`` the one with the
+    highest ``revision`` counts. A score of 0 says nothing.
+
+    Matches of a vulnerability are dealt by service to ``shares`` keys, each of which gets all its scores.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    parts = ["service_id", "ecosystem", "package", "version"]
+    found = matches.select(
+        "cve_id", F.pmod(F.xxhash64("service_id"), F.lit(shares)).cast("int").alias("share"), F.lit(False).alias("is_score"),
+        none("bigint").alias("at"), none("string").alias("event_id"), none("double").alias("score"), *parts, package_key().alias("package_key"),
+        F.unix_micros("detected_at").alias("detected_at"), "since", "is_new_dependency", "matched_package",
+        F.col("cvss_score").alias("own_score"), F.col("severity_tier").alias("own_tier"),
+    )
+    said = scores.filter("cvss_score > 0").select(
+        "cve_id", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), F.lit(True).alias("is_score"),
+        F.unix_micros("ingested_at").alias("at"), "event_id", F.col("cvss_score").alias("score"),
+        *[none("string").alias(c) for c in (*parts, "package_key")], none("bigint").alias("detected_at"), none("bigint").alias("since"),
+        none("boolean").alias("is_new_dependency"), none("string").alias("matched_package"), none("double").alias("own_score"), none("string").alias("own_tier"),
+    )
+    scored = found.unionByName(said).groupBy("cve_id", "share").transformWithState(
+        MatchesMeetScores(), outputStructType=SCORED, outputMode="Append", timeMode="None"
+    )
+    tier = F.when(F.col("score").isNotNull(), severity_from_cvss(F.col("score"))).otherwise(F.col("own_tier"))
+    return scored.select(
+        "cve_id", *parts, F.timestamp_micros("detected_at").alias("detected_at"), "is_new_dependency", "matched_package",
+        F.coalesce("score", "own_score", F.lit(0.0)).alias("cvss_score"), tier.alias("severity_tier"), "revision",
+    )
+
+
 def stream_exposure(
     ops: DataFrame, advisories: DataFrame, scores: DataFrame, registry: DataFrame, pin_shares: int = 16
 ) -> DataFrame:
-    """Operations and advisories in, keyed messages with their topic out: de-duplicate, add scores,
-    match, enrich, score, route. ``scores`` and ``registry`` are stored tables."""
-    known = cvss_enrich(stream_dedup(advisories), scores)
-    matches = registry_enrich(stream_symmetric_join(ops, known, pin_shares), registry)
-    scored = score(matches).withColumn(
-        "match_id", match_id(*[F.col(c) for c in ("cve_id", "service_id", "ecosystem", "package", "version", "detected_at")])
-    )
+    """Operations, advisories and scores in, keyed messages with their topic out: de-duplicate, match, take
+    scores, enrich, score, route. ``registry`` is a stored table, the others are streams.
+
+    A message is final once nothing newer comes; :func:`pinwatch.sinks.topics.latest_messages` reads the last of each match.
+    """
+    matches = stream_scores(stream_symmetric_join(ops, stream_dedup(advisories), pin_shares), scores)
+    scored = score(registry_enrich(matches, registry)).withColumn("match_id", exposure_id())
     return keyed_matches(stream_route(scored))
 
 
