@@ -9,6 +9,7 @@ from pinwatch.catalog.registry import query
 from pinwatch.catalog.views import AS_OF, Tables
 from pinwatch.operators import lookups, posture, search
 from pinwatch.session import scratch_path
+from pinwatch.sinks.layout import append_clustered, merge_files, only, read_clustered
 from pinwatch.sinks.tables import append_table
 from pinwatch.sources.tables import read_table
 
@@ -168,6 +169,34 @@ def get_vulnerability_exposure(t: Tables) -> DataFrame:
     return lookups.vulnerability_exposure(t.matches, t.view("triage_reports"), AS_OF)
 
 
+_FIRST_SERVICE = "(SELECT min(service_id) FROM vulnerability_matches)"
+_FIRST_CVE = "(SELECT min(cve_id) FROM vulnerability_matches)"
+
+
+@query("lookup_by_service", f"""SELECT match_id, cve_id, service_id, blast_radius, status, sla_deadline, assigned_to,
+ match_id IN (SELECT match_id FROM triage_reports) AS triaged FROM open_matches WHERE service_id = {_FIRST_SERVICE}""")
+def lookup_by_service(t: Tables) -> DataFrame:
+    """One service, from tables laid out by service and by finding."""
+    path = scratch_path(t.spark, "lookup")
+    append_clustered(t.matches, "vulnerability_matches", f"{path}/matches")
+    append_clustered(t.view("triage_reports"), "triage_reports", f"{path}/reports")
+    matches = read_clustered(t.spark, "vulnerability_matches", f"{path}/matches")
+    service = t.matches.agg(F.min("service_id")).first()[0]
+    return lookups.vulnerability_exposure(matches, read_clustered(t.spark, "triage_reports", f"{path}/reports"), AS_OF, service)
+
+
+@query("lookup_by_vulnerability", f"""SELECT cve_id, match_id, service_id, blast_radius, status FROM vulnerability_matches WHERE cve_id = {_FIRST_CVE}""")
+def lookup_by_vulnerability(t: Tables) -> DataFrame:
+    """One vulnerability, from the same table laid out by vulnerability, its files merged."""
+    path, merged = scratch_path(t.spark, "lookup"), scratch_path(t.spark, "lookup-merged")
+    for part in range(3):
+        append_clustered(t.matches.filter(F.pmod(F.xxhash64("match_id"), F.lit(3)) == part), "vulnerability_matches", path)
+    merge_files(t.spark, "vulnerability_matches", path, merged)
+    cve = t.matches.agg(F.min("cve_id")).first()[0]
+    rows = only(read_clustered(t.spark, "vulnerability_matches", merged, "cve_id"), "cve_id", cve)
+    return rows.select("cve_id", "match_id", "service_id", "blast_radius", "status")
+
+
 @query("get_cve_details", """SELECT c.cve_id, m.match_id, m.service_id, c.cvss_score, c.severity_tier, m.blast_radius, r.exploitability,
  r.confidence_score FROM cves c JOIN vulnerability_matches m ON c.cve_id = m.cve_id LEFT JOIN triage_reports r ON m.match_id = r.match_id""")
 def get_cve_details(t: Tables) -> DataFrame:

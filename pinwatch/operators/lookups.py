@@ -11,16 +11,17 @@ from pinwatch.operators.posture import is_open
 from pinwatch.operators.graph import new_dependencies, validity_intervals
 from pinwatch.operators.scoring import registry_enrich
 from pinwatch.plans.timeline import with_neighbours
-
-
-def _only(df: DataFrame, column: str, value) -> DataFrame:
-    return df if value is None else df.filter(F.col(column) == value)
+from pinwatch.sinks.layout import only
 
 
 def vulnerability_exposure(matches: DataFrame, reports: DataFrame, as_of, service_id: str | None = None) -> DataFrame:
     """Open findings with deadline, status, assignee and whether a triage report exists."""
-    rows = _only(matches, "service_id", service_id).filter(is_open(as_of))
-    triaged = reports.select("match_id").distinct().withColumn("triaged", F.lit(True))
+    rows = only(matches, "service_id", service_id).filter(is_open(as_of))
+    named = reports.select("match_id")
+    if service_id is not None:
+        # A service has few findings; only reports on these are told apart.
+        named = named.join(rows.select("match_id"), "match_id", "left_semi")
+    triaged = named.distinct().withColumn("triaged", F.lit(True))
     return rows.join(triaged, "match_id", "left").select(
         "match_id", "cve_id", "service_id", "blast_radius", "status", "sla_deadline", "assigned_to",
         F.coalesce("triaged", F.lit(False)).alias("triaged"),
@@ -29,7 +30,7 @@ def vulnerability_exposure(matches: DataFrame, reports: DataFrame, as_of, servic
 
 def cve_details(vulnerabilities: DataFrame, matches: DataFrame, reports: DataFrame, cve_id: str | None = None) -> DataFrame:
     """Vulnerability with its matches and their triage reports."""
-    rows = _only(vulnerabilities, "cve_id", cve_id).join(_only(matches, "cve_id", cve_id), "cve_id")
+    rows = only(vulnerabilities, "cve_id", cve_id).join(only(matches, "cve_id", cve_id), "cve_id")
     return rows.join(reports, "match_id", "left").select(
         "cve_id", "match_id", "service_id", "cvss_score", "severity_tier", "blast_radius",
         "exploitability", "confidence_score",
@@ -71,7 +72,7 @@ def remediation_path(requests: DataFrame, cves: DataFrame) -> DataFrame:
 
 
 def affected_services(matches: DataFrame, as_of, cve_id: str | None = None) -> DataFrame:
-    rows = _only(matches, "cve_id", cve_id).filter(is_open(as_of))
+    rows = only(matches, "cve_id", cve_id).filter(is_open(as_of))
     overdue = F.col("sla_deadline") < F.lit(as_of).cast("timestamp")
     return rows.select("cve_id", "service_id", "blast_radius", "blast_radius_score", "sla_deadline",
                        F.when(overdue, "breached").otherwise("within").alias("sla_state"))
@@ -79,7 +80,7 @@ def affected_services(matches: DataFrame, as_of, cve_id: str | None = None) -> D
 
 def team_sla_queue(matches: DataFrame, registry: DataFrame, as_of, team: str | None = None) -> DataFrame:
     """Open findings, most urgent first."""
-    rows = _only(registry_enrich(matches.filter(is_open(as_of)), registry), "team", team)
+    rows = only(registry_enrich(matches.filter(is_open(as_of)), registry), "team", team)
     return rows.select("team", "match_id", "cve_id", "service_id", "blast_radius", "sla_deadline").orderBy(
         "sla_deadline", "match_id"
     )
@@ -151,4 +152,4 @@ def classify_weakness(cves: DataFrame, category: str | None = None) -> DataFrame
     label = F.lit(None).cast("string")
     for cwe, name in K.WEAKNESS_CATEGORIES:
         label = F.when(F.col("cwe_id") == cwe, name).otherwise(label)
-    return _only(cves.withColumn("category", label).filter("category IS NOT NULL"), "category", category)
+    return only(cves.withColumn("category", label).filter("category IS NOT NULL"), "category", category)

@@ -2,6 +2,10 @@
 
 A requirement is exact or a range. Exact ones are pins and have a ``version``; all others have their
 text in ``version_range`` and no version, since which version they resolve to is not in the manifest.
+What a package leaves to others to install (``peerDependencies``) is a range, exact or not. A name without any
+requirement asks for no version and gives no row.
+
+A manifest that can't be read gives no rows and ends no job: ``broken_manifests`` lists it with the reason.
 """
 
 from __future__ import annotations
@@ -18,6 +22,13 @@ CARGO_LINE = r'^\s*"?([\w\-]+)"?\s*=\s*(?:\{[^}]*?\bversion\s*=\s*)?"([^"]+)"'
 GO_OTHER = r"(?m)^\s*(?:exclude|replace|retract)\s*(?:\((?s:.*?)\)|[^\n]*)"
 CARGO_TABLE = r"(?:^|\.)(?:dev-|build-)?dependencies$"
 CARGO_SINGLE = r"(?:^|\.)(?:dev-|build-)?dependencies\.\"?([\w\-]+)\"?$"
+# Parts of a package.json that name dependencies.
+JSON_PINS, JSON_PEERS = ("dependencies", "devDependencies", "optionalDependencies"), "peerDependencies"
+# Fixed patterns and values: parts of a pom.xml that are no dependencies of its own, a dependency, and
+# characters written as entities.
+XML_ASIDE = r"(?s)<!--.*?-->|<exclusions>.*?</exclusions>"
+XML_DEPENDENCY = r"(?s)<dependency>(.*?)</dependency>"
+XML_CHARACTERS = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&"}
 # Fixed patterns: exact requirements; the group is the version.
 EXACT = {
     "requirements.txt": r"^===?\s*([^\s,*]+)$",
@@ -29,8 +40,8 @@ EXACT = {
 }
 
 
-def _found(package: Column, requirement: Column) -> Column:
-    return F.struct(package.alias("package"), F.trim(requirement).alias("requirement"))
+def _found(package: Column, requirement: Column, peer: bool = False) -> Column:
+    return F.struct(package.alias("package"), F.trim(requirement).alias("requirement"), F.lit(peer).alias("peer"))
 
 
 def _by_line(content: Column, pattern: str) -> Column:
@@ -49,18 +60,48 @@ def _cargo(content: Column) -> Column:
 
 
 def _json(content: Column) -> Column:
-    parsed = F.from_json(content, "dependencies MAP<STRING, STRING>, devDependencies MAP<STRING, STRING>")
+    parsed = F.from_json(content, ", ".join(f"{part} MAP<STRING, STRING>" for part in (*JSON_PINS, JSON_PEERS)))
     empty = F.create_map().cast("map<string,string>")
-    entries = F.concat(*[F.map_entries(F.coalesce(parsed[part], empty)) for part in ("dependencies", "devDependencies")])
-    return F.transform(entries, lambda e: _found(e["key"], e["value"]))
+    entries = lambda part: F.map_entries(F.coalesce(parsed[part], empty))
+    pins = F.transform(F.concat(*[entries(part) for part in JSON_PINS]), lambda e: _found(e["key"], e["value"]))
+    return F.concat(pins, F.transform(entries(JSON_PEERS), lambda e: _found(e["key"], e["value"], peer=True)))
 
 
 def _xml(content: Column) -> Column:
-    def texts(tag: str) -> Column:
-        return F.xpath(content, F.lit(f"//dependency[groupId and artifactId and version]/{tag}/text()"))
+    """The dependencies of a project file, taken as text: a file that is no XML has parts that look like
+    dependencies, or none, and neither ends the job."""
+    plain = F.regexp_replace(content, XML_ASIDE, "")
+
+    def text(block: Column, tag: str) -> Column:
+        found = F.trim(F.regexp_extract(block, rf"(?s)<{tag}>([^<]*)</{tag}>", 1))
+        for name, character in XML_CHARACTERS.items():
+            found = F.replace(found, F.lit(f"&{name};"), F.lit(character))
+        return found
+
+    def dependency(block: Column) -> Column:
+        group, artifact = text(block, "groupId"), text(block, "artifactId")
+        return _found(F.when((group != "") & (artifact != ""), F.concat_ws(":", group, artifact)).otherwise(""), text(block, "version"))
+
+    return F.transform(F.regexp_extract_all(plain, F.lit(XML_DEPENDENCY), F.lit(1)), dependency)
+
+
+def _unreadable(file: Column, content: Column) -> Column:
+    """Why a manifest can't be read; null where it can."""
+    xml = F.from_xml(content, "_bad STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    json = F.from_json(content, "_bad STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    broken = lambda parsed: parsed.isNull() | parsed["_bad"].isNotNull()
+    return (
+        F.when(~file.isin(*EXACT), "unknown kind")
+        .when(content.isNull(), "no content")
+        .when((file == "pom.xml") & broken(xml), "not xml")
+        .when((file == "package.json") & broken(json), "not json")
+    )
+
 
-    zipped = F.arrays_zip(texts("groupId").alias("g"), texts("artifactId").alias("a"), texts("version").alias("v"))
-    return F.transform(zipped, lambda d: _found(F.concat_ws(":", d["g"], d["a"]), d["v"]))
+def broken_manifests(manifests: DataFrame) -> DataFrame:
+    """The manifests that give no rows because they can't be read, with the reason."""
+    found = manifests.withColumn("reason", _unreadable(F.col("manifest_file"), F.col("content")))
+    return found.filter("reason IS NOT NULL").select("service_id", "ecosystem", "manifest_file", "reason")
 
 
 def requirements(manifests: DataFrame) -> DataFrame:
@@ -79,8 +120,9 @@ def requirements(manifests: DataFrame) -> DataFrame:
     for name, reader in readers.items():
         found = F.when(file == name, reader).otherwise(found)
         exact = F.when(file == name, F.regexp_extract("p.requirement", EXACT[name], 1)).otherwise(exact)
+    found = F.when(_unreadable(file, content).isNull(), found)
     rows = manifests.select("service_id", "ecosystem", "manifest_file", F.explode(found).alias("p"))
-    rows = rows.filter("p.package <> '' AND p.requirement <> ''").withColumn("exact", F.nullif(exact, F.lit("")))
+    rows = rows.filter("p.package <> '' AND p.requirement <> ''").withColumn("exact", F.when(~F.col("p.peer"), F.nullif(exact, F.lit(""))))
     return rows.select(
         "service_id", "ecosystem", "manifest_file", "p.package", F.col("exact").alias("version"),
         F.when(F.col("exact").isNull(), F.col("p.requirement")).alias("version_range"),

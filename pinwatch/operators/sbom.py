@@ -14,11 +14,19 @@ def package_url() -> Column:
         kind = F.when(F.col("ecosystem") == ecosystem, F.lit(name)).otherwise(kind)
     path = (
         F.when(F.col("ecosystem") == "maven", F.replace("package", F.lit(":"), F.lit("/")))
-        .when(F.col("ecosystem") == "npm", F.regexp_replace("package", "^@", "%40"))
+        .when(F.col("ecosystem") == "go", F.lower("package"))
         .when(F.col("ecosystem") == "pypi", F.replace(F.lower("package"), F.lit("_"), F.lit("-")))
         .otherwise(F.col("package"))
     )
-    return F.concat(F.lit("pkg:"), kind, F.lit("/"), path, F.lit("@"), F.col("version"))
+    return F.concat(F.lit("pkg:"), kind, F.lit("/"), F.replace(_escaped(path), F.lit("%2F"), F.lit("/")), F.lit("@"), _escaped(F.col("version")))
+
+
+def _escaped(text: Column) -> Column:
+    """Percent-encoded as package URLs are, which leave letters, digits and ``.-_~:`` as they are."""
+    found = F.url_encode(text)
+    for theirs, ours in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%3A", ":")):
+        found = F.replace(found, F.lit(theirs), F.lit(ours))
+    return found
 
 
 def _documents(pins: DataFrame, entry: Column) -> DataFrame:
@@ -69,6 +77,14 @@ def spdx(pins: DataFrame, generated_at: Column) -> DataFrame:
         F.concat(F.lit("urn:sbom:"), F.sha2(F.concat_ws("|", "service_id", generated_at.cast("string"), F.to_json("entries")), 256)).alias("documentNamespace"),
         F.struct(generated_at.alias("created"), F.array(F.lit("Tool: pinwatch")).alias("creators")).alias("creationInfo"),
         F.col("entries").alias("packages"),
+        F.transform(
+            "entries",
+            lambda e: F.struct(
+                F.lit("SPDXRef-DOCUMENT").alias("spdxElementId"),
+                F.lit("DESCRIBES").alias("relationshipType"),
+                e["SPDXID"].alias("relatedSpdxElement"),
+            ),
+        ).alias("relationships"),
     )
     return _documents(pins, package).select(
         "service_id", F.size("entries").alias("packages"), F.to_json(document).alias("document")

@@ -54,7 +54,7 @@ def audit_rows(matches: DataFrame, created_at: Column) -> DataFrame:
 
 
 def append_audit(rows: DataFrame, path: str) -> None:
-    """Append-only, one directory per day. Rows of a day are spread over the writing tasks as they
-    come, so a busy day is many files rather than one long task."""
-    entries = conform(rows, schemas.TABLES["audit_log"])
-    entries.withColumn("event_date", F.to_date("created_at")).write.mode("append").partitionBy("event_date").parquet(path)
+    """Append-only, one directory per day. Rows are gathered by day, in files of the size that adaptive execution
+    aims at: a busy day is split over tasks, and a quiet one is one small file."""
+    entries = conform(rows, schemas.TABLES["audit_log"]).withColumn("event_date", F.to_date("created_at"))
+    entries.hint("rebalance", "event_date").write.mode("append").partitionBy("event_date").parquet(path)

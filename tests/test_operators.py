@@ -494,3 +494,38 @@ def test_spellings_with_other_versions_or_times_keep_their_findings(spark):
                  ("again", cve, hours(5), None), ("chain", cve, hours(known), hours(9)), ("touch", cve, hours(known), hours(3)), ("touch", cve, hours(3), None)]
     assert got == sorted((*w, "5.1", True) for w in want)
     assert found.select("match_id").distinct().count() == len(want)
+
+
+def test_broken_manifests_are_listed_and_end_no_job(spark):
+    texts = [
+        ("pom.xml", "<project><dependencies><dependency><groupId>g</groupId>"), ("pom.xml", "no xml & at all"), ("pom.xml", ""),
+        ("pom.xml", "<project><!-- <dependency><groupId>no</groupId><artifactId>no</artifactId><version>1</version></dependency> --><dependency><groupId> g </groupId>"
+                    "<artifactId>a&amp;b</artifactId><exclusions><exclusion><groupId>x</groupId><artifactId>y</artifactId></exclusion></exclusions><version>1.0</version></dependency>"
+                    "<dependency><groupId>only</groupId><version>1</version></dependency><dependency><groupId>g</groupId><artifactId>open</artifactId></dependency></project>"),
+        ("package.json", "{"), ("package.json", '{"optionalDependencies":{"o":"1.0.0"},"peerDependencies":{"p":"2.0.0"},"dependencies":null}'),
+        ("requirements.txt", None), ("poetry.lock", "x"),
+    ]
+    frame = spark.createDataFrame([(f"s{i}", "e", *t) for i, t in enumerate(texts)], "service_id string, ecosystem string, manifest_file string, content string")
+    assert rows(manifests.broken_manifests(frame), "service_id", "reason") == [
+        ("s0", "not xml"), ("s1", "not xml"), ("s2", "not xml"), ("s4", "not json"), ("s6", "no content"), ("s7", "unknown kind")]
+    found = manifests.requirements(frame).fillna("-", ["version", "version_range"])
+    assert rows(found, "service_id", "package", "version", "version_range") == [("s3", "g:a&b", "1.0", "-"), ("s5", "o", "1.0.0", "-"), ("s5", "p", "-", "2.0.0")]
+
+
+def test_package_urls_are_escaped_and_documents_describe_all_packages(spark):
+    import json
+
+    o = ops(spark, [(0, "s", "@a/b", "added", "1.0+x y", "npm"), (0, "s", "github.com/X/Y", "added", "v1", "go"), (0, "s", "foo_bar", "added", "1!2.0", "pypi"),
+                    (0, "s", "x~y*z", "added", "1:2~3", "cargo")])
+    pins = graph.current_pins(o)
+    assert rows(pins.select(sbom.package_url().alias("purl")), "purl") == [
+        ("pkg:cargo/x~y%2Az@1:2~3",), ("pkg:golang/github.com/x/y@v1",), ("pkg:npm/%40a/b@1.0%2Bx%20y",), ("pkg:pypi/foo-bar@1%212.0",)]
+    document = json.loads(sbom.spdx(pins, F.lit("2024-01-01T00:00:00Z")).first().document)
+    assert {(r["spdxElementId"], r["relationshipType"], r["relatedSpdxElement"]) for r in document["relationships"]} == {
+        ("SPDXRef-DOCUMENT", "DESCRIBES", p["SPDXID"]) for p in document["packages"]}
+    for package in document["packages"]:
+        assert set(package) == {"SPDXID", "name", "versionInfo", "downloadLocation", "externalRefs"}
+        assert package["externalRefs"][0]["referenceType"] == "purl"
+    bom = json.loads(sbom.cyclonedx(pins, F.lit("2024-01-01T00:00:00Z")).first().document)
+    assert {(c["type"], c["name"], c["version"], c["purl"]) for c in bom["components"]} == {
+        ("library", r.package, r.version, r.purl) for r in pins.withColumn("purl", sbom.package_url()).collect()}
