@@ -23,14 +23,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from pinwatch.llm import blocks
 from pinwatch.llm.blocks import _U, signed
-from pinwatch.llm.bloom import build_bloom
+from pinwatch.llm.bloom import BlockedBloom, build_bloom
 from pinwatch.session import stored_table
 
 #: What is added to each count of either model.
 ADDED = 0.01
 #: Predictions packed at once by a task, and about as many to a segment. A context with more than a
 #: quarter of that is spread.
-CHUNK = SEGMENT = 1 << 21
+CHUNK, SEGMENT = 1 << 20, 3 << 19
 #: What stands before a text's first word, and what follows its last one.
 _BEGIN, _END = _U(0), _U(1)
 
@@ -91,24 +91,21 @@ def context_counts(texts: DataFrame, among: np.ndarray | None = None) -> DataFra
     return _tallied(texts, tally)
 
 
-def named_documents(docs: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``doc_id, is_target, text`` of ``doc_id, text`` in two parts, certainly no target and likely ones. Only the
-    texts that a Bloom filter takes for targets meet the list of ids."""
+def likely_targets(docs: DataFrame, targets: DataFrame) -> tuple[DataFrame, BlockedBloom]:
+    """``doc_id, is_target, text`` of those rows of ``doc_id, text, hash`` that a Bloom filter takes for targets, and the
+    filter. Only their texts meet the list of ids."""
     spark = docs.sparkSession
     wanted = stored_table(targets.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long")).distinct(), "target-ids")
-    bloom = spark.sparkContext.broadcast(build_bloom(wanted.select(F.xxhash64("doc_id").alias("hash"))))
+    bloom = build_bloom(wanted.select(F.xxhash64("doc_id").alias("hash")))
+    shared = spark.sparkContext.broadcast(bloom)
 
-    def part(likely: bool) -> DataFrame:
-        def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                held = bloom.value.may_hold(np.asarray(batch.column(2)))
-                yield batch.select(["doc_id", "text"]).filter(pa.array(held == likely, pa.bool_()))
-
-        return docs.select("doc_id", "text", F.xxhash64("doc_id").alias("hash")).mapInArrow(some, "doc_id long, text string")
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = shared.value.may_hold(np.asarray(batch.column(2)))
+            yield batch.select(["doc_id", "text"]).filter(pa.array(held, pa.bool_()))
 
-    named = part(True).join(wanted.withColumn("is_target", F.lit(True)), "doc_id", "left")
-    named = stored_table(named.select("doc_id", F.coalesce("is_target", F.lit(False)).alias("is_target"), "text"), "likely-targets")
-    return part(False).select("doc_id", F.lit(False).alias("is_target"), "text"), named
+    named = docs.mapInArrow(some, "doc_id long, text string").join(wanted.withColumn("is_target", F.lit(True)), "doc_id", "left")
+    return stored_table(named.select("doc_id", F.coalesce("is_target", F.lit(False)).alias("is_target"), "text"), "likely-targets"), bloom
 
 
 class Frequent:
@@ -142,14 +139,15 @@ def _narrow(values: np.ndarray) -> bytes:
     return (values & 0xFFFF).astype("<u2").tobytes() + (values >> 16).astype("<u2").tobytes()
 
 
-def _wide(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, dtype="<u2").astype(np.int64).reshape(2, -1)
-    return planes[0] | planes[1] << 16
+def _wide(data) -> np.ndarray:
+    planes = np.frombuffer(data, dtype="<u2").reshape(2, -1)
+    return planes[0] | planes[1].astype(np.uint32) << np.uint32(16)
 
 
-def packed(rows: DataFrame, frequent, segments: int) -> DataFrame:
+def packed(rows: DataFrame, frequent, segments: int, part: int, apart=None) -> DataFrame:
     """Predictions of ``doc_id, is_target, text`` in rows of arrays, one for each chunk and segment; and for each
-    chunk a row with the ids and word counts of its documents."""
+    chunk a row with the ids and word counts of its documents. ``part`` tells the chunks of two calls apart. Rows
+    whose ``hash`` the filter ``apart`` holds are left out."""
     names = [f.split(" ")[0] for f in _PACKED.split(", ")]
     width = -(-(1 << 32) // segments)
 
@@ -179,9 +177,11 @@ def packed(rows: DataFrame, frequent, segments: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 24
+        number = (TaskContext.get().partitionId() << 1 | part) << 24
         parts, ids, sizes, held, documents = [], [], [], 0, 0
         for batch in batches:
+            if apart is not None:
+                batch = batch.filter(pa.array(~apart.value.may_hold(np.asarray(batch.column(3))), pa.bool_()))
             flags = np.asarray(batch.column(1)).astype(np.int64)
             data, offsets = blocks.text_bytes(batch.column(2))
             for first, last in blocks.document_runs(offsets):
@@ -197,11 +197,7 @@ def packed(rows: DataFrame, frequent, segments: int) -> DataFrame:
         if documents:
             yield batch_of(list(chunk_rows(number, parts, ids, sizes)))
 
-    return rows.select("doc_id", "is_target", "text").mapInArrow(pack, _PACKED)
-
-
-def _by_place(values: np.ndarray, place: np.ndarray, size: int) -> np.ndarray:
-    return np.bincount(place, values, size)
+    return rows.select("doc_id", "is_target", "text", *(["hash"] if apart is not None else [])).mapInArrow(pack, _PACKED)
 
 
 def segment_losses(rows: DataFrame, frequent, vocabulary: int, added: float = ADDED) -> DataFrame:
@@ -210,38 +206,40 @@ def segment_losses(rows: DataFrame, frequent, vocabulary: int, added: float = AD
     def losses(key: tuple, table: pa.Table) -> pa.Table:
         kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         names = [f.split(" ")[0] for f in _SUMS.split(", ")]
-        columns = {c: table.column(c).to_pylist() for c in table.column_names}
-        out = [(c, None, None, i, s) for c, i, s in zip(columns["chunk"], columns["ids"], columns["sizes"], strict=True) if i is not None]
-        some = [k for k, c in enumerate(columns["contexts"]) if c is not None]
+        chunk, ids, sizes = (table.column(c).to_pylist() for c in ("chunk", "ids", "sizes"))
+        out = [(c, None, None, i, n) for c, i, n in zip(chunk, ids, sizes, strict=True) if i is not None]
+        some = [k for k, i in enumerate(ids) if i is None]
         if some:
-            read = lambda name: np.concatenate([np.frombuffer(columns[name][k], dtype="<u8") for k in some])
-            small = lambda name: [_wide(columns[name][k]) for k in some]
-            key_of = np.repeat(read("contexts"), np.concatenate(small("followers")))
-            word, holders = read("words"), np.concatenate(small("holders"))
-            owners, times = small("rows"), np.concatenate(small("times")).astype(np.float64)
-            owner = np.concatenate(owners)
+            body = {c: [table.column(c)[k].as_buffer() for k in some] for c in ("contexts", "followers", "words", "holders", "rows", "times")}
+            read = lambda name: np.concatenate([np.frombuffer(b, dtype="<u8") for b in body[name]])
+            small = lambda name: np.concatenate([_wide(b) for b in body[name]])
+            key_of, word = np.repeat(read("contexts"), small("followers")), read("words")
             # Bigrams of the chunks, in one order.
             order = np.lexsort((word, key_of))
             heads = _heads(key_of[order], word[order])
-            bigram = np.empty(len(order), dtype=np.int64)
-            bigram[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))
-            key_of, word = key_of[order[heads]], word[order[heads]]
-            of_entry = np.repeat(bigram, holders)
-            background = _by_place(times, of_entry, len(heads))
-            target = _by_place(times * (owner & 1), of_entry, len(heads))
+            bigram = np.empty(len(order), dtype=np.int32)
+            bigram[order] = np.repeat(np.arange(len(heads), dtype=np.int32), np.diff(np.append(heads, len(order))))
+            distinct = order[heads]
+            key_of, word = key_of[distinct], word[distinct]
+            del order, distinct
+            of_entry = np.repeat(bigram, small("holders"))
+            owner, times, size = small("rows"), small("times"), len(heads)
+            both = [np.bincount(of_entry, times if model else times * (owner & np.uint32(1)), size) for model in (0, 1)]
             heads = _heads(key_of)
-            context = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(key_of))))
-            before = np.stack([_by_place(n, context, len(heads))[context] for n in (target, background)])
+            context = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, size)))
             spread, at = frequent.value.find(key_of ^ blocks.mix(word))
-            before[:, spread] = frequent.value.counts[at[spread]].T
-            loss = -np.log((np.stack([target, background]) + added) / (before + added * vocabulary))
+            loss = []
+            for model, counts in enumerate(both):
+                before = np.bincount(context, counts, len(heads))[context]
+                before[spread] = frequent.value.counts[at[spread], model]
+                loss.append(-np.log((counts + added) / (before + added * vocabulary)))
             first = 0
-            for k, own in zip(some, owners, strict=True):
-                part = slice(first, first + len(own))
-                first += len(own)
-                document, which = np.unique(own >> 1, return_inverse=True)
-                sums = np.stack([_by_place(times[part] * one[of_entry[part]], which, len(document)) for one in loss])
-                out.append((columns["chunk"][k], document.astype("<u4").tobytes(), sums.astype("<f8").tobytes(), None, None))
+            for k, b in zip(some, body["rows"], strict=True):
+                part = slice(first, first + len(b) // 4)
+                first = part.stop
+                document, which = np.unique(owner[part] >> np.uint32(1), return_inverse=True)
+                sums = np.stack([np.bincount(which, times[part] * one[of_entry[part]], len(document)) for one in loss])
+                out.append((chunk[k], document.astype("<u4").tobytes(), sums.astype("<f8").tobytes(), None, None))
         return pa.Table.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     return rows.groupBy("segment").applyInArrow(losses, _SUMS)
@@ -280,7 +278,8 @@ def loss_difference(
     """
     spark = docs.sparkSession
     narrow = docs.select(docs[id_column].cast("long").alias("doc_id"), F.coalesce(docs[text_column].cast("string"), F.lit("")).alias("text"))
-    others, likely = named_documents(narrow, targets)
+    hashed = narrow.withColumn("hash", F.xxhash64("doc_id"))
+    likely, bloom = likely_targets(hashed, targets)
     words = stored_table(context_counts(narrow), "context-counts")
     begin = int(signed(np.array([_BEGIN]))[0])
     size = words.agg(F.count(F.when(F.col("word") != begin, 1)).alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("predictions")).first()
@@ -293,6 +292,7 @@ def loss_difference(
         counts[at, model] = np.asarray(found.column("n"))
     frequent = spark.sparkContext.broadcast(Frequent(contexts, counts))
     segments = max(1, -(-size.predictions // segment))
-    sums = segment_losses(packed(others.unionByName(likely), frequent, segments), frequent, size.words + 1, added)
+    others = packed(hashed.withColumn("is_target", F.lit(False)), frequent, segments, 0, spark.sparkContext.broadcast(bloom))
+    sums = segment_losses(others.unionByName(packed(likely, frequent, segments, 1)), frequent, size.words + 1, added)
     found = document_losses(sums).withColumn("difference", F.col("target_loss") - F.col("background_loss"))
     return found.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "difference")])
