@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from pinwatch.catalog.exposure import cves
 from pinwatch.catalog.registry import query
 from pinwatch.catalog.views import AS_OF, Tables
-from pinwatch.operators import lookups, posture, search
-from pinwatch.session import scratch_path
+from pinwatch.operators import lookups, posture, posture_state, search, vector_index
+from pinwatch.session import scratch_path, stored_table
 from pinwatch.sinks.layout import append_clustered, merge_files, only, read_clustered
 from pinwatch.sinks.tables import append_table
 from pinwatch.sources.tables import read_table
@@ -147,6 +147,20 @@ def posture_report(t: Tables) -> DataFrame:
     return _maps_as_text(posture.report(t.matches, AS_OF, registry=t.registry)).drop("report_id", "generated_at")
 
 
+@query("posture_report_maintained", _REPORT + _TOTALS)
+def posture_report_maintained(t: Tables) -> DataFrame:
+    """The same from a stored state that findings, then the later ones, then late resolutions came into."""
+    known = t.matches.withColumn("resolved_at", F.lit(None).cast("timestamp"))
+    middle = F.lit(AS_OF).cast("timestamp") - F.make_dt_interval(days=F.lit(90))
+    early, late = known.filter(F.col("detected_at") < middle), known.filter(~F.coalesce(F.col("detected_at") < middle, F.lit(False)))
+    resolved = t.matches.filter("resolved_at IS NOT NULL")
+    unresolved = resolved.withColumn("resolved_at", F.lit(None).cast("timestamp"))
+    state = t.spark.createDataFrame([], posture_state.STATE)
+    for changes in (posture_state.deltas(early), posture_state.deltas(late), posture_state.change_deltas(unresolved, resolved)):
+        state = stored_table(posture_state.advanced(state, changes, AS_OF[:10]), "posture-state")
+    return _maps_as_text(posture_state.report(state, AS_OF, registry=t.registry)).drop("report_id", "generated_at")
+
+
 @query("get_security_posture_summary", _REPORT + _TOTALS)
 def get_security_posture_summary(t: Tables) -> DataFrame:
     """The newest of the stored reports."""
@@ -270,3 +284,26 @@ _QUERY_VECTOR = [(i % 7 - 3) / 4.0 for i in range(64)]
  ORDER BY exact DESC, vec_id LIMIT 5""")
 def search_vulnerabilities(t: Tables) -> DataFrame:
     return search.search(t.base("embeddings"), _QUERY_VECTOR)
+
+
+@query("search_indexed_exhaustive", f"""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+ q AS (SELECT vec_id AS query_id, v AS q FROM e WHERE vec_id % 20 = 0)
+ SELECT query_id, vec_id, round(exact, 6) AS similarity, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER
+ (PARTITION BY query_id ORDER BY exact DESC, vec_id) AS rank FROM (SELECT query_id, vec_id, {_SIMILARITY} AS exact FROM e, q) s) r WHERE rank <= 5""")
+def search_indexed_exhaustive(t: Tables) -> DataFrame:
+    """Every twentieth vector against all through the index, with all lists probed: the exact search."""
+    path, queries = _indexed(t)
+    return vector_index.indexed_search(t.spark, path, queries, probes=vector_index.MOST_LISTS)
+
+
+@query("search_indexed")
+def search_indexed(t: Tables) -> DataFrame:
+    """The same with as few probes as reach a recall of 0.9."""
+    path, queries = _indexed(t)
+    return vector_index.indexed_search(t.spark, path, queries, probes=vector_index.tuned_probes(t.spark, path, queries, target=0.92))
+
+
+def _indexed(t: Tables) -> tuple[str, DataFrame]:
+    path, vectors = scratch_path(t.spark, "vector-index"), t.base("embeddings")
+    vector_index.build_index(vectors, path)
+    return path, vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))

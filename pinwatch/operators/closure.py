@@ -41,6 +41,28 @@ def transitive_closure(edges: DataFrame, start: DataFrame | None = None, max_dep
         depth += 1
 
 
+def updated_closure(closure: DataFrame, edges: DataFrame, added: DataFrame, removed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The closure after edges were added to and removed from those it was made of, and the edges then.
+
+    Only packages from which a changed edge can be reached have other paths than before: its own package, and
+    those that reached this one in the old closure (the first changed edge on a path is reached by old
+    ones). What these reach is derived anew, all other rows stay as they are. An edge is its package, what it
+    depends on and the version; removing one that is not there changes nothing, and an edge that is both added
+    and removed stays. ``closure`` has no depth limit.
+    """
+    edge = [*PAIR, "version"]
+    added, removed = added.select(*edge).distinct(), removed.select(*edge).distinct()
+    gone = edges.select(*edge).join(removed, edge, "left_semi").join(added, edge, "left_anti").distinct()
+    new = added.join(edges.select(*edge), edge, "left_anti")
+    changed = stored_table(gone.unionByName(new).select("ecosystem", "package").distinct(), "changed-packages")
+    after = stored_table(edges.select(*edge).join(gone, edge, "left_anti").unionByName(new), "edges-after")
+    before = closure.join(changed.withColumnRenamed("package", "depends_on"), ["ecosystem", "depends_on"], "left_semi")
+    affected = stored_table(before.select("ecosystem", "package").unionByName(changed).distinct(), "affected-packages")
+    again = transitive_closure(after, affected)
+    stays = closure.join(affected, ["ecosystem", "package"], "left_anti")
+    return stays.unionByName(again.select(*closure.columns)), after
+
+
 def transitive_pins(pins: DataFrame, edges: DataFrame) -> DataFrame:
     """Pins of a service plus what they pull in, with ``is_transitive`` and ``transitive_path``.
     A package the service also holds directly counts as direct, with the version it holds."""

@@ -8,7 +8,7 @@ belongs to the pin, not to the service, so a service may hold several. ``crowded
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from pinwatch.plans.timeline import KEY_LIMIT, crowded_keys, pick, with_neighbours
 
@@ -38,18 +38,26 @@ def crowded_pins(ops: DataFrame, limit: int = KEY_LIMIT) -> DataFrame | None:
     return crowded_keys(ops, PIN, limit)
 
 
-def validity_intervals(ops: DataFrame, crowded: DataFrame | None = None) -> DataFrame:
+def validity_intervals(ops: DataFrame, crowded: DataFrame | None = None, mark_new: bool = False) -> DataFrame:
     """``[valid_from, valid_to)`` per pin and version; an open interval has no end. States that an
-    operation at the same time replaces never became visible and are left out."""
+    operation at the same time replaces never became visible and are left out. With ``mark_new`` they say whether
+    the package was absent before the event, whatever the event does step by step."""
+    rows = timeline(ops, crowded)
+    marks = []
+    if mark_new:
+        # Partitioned as the timeline is already; what stood before the event's first operation counts.
+        event = Window.partitionBy(*PIN, "occurred_at", "event_id").orderBy("op_rank", "pos")
+        rows = rows.withColumn("_before", F.first("prev.op").over(event))
+        marks = [(F.col("_before").isNull() | (F.col("_before") == "removed")).alias("is_new_dependency")]
     return (
-        timeline(ops, crowded)
-        .filter("op <> 'removed'")
+        rows.filter("op <> 'removed'")
         .select(
             *PIN,
             "version",
             F.col("occurred_at").alias("valid_from"),
             F.col("next.occurred_at").alias("valid_to"),
             F.col("event_id").alias("from_event"),
+            *marks,
         )
         .filter("valid_to IS NULL OR valid_from < valid_to")
     )

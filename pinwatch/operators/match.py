@@ -106,32 +106,24 @@ def one_spelling(pins: DataFrame) -> DataFrame:
     return pick(keyed, ["service_id", "ecosystem", "package_key"], ["package"]).drop("package_key")
 
 
-def several_spellings(ops: DataFrame) -> DataFrame:
-    """Packages that a service has ever spelled in several ways, by ``package_key``. One of two spellings
-    has a capital letter, which few have, so the join is with a small table."""
-    same = ["service_id", "ecosystem", "package_key"]
-    named = ops.select("service_id", "ecosystem", "package", package_key().alias("package_key"))
-    capital = named.filter("package <> package_key").select(*same).distinct()
-    held = named.join(capital, same, "left_semi").groupBy(*same).agg(F.min("package").alias("_first"), F.max("package").alias("_last"))
-    return held.filter("_first <> _last").select(*same)
+def several_spellings(pins: DataFrame) -> DataFrame:
+    """Packages that a service has ever spelled in several ways, by ``package_key``."""
+    held = pins.groupBy("service_id", "ecosystem", package_key().alias("package_key")).agg(F.min("package").alias("_first"), F.max("package").alias("_last"))
+    return held.filter("_first <> _last").select("service_id", "ecosystem", "package_key")
 
 
-def merge_spellings(matches: DataFrame, several: DataFrame) -> DataFrame:
+def merge_spellings(matches: DataFrame) -> DataFrame:
     """``matches`` of intervals, with those that differ in the spelling alone as one row: same vulnerability,
     service, ecosystem, package whatever its spelling, and version, and valid at a common moment. The row
     is valid and detected from the first of them until the last ends, has the spelling that sorts first,
-    and is new where one of them is. ``several`` is the result of ``several_spellings``; other packages
-    stay as they are."""
-    several = stored_table(several, "spellings")
-    if several.isEmpty():
-        return matches
+    and is new where one of them is."""
     package = ["service_id", "ecosystem", "package_key"]
-    once = stored_table(matches, "matches").withColumn("package_key", package_key())
+    once = matches.withColumn("package_key", package_key())
     key = ["cve_id", *package, "version"]
     order = Window.partitionBy(*key).orderBy("valid_from", "package", "from_event")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     reached = F.max(F.col("valid_to").isNull()).over(before) | (F.col("valid_from") < F.max("valid_to").over(before))
-    marked = once.join(several, package, "left_semi").withColumn("_apart", (~F.coalesce(reached, F.lit(False))).cast("int"))
+    marked = once.withColumn("_apart", (~F.coalesce(reached, F.lit(False))).cast("int"))
     grouped = marked.withColumn("_group", F.sum("_apart").over(order)).groupBy(*key, "_group")
     merged = {
         "package": F.min("package"),
@@ -143,8 +135,7 @@ def merge_spellings(matches: DataFrame, several: DataFrame) -> DataFrame:
     rest = [c for c in once.columns if c not in key and c not in merged]
     first = F.min_by(F.struct(*rest), F.struct("valid_from", "package", "from_event")).alias("_row")
     together = grouped.agg(first, *[c.alias(name) for name, c in merged.items() if name in once.columns])
-    together = together.select(*[F.col(f"_row.{c}") if c in rest else F.col(c) for c in matches.columns])
-    return once.join(several, package, "left_anti").select(*matches.columns).unionByName(together)
+    return together.select(*[F.col(f"_row.{c}") if c in rest else F.col(c) for c in matches.columns])
 
 
 def match_pins(

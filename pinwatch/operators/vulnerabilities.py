@@ -133,38 +133,39 @@ def dedup_first_24h(
 
     Of records at one time the smallest event id counts. Records without a time can't be placed and all
     pass. Whether a record is accepted depends on the one accepted before it, so a key is a chain of
-    times. Chains of up to ``fold_limit`` times are folded in one expression, longer ones walked by
-    doubled pointers; only times are gathered, and both give the same ones.
+    times. Chains of up to ``fold_limit`` records are folded in one expression, longer ones walked by
+    doubled pointers; only times are gathered, under 128 bits of hashes of the key, and both give the same
+    ones. The records meet the accepted times of their key once.
     """
-    timed = events.filter("ingested_at IS NOT NULL")
-    firsts = pick(timed, [*keys, "ingested_at"], ["event_id"])
-    times = firsts.select(*keys, F.unix_micros("ingested_at").alias("at"))
-    crowded = crowded_keys(times, keys, fold_limit)
+    own = ["_one", "_two"]
+    hashed = {name: F.xxhash64(F.lit(name), *[F.coalesce(F.col(k).cast("string"), F.lit("\u0000")) for k in keys]) for name in own}
+    timed = events.filter("ingested_at IS NOT NULL").withColumns({**hashed, "at": F.unix_micros("ingested_at")})
+    times = timed.select(*own, "at")
+    crowded = crowded_keys(times, own, fold_limit)
     if crowded is None:
-        accepted = _accepted_by_fold(times, keys, hours)
+        found = _at_accepted(timed, _accepted_by_fold(times, own, hours), own)
     else:
-        small, large = _null_safe(times, crowded, keys, "left_anti"), _null_safe(times, crowded, keys, "left_semi")
-        accepted = _accepted_by_fold(small, keys, hours).unionByName(_accepted_by_jumps(large, keys, hours))
-    kept = _null_safe(firsts, accepted.select(*keys, F.timestamp_micros("at").alias("ingested_at")), [*keys, "ingested_at"], "left_semi")
+        small, large = times.join(crowded, own, "left_anti"), times.join(crowded, own, "left_semi").distinct()
+        some = timed.join(_accepted_by_jumps(large, own, hours), [*own, "at"], "left_semi")
+        found = _at_accepted(timed, _accepted_by_fold(small, own, hours), own).unionByName(some)
+    kept = pick(found, [*own, "at"], ["event_id"])
     return kept.select(*events.columns).unionByName(events.filter("ingested_at IS NULL"))
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """Semi or anti join in which a missing key equals a missing key."""
-    right = right.select(*[F.col(k).alias(f"_{k}") for k in keys])
-    return left.join(right, [left[k].eqNullSafe(right[f"_{k}"]) for k in keys], how)
+def _at_accepted(timed: DataFrame, accepted: DataFrame, keys: list[str]) -> DataFrame:
+    return timed.join(accepted, keys).filter(F.array_contains("_accepted", F.col("at"))).drop("_accepted")
 
 
 def _accepted_by_fold(times: DataFrame, keys: list[str], hours: int) -> DataFrame:
-    """``keys, at`` of the accepted times; a key's times are one array of numbers."""
-    grouped = times.groupBy(*keys).agg(F.sort_array(F.collect_list("at")).alias("_times"))
+    """``keys, _accepted``: the accepted times; a key's times are one array of numbers."""
+    grouped = times.groupBy(*keys).agg(F.sort_array(F.collect_set("at")).alias("_times"))
     window = hours * 3_600_000_000
     kept = F.aggregate(
         "_times",
         F.array().cast("array<bigint>"),
         lambda acc, at: F.when((F.size(acc) == 0) | (at >= F.element_at(acc, -1) + window), F.concat(acc, F.array(at))).otherwise(acc),
     )
-    return grouped.select(*keys, F.explode(kept).alias("at"))
+    return grouped.select(*keys, kept.alias("_accepted"))
 
 
 def _accepted_by_jumps(times: DataFrame, keys: list[str], hours: int) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pinwatch.functions.scalars import exposure_id
-from pinwatch.operators.graph import PIN, crowded_pins, new_dependencies, validity_intervals
-from pinwatch.operators.match import match_both_orders, merge_spellings, several_spellings
+from pinwatch.operators.graph import crowded_pins, validity_intervals
+from pinwatch.operators.match import match_both_orders, merge_spellings, package_key, several_spellings
 from pinwatch.operators.scoring import registry_enrich, route, score
 from pinwatch.operators.vulnerabilities import cvss_enrich, dedup_first_ever
+from pinwatch.session import stored_table
 
 
 def known_vulnerabilities(events: DataFrame) -> DataFrame:
@@ -23,20 +24,24 @@ def exposure(
     """Scored matches; with ``mark_new`` they say whether the pin's package was new to the service.
     Matches that differ in the spelling of the package alone are one while their validity overlaps.
 
-    Metadata joins the intervals, before vulnerabilities multiply them, so the rows that cross the
-    network for it are the few.
+    The operations are read once: the intervals made of them are stored, and versions in use and spellings are
+    taken from these. Metadata joins the intervals, before vulnerabilities multiply them, so the rows that
+    cross the network for it are the few. Only packages that a service spells in several ways are merged.
     """
-    crowded = crowded_pins(ops)
-    intervals = validity_intervals(ops, crowded)
-    if mark_new:
-        fresh = new_dependencies(ops, crowded).select(
-            *PIN, "version", F.col("event_id").alias("from_event"), F.lit(True).alias("is_new_dependency")
-        )
-        intervals = intervals.join(fresh, [*PIN, "version", "from_event"], "left").fillna(False, ["is_new_dependency"])
-    intervals = registry_enrich(intervals, registry)
+    intervals = stored_table(validity_intervals(ops, crowded_pins(ops), mark_new), "intervals")
+    several = stored_table(several_spellings(intervals), "spellings")
+    mixed = not several.isEmpty()
+    named = intervals
+    if mixed:
+        package = ["service_id", "ecosystem", "package_key"]
+        flagged = several.withColumn("_several", F.lit(True))
+        named = intervals.withColumn("package_key", package_key()).join(flagged, package, "left").drop("package_key").fillna(False, ["_several"])
     cves = known_vulnerabilities(vulnerability_events)
-    matches = match_both_orders(intervals, cves, versions_from=ops)
-    matches = score(merge_spellings(matches, several_spellings(ops)))
+    matches = match_both_orders(registry_enrich(named, registry), cves, versions_from=intervals)
+    if mixed:
+        apart = matches.filter("NOT _several").drop("_several")
+        matches = apart.unionByName(merge_spellings(matches.filter("_several").drop("_several")))
+    matches = score(matches)
     return matches.select(
         exposure_id().alias("match_id"),
         "cve_id",
