@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from pinwatch import schemas
-from pinwatch.catalog.registry import query
+from pinwatch.catalog.registry import CHECKS, query
 from pinwatch.catalog.views import AS_OF, Tables
 from pinwatch.functions import scalars as S
 from pinwatch.operators import cursors, vulnerabilities as V
@@ -421,6 +421,20 @@ def poll_summary(t: Tables) -> DataFrame:
     return cursors.poll_summary(parsed, F.coalesce(topics.valid_vulnerability(), F.lit(False)))
 
 
+@query("poll_summary_observed", "SELECT p_brand FROM part WHERE false")
+def poll_summary_observed(t: Tables) -> DataFrame:
+    """The same figures, observed while the records are written."""
+    raw = t.view("raw_records").join(t.base("part").select("p_partkey", F.col("p_brand").alias("source")), "p_partkey")
+    sources = [r.p_brand for r in t.base("part").select("p_brand").distinct().collect()]  # the feeds, known beforehand in use
+    seen = Observation("poll")
+    parsed = cursors.observed_poll(topics.parse_vulnerabilities(raw), topics.valid_vulnerability(), sources, seen)
+    parsed.select("source", "raw").write.parquet(scratch_path(t.spark, "polled"))
+    return t.spark.createDataFrame(cursors.observed_summary([seen.get], sources), "source string, fetched bigint, published bigint, skipped bigint")
+
+
+CHECKS["poll_summary_observed"] = CHECKS["poll_summary"]
+
+
 @query("json_parse", "SELECT event_id, cve_id, cvss_score, affected_version_range, ingested_at FROM vuln_events")
 def json_parse(t: Tables) -> DataFrame:
     text = t.vulns.select(F.to_json(F.struct("event_id", "cve_id", "source", "cvss_score", "affected_version_range",

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from pinwatch.catalog.exposure import cves
 from pinwatch.catalog.registry import query
 from pinwatch.catalog.views import AS_OF, Tables
-from pinwatch.operators import lookups, posture, posture_state, search, vector_index
+from pinwatch.operators import lookups, posture, posture_state, search
 from pinwatch.session import scratch_path, stored_table
 from pinwatch.sinks.layout import append_clustered, merge_files, only, read_clustered
 from pinwatch.sinks.tables import append_table
@@ -292,6 +292,8 @@ def search_vulnerabilities(t: Tables) -> DataFrame:
  (PARTITION BY query_id ORDER BY exact DESC, vec_id) AS rank FROM (SELECT query_id, vec_id, {_SIMILARITY} AS exact FROM e, q) s) r WHERE rank <= 5""")
 def search_indexed_exhaustive(t: Tables) -> DataFrame:
     """Every twentieth vector against all through the index, with all lists probed: the exact search."""
+    from pinwatch.operators import vector_index  # needs numpy, which nothing else here does
+
     path, queries = _indexed(t)
     return vector_index.indexed_search(t.spark, path, queries, probes=vector_index.MOST_LISTS)
 
@@ -299,11 +301,15 @@ def search_indexed_exhaustive(t: Tables) -> DataFrame:
 @query("search_indexed")
 def search_indexed(t: Tables) -> DataFrame:
     """The same with as few probes as reach a recall of 0.9."""
+    from pinwatch.operators import vector_index  # needs numpy, which nothing else here does
+
     path, queries = _indexed(t)
     return vector_index.indexed_search(t.spark, path, queries, probes=vector_index.tuned_probes(t.spark, path, queries, target=0.92))
 
 
 def _indexed(t: Tables) -> tuple[str, DataFrame]:
+    from pinwatch.operators import vector_index
+
     path, vectors = scratch_path(t.spark, "vector-index"), t.base("embeddings")
     vector_index.build_index(vectors, path)
     return path, vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))

@@ -66,6 +66,30 @@ def src_kafka(t: Tables) -> DataFrame:
     return drained(t, stream, "topics-out").groupBy("topic").agg(F.count("*").alias("records"))
 
 
+_TORN = "CAST(substr(event_id, 4) AS BIGINT) % 10"
+
+
+@query("quarantine_changes", f"""SELECT state, count(*) AS records FROM (SELECT CASE {_TORN} WHEN 3 THEN 'not a change event' WHEN 7 THEN 'not a change event'
+ ELSE 'taken' END AS state FROM (SELECT DISTINCT event_id, service_id, ecosystem, occurred_at FROM dep_ops) e) x GROUP BY 1""")
+def quarantine_changes(t: Tables) -> DataFrame:
+    """The change topic with some texts torn or without an id: what is taken, and what goes to quarantine instead,
+    each into a table of its own from one stream."""
+    torn = F.expr(_TORN)
+    text = F.when(torn == 3, F.substring("value", 1, 20)).when(torn == 7, F.lit('{"service_id": "x"}')).otherwise(F.col("value"))
+    records = _change_topic(t).withColumn("event_id", F.get_json_object("value", "$.event_id")).withColumn("value", text).drop("event_id")
+    path, marks = scratch_path(t.spark, "intake"), scratch_path(t.spark, "intake-checkpoint")
+    tables = {
+        "changes": lambda rows: topics.change_events(rows).select("event_id", F.lit("taken").alias("state")),
+        "quarantine": lambda rows: topics.change_quarantine(rows).select(F.col("raw").alias("event_id"), F.col("reason").alias("state")),
+    }
+    write = delivery.deliver_batches(path, tables)
+    flows.start(
+        as_stream(t, records, "deps-torn"), lambda df: df.writeStream.option("checkpointLocation", marks).trigger(availableNow=True).foreachBatch(write)
+    ).awaitTermination()
+    both = [delivery.delivered(t.spark, path, name, "event_id STRING, state STRING") for name in tables]
+    return both[0].unionByName(both[1]).groupBy("state").agg(F.count("*").alias("records"))
+
+
 @query("stream_dedup", "SELECT event_id FROM vuln_events WHERE false")
 def stream_dedup(t: Tables) -> DataFrame:
     events = t.vulns.drop("affected_list")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 
 def modified_since(index: DataFrame, cursor: Column) -> DataFrame:
@@ -52,6 +52,26 @@ def replay_counts(lines: DataFrame) -> DataFrame:
                          F.sum("events").over(running).alias("total_events"))
 
 
+def observed_poll(rows: DataFrame, published: Column, sources: list[str], observation: Observation | str) -> DataFrame:
+    """``rows`` with the figures of ``poll_summary`` as observed metrics: whoever writes the rows gets them from the
+    same pass. ``observation`` is that of a batch, or the name under which a stream reports them for every trigger.
+    The sources are known, since metrics have names."""
+    taken = F.coalesce(published, F.lit(False))
+    metrics = []
+    for source in sources:
+        own = F.col("source") == source
+        metrics.append(F.count(F.when(own, 1)).alias(f"{source}_fetched"))
+        metrics.append(F.count(F.when(own & taken, 1)).alias(f"{source}_published"))
+    return rows.observe(observation, *metrics)
+
+
+def observed_summary(metrics: list[dict[str, int]], sources: list[str]) -> list[tuple[str, int, int, int]]:
+    """(source, fetched, published, skipped) from the metrics of a write, or of the triggers of a stream; sources
+    without records are left out."""
+    total = {source: [sum(m[f"{source}_{kind}"] for m in metrics) for kind in ("fetched", "published")] for source in sources}
+    return [(source, fetched, published, fetched - published) for source, (fetched, published) in total.items() if fetched]
+
+
 def poll_summary(rows: DataFrame, published: Column) -> DataFrame:
     """Fetched, published and skipped per source."""
     return rows.groupBy("source").agg(

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from pinwatch.functions.scalars import exposure_id
 from pinwatch.operators.graph import crowded_pins, validity_intervals
 from pinwatch.operators.match import match_both_orders, merge_spellings, package_key, several_spellings
-from pinwatch.operators.scoring import registry_enrich, route, score
+from pinwatch.operators.scoring import nonempty, registry_enrich, route, score
 from pinwatch.operators.vulnerabilities import cvss_enrich, dedup_first_ever
 from pinwatch.session import stored_table
 
@@ -62,5 +62,6 @@ def exposure(
 
 
 def routed_exposure(ops: DataFrame, vulnerability_events: DataFrame, registry: DataFrame) -> DataFrame:
-    """Matches by topic: the tier's, and the review topic where the package was new."""
-    return route(exposure(ops, vulnerability_events, registry, mark_new=True))
+    """Matches by topic: the tier's, and the review topic where the package was new. What can't be routed, for want
+    of an id, a score or a deadline, is left out."""
+    return route(nonempty(exposure(ops, vulnerability_events, registry, mark_new=True)))

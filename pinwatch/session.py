@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,9 +23,11 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
 }
 
-#: Applications that already ship the package, and the scratch folders this process made.
+#: Applications that already ship the package, the scratch folders this process made, and the paths that
+#: open scopes have made.
 _SHIPPED: set[str] = set()
 _SCRATCH: dict[str, SparkSession] = {}
+_SCOPES: list[list[str]] = []
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -80,7 +84,30 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     own = f"{shared_folder(spark).rstrip('/')}/pinwatch/{spark.sparkContext.applicationId}"
     if own not in _SCRATCH:
         _SCRATCH[own] = spark
-    return f"{own}/{label}-{uuid.uuid4().hex}"
+    path = f"{own}/{label}-{uuid.uuid4().hex}"
+    for scope in _SCOPES:
+        scope.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end the stored tables that were made inside. What is to stay is written to a path made
+    before it."""
+    _SCOPES.append(made := [])
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        for path in made:
+            _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    if context._jsc is not None:
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def release_scratch(spark: SparkSession | None = None) -> None:
@@ -90,10 +117,7 @@ def release_scratch(spark: SparkSession | None = None) -> None:
         if spark is not None and owner.sparkContext is not spark.sparkContext:
             continue
         del _SCRATCH[path]
-        context = owner.sparkContext
-        if context._jsc is not None:
-            target = context._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+        _remove(owner, path)
 
 
 @atexit.register

@@ -15,7 +15,7 @@ from pinwatch.functions.scalars import exposure_id, severity_from_cvss
 from pinwatch.functions.versions import in_range, located, specifier
 from pinwatch.operators.graph import ORDER, PIN
 from pinwatch.operators.match import CVE_COLUMNS, package_key
-from pinwatch.operators.scoring import registry_enrich, route, score
+from pinwatch.operators.scoring import nonempty, registry_enrich, route, score
 from pinwatch.operators.vulnerabilities import RECORD_KEY
 from pinwatch.sinks.topics import keyed_matches
 from pinwatch.sources.changes import listed_changes
@@ -227,7 +227,7 @@ def stream_exposure(
     """
     matches = stream_scores(stream_symmetric_join(ops, stream_dedup(advisories), pin_shares), scores)
     scored = score(registry_enrich(matches, registry)).withColumn("match_id", exposure_id())
-    return keyed_matches(stream_route(scored))
+    return keyed_matches(stream_route(nonempty(scored)))
 
 
 def start(stream: DataFrame, sink, state_partitions: int | None = None, settings: dict | None = None):

@@ -1,6 +1,7 @@
 """What the plans must not contain, and what must reach the scan."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from pinwatch.catalog import all_queries
 from pinwatch.catalog.views import Tables
@@ -80,3 +81,65 @@ def test_a_package_everyone_uses_is_split(spark):
     whole, shared = match.affected_versions(pins, known), match.affected_versions(pins, known, limit=5)
     assert "_share" in plan_of(shared) and "_share" not in plan_of(whole)
     assert shared.exceptAll(whole).count() == 0 and whole.exceptAll(shared).count() == 0
+
+
+def test_poll_figures_are_observed_in_the_pass_that_writes(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    from pinwatch.operators import cursors
+    from pinwatch.streaming import flows
+    from pinwatch.streaming.progress import ObservedFigures
+
+    records = spark.createDataFrame([("osv", "a"), ("osv", None), ("nvd", "b"), ("other", "c"), (None, "d")] * 7, "source string, cve_id string")
+    sources, good = ["osv", "nvd", "none"], F.col("cve_id") != "b"
+    seen = Observation("poll")
+    watched = cursors.observed_poll(records, good, sources, seen)
+    assert watched._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") + watched._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation") == 1
+    watched.write.parquet(str(tmp_path / "batch"))
+    want = sorted((r.source, r.fetched, r.published, r.skipped) for r in cursors.poll_summary(records.filter("source IN ('osv', 'nvd')"), good).collect())
+    assert sorted(cursors.observed_summary([seen.get], sources)) == want
+    records.coalesce(1).write.parquet(str(tmp_path / "in"))
+    records.filter("source = 'osv'").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    figures = ObservedFigures("poll")
+    spark.streams.addListener(figures)
+    try:
+        stream = spark.readStream.schema(records.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        sink = lambda df: (df.writeStream.format("parquet").option("path", str(tmp_path / "out"))
+                           .option("checkpointLocation", str(tmp_path / "marks")).trigger(availableNow=True))
+        flows.start(cursors.observed_poll(stream, good, sources, "poll"), sink).awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(20_000)
+    finally:
+        spark.streams.removeListener(figures)
+    assert len(figures.figures) >= 2
+    assert dict((s, f) for s, f, _, _ in cursors.observed_summary(figures.figures, sources)) == {"osv": 28, "nvd": 7}
+
+
+def test_the_flagship_reads_the_operations_once(spark, tmp_path, monkeypatch):
+    from pinwatch.plans import exposure as plan
+    from tests.test_operators import cves, ops
+
+    rows = ops(spark, [(0, "s", "PyYAML", "added", "1.0"), (1, "s", "pyyaml", "added", "1.0"), (2, "t", "x", "added", "1.0")])
+    rows.write.parquet(str(tmp_path / "ops"))
+    stored = spark.read.parquet(str(tmp_path / "ops"))
+    written = []
+    real = plan.stored_table
+    monkeypatch.setattr(plan, "stored_table", lambda df, label: written.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, label))
+    registry = spark.createDataFrame([], "service_id string, team string, is_customer_facing boolean, pci_scope boolean, hipaa_scope boolean, soc2_scope boolean, pii_handler boolean")
+    found = plan.exposure(stored, cves(spark, [(0, "C", "pyyaml", "< 2")]), registry, mark_new=True)
+    scans = [text.count("event_id") for text in written]
+    assert sum("op_rank" in text for text in written) == 1 and len(scans) == 2
+    assert "op_rank" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() == 1
+
+
+def test_a_scope_removes_what_was_stored_inside(spark):
+    import os
+
+    from pinwatch.session import scratch_path, scratch_scope, stored_table
+
+    stays = scratch_path(spark, "stays")
+    with scratch_scope(spark):
+        inside = stored_table(spark.range(3), "inside")
+        path = inside.inputFiles()[0].removeprefix("file://")
+        inside.write.parquet(stays)
+        assert os.path.exists(path)
+    assert not os.path.exists(path) and spark.read.parquet(stays).count() == 3
