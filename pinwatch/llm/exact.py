@@ -53,7 +53,8 @@ class DigestIndex:
         Of equal texts in a batch the row with the largest id stays, of rows that also share the id one
         of them; a text that an earlier batch brought keeps that row. A batch may be repeated: its own
         rows in the index count as its own, so the second run appends nothing and says the same.
-        Null texts count as empty, null ids lose against any other. Other columns are not read.
+        Null texts count as empty, null ids lose against any other, texts of any length are digested whole.
+        Other columns are not read; an empty batch gives no rows and appends none.
         """
         digests = stored_table(
             docs.select(

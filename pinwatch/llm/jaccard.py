@@ -327,8 +327,8 @@ def shingle_components(
     ``component_id`` is the smallest id that links lead to, the row's own included; ``class_id`` the
     smallest with the same set. Null and empty texts, and those of white space, have an empty set and are
     linked with nothing. Null ids count for nothing in minima; a component of them alone has a null id.
-    Repeated rows have one set and so one component. Other columns are not read; an empty table gives
-    no rows.
+    Repeated rows have one set and so one component. Texts of any length are read whole. Other columns are
+    not read; an empty table gives no rows.
     """
     narrow = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
     texts = narrow.select("text")

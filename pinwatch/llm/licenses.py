@@ -89,7 +89,8 @@ def scan_licenses(
 
     Containment is the share of the template's distinct shingles in the window, ``contained`` at least.
     Null, empty and short texts hold nothing and give no row; a row of ``docs`` that repeats another gives
-    its rows again; null ids stay null. Other columns are not read.
+    its rows again; null ids stay null; texts of any length are read whole. Other columns are not read. An
+    empty table, or one without templates, gives no rows.
     """
     spark = docs.sparkSession
     known = stored_table(templates, "license-templates")

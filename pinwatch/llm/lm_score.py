@@ -223,8 +223,8 @@ def cross_entropy_difference(
     ``targets`` has the ids of the target documents in a column ``doc_id``, any number of times; null ids
     are no target. Losses are nats per token; a low difference means close to the target. Texts that are
     null, empty or white space have no tokens and null losses. Without any target document the target
-    model is uniform. Rows that share an id are scored, and counted, each for itself. Other columns are
-    not read; an empty table gives no rows. With ``vocabulary_size`` None every word has an entry.
+    model is uniform. Rows that share an id are scored, and counted, each for itself. Texts of any length are
+    read whole. Other columns are not read; an empty table gives no rows. With ``vocabulary_size`` None every word has an entry.
     """
     spark = docs.sparkSession
     narrow = docs.select(docs[id_column].cast("long").alias("doc_id"), F.coalesce(docs[text_column].cast("string"), F.lit("")).alias("text"))

@@ -262,7 +262,8 @@ def _encoded(column: pa.Array, path: str, threads: int) -> Iterator[tuple[int, l
 def encode_pieces(docs: DataFrame, model_path: str, threads: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, ids, parity`` for every row of ``docs``; ``parity`` says that the original library gives the
     same ids for all parts of the text. Null and empty texts have no ids. Null ids of rows stay null,
-    repeated rows are encoded each for itself, other columns are not read."""
+    repeated rows are encoded each for itself, texts of any length whole; other columns are not read. An empty
+    table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -181,7 +181,14 @@ def judge(counts: DataFrame, cutoffs: DataFrame, rules: tuple[Rule, ...] = RULES
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, **columns) -> DataFrame:
-    """One row per document with its counts, ``base_failed`` and ``kept``."""
+    """One row per document with its counts, ``base_failed`` and ``kept``.
+
+    Null and empty texts have no words and fail the base rules; texts of any length are counted whole. A null
+    stratum is one of its own, null ids have no label. Rows that share an id share its label and are
+    judged each by its own text; of cutoffs with equal gain the strictest listed first is taken. An empty
+    table gives no rows; without labels nothing is certified and only the base rules reject. Other columns
+    are not read.
+    """
     counts = stored_table(signals(docs, **columns), "quality-signals")
     return judge(counts, certified_cutoffs(counts, labels))
 
@@ -190,7 +197,8 @@ def passing_documents(docs: DataFrame, labels: DataFrame, id_column: str = "doc_
     """The documents that are kept, with all their columns.
 
     Verdicts are matched by id, stratum and a hash of the text, on which alone they depend, so rows that
-    share an id or a text are each judged by their own and copies are spread by their ids.
+    share an id or a text are each judged by their own and copies are spread by their ids. Repeated rows all
+    stay or all go; an empty table stays empty.
     """
     verdicts = quality_rules(docs, labels, id_column=id_column, text_column=text_column, stratum=stratum)
     own = [spare(name, docs.columns) for name in ("id", "no_id", "stratum", "mark")]

@@ -377,8 +377,8 @@ def substring_duplicates(docs: DataFrame, size: int = WINDOW, cells: int = CELLS
 
     A word is removed if a window that covers it has words that also start anywhere else, in the same
     document or another. Null texts count as empty; texts shorter than a window keep all their words.
-    Repeated rows are copies of each other, so they lose what is a window long. Null ids stay null;
-    other columns are not read. An empty table gives no rows.
+    Repeated rows are copies of each other, so they lose what is a window long. Texts of any length are read
+    whole. Null ids stay null; other columns are not read. An empty table gives no rows.
     """
     texts = docs.select(docs[text_column].cast("string").alias("text"))
     cleaned = cleaned_texts(texts, size, cells).select("key", "key2", "n_removed", F.sha2("kept", 256).alias("cut_sha256"))

@@ -127,8 +127,9 @@ def corpus_history(docs: DataFrame, rollup: TokenRollup, tokenizer_path: str, ve
 
     ``load`` inserts every row. ``copies`` deletes, of equal texts, all but the row with the smallest id.
     ``spaces`` revises the rows that stay to texts with single spaces. Then ``copies`` arrives a second
-    time, which changes nothing. Null texts count as empty, null languages and sources are groups of
-    their own, and of rows that share text and id one stays.
+    time, which changes nothing. Null texts count as empty, texts of any length are counted whole, null
+    languages and sources are groups of their own, and of rows that share text and id one stays. Other
+    columns are not read. An empty table leaves the totals as they are.
     """
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     even = F.btrim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "), F.lit(" "))

@@ -64,7 +64,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_column:
     verdicts ``block``. Where none fits, a URL whose canonical form is in ``listed`` (column
     ``canonical``, any number of rows) is blocked and any other allowed. Null URLs and URLs without a
     host fit nothing and are allowed; rules without a slash, and nulls in either list, fit nothing.
-    Repeated rows are judged alike; other columns are not read. An empty table gives no rows.
+    Repeated rows are judged alike, URLs of any length whole; other columns are not read. An empty table
+    gives no rows, and without rules or list every URL is allowed.
     """
     known = rules.filter("rule IS NOT NULL AND instr(rule, '/') > 0").groupBy("rule").agg(F.max("verdict").alias("verdict"))
     known = known.withColumn("rule_path", F.expr("substr(rule, instr(rule, '/'))"))

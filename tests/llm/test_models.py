@@ -95,7 +95,6 @@ def test_no_documents_to_score(nothing, spark):
 
 def test_history_of_a_corpus(spark, docs):
     library = Tokenizer.from_file(vocabulary_path())
-    library.encode_special_tokens = True
     count = {"words-1": lambda t: len(words(t)), "byte_bpe_50k": lambda t: len(library.encode(t, add_special_tokens=False).ids)}
     groups = defaultdict(list)
     for r in awkward_rows():
