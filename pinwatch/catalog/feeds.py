@@ -209,6 +209,7 @@ def replay_counts(t: Tables) -> DataFrame:
 _BUMP_FIELDS = """regexp_extract(title, '(?i)bump ([\\w\\-./]+) from ([\\d.]+) to ([\\d.]+)', 1) AS package,
  regexp_extract(title, '(?i)bump ([\\w\\-./]+) from ([\\d.]+) to ([\\d.]+)', 2) AS from_version,
  regexp_extract(title, '(?i)bump ([\\w\\-./]+) from ([\\d.]+) to ([\\d.]+)', 3) AS to_version"""
+# Branch prefixes of the update bots, and the manifest file of each ecosystem.
 _BRANCH = "CASE " + " ".join(
     f"WHEN starts_with(ref, '{prefix}') THEN '{eco}'"
     for prefix, eco in [
