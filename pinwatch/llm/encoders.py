@@ -19,8 +19,9 @@ import pyarrow as pa
 
 from pinwatch.llm.blocks import _U, Pieces, byte_pieces, document_runs, text_bytes
 
-#: Bytes of text encoded at once, and how many chunks a worker remembers before it starts anew.
-ENCODE_BYTES, REMEMBERED = 4 << 20, 3_000_000
+#: Bytes of text encoded at once; how many chunks a worker remembers, and how many pieces of eight of their
+#: bytes, before it starts anew.
+ENCODE_BYTES, REMEMBERED, REMEMBERED_PIECES = 2 << 20, 750_000, 3_000_000
 #: Characters of distinct chunks that go to the library as one line.
 LINE_BYTES = 2_000
 
@@ -70,11 +71,11 @@ class ChunkEncoder:
     def _forget(self) -> None:
         self.known = np.zeros(0, dtype=_U)
         self.place = np.zeros(0, dtype=np.int64)
-        self.length = np.zeros(0, dtype=np.int64)
+        self.length = np.zeros(0, dtype=np.int32)
         self.pool = _Pool(np.uint32)
         self.bytes = _Pool(np.uint64)
         self.byte_place = np.zeros(0, dtype=np.int64)
-        self.byte_length = np.zeros(0, dtype=np.int64)
+        self.byte_length = np.zeros(0, dtype=np.int32)
 
     def normalised(self, chunk: bytes) -> bytes:
         """The text whose bytes the tokens of a chunk add up to."""
@@ -127,22 +128,24 @@ class ChunkEncoder:
 
     def _entries(self, data: np.ndarray, starts: np.ndarray, solid: np.ndarray) -> np.ndarray:
         """The entry of each chunk. A chunk whose hash belongs to other bytes gets another hash."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or self.bytes.used > REMEMBERED_PIECES:
             self._forget()
         ends = np.append(starts[1:], len(data))
         pieces, raw = byte_pieces(data, starts, ends), None
         hashes, salt, left, own = pieces.hashes(), 0, np.arange(len(starts)), pieces
         while True:
-            distinct, first = np.unique(hashes[left], return_index=True)
+            distinct, first, which = np.unique(hashes[left], return_index=True, return_inverse=True)
             fresh = np.flatnonzero(~np.isin(distinct, self.known, assume_unique=True))
             if len(fresh):
                 at = left[first[fresh]]
                 raw = raw or data.tobytes()
                 chunks = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
                 self._learn(distinct[fresh], chunks, pieces.take(at), (data[starts[at]] == 0x20) & solid[ends[at] - 1])
-            left = left[~self._same(np.searchsorted(self.known, hashes[left]), own)]
-            if not len(left):
-                return np.searchsorted(self.known, hashes)
+            entry = np.searchsorted(self.known, distinct)[which]
+            wrong = np.flatnonzero(~self._same(entry, own))
+            if not len(wrong):
+                return entry if len(entry) == len(hashes) else np.searchsorted(self.known, hashes)
+            left = left[wrong]
             salt, own = salt + 1, pieces.take(left)
             hashes[left] = own.hashes(salt)
 
