@@ -30,7 +30,9 @@ from pinwatch.session import stored_table
 ADDED = 0.01
 #: Predictions packed at once by a task, and about as many to a segment. A context with more than a
 #: quarter of that is spread.
-CHUNK, SEGMENT = 1 << 20, 3 << 19
+CHUNK, SEGMENT = 1 << 20, 1 << 20
+#: Segments that one task has at hand.
+BUNDLE = 4
 #: What stands before a text's first word, and what follows its last one.
 _BEGIN, _END = _U(0), _U(1)
 
@@ -200,49 +202,63 @@ def packed(rows: DataFrame, frequent, segments: int, part: int, apart=None) -> D
     return rows.select("doc_id", "is_target", "text", *(["hash"] if apart is not None else [])).mapInArrow(pack, _PACKED)
 
 
+def _losses(body: dict[str, list], frequent: Frequent, vocabulary: int, added: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each of the packed rows of one segment its documents and the sums of both models' losses."""
+    read = lambda name: np.concatenate([np.frombuffer(b, dtype="<u8") for b in body[name]])
+    small = lambda name: np.concatenate([_wide(b) for b in body[name]])
+    key_of, word = np.repeat(read("contexts"), small("followers")), read("words")
+    # Bigrams of the chunks, in one order.
+    order = np.lexsort((word, key_of))
+    heads = _heads(key_of[order], word[order])
+    bigram = np.empty(len(order), dtype=np.int32)
+    bigram[order] = np.repeat(np.arange(len(heads), dtype=np.int32), np.diff(np.append(heads, len(order))))
+    distinct = order[heads]
+    key_of, word = key_of[distinct], word[distinct]
+    del order, distinct
+    of_entry = np.repeat(bigram, small("holders"))
+    owner, times, size = small("rows"), small("times"), len(heads)
+    both = [np.bincount(of_entry, times if model else times * (owner & np.uint32(1)), size) for model in (0, 1)]
+    heads = _heads(key_of)
+    context = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, size)))
+    spread, at = frequent.find(key_of ^ blocks.mix(word))
+    loss = []
+    for model, counts in enumerate(both):
+        before = np.bincount(context, counts, len(heads))[context]
+        before[spread] = frequent.counts[at[spread], model]
+        loss.append(-np.log((counts + added) / (before + added * vocabulary)))
+    first = 0
+    for rows in body["rows"]:
+        part = slice(first, first + len(rows) // 4)
+        first = part.stop
+        document, which = np.unique(owner[part] >> np.uint32(1), return_inverse=True)
+        yield document, np.stack([np.bincount(which, times[part] * one[of_entry[part]], len(document)) for one in loss])
+
+
 def segment_losses(rows: DataFrame, frequent, vocabulary: int, added: float = ADDED) -> DataFrame:
-    """Sums of both models' losses, for each chunk and segment; rows with ids pass through."""
+    """Sums of both models' losses, for each chunk and bundle of segments; rows with ids pass through. A task has a
+    bundle at hand and works on one segment of it at a time, so a document's sums of several segments travel as one."""
 
     def losses(key: tuple, table: pa.Table) -> pa.Table:
         kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         names = [f.split(" ")[0] for f in _SUMS.split(", ")]
-        chunk, ids, sizes = (table.column(c).to_pylist() for c in ("chunk", "ids", "sizes"))
+        segment, chunk, ids, sizes = (table.column(c).to_pylist() for c in ("segment", "chunk", "ids", "sizes"))
         out = [(c, None, None, i, n) for c, i, n in zip(chunk, ids, sizes, strict=True) if i is not None]
-        some = [k for k, i in enumerate(ids) if i is None]
-        if some:
+        totals: dict[int, np.ndarray] = {}
+        for one in sorted({s for s, i in zip(segment, ids, strict=True) if i is None}):
+            some = sorted((k for k, s in enumerate(segment) if s == one and ids[k] is None), key=chunk.__getitem__)
             body = {c: [table.column(c)[k].as_buffer() for k in some] for c in ("contexts", "followers", "words", "holders", "rows", "times")}
-            read = lambda name: np.concatenate([np.frombuffer(b, dtype="<u8") for b in body[name]])
-            small = lambda name: np.concatenate([_wide(b) for b in body[name]])
-            key_of, word = np.repeat(read("contexts"), small("followers")), read("words")
-            # Bigrams of the chunks, in one order.
-            order = np.lexsort((word, key_of))
-            heads = _heads(key_of[order], word[order])
-            bigram = np.empty(len(order), dtype=np.int32)
-            bigram[order] = np.repeat(np.arange(len(heads), dtype=np.int32), np.diff(np.append(heads, len(order))))
-            distinct = order[heads]
-            key_of, word = key_of[distinct], word[distinct]
-            del order, distinct
-            of_entry = np.repeat(bigram, small("holders"))
-            owner, times, size = small("rows"), small("times"), len(heads)
-            both = [np.bincount(of_entry, times if model else times * (owner & np.uint32(1)), size) for model in (0, 1)]
-            heads = _heads(key_of)
-            context = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, size)))
-            spread, at = frequent.value.find(key_of ^ blocks.mix(word))
-            loss = []
-            for model, counts in enumerate(both):
-                before = np.bincount(context, counts, len(heads))[context]
-                before[spread] = frequent.value.counts[at[spread], model]
-                loss.append(-np.log((counts + added) / (before + added * vocabulary)))
-            first = 0
-            for k, b in zip(some, body["rows"], strict=True):
-                part = slice(first, first + len(b) // 4)
-                first = part.stop
-                document, which = np.unique(owner[part] >> np.uint32(1), return_inverse=True)
-                sums = np.stack([np.bincount(which, times[part] * one[of_entry[part]], len(document)) for one in loss])
-                out.append((chunk[k], document.astype("<u4").tobytes(), sums.astype("<f8").tobytes(), None, None))
+            for k, (document, sums) in zip(some, _losses(body, frequent.value, vocabulary, added), strict=True):
+                total = totals.get(chunk[k], np.zeros((2, 0)))
+                if total.shape[1] <= document[-1]:
+                    total = np.pad(total, ((0, 0), (0, int(document[-1]) + 1 - total.shape[1])))
+                total[:, document] += sums
+                totals[chunk[k]] = total
+        for number, total in totals.items():
+            document = np.flatnonzero(total[1])  # every loss is above 0
+            out.append((number, document.astype("<u4").tobytes(), total[:, document].astype("<f8").tobytes(), None, None))
         return pa.Table.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return rows.groupBy("segment").applyInArrow(losses, _SUMS)
+    return rows.groupBy(F.floor(F.col("segment") / BUNDLE)).applyInArrow(losses, _SUMS)
 
 
 def document_losses(sums: DataFrame) -> DataFrame:
