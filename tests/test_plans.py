@@ -143,3 +143,15 @@ def test_a_scope_removes_what_was_stored_inside(spark):
         inside.write.parquet(stays)
         assert os.path.exists(path)
     assert not os.path.exists(path) and spark.read.parquet(stays).count() == 3
+
+
+def test_first_detections_travel_without_the_rest(spark):
+    text = all_queries()["match_idempotent"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert "blast_radius_tier" not in text and "sla_deadline" not in text
+
+
+def test_operations_read_several_times_are_joined_once(spark):
+    t = Tables(spark, FOLDER)
+    assert t.ops_once is t.ops_once and "Join" not in t.ops_once._jdf.queryExecution().optimizedPlan().toString()
+    for name in ("auto_resolve", "match_asof_reference", "eco_wildcard"):
+        assert "lineitem" not in all_queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
