@@ -87,14 +87,25 @@ def quarantine(records: DataFrame) -> DataFrame:
     return bad.select("raw", reason.alias("reason"))
 
 
+def judged_changes(records: DataFrame) -> DataFrame:
+    """Records with the change event each holds, ``e``, parsed once: as a generated row it is no expression that every
+    later step would evaluate anew. NULL where the text is no change event."""
+    parsed = records.select("*", F.explode(F.array(F.from_json("value", schemas.DEPENDENCY_CHANGE))).alias("_e"))
+    return parsed.withColumn("e", F.when(F.col("_e.event_id").isNotNull(), F.col("_e"))).drop("_e")
+
+
+def taken_changes(judged: DataFrame) -> DataFrame:
+    return judged.filter("e IS NOT NULL").select("e.*")
+
+
+def refused_changes(judged: DataFrame) -> DataFrame:
+    return judged.filter("e IS NULL").select(F.col("value").alias("raw"), F.lit("not a change event").alias("reason"))
+
+
 def change_events(records: DataFrame) -> DataFrame:
     """Dependency changes in the canonical schema; text that does not parse is dropped."""
-    parsed = records.select(F.from_json("value", schemas.DEPENDENCY_CHANGE).alias("e"))
-    return parsed.filter("e IS NOT NULL AND e.event_id IS NOT NULL").select("e.*")
+    return taken_changes(judged_changes(records))
 
 
 def change_quarantine(records: DataFrame) -> DataFrame:
-    parsed = records.withColumn("e", F.from_json("value", schemas.DEPENDENCY_CHANGE))
-    return parsed.filter("e IS NULL OR e.event_id IS NULL").select(
-        F.col("value").alias("raw"), F.lit("not a change event").alias("reason")
-    )
+    return refused_changes(judged_changes(records))

@@ -7,8 +7,9 @@ from pinwatch.operators import graph, match, vulnerabilities as V
 from pinwatch.plans import exposure as plan
 from pinwatch.sinks import delivery
 from pinwatch.sinks.topics import keyed_matches, latest_messages
+from pinwatch.sources import changes
 from pinwatch.streaming import flows, triggers
-from tests.test_operators import cves, detected, hours, ops, rows
+from tests.test_operators import cves, detected, hours, ops, random_ops, rows
 
 MATCH = (
     "cve_id STRING, service_id STRING, ecosystem STRING, package STRING, version STRING, detected_at TIMESTAMP, is_new_dependency BOOLEAN, "
@@ -93,3 +94,69 @@ def test_the_streams_keep_no_rows_in_python(spark):
     finally:
         flows.start = start
     assert started and not any("TransformWithState" in text for text in started)
+
+
+def handled_by(spark, name):
+    """The plans of the streams that a query starts."""
+    from pinwatch.catalog import all_queries
+
+    started = []
+    start = flows.start
+    try:
+        flows.start = lambda stream, *rest, **more: started.append(stream._jdf.queryExecution().logical().toString()) or start(stream, *rest, **more)
+        all_queries()[name](spark, "/root/testdata/sf0.001")
+    finally:
+        flows.start = start
+    return started
+
+
+# --- snapshots -------------------------------------------------------------------------------------
+
+
+def change_events(spark, o):
+    """Operations as change events, one per event and ecosystem."""
+    pin = lambda op: F.collect_list(F.when(F.col("op") == op, F.struct("package", "version")))
+    listed = o.orderBy("pos").groupBy("event_id", "service_id", "ecosystem", "occurred_at").agg(pin("added").alias("added"), pin("removed").alias("removed"), pin("updated").alias("_u"))
+    updated = F.transform("_u", lambda u: F.struct(u["package"].alias("package"), F.lit(None).cast("string").alias("from_version"), u["version"].alias("to_version")))
+    return listed.withColumn("updated", updated).drop("_u")
+
+
+def snapshots(spark, base, steps, twice=False):
+    known, out = str(base / "known"), str(base / "out")
+    for number, events in enumerate(steps):
+        each = triggers.snapshot_triggers(spark, known, lambda r, b: delivery.deliver(r, out, "snapshots", b))
+        for _ in range(1 + twice):
+            each(events, number)
+    return spark.read.parquet(*[f"{out}/snapshots/batch-{n}" for n in range(len(steps))])
+
+
+def held(df):
+    return sorted((r.service_id, r.trigger_event_id, str(r.snapshot_at), r.ecosystem, tuple(sorted(r.dependencies.items()))) for r in df.collect())
+
+
+@pytest.mark.parametrize("block", [1, 3, 256])
+def test_triggers_take_a_snapshot_after_every_event(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(triggers, "BLOCK", block)
+    events = change_events(spark, random_ops(spark, 200)).cache()
+    expected = held(graph.snapshot_history(changes.explode_changes(events), changes.explode_changes(events)))
+    cuts = events.selectExpr("percentile(unix_micros(occurred_at), array(0.3, 0.6)) AS p").first().p
+    at = F.unix_micros("occurred_at")
+    steps = [events.filter(at <= cuts[0]), events.filter((at > cuts[0]) & (at <= cuts[1])), events.filter(at > cuts[1])]
+    assert len(expected) > 100
+    assert held(snapshots(spark, tmp_path / "one", [events])) == expected
+    assert held(snapshots(spark, tmp_path / "three", steps, twice=block == 3)) == expected
+
+
+def test_a_late_event_sees_what_is_newer_and_an_empty_one_what_stands(spark, tmp_path):
+    first = change_events(spark, ops(spark, [(10, "s", "a", "added", "2.0"), (10, "t", "a", "added", "1.0")]))
+    late = change_events(spark, ops(spark, [(5, "s", "a", "added", "1.0"), (6, "s", "b", "added", "1.0")]))
+    empty = late.filter("false").unionByName(first.filter("service_id = 't'").withColumns({
+        "event_id": F.lit("nothing"), "occurred_at": F.lit(hours(20)), "added": F.array().cast(first.schema["added"].dataType)}))
+    got = held(snapshots(spark, tmp_path, [first, late, empty]))
+    assert [(r[0], r[2][:13], r[4]) for r in got if r[0] == "s"] and {r[4] for r in got if r[0] == "s"} == {(("a", "2.0"),), (("a", "2.0"), ("b", "1.0"))}
+    assert sorted(r[1] == "nothing" for r in got if r[0] == "t") == [False, True]
+
+
+def test_snapshots_keep_no_rows_in_python(spark):
+    started = handled_by(spark, "stream_snapshots")
+    assert started and not any("TransformWithState" in text for text in started)
