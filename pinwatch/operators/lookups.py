@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from pinwatch import constants as K
 from pinwatch.functions.versions import version_key
-from pinwatch.operators.match import affected_versions, match_pins, package_key
+from pinwatch.operators.match import VERSION, affected_versions, match_pins, package_key
 from pinwatch.operators.posture import is_open
 from pinwatch.operators.graph import new_dependencies, validity_intervals
 from pinwatch.operators.scoring import registry_enrich
 from pinwatch.plans.timeline import with_neighbours
+from pinwatch.session import stored_table
 from pinwatch.sinks.layout import only
 
 
@@ -44,12 +45,12 @@ def remediation_path(requests: DataFrame, cves: DataFrame) -> DataFrame:
 
     Fixes are few per package and are tested like versions in use, once each.
     """
-    wanted = requests.select("ecosystem", "package", "version").distinct()
-    hits = match_pins(wanted, cves, ["cve_id", "safe_version"])
-    found = hits.groupBy("ecosystem", "package", "version").agg(
-        F.count_distinct("cve_id").alias("cves"),
-        F.max((F.coalesce("safe_version", F.lit("")) == "").cast("int")).alias("unfixed"),
-    )
+    # Read several times, and as a rule made of all operations.
+    wanted = stored_table(requests.select("ecosystem", "package", "version").distinct(), "requests")
+    # A version meets a vulnerability once, so rows count vulnerabilities, and only their sums leave the join.
+    unfixed = F.max((F.coalesce("safe_version", F.lit("")) == "").cast("int")).alias("unfixed")
+    found = affected_versions(wanted, cves, ["cve_id", "safe_version"]).groupBy(*VERSION).agg(F.count("cve_id").alias("cves"), unfixed)
+    found = stored_table(found, "affected-requests")
     fixes = cves.filter("safe_version <> ''").select(
         package_key("affected_package").alias("package_key"), F.coalesce("ecosystem", F.lit("")).alias("_of"), F.col("safe_version").alias("version")
     ).distinct()
@@ -60,15 +61,15 @@ def remediation_path(requests: DataFrame, cves: DataFrame) -> DataFrame:
     clean = tried.join(affected, ["ecosystem", "package", "version"], "left_anti").select(
         "ecosystem", F.col("package").alias("package_key"), F.col("version").alias("fix"), version_key(F.col("version")).alias("_fix_key")
     )
-    # A fix below the version is no upgrade; the least of the others, without gathering them.
-    open_ = found.filter("unfixed = 0").withColumn("package_key", package_key()).withColumn("_key", version_key(F.col("version")))
-    best = open_.join(clean, ["ecosystem", "package_key"]).filter("_fix_key >= _key").groupBy("ecosystem", "package", "version").agg(
-        F.min_by("fix", "_fix_key").alias("upgrade_to")
-    )
+    # A fix below the version is no upgrade; the least of the others is the next one in the order of versions.
+    open_ = found.filter("unfixed = 0").select(*VERSION, version_key(F.col("version")).alias("_key"), F.lit(None).cast("string").alias("fix"))
+    both = open_.unionByName(clean.select("ecosystem", "package_key", F.lit(None).cast("string").alias("version"), F.col("_fix_key").alias("_key"), "fix"))
+    onwards = Window.partitionBy("ecosystem", "package_key").orderBy(F.desc("_key"), F.desc_nulls_last("fix")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    best = both.withColumn("upgrade_to", F.last("fix", ignorenulls=True).over(onwards)).filter("version IS NOT NULL AND _key IS NOT NULL")
+    best = best.select(*VERSION, "upgrade_to")
     reason = F.when(F.col("unfixed") == 1, "no fix known").when(F.col("upgrade_to").isNull(), "every fix is affected").otherwise("fixed")
-    return found.join(best, ["ecosystem", "package", "version"], "left").select(
-        "ecosystem", "package", "version", "upgrade_to", "cves", reason.alias("reason")
-    )
+    told = found.join(best, VERSION, "left").select(*VERSION, "upgrade_to", "cves", reason.alias("reason"))
+    return wanted.withColumn("package_key", package_key()).join(told, VERSION).select("ecosystem", "package", "version", "upgrade_to", "cves", "reason")
 
 
 def affected_services(matches: DataFrame, as_of, cve_id: str | None = None) -> DataFrame:
