@@ -66,6 +66,8 @@ def updated_closure(closure: DataFrame, edges: DataFrame, added: DataFrame, remo
 def transitive_pins(pins: DataFrame, edges: DataFrame) -> DataFrame:
     """Pins of a service plus what they pull in, with ``is_transitive`` and ``transitive_path``.
     A package the service also holds directly counts as direct, with the version it holds."""
+    # Read three times, and as a rule made of all operations.
+    pins = stored_table(pins.select("service_id", "ecosystem", "package", "version"), "direct-pins")
     held = pins.select("ecosystem", "package").distinct()
     closure = transitive_closure(edges, held)
     direct = pins.select(

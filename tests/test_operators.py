@@ -408,6 +408,12 @@ def test_neighbours_follow_one_order(spark):
         assert all(p == a - 1 for a, p, _ in got if p is not None) and all(n == a + 1 for a, _, n in got if n is not None)
         assert sum(p is None for _, p, _ in got) == sum(n is None for _, _, n in got) == 1
 
+def test_indirect_dependencies_read_the_pins_once(spark):
+    edges = spark.createDataFrame([("npm", "a", "x", "1.0")], "ecosystem string, package string, depends_on string, version string")
+    pins = closure.transitive_pins(graph.current_pins(ops(spark, [(0, "s", "a", "added", "1", "npm")])), edges)
+    assert "max_by" not in planned(pins) and pins.count() == 2
+
+
 
 def test_tables_are_conformed_and_upserts_keep_known_rows(spark, tmp_path):
     path = str(tmp_path / "registry")
