@@ -5,12 +5,13 @@ import re
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from pinwatch.operators import graph, match
 from pinwatch.plans.timeline import crowded_keys
 from pinwatch.session import stored_table
 from pinwatch.sinks import delivery
 from pinwatch.sinks.topics import latest_messages
 from pinwatch.streaming import triggers
-from tests.test_operators import hours, rows
+from tests.test_operators import cves, hours, ops, rows
 
 MESSAGE = "topic STRING, key STRING, value STRING"
 
@@ -91,3 +92,17 @@ def test_crowded_keys_are_told_apart_where_their_numbers_meet(spark, monkeypatch
     monkeypatch.setattr(timeline.F, "xxhash64", lambda *c: real(timeline.F.lit(0)))  # all keys under one number
     assert rows(crowded_keys(df, ["k"], 4), "k") == [("a",)]
     assert crowded_keys(df, ["k"], 5) is None
+
+
+# --- single queries -----------------------------------------------------------------------------------
+
+
+def test_matches_seen_by_snapshots_are_made_once(spark):
+    o = ops(spark, [(10, "s", "a", "added", "1.0"), (20, "s", "a", "updated", "2.0"), (30, "s", "a", "updated", "1.0"), (40, "s", "b", "added", "1.0"), (5, "t", "a", "added", "1.0"), (50, "t", "b", "added", "1.0")])
+    c = cves(spark, [(0, "early", "a", "< 2"), (25, "between", "a", "< 2"), (45, "late", "a", "< 2"), (35, "waits", "a", "< 2")])
+    got = match.match_asof(graph.states(o), o, c)
+    at = lambda cve, service, time: (cve, service, hours(time))
+    assert rows(got, "cve_id", "service_id", "detected_at") == sorted([
+        at("early", "s", 10), at("between", "s", 30), at("waits", "s", 40), at("early", "t", 5), at("between", "t", 50), at("waits", "t", 50), at("late", "t", 50)])
+    # The timeline and the join of versions are not in the last step, and what one state decides is not gathered.
+    assert "Window" not in plan_of(got)[1] and "ranges-" not in plan_of(got)[1]
