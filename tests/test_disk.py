@@ -11,7 +11,7 @@ from pinwatch.session import stored_table
 from pinwatch.sinks import delivery
 from pinwatch.sinks.topics import latest_messages
 from pinwatch.streaming import triggers
-from tests.test_operators import cves, hours, ops, rows
+from tests.test_operators import cves, hours, ops, random_ops, rows
 
 MESSAGE = "topic STRING, key STRING, value STRING"
 
@@ -106,3 +106,15 @@ def test_matches_seen_by_snapshots_are_made_once(spark):
         at("early", "s", 10), at("between", "s", 30), at("waits", "s", 40), at("early", "t", 5), at("between", "t", 50), at("waits", "t", 50), at("late", "t", 50)])
     # The timeline and the join of versions are not in the last step, and what one state decides is not gathered.
     assert "Window" not in plan_of(got)[1] and "ranges-" not in plan_of(got)[1]
+
+
+def test_an_interval_of_a_service_with_few_events_travels_once(spark):
+    o = random_ops(spark, 200)
+    columns = ["service_id", "ecosystem", "package", "version", "trigger_event_id", "snapshot_at"]
+    whole, split = graph._by_month(o, o, None), graph._by_month(o, o, None, limit=1)
+    assert rows(whole, *columns) == rows(split, *columns) == rows(graph.snapshot_rows(o, o), *columns)
+    years = ops(spark, [(0, "s", "a", "added", "1"), (24 * 2000, "s", "b", "added", "1")])
+    assert graph._by_month(years, years, None).select("month").distinct().count() == 1
+    assert graph._by_month(years, years, None, limit=1).select("month").distinct().count() == 2
+    # Operations by pin, states and events by service; maps are made where these meet.
+    assert exchanges(graph.snapshot_history(o, o)) <= 3
