@@ -5,7 +5,7 @@ import re
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from pinwatch.operators import graph, match
+from pinwatch.operators import graph, lookups, match
 from pinwatch.plans.timeline import crowded_keys
 from pinwatch.session import stored_table
 from pinwatch.sinks import delivery
@@ -118,3 +118,16 @@ def test_an_interval_of_a_service_with_few_events_travels_once(spark):
     assert graph._by_month(years, years, None, limit=1).select("month").distinct().count() == 2
     # Operations by pin, states and events by service; maps are made where these meet.
     assert exchanges(graph.snapshot_history(o, o)) <= 3
+
+
+def test_findings_of_single_intervals_meet_no_neighbours(spark, monkeypatch):
+    met, real = [], lookups.with_neighbours
+    monkeypatch.setattr(lookups, "with_neighbours", lambda df, keys, *rest: met.append((keys, df)) or real(df, keys, *rest))
+    o = ops(spark, [(0, "s", "a", "added", "1.0"), (9, "s", "a", "removed", None), (20, "s", "a", "added", "1.1"), (1, "t", "a", "added", "1.0"), (5, "t", "a", "updated", "1.1"),
+                    (7, "t", "a", "updated", "3.0")])
+    c = cves(spark, [(2, "c", "a", "< 2"), (10, "late", "a", "< 2")])
+    got = lookups.auto_resolve(o, c)
+    assert rows(got, "cve_id", "service_id", "detected_at", "resolved_at") == sorted([
+        ("c", "s", hours(2), hours(9)), ("c", "s", hours(20), None), ("late", "s", hours(20), None), ("c", "t", hours(2), hours(7))], key=str)
+    joined = [df for keys, df in met if "cve_id" in keys]
+    assert joined and {r.service_id for df in joined for r in df.collect()} == {"t"}
