@@ -5,6 +5,7 @@ import re
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from pinwatch.catalog import exposure as catalog
 from pinwatch.operators import graph, lookups, match
 from pinwatch.plans.timeline import crowded_keys
 from pinwatch.session import stored_table
@@ -83,6 +84,12 @@ def test_matches_of_one_interval_are_merged_with_none(spark):
 # --- order, neighbours, counts ------------------------------------------------------------------------
 
 
+def test_an_operation_crosses_the_exchange_of_its_pin_once_and_alone(spark):
+    o = random_ops(spark, 50)
+    for df in (graph.timeline(o), graph.new_dependencies(o), graph.validity_intervals(o, mark_new=True)):
+        assert exchanges(df) == 1 and "_rec" not in plan_of(df)[0]
+
+
 def test_crowded_keys_are_told_apart_where_their_numbers_meet(spark, monkeypatch):
     from pinwatch.plans import timeline
 
@@ -131,3 +138,10 @@ def test_findings_of_single_intervals_meet_no_neighbours(spark, monkeypatch):
         ("c", "s", hours(2), hours(9)), ("c", "s", hours(20), None), ("late", "s", hours(20), None), ("c", "t", hours(2), hours(7))], key=str)
     joined = [df for keys, df in met if "cve_id" in keys]
     assert joined and {r.service_id for df in joined for r in df.collect()} == {"t"}
+
+
+def test_current_matches_read_their_pins_from_a_table(spark):
+    from pinwatch.catalog.views import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    assert "/ops-" not in plan_of(catalog.current_routed(t))[1]
