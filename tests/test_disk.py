@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pinwatch.catalog import exposure as catalog
 from pinwatch.operators import graph, lookups, match
-from pinwatch.plans.timeline import crowded_keys
+from pinwatch.plans.timeline import crowded_keys, pick
 from pinwatch.session import stored_table
 from pinwatch.sinks import delivery
 from pinwatch.sinks.topics import latest_messages
@@ -90,6 +90,14 @@ def test_an_operation_crosses_the_exchange_of_its_pin_once_and_alone(spark):
         assert exchanges(df) == 1 and "_rec" not in plan_of(df)[0]
 
 
+def test_a_row_that_its_order_says_is_sent_once(spark):
+    found = spark.createDataFrame([("c", "s", "1", 2), ("c", "s", "1", 1), ("c", "t", "1", None)], "cve_id string, service_id string, matched_version string, detected_at int")
+    for last, expected in ((False, [("s", 1), ("t", None)]), (True, [("s", 2), ("t", None)])):
+        got = pick(found, ["cve_id", "service_id", "matched_version"], ["detected_at"], last)
+        assert rows(got, "service_id", "detected_at") == expected
+        assert "min_by" not in plan_of(got)[0] and "max_by" not in plan_of(got)[0]
+
+
 def test_crowded_keys_are_told_apart_where_their_numbers_meet(spark, monkeypatch):
     from pinwatch.plans import timeline
 
