@@ -10,7 +10,7 @@ from pinwatch.operators.match import VERSION, affected_versions, match_pins, pac
 from pinwatch.operators.posture import is_open
 from pinwatch.operators.graph import PIN, new_dependencies, validity_intervals
 from pinwatch.operators.scoring import registry_enrich
-from pinwatch.plans.timeline import with_neighbours
+from pinwatch.plans.timeline import crowded_keys, with_neighbours
 from pinwatch.session import stored_table
 from pinwatch.sinks.layout import only
 
@@ -144,7 +144,12 @@ def auto_resolve(ops: DataFrame, cves: DataFrame, crowded: DataFrame | None = No
         "NOT alone OR valid_to IS NULL OR ingested_at < valid_to"
     )
     hits = stored_table(hits.select(*key, "ingested_at", "valid_from", "valid_to", "alone"), "affected-intervals", compact=True)
-    linked = with_neighbours(hits.filter("NOT alone").drop("alone"), key, ["valid_from"], ["valid_to"], hour, crowded).select(
+    chained = hits.filter("NOT alone").drop("alone")
+    crowded = crowded_keys(chained, PIN) if crowded is None else crowded
+    if crowded is None:
+        # Findings of a pin differ in little but the vulnerability: together they are far smaller in an exchange.
+        chained = chained.repartition(*PIN)
+    linked = with_neighbours(chained, key, ["valid_from"], ["valid_to"], hour, crowded).select(
         *key, "ingested_at", "valid_from", "valid_to", opens.alias("opens"), closes.alias("closes")
     )
     edges = with_neighbours(linked.filter("opens OR closes"), key, ["valid_from"], ["valid_to"], hour, crowded)

@@ -144,6 +144,7 @@ def test_findings_of_single_intervals_meet_no_neighbours(spark, monkeypatch):
     got = lookups.auto_resolve(o, c)
     assert rows(got, "cve_id", "service_id", "detected_at", "resolved_at") == sorted([
         ("c", "s", hours(2), hours(9)), ("c", "s", hours(20), None), ("late", "s", hours(20), None), ("c", "t", hours(2), hours(7))], key=str)
+    assert "Exchange hashpartitioning(cve_id" not in plan_of(got)[1]  # findings of a pin travel together
     joined = [df for keys, df in met if "cve_id" in keys]
     assert joined and {r.service_id for df in joined for r in df.collect()} == {"t"}
 
